@@ -70,7 +70,7 @@ def source_plan(totals: DataFrame, weights=WEIGHTS, most: int = 3, n_shards: int
     rows = sorted(((r["source"], int(r["words"] or 0)) for r in totals.collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in rows]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], most) if sum(sizes) else [0.0] * len(rows)
-    block = max(1, min([BLOCK] + [n // 256 for n in sizes if n]))
+    block = max(1, min([BLOCK] + [n // 2048 for n in sizes if n]))
     blocks = [-(-n // block) for n in sizes]
     got = quotas(goal, round(sum(sizes) / block), [most * n for n in blocks])
     out = []

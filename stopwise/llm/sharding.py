@@ -20,8 +20,8 @@ def byte_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", tex
     over the totals of (hash, part) inside a range, and over rows inside a (hash, part).
     No step holds more than one range's totals or one part's rows in a task, however
     often a text is repeated.  Shards are cut at equal byte targets; a group of equal
-    texts goes whole where its first byte falls if it is at most a fiftieth of a shard,
-    and is cut at the target otherwise.  slot counts a shard's rows from 0.
+    texts goes whole where its middle falls if it is at most a fiftieth of a shard,
+    and row by row where the row's middle falls otherwise.  slot counts a shard's rows from 0.
     Rows with null or repeated ids are placed like all others; an empty table gives no rows.
     """
     rows = docs.select(
@@ -48,7 +48,8 @@ def byte_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", tex
         (F.col("p_from") + F.sum("size").over(mine.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("at"),
         (F.col("p_first") + F.row_number().over(mine) - 1).alias("row"), "g_from", "g_bytes", "total",
     )
-    start = F.when(F.col("g_bytes") * (50 * n_shards) <= F.col("total"), F.col("g_from")).otherwise(F.col("at"))
+    whole = F.col("g_bytes") * (50 * n_shards) <= F.col("total")
+    start = F.when(whole, F.expr("g_from + g_bytes div 2")).otherwise(F.expr("at + size div 2"))
     placed = stored(placed.withColumn("start", start).withColumn("shard", F.least(F.expr(f"{n_shards} * start div total"), F.lit(n_shards - 1)).cast("int")).select("doc_id", "size", "text_crc32", "shard", "row"))
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))  # n_shards rows
     return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
