@@ -61,3 +61,30 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def _digest(word: bytes) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(word, digest_size=16).digest()
+
+
+_words = Memo(_digest)
+
+
+def word_hashes(words: list[bytes]):
+    """Two 64-bit hashes of each word, the same in every process: an (n, 2) array."""
+    import numpy as np
+
+    return np.frombuffer(b"".join(map(_words.__getitem__, words)), "<u8").reshape(-1, 2)
+
+
+def scrambled(x):
+    """A 64-bit finaliser: every bit of the result depends on every bit of x."""
+    import numpy as np
+
+    x = x.copy()
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(33))

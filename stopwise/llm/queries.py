@@ -37,7 +37,14 @@ def op10_exact_top_k(spark, sf_dir):
     return top_k(v.filter("vec_id % 50 = 0"), v, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op7_exact_dedup, op9_byte_shards, op10_exact_top_k)}
+def op4_substring_dedup(spark, sf_dir):
+    from .substring import remove_repeats
+
+    r = remove_repeats(_read(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op7_exact_dedup, op9_byte_shards, op10_exact_top_k)}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
