@@ -44,7 +44,13 @@ def op4_substring_dedup(spark, sf_dir):
     return r.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op7_exact_dedup, op9_byte_shards, op10_exact_top_k)}
+def op8_minhash_dedup(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), size=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k)}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
