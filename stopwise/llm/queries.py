@@ -50,7 +50,25 @@ def op8_minhash_dedup(spark, sf_dir):
     return near_duplicates(_read(spark, sf_dir, "documents"), size=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_substring_dedup, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k)}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark, sf_dir):
+    from .tokencount import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
+def op5_packing(spark, sf_dir):
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_substring_dedup, op5_packing, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k)}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
