@@ -28,9 +28,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = stored(rows.groupBy("h", "doc_id", "len", F.sha2(F.col("norm"), 256).alias("sha")).agg(F.count("*").alias("copies")))
     groups = copies.groupBy("h").agg(F.sum("copies").alias("group_size"), F.min(first).alias("top"), F.count("*").alias("members"))
     # Bytes are compared in groups of two or more documents.
-    member = rows.join(groups.filter("members > 1").select("h", "top"), "h")
+    member = stored(rows.join(groups.filter("members > 1").select("h", "top"), "h").select("h", "doc_id", "len", "norm", "top"))
     top = member.filter(first.eqNullSafe(F.col("top"))).groupBy("h").agg(F.min("norm").alias("top_norm"))
-    odd = stored(member.select("h", "doc_id", "len", "norm").join(top, "h").filter("norm <> top_norm").drop("top_norm"))
+    odd = stored(member.drop("top").join(top, "h").filter("norm <> top_norm").drop("top_norm"))
     classes = odd.groupBy("h", "norm").agg(F.count("*").alias("o_size"), F.min(first).alias("o_top"))
     apart = odd.distinct().join(classes, ["h", "norm"]).select(F.col("h").alias("o_h"), F.col("doc_id").alias("o_id"), F.col("len").alias("o_len"), F.sha2("norm", 256).alias("o_sha"), "o_size", "o_top")
     lost = odd.groupBy("h").agg(F.count("*").alias("lost"))

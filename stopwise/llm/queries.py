@@ -50,6 +50,12 @@ def op8_minhash_dedup(spark, sf_dir):
     return near_duplicates(_read(spark, sf_dir, "documents"), size=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_language_id(spark, sf_dir):
+    from .langid import identify_held_out
+
+    return identify_held_out(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -68,7 +74,7 @@ def op5_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_counts, op4_substring_dedup, op5_packing, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k)}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
