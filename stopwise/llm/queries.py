@@ -17,6 +17,12 @@ def op1_mix_sources(spark, sf_dir):
     return m.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op6_html_text(spark, sf_dir):
+    from .htmltext import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     from .exact import exact_groups
 
@@ -74,7 +80,13 @@ def op5_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, pipeline)}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
