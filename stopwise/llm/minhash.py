@@ -16,6 +16,8 @@ from .components import components
 #: K smallest of its union 0.8 K = 77 are shared on average, with deviation 3.9, so 56 are but for 5e-8.
 K, SHARED = 96, 56
 THRESHOLD = 80  # per cent
+#: Members of a list that others are compared with in one round, and rounds before all pairs that are left.
+HEADS, ROUNDS = 16, 2
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -86,6 +88,81 @@ def _could_match(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {THRESHOLD} * greatest({a}, {b})"
 
 
+def _least_shared(n: str):
+    """Members that a set of n shares at least with any set at the threshold."""
+    return F.expr(f"({THRESHOLD} * {n} + 99) div 100")
+
+
+def _rare_lists(values: DataFrame, shared) -> DataFrame:
+    """Inverted lists (value, cid, n, rest) of the rarest values of each set, of values (cid, n, k, value).
+
+    Of k values `shared` at least are common to any match.  So the rarest k - shared + 1 of
+    the one set and of the other meet, in the order by frequency; values that no other set has
+    come first, and a set with fewer than `shared` others enters no list.  rest is how many
+    values a match can share at most if this is the first that it shares.
+    """
+    often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = Window.partitionBy("cid")
+    found = values.join(often, "value").withColumns({"rank": F.row_number().over(mine.orderBy("df", "value")), "with_others": F.count("*").over(mine)})
+    return found.withColumn("rest", F.col("with_others") - F.col("rank") + 1).filter(F.col("rest") >= shared).select("value", "cid", "n", "rest")
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    return lists.join(label.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
+def _several(known: DataFrame) -> DataFrame:
+    """Lists of three or more with more than one component, and the component that most of them are in."""
+    per = known.groupBy("value", "label").agg(F.count("*").alias("m"))
+    return per.groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels"), F.sum("m").alias("size")).filter("labels > 1 and size > 2")
+
+
+#: What the first value that a pair shares leaves to be shared, against what its sizes ask for.
+_ENOUGH = f"label_a <> label_b and least(rest_a, rest_b) >= ({THRESHOLD} * (n_a + n_b) + {99 + THRESHOLD}) div {100 + THRESHOLD}"
+
+
+def _side(known: DataFrame, s: str, *more: str) -> DataFrame:
+    return known.select("value", *more, F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "label", "rest")])
+
+
+def _ordered(p: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b)."""
+    return p.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+
+
+def _with_heads(known: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each class that is not in the main component of its longest open list with HEADS members of that list, those of the
+    main component first. They join most of a large group of near copies at a cost that grows with its size."""
+    open_ = known.join(_several(known), "value")
+    longest = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("size"), "value"))
+    mine = _side(open_.filter("label <> main").withColumn("place", longest).filter("place = 1"), "a")
+    order = Window.partitionBy("value").orderBy((F.col("label") != F.col("main")).cast("int"), F.xxhash64(F.lit(turn), "cid"), "cid")
+    heads = _side(open_.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HEADS), "b")
+    return _ordered(mine.join(heads, "value").filter("label_a <> label_b"))
+
+
+def _between_components(known: DataFrame) -> DataFrame:
+    """All pairs of a list that are in different components still and can match if this is the first value that they share."""
+    mine = _side(known.join(_several(known), "value").filter("label <> main"), "a")
+    return _ordered(mine.join(_side(known, "b"), "value").filter(_ENOUGH))
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of (a, b) pairs those whose full sets reach the threshold."""
+    x, y = (sets.select(*[F.col(c).alias(c + s) for c in ("cid", "n", "members")]) for s in ("_x", "_y"))
+    p = pairs.join(x, F.col("a") == F.col("cid_x")).join(y, F.col("b") == F.col("cid_y"))
+    p = p.withColumn("both", F.size(F.array_intersect("members_x", "members_y")))
+    return p.filter(f"100 * both >= {THRESHOLD} * (n_x + n_y - both)").select("a", "b")
+
+
+def _full_sets(ids: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """cid, n, members of the classes in ids, made again from their representatives' texts."""
+    need = classes.select("cid", "sig", "rep", "n").join(ids, "cid")
+    texts = rows.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    full = texts.mapInArrow(_sets(size), "doc_id long, sig binary, members array<long>")
+    return full.join(need, (full["doc_id"] == need["rep"]) & (full["sig"] == need["sig"])).select("cid", "n", "members")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """Of (a, b) class pairs those whose full sets reach the threshold.
 
@@ -97,17 +174,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int)
     p = pairs.join(x, F.col("a") == F.col("cid_x")).join(y, F.col("b") == F.col("cid_y"))
     union = F.slice(F.sort_array(F.array_union("sketch_x", "sketch_y")), 1, K)
     both = F.size(F.array_intersect(F.array_intersect("sketch_x", "sketch_y"), "union"))
-    p = p.withColumn("union", union).filter(both * K >= F.size("union") * SHARED).select("a", "b", "n_x", "n_y")
+    p = p.withColumn("union", union).filter(both * K >= F.size("union") * SHARED).select("a", "b")
     p = stored(p)
     ids = p.select(F.col("a").alias("cid")).unionByName(p.select(F.col("b").alias("cid"))).distinct()
-    need = classes.select("cid", "sig", "rep").join(ids, "cid")
-    texts = rows.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    full = texts.mapInArrow(_sets(size), "doc_id long, sig binary, members array<long>")
-    full = full.join(need, (full["doc_id"] == need["rep"]) & (full["sig"] == need["sig"])).select("cid", "members")
-    fx, fy = (full.select(F.col("cid").alias("cid" + s), F.col("members").alias("members" + s)) for s in ("_x", "_y"))
-    p = p.join(fx, F.col("a") == F.col("cid_x")).join(fy, F.col("b") == F.col("cid_y"))
-    p = p.withColumn("both", F.size(F.array_intersect("members_x", "members_y")))
-    return p.filter(f"100 * both >= {THRESHOLD} * (n_x + n_y - both)").select("a", "b")
+    return _exact(p, _full_sets(ids, classes, rows, size))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,40 +195,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
        enter inverted lists, so a passage in a third of all documents makes no pairs
        unless it is most of them.
     3. Of each list, all classes are compared with its first; links form components.
-    4. Lists that hold several components then give the pairs between those, so no link
-       that matters is lost and a list of n near copies costs about n comparisons.
+    4. Classes in lists that hold several components are listed anew by their whole sets,
+       where four fifths must be shared; pairs between components of a list are compared.
+       So no link that matters is lost, and a list of n near copies costs about n comparisons.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     own = stored(rows.mapInArrow(_sketcher(size, K), "doc_id long, sig binary, n long, sketch array<long>"))
     classes = own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()))
     values = classes.select("cid", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    # The values that no other class has come first in the order by frequency.
-    shared = values.join(often, "value")
-    mine = Window.partitionBy("cid")
     small = K * THRESHOLD // 100
-    prefix = F.when(F.col("n") <= small, F.col("n") - F.expr(f"({THRESHOLD} * n + 99) div 100") + 1).otherwise(F.col("k") - SHARED + 1)
-    lists = shared.withColumns({"rank": F.row_number().over(mine.orderBy("df", "value")), "with_others": F.count("*").over(mine)})
-    lists = stored(lists.filter(F.col("rank") <= prefix - (F.col("k") - F.col("with_others"))).select("value", "cid", "n"))
+    shared = F.when(F.col("n") <= small, _least_shared("n")).otherwise(F.lit(SHARED))
+    lists = stored(_rare_lists(values, shared).drop("rest"))
     heads = lists.groupBy("value").agg(F.min(F.struct("cid", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
     stars = lists.join(heads, "value").filter("cid <> head.cid").filter(_could_match("n", "head.n")).groupBy(F.col("head.cid").alias("a"), F.col("cid").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     stars = stored(stars)
     links = stored(_verified(stars, classes, rows, size))
     label = components(links)
-    # Lists with more than one component: pairs between the largest and all others.
-    known = lists.join(label.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    known = stored(known)
-    per = known.groupBy("value", "label").agg(F.count("*").alias("m")).groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    left = known.join(per, "value").filter("label <> main").select("value", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    right = known.select("value", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = left.join(right, "value").filter("label_a <> label_b").filter(_could_match("n_a", "n_b"))
-    rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(seen, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(stored(_verified(rest, classes, rows, size)))
-        label = components(links)
+    # Classes in lists that hold several components are looked at once more, by their whole sets.
+    again = stored(lists.join(_several(_labelled(lists, label)).select("value"), "value", "left_semi").select("cid").distinct())
+    if not again.isEmpty():
+        sets = stored(_full_sets(again, classes, rows, size))
+        lists = stored(_rare_lists(sets.select("cid", "n", F.col("n").alias("k"), F.explode("members").alias("value")), _least_shared("n")))
+        seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        for turn in range(ROUNDS + 1):
+            known = stored(_labelled(lists, label))
+            pairs = _with_heads(known, turn) if turn < ROUNDS else _between_components(known)
+            pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                continue
+            seen = seen.unionByName(pairs)
+            new = stored(_exact(pairs, sets))
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                label = components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(new))
     label = label.select(F.col("id").alias("cid"), "label")
     named = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = named.groupBy("label").agg(F.min("rep").alias("component_id"))
