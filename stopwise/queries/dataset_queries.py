@@ -1 +1,92 @@
-"""Queries."""
+"""DS-03, 04, 06..08: train, valid, test, rolling and variant datasets on the daily visits."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from ..operators import history
+from ..plans import datasets
+from ..sources import adapters
+from .base import DAILY, daily, query, rounded
+from .history_queries import _PERIODS, BASELINE, FEATURE_SQL, FOLD_ROWS, PAST_ROWS, RECENT_ROWS, lookups, tables_sql
+
+SETUP = adapters.DAILY
+_P1 = FOLD_ROWS.format(end="1999-12-31", fold="dayofyear(date) % 5")
+_P2 = FOLD_ROWS.format(end="2000-12-31", fold="dayofyear(date) % 5")
+_OWN = "CAST(dayofyear(c.date) % 5 AS INTEGER)"
+_TABLES = ", ".join(tables_sql(rows, p) for p, rows in (("b", PAST_ROWS), ("r", RECENT_ROWS), ("h0", _P1), ("h1", _P2)))
+_IDS = "journey_id, c.seq, c.y, c.date"
+
+
+def rows(spark, sf_dir):
+    return daily(spark, sf_dir).withColumns({"stop_name": F.col("stop"), "origin_name": F.lit("o"), "dest_name": F.lit("d")})
+
+
+def dataset_sql(split: str, plan: list[tuple[str, str, str]], pct: int, keep_id: bool, tables: str = _TABLES) -> str:
+    p = SETUP.period(split)
+    feats = ", ".join(FEATURE_SQL.format(p=a, x=x) for a, _, x in plan)
+    joins = " ".join([lookups("c.month", "b"), lookups("c.month", "r"), *(lookups(key, a) for a, key, _ in plan)])
+    ids = "journey_id, " if keep_id else ""
+    return f"WITH {DAILY}, {_PERIODS}, {tables} SELECT {ids}c.y, c.date, c.line, c.stop, c.direction, c.seq, c.hour, c.daytype, c.minute_of_day, {BASELINE.format(p='b')} AS baseline, {BASELINE.format(p='r')} AS baseline_recent, {feats} FROM c {joins} WHERE bucket < {pct} AND date BETWEEN DATE '{p.start}' AND DATE '{p.end}'"
+
+
+def _split(spark, sf_dir, split, setup=SETUP):
+    r = rows(spark, sf_dir)
+    out = datasets.split_dataset(r, datasets.Histories(r, setup), split)
+    return rounded(out.drop("stop_name", "origin_name", "dest_name"))
+
+
+@query("ds_03_train", dataset_sql("train", [("h0", _OWN, ""), ("h1", _OWN, "refit_")], 20, False))
+def ds_03_train(spark, sf_dir):
+    return _split(spark, sf_dir, "train")
+
+
+@query("ds_03_valid", dataset_sql("valid", [("h0", "5", ""), ("h1", _OWN, "refit_")], 25, False))
+def ds_03_valid(spark, sf_dir):
+    return _split(spark, sf_dir, "valid")
+
+
+@query("ds_03", dataset_sql("test", [("h1", "5", "")], 25, True))
+def ds_03(spark, sf_dir):
+    return _split(spark, sf_dir, "test")
+
+
+@query("ds_04", dataset_sql("test", [("b", "c.month", "")], 25, True, ", ".join(tables_sql(x, p) for p, x in (("b", PAST_ROWS), ("r", RECENT_ROWS)))).replace(lookups("c.month", "b") + " " + lookups("c.month", "r") + " " + lookups("c.month", "b"), lookups("c.month", "b") + " " + lookups("c.month", "r")))
+def ds_04(spark, sf_dir):
+    return _split(spark, sf_dir, "test", replace(SETUP, after="monthly"))
+
+
+_ROLL = "(SELECT k AS hkey, c.* FROM c, (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS k) WHERE date BETWEEN DATE '1994-12-01' AND DATE '1999-05-31' AND (k = 5 OR dayofyear(date) % 5 <> k))"
+
+
+@query("ds_06", f"""WITH {DAILY}, {tables_sql(_ROLL)}, q AS (SELECT *, CASE WHEN date < DATE '1999-05-01' THEN 'train' WHEN date < DATE '1999-06-01' THEN 'stop' ELSE 'test' END AS part FROM c WHERE month <= DATE '1999-06-01' AND date >= DATE '1995-01-01')
+  SELECT {_IDS}, part, {FEATURE_SQL.format(p='h', x='')} FROM q c {lookups("CASE WHEN part = 'test' THEN 5 ELSE CAST(dayofyear(c.date) % 5 AS INTEGER) END")} WHERE date >= DATE '1999-04-01'""")
+def ds_06(spark, sf_dir):
+    out = datasets.rolling_dataset(rows(spark, sf_dir), "1999-06-01", SETUP).filter("date >= DATE '1999-04-01'")
+    return rounded(out.select("journey_id", "seq", "y", "date", "part", *history.FEATURES))
+
+
+_SAMPLE = "((bucket < 20 AND date <= DATE '1999-12-31') OR (bucket < 25 AND date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'))"
+_OTHER_DAY = "CASE WHEN isodow(date) = 7 OR date IN (DATE '1996-02-05', DATE '1997-07-04', DATE '1998-12-24') THEN 2 WHEN isodow(date) = 6 THEN 1 ELSE 0 END"
+_SAMPLED_P1 = _P1.replace("FROM c,", "FROM s,").replace("c.*", "s.*")
+
+
+@query("ds_07", f"""WITH {DAILY}, a AS (SELECT * REPLACE ({_OTHER_DAY} AS daytype) FROM c), s AS (SELECT * FROM a WHERE {_SAMPLE}), {tables_sql(_SAMPLED_P1)}
+  SELECT {_IDS}, c.daytype, {FEATURE_SQL.format(p='h', x='')}, CAST(greatest(0, (year(c.date) - 1999) * 12 + month(c.date) - 12) AS INTEGER) AS hist_age_months FROM a c {lookups('5')} WHERE bucket < 25 AND date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""")
+def ds_07(spark, sf_dir):
+    out = datasets.variant(rows(spark, sf_dir), SETUP, "valid", ["1996-02-05", "1997-07-04", "1998-12-24"], all_rows=False, aged=True)
+    return rounded(out.select("journey_id", "seq", "y", "date", "daytype", *history.FEATURES, "hist_age_months"))
+
+
+_PAST_COUNT = "SELECT hkey, line, stop, direction, hour, daytype, count(*) AS hist_n_lsdhd FROM {} GROUP BY ALL"
+
+
+@query("ds_08", f"""WITH {DAILY}, {_PERIODS}, {tables_sql(PAST_ROWS)}, n AS ({_PAST_COUNT.format(PAST_ROWS)}) SELECT {_IDS}, {FEATURE_SQL.format(p='h', x='')}, n.hist_n_lsdhd FROM c {lookups('c.month')}
+  LEFT JOIN n ON n.hkey = c.month AND n.line = c.line AND n.stop = c.stop AND n.direction = c.direction AND n.hour = c.hour AND n.daytype = c.daytype WHERE bucket < 25 AND date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""")
+def ds_08(spark, sf_dir):
+    out = datasets.variant(rows(spark, sf_dir), SETUP, "valid", scheme="month", counted=True)
+    return rounded(out.select("journey_id", "seq", "y", "date", *history.FEATURES, "hist_n_lsdhd"))
+
+

@@ -1 +1,333 @@
-"""Queries."""
+"""EV, WIN-11..13, SORT, JN-15, DS-10: evaluation of stand-in predictions on the daily visits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import binned
+from ..operators import evaluate as ev
+from ..operators import history
+from ..plans import browse, datasets
+from .base import DAILY, daily, query, rounded
+from .history_queries import _PERIODS, BASELINE, MONTHS, PAST_ROWS, lookups, tables_sql
+
+#: Predictions: median of line, stop and direction; mean of line and hour; both from before 2000.
+P = f"""{DAILY}, bl AS (SELECT line, stop, direction, median(y) AS baseline FROM c WHERE date < DATE '2000-01-01' GROUP BY ALL), gm AS (SELECT line, hour, round(avg(y)) AS pred FROM c WHERE date < DATE '2000-01-01' GROUP BY ALL),
+ d0 AS (SELECT c.*, baseline, pred, baseline + CAST((seq * 37 + minute_of_day) % 41 - 20 AS DOUBLE) AS rt FROM c JOIN bl USING (line, stop, direction) JOIN gm USING (line, hour) WHERE date >= DATE '2000-01-01'),
+ p AS (SELECT * FROM d0 WHERE date >= DATE '2001-01-01'), va AS (SELECT * FROM d0 WHERE date < DATE '2001-01-01')"""
+
+
+def both(spark, sf_dir) -> DataFrame:
+    rows = daily(spark, sf_dir)
+    old = rows.filter("date < DATE '2000-01-01'")
+    b = old.groupBy("line", "stop", "direction").agg(F.median("y").alias("baseline"))
+    g = old.groupBy("line", "hour").agg(F.round(F.avg("y")).alias("pred"))
+    d = rows.filter("date >= DATE '2000-01-01'").join(b, ["line", "stop", "direction"]).join(g, ["line", "hour"])
+    return d.withColumn("rt", F.col("baseline") + ((F.col("seq") * 37 + F.col("minute_of_day")) % 41 - 20).cast("double"))
+
+
+def test(spark, sf_dir):
+    return both(spark, sf_dir).filter("date >= DATE '2001-01-01'")
+
+
+def valid(spark, sf_dir):
+    return both(spark, sf_dir).filter("date < DATE '2001-01-01'")
+
+
+METHODS = ["baseline", "pred", "rt"]
+LONG = "lg AS (" + " UNION ALL ".join(f"SELECT p.*, '{m}' AS method, CAST({m} AS DOUBLE) AS e_pred FROM p" for m in METHODS) + ")"
+
+
+def metric_sql(pred: str) -> str:
+    return f"round(avg(abs({pred} - y)), 6) AS mae_s, round(sqrt(avg(({pred} - y) * ({pred} - y))), 6) AS rmse_s, round(avg(CAST(abs({pred} - y) <= 60 AS INT)) * 100, 6) AS within_1min_pct, round(avg(CAST(abs({pred} - y) <= 120 AS INT)) * 100, 6) AS within_2min_pct"
+
+
+@query("ev_01", f"WITH {DAILY}, {_PERIODS}, {tables_sql(PAST_ROWS)}, s AS (SELECT c.*, {BASELINE.format(p='h')} AS pred FROM c {lookups('c.month')} WHERE month >= DATE '1996-01-01') SELECT month, count(*) AS n_rows, {metric_sql('pred')} FROM s GROUP BY month")
+def ev_01(spark, sf_dir):
+    """The flagship: how good is the historical median, month by month?"""
+    rows = daily(spark, sf_dir)
+    judged = history.expanding(rows, MONTHS).baseline(rows.filter("month >= DATE '1996-01-01'"), F.col("month"), "pred")
+    return rounded(judged.groupBy("month").agg(F.count("*").alias("n_rows"), *ev.error_metrics()))
+
+
+@query("ev_02", f"WITH {P}, {LONG} SELECT hour, method, {metric_sql('e_pred')} FROM lg GROUP BY hour, method")
+def ev_02(spark, sf_dir):
+    return rounded(ev.metrics_by_method(test(spark, sf_dir), METHODS, "hour"))
+
+
+@query("ev_02_pivot", f"WITH {P}, {LONG} SELECT method, " + ", ".join(f"round(avg(abs(e_pred - y)) FILTER (WHERE line = 'L{i}'), 6) AS \"L{i}\"" for i in range(4)) + " FROM lg GROUP BY method")
+def ev_02_pivot(spark, sf_dir):
+    return rounded(ev.pivoted_mae(test(spark, sf_dir), METHODS, "line", ["L0", "L1", "L2", "L3"]))
+
+
+@query("ev_03")
+def ev_03(spark, sf_dir):
+    t = test(spark, sf_dir)
+    pairs = [("pred", "baseline"), ("rt", "baseline")]
+    return ev.mae_gain(t, pairs).withColumn("block", F.lit("day")).unionByName(ev.mae_gain(t, pairs, "week").withColumn("block", F.lit("week")))
+
+
+@query("ev_03_blocks", f"WITH {P} SELECT CAST(date_trunc('week', date) AS DATE) AS block, sum(abs(pred - y)) AS em, sum(abs(baseline - y)) AS eb, count(*) AS n, count(DISTINCT date) AS days FROM p GROUP BY 1")
+def ev_03_blocks(spark, sf_dir):
+    return ev.block_sums(test(spark, sf_dir), "pred", "baseline", "week")
+
+
+@query("ev_04")
+def ev_04(spark, sf_dir):
+    return ev.mae_gain(test(spark, sf_dir), [("pred", "baseline")], absolute=True)
+
+
+_GRID = "(SELECT CAST(unnest([{v}]) AS DOUBLE) AS {n})"
+
+
+@query("ev_05", f"WITH {P}, g AS (SELECT w, avg(abs(baseline + (pred - baseline) * w - y)) AS mae_s FROM va, {_GRID.format(v=', '.join(map(str, ev.BLEND_WEIGHTS)), n='w')} GROUP BY w) SELECT w, round(mae_s, 6) AS mae_s FROM g ORDER BY round(mae_s, 9), w LIMIT 1")
+def ev_05(spark, sf_dir):
+    return rounded(ev.best_of(ev.blend_search(valid(spark, sf_dir)), "w"))
+
+
+@query("ev_05_months", f"WITH {P}, g AS (SELECT month, w, avg(abs(baseline + (pred - baseline) * w - y)) AS mae_s FROM va, {_GRID.format(v=', '.join(map(str, ev.BLEND_WEIGHTS)), n='w')} GROUP BY month, w) SELECT month, w, round(mae_s, 6) AS mae_s FROM g QUALIFY row_number() OVER (PARTITION BY month ORDER BY round(mae_s, 9), w) = 1")
+def ev_05_months(spark, sf_dir):
+    return rounded(ev.best_of(ev.blend_search(valid(spark, sf_dir), "pred", "baseline", "month"), "w", "month"))
+
+
+_DEV = "dv AS (SELECT line, date, round(avg(y - baseline)) AS dev FROM va WHERE hour < 12 GROUP BY line, date), vd AS (SELECT va.*, dev FROM va LEFT JOIN dv USING (line, date))"
+
+
+def _deviating(spark, sf_dir):
+    v = valid(spark, sf_dir)
+    d = v.filter("hour < 12").groupBy("line", "date").agg(F.round(F.avg(F.col("y") - F.col("baseline"))).alias("dev"))
+    return v.join(d, ["line", "date"], "left")
+
+
+@query("ev_06", f"WITH {P}, {_DEV}, ty AS (SELECT median(dev) AS typical FROM vd) SELECT k, round(avg(abs(baseline + (coalesce(dev, typical) - typical) * k - y)), 6) AS mae_s FROM vd, ty, {_GRID.format(v=', '.join(map(str, ev.RULE_STRENGTHS)), n='k')} GROUP BY k")
+def ev_06(spark, sf_dir):
+    return rounded(ev.rule_search(_deviating(spark, sf_dir), "dev"))
+
+
+@query("sort_06", f"WITH {P}, {_DEV}, ty AS (SELECT median(dev) AS typical FROM vd), g AS (SELECT k, avg(abs(baseline + (coalesce(dev, typical) - typical) * k - y)) AS mae_s FROM vd, ty, {_GRID.format(v=', '.join(map(str, ev.RULE_STRENGTHS)), n='k')} GROUP BY k) SELECT k, round(mae_s, 6) AS mae_s FROM g ORDER BY round(mae_s, 9), k LIMIT 1")
+def sort_06(spark, sf_dir):
+    return rounded(ev.best_of(ev.rule_search(_deviating(spark, sf_dir), "dev"), "k"))
+
+
+_ORACLE = " UNION ALL ".join(f"SELECT '{level}' AS level, round(avg(abs(e - m)), 6) AS mae_s FROM (SELECT e, {'0' if not keys else 'median(e) OVER (PARTITION BY ' + ', '.join(keys) + ')'} AS m FROM (SELECT *, y - pred AS e FROM p))" for level, keys in ev.ORACLE_LEVELS.items())
+
+
+@query("ev_07", f"WITH {P} {_ORACLE}")
+def ev_07(spark, sf_dir):
+    return rounded(ev.oracle_bounds(test(spark, sf_dir)))
+
+
+@query("win_11", f"WITH {P} SELECT journey_id, seq, median(y - pred) OVER (PARTITION BY line, direction, date, hour) AS group_error FROM p")
+def win_11(spark, sf_dir):
+    t = test(spark, sf_dir).withColumn("e", F.col("y") - F.col("pred"))
+    g = t.groupBy("line", "direction", "date", "hour").agg(F.median("e").alias("group_error"))
+    return t.join(g, ["line", "direction", "date", "hour"]).select("journey_id", "seq", "group_error")
+
+
+_SINCE = "CASE WHEN seq <= 2 THEN 'first' WHEN seq <= 4 THEN 'middle' ELSE 'late' END"
+
+
+@query("ev_08", f"WITH {P} SELECT {_SINCE} AS bin, " + ", ".join(f"round((1 - sum(abs(pred - y)) FILTER (WHERE line = 'L{i}') / sum(abs(baseline - y)) FILTER (WHERE line = 'L{i}')) * 100, 6) AS \"L{i}\"" for i in range(4)) + " FROM p GROUP BY 1")
+def ev_08(spark, sf_dir):
+    t = test(spark, sf_dir).withColumn("bin", binned("seq", [0, 2, 4, float("inf")], ["first", "middle", "late"]))
+    return rounded(t.groupBy("bin").pivot("line", ["L0", "L1", "L2", "L3"]).agg(ev.gain_pct("pred", "baseline")))
+
+
+_AUC = "r AS (SELECT y > 180 AS late, rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0 AS rk FROM p)"
+
+
+@query("ev_09", f"WITH {P}, {_AUC.format(s='rt')} SELECT round((sum(rk) FILTER (WHERE late) - count(*) FILTER (WHERE late) * (count(*) FILTER (WHERE late) + 1) / 2.0) / (count(*) FILTER (WHERE late) * count(*) FILTER (WHERE NOT late)), 6) AS auc FROM r")
+def ev_09(spark, sf_dir):
+    return rounded(ev.auc(test(spark, sf_dir), "rt", F.col("y") > 180))
+
+
+@query("win_12", f"WITH {P} SELECT DISTINCT rt, CAST(rank() OVER (ORDER BY rt) + (count(*) OVER (PARTITION BY rt) - 1) / 2.0 AS DOUBLE) AS rank FROM p")
+def win_12(spark, sf_dir):
+    per = test(spark, sf_dir).groupBy("rt").agg(F.count("*").alias("n"))
+    w = Window.orderBy("rt").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct score of a small range
+    return per.select("rt", (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).cast("double").alias("rank"))
+
+
+@query("ev_10")
+def ev_10(spark, sf_dir):
+    v, t = valid(spark, sf_dir), test(spark, sf_dir)
+    ab = ev.fit_logistic(v, F.col("rt") / 60, F.col("y") > 180)
+    return rounded(ev.brier(t.withColumn("p", ev.probability(ab, F.col("rt") / 60)), "p", F.col("y") > 180).withColumns({"a": F.lit(ab[0]), "b": F.lit(ab[1])}))
+
+
+_PROB = "pr AS (SELECT *, 1 / (1 + exp(-(rt - 1500) / 600)) AS pp, CAST(y > 1500 AS INT) AS late FROM p)"
+
+
+def _probabilities(spark, sf_dir):
+    return test(spark, sf_dir).withColumn("pp", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("rt") - 1500) / 600)))
+
+
+@query("ev_11", f"WITH {P}, {_PROB}, b AS (SELECT avg((pp - late) * (pp - late)) AS brier, avg(late) AS rate FROM pr) SELECT round(brier, 6) AS brier, round(rate, 6) AS rate, round(1 - brier / (rate * (1 - rate)), 6) AS skill FROM b")
+def ev_11(spark, sf_dir):
+    return rounded(ev.brier(_probabilities(spark, sf_dir), "pp", F.col("y") > 1500))
+
+
+_Q = ", ".join(str(i / 10) for i in range(11))
+_EDGES = f"e0 AS (SELECT list_sort(list_distinct(quantile_cont(rt, [{_Q}]))) AS e FROM va), ed AS (SELECT e[2:len(e) - 1] AS edges FROM e0)"
+_BIN = "CAST(len(list_filter(edges, lambda x: x <= rt)) AS INTEGER)"
+_INTERVALS = f"iv AS (SELECT {_BIN} AS bin, quantile_cont(y - rt, 0.1) AS lo, quantile_cont(y - rt, 0.9) AS hi FROM va, ed GROUP BY 1)"
+
+
+@query("ev_12", f"WITH {P}, {_EDGES}, {_INTERVALS} SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi FROM iv")
+def ev_12(spark, sf_dir):
+    return rounded(ev.interval_table(valid(spark, sf_dir), "rt"))
+
+
+@query("ev_13", f"WITH {P}, {_EDGES}, {_INTERVALS}, x AS (SELECT p.*, {_BIN} AS bin FROM p, ed), z AS (SELECT month, y, rt + lo AS low, rt + hi AS high FROM x JOIN iv USING (bin)) SELECT month, round(avg(CAST(y >= low AND y <= high AS INT)) * 100, 6) AS coverage_pct, round(median(high - low), 6) AS median_width_s FROM z GROUP BY month")
+def ev_13(spark, sf_dir):
+    return rounded(ev.coverage(ev.with_interval(test(spark, sf_dir), valid(spark, sf_dir), "rt"), "month"))
+
+
+_PER_DAY = "pd AS (SELECT date, count(*) AS n, avg(y) AS mean_delay_s, avg(abs(baseline - y)) AS mae_baseline, avg(abs(pred - y)) AS mae_pred, avg(abs(rt - y)) AS mae_rt FROM p GROUP BY date)"
+
+
+@query("ev_14", f"WITH {P}, {_PER_DAY} SELECT date, n, round(mean_delay_s, 6) AS mean_delay_s, round(mae_baseline, 6) AS mae_baseline, round(mae_pred, 6) AS mae_pred, round(mae_rt, 6) AS mae_rt FROM pd")
+def ev_14(spark, sf_dir):
+    return rounded(ev.per_day(test(spark, sf_dir), METHODS))
+
+
+@query("sort_03", f"WITH {P}, {_PER_DAY}, z AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY mae_baseline DESC, date) <= 10 THEN 'worst' ELSE 'other' END AS part FROM pd) SELECT part, count(*) AS days, round(avg(mae_baseline - mae_rt), 6) AS mean_gain_s, count(*) FILTER (WHERE mae_baseline > mae_rt) AS days_better FROM z GROUP BY part")
+def sort_03(spark, sf_dir):
+    return rounded(ev.worst_days(ev.per_day(test(spark, sf_dir), METHODS), "mae_rt", "mae_baseline"))
+
+
+@query("ev_15", f"WITH {P}, {_PROB}, e0 AS (SELECT list_sort(list_distinct(quantile_cont(pp, [{_Q}]))) AS e FROM pr), ed AS (SELECT e[2:len(e) - 1] AS edges FROM e0) SELECT CAST(len(list_filter(edges, lambda x: x <= pp)) AS INTEGER) AS bin, count(*) AS n, round(avg(pp), 6) AS mean_p, round(avg(late), 6) AS observed FROM pr, ed GROUP BY 1")
+def ev_15(spark, sf_dir):
+    return rounded(ev.calibration_curve(_probabilities(spark, sf_dir), "pp", F.col("y") > 1500))
+
+
+_MONTHLY = "mo AS (SELECT month, count(*) AS n, avg(abs(pred - y)) AS mae_model, avg(abs(baseline - y)) AS mae_base FROM p GROUP BY month)"
+
+
+@query("ev_16", f"WITH {P}, {_MONTHLY} SELECT count(*) AS months, count(*) FILTER (WHERE mae_model < mae_base) AS won, round((1 - sum(n * mae_model) / sum(n * mae_base)) * 100, 6) AS gain_pct FROM mo")
+def ev_16(spark, sf_dir):
+    m = test(spark, sf_dir).groupBy("month").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pred") - F.col("y"))).alias("m"), F.avg(F.abs(F.col("baseline") - F.col("y"))).alias("b"))
+    return rounded(m.agg(F.count("*").alias("months"), F.sum((F.col("m") < F.col("b")).cast("long")).alias("won"), ((1 - F.sum(F.col("n") * F.col("m")) / F.sum(F.col("n") * F.col("b"))) * 100).alias("gain_pct")))
+
+
+@query("ev_17", f"WITH {P}, {LONG}, x AS (SELECT month, method, avg(abs(e_pred - y)) AS mae FROM lg GROUP BY ALL) SELECT a.method, round(avg(a.mae), 6) AS mean_mae_s, round(avg(a.mae - b.mae), 6) AS against_baseline_s, count(*) FILTER (WHERE a.mae < b.mae) AS months_better FROM x a JOIN x b ON a.month = b.month AND b.method = 'baseline' GROUP BY a.method")
+def ev_17(spark, sf_dir):
+    x = ev.long_predictions(test(spark, sf_dir), ["y", "month"], METHODS).groupBy("month", "method").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))
+    b = x.filter("method = 'baseline'").select("month", F.col("mae").alias("base"))
+    g = x.join(b, "month").groupBy("method").agg(F.avg("mae").alias("mean_mae_s"), F.avg(F.col("mae") - F.col("base")).alias("against_baseline_s"), F.sum((F.col("mae") < F.col("base")).cast("long")).alias("months_better"))
+    return rounded(g)
+
+
+@query("ev_18", f"WITH {P}, {LONG} SELECT strftime(date, '%m-%d') AS day, method, {metric_sql('e_pred')} FROM lg WHERE strftime(date, '%m-%d') IN ('05-01', '05-17', '01-01') GROUP BY 1, 2")
+def ev_18(spark, sf_dir):
+    t = test(spark, sf_dir).withColumn("day", F.date_format("date", "MM-dd")).filter(F.col("day").isin("05-01", "05-17", "01-01"))
+    return rounded(ev.metrics_by_method(t, METHODS, "day"))
+
+
+@query("win_13", f"WITH {P}, {LONG}, x AS (SELECT method, avg(abs(e_pred - y)) AS mae FROM lg GROUP BY method) SELECT method, round(mae, 6) AS mae_s, round(mae - lag(mae) OVER (ORDER BY method), 6) AS step_s FROM x")
+def win_13(spark, sf_dir):
+    m = ev.metrics_by_method(test(spark, sf_dir), METHODS).select("method", "mae_s")
+    return rounded(m.withColumn("step_s", F.col("mae_s") - F.lag("mae_s").over(Window.orderBy("method"))))  # a row per method
+
+
+@query("ev_19", f"WITH {P}, {LONG} SELECT method, round(avg(abs(e_pred - y)) FILTER (WHERE hour < 12), 6) AS early_s, round(avg(abs(e_pred - y)) FILTER (WHERE hour >= 12), 6) AS late_s, round(avg(abs(e_pred - y)) FILTER (WHERE seq <= 2), 6) AS first_stops_s FROM lg GROUP BY method")
+def ev_19(spark, sf_dir):
+    lg = ev.long_predictions(test(spark, sf_dir), ["y", "hour", "seq"], METHODS).withColumn("e", F.abs(F.col("pred") - F.col("y")))
+    on = lambda c, n: F.avg(F.when(F.expr(c), F.col("e"))).alias(n)
+    return rounded(lg.groupBy("method").agg(on("hour < 12", "early_s"), on("hour >= 12", "late_s"), on("seq <= 2", "first_stops_s")))
+
+
+@query("ev_20")
+def ev_20(spark, sf_dir):
+    t, out = test(spark, sf_dir), None
+    base = t.agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae")).withColumn("one", F.lit(1))
+    for repeat in range(3):
+        s = ev.shuffled_column(t.select("journey_id", "seq", "y", "pred"), "pred", ["journey_id", "seq"], 10 + repeat).agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("shuffled"))
+        out = s if out is None else out.unionByName(s)
+    joined = out.withColumn("one", F.lit(1)).join(base, "one")
+    return rounded(joined.agg(F.lit("pred").alias("feature"), F.avg(F.col("shuffled") - F.col("mae")).alias("mean_increase_s"), F.stddev_pop(F.col("shuffled") - F.col("mae")).alias("sd_s")))
+
+
+@query("ev_22")
+def ev_22(spark, sf_dir):
+    t = test(spark, sf_dir)
+    return ev.row_checksum(t, sorted(t.columns))
+
+
+@query("ev_23", f"WITH {P}, {LONG}, z AS (SELECT avg(abs(baseline - y)) AS b FROM p) SELECT method, {metric_sql('e_pred')}, round((1 - avg(abs(e_pred - y)) / any_value(b)) * 100, 6) AS gain_pct FROM lg, z GROUP BY method")
+def ev_23(spark, sf_dir):
+    t = test(spark, sf_dir)
+    m = ev.metrics_by_method(t, METHODS)
+    b = t.agg(F.avg(F.abs(F.col("baseline") - F.col("y"))).alias("b"))
+    return rounded(m.crossJoin(F.broadcast(b)).withColumn("gain_pct", (1 - F.col("mae_s") / F.col("b")) * 100).drop("b"))
+
+
+@query("ev_23_intervals")
+def ev_23_intervals(spark, sf_dir):
+    """Each method's gain over the baseline with its interval, days and weeks as blocks."""
+    t = test(spark, sf_dir)
+    parts = [ev.mae_gain(t, [(m, "baseline") for m in METHODS[1:]], b).withColumn("block", F.lit(b)) for b in ("day", "week")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("jn_15", f"WITH {P} SELECT count(*) AS n_rows, count(*) FILTER (WHERE hour >= 12) AS unmatched FROM p")
+def jn_15(spark, sf_dir):
+    t = test(spark, sf_dir)
+    _, check = ev.checked_join(t.select("journey_id", "seq", "pred"), t.filter("hour < 12").select("journey_id", "seq", "rt"), ["journey_id", "seq"])
+    return check
+
+
+@query("sort_01", f"WITH {P} SELECT journey_id, seq, date, row_number() OVER (PARTITION BY date ORDER BY journey_id, seq) AS place FROM p")
+def sort_01(spark, sf_dir):
+    w = Window.partitionBy("date").orderBy("journey_id", "seq")
+    return test(spark, sf_dir).select("journey_id", "seq", "date", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("sort_02", f"WITH {P} SELECT journey_id, seq FROM p ORDER BY md5(concat_ws('|', journey_id, CAST(seq AS VARCHAR), '7')), journey_id, seq LIMIT 500")
+def sort_02(spark, sf_dir):
+    return datasets.fixed_sample(test(spark, sf_dir), 500, ["journey_id", "seq"], 7).select("journey_id", "seq")
+
+
+def _named(spark, sf_dir):
+    t = test(spark, sf_dir)
+    j = Window.partitionBy("journey_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return t.withColumns({"origin_name": F.first("stop").over(j), "dest_name": F.last("stop").over(j), "trip_start_min": F.first("minute_of_day").over(j)})
+
+
+_TRIPS = "tp AS (SELECT journey_id, arg_min(line, seq) AS line, arg_min(direction, seq) AS direction, arg_min(date, seq) AS date, arg_min(minute_of_day, seq) AS trip_start_min, arg_min(stop, seq) AS origin_name, arg_max(stop, seq) AS dest_name, avg(y) AS mean_y FROM p GROUP BY journey_id)"
+
+
+@query("sort_04", f"WITH {P}, {_TRIPS} SELECT line, direction, date, journey_id, round(mean_y, 6) AS mean_y FROM tp WHERE trip_start_min >= 840 AND trip_start_min < 1020 QUALIFY row_number() OVER (PARTITION BY line, direction, date ORDER BY mean_y DESC, journey_id) = 1")
+def sort_04(spark, sf_dir):
+    return rounded(browse.worst_rush_trip(browse.trip_table(_named(spark, sf_dir)), start=840).select("line", "direction", "date", "journey_id", "mean_y"))
+
+
+@query("ds_10", f"WITH {P}, {_TRIPS} SELECT * REPLACE (round(mean_y, 6) AS mean_y) FROM tp")
+def ds_10(spark, sf_dir):
+    return rounded(browse.trip_table(_named(spark, sf_dir)))
+
+
+@query("ds_10_profile", f"WITH {P} SELECT line, direction, CAST(minute_of_day // 60 AS INTEGER) AS time, round(median(y) / 60, 6) AS y_min, round(median(CASE WHEN seq % 2 = 0 THEN rt ELSE pred END) / 60, 6) AS pred_min, round(median(baseline) / 60, 6) AS baseline_min FROM p GROUP BY ALL")
+def ds_10_profile(spark, sf_dir):
+    t = test(spark, sf_dir)
+    live = t.filter("seq % 2 = 0").select("journey_id", "seq", F.lit(30).alias("lead_min"), F.col("rt").alias("pred_rt"))
+    return rounded(browse.hourly_profile(t, live, 30))
+
+
+@query("ds_10_destination", f"WITH {P}, {_TRIPS} SELECT line, direction, dest_name FROM (SELECT line, direction, dest_name, count(*) AS n FROM tp GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY line, direction ORDER BY n DESC, dest_name) = 1")
+def ds_10_destination(spark, sf_dir):
+    return browse.usual_destination(browse.trip_table(_named(spark, sf_dir)))
+
+
+@query("ds_10_errors", f"WITH {P} SELECT journey_id, round(avg(abs(pred - y)), 6) AS mae_model, round(avg(abs(baseline - y)), 6) AS mae_base FROM p GROUP BY journey_id")
+def ds_10_errors(spark, sf_dir):
+    return rounded(browse.trip_errors(test(spark, sf_dir)))
+
+
+_SERIES = " UNION ALL ".join(f"SELECT journey_id, seq, '{c}' AS series, round({c} / 60.0, 6) AS minutes, lpad(CAST(minute_of_day // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute_of_day % 60 AS VARCHAR), 2, '0') AS planned FROM p" for c in ("y", "pred", "baseline"))
+
+
+@query("ds_10_series", f"WITH {P} {_SERIES}")
+def ds_10_series(spark, sf_dir):
+    return rounded(browse.trip_series(test(spark, sf_dir)).drop("shown"))

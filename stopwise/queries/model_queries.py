@@ -1 +1,66 @@
-"""Queries."""
+"""ML-01..05: boosted trees on a small train and valid set (no SQL: tree ensembles)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as ev
+from ..operators import history
+from ..plans import datasets, model
+from ..sources import adapters
+from .base import daily, query, rounded
+
+SETUP = adapters.DAILY
+NUMBERS = ["seq", "hour", "daytype", "minute_of_day", *history.FEATURES]
+
+
+def _sets(spark, sf_dir):
+    """Train and valid rows with leave-fold-out history and a baseline; whole trips of the splits' samples."""
+    rows = daily(spark, sf_dir)
+    h = history.leave_fold_out(rows, SETUP.data_start, SETUP.train.end)
+    from ..functions.scalars import fold
+
+    train = h.features(datasets.sampled(rows, SETUP, "train"), fold("date", "day", SETUP.data_start))
+    valid = h.features(datasets.sampled(rows, SETUP, "valid"), F.lit(5))
+    return [h.baseline(x, F.lit(5)).cache() for x in (train, valid)]
+
+
+def _scores(df, *methods):
+    return rounded(ev.metrics_by_method(df, methods), 3)
+
+
+@query("ml_01")
+def ml_01(spark, sf_dir):
+    train, valid = _sets(spark, sf_dir)
+    m = model.fit_and_refit(train, valid, train, NUMBERS, rounds=5, depth=3)
+    return _scores(model.predict(m, valid, numbers=NUMBERS), "pred", "baseline")
+
+
+@query("ml_02")
+def ml_02(spark, sf_dir):
+    train, valid = _sets(spark, sf_dir)
+    fitted = model.Pipeline(stages=model.stages(NUMBERS)).fit(train)
+    return fitted.transform(valid).groupBy("line").agg(F.countDistinct("_i_line").alias("indices"), F.count("_features").alias("n_rows"))
+
+
+@query("ml_03")
+def ml_03(spark, sf_dir):
+    train, valid = _sets(spark, sf_dir)
+    models = [model.fit_trees(train, None, NUMBERS, seed=s, rounds=3, depth=3) for s in (0, 1)]
+    return _scores(model.seed_average(models, valid, NUMBERS), "pred", "baseline")
+
+
+@query("ml_04")
+def ml_04(spark, sf_dir):
+    train, valid = _sets(spark, sf_dir)
+    m = model.fit_trees(model.residual(train), None, NUMBERS, label="residual", rounds=3, depth=3)
+    out = model.predict(m, valid, "r", NUMBERS).withColumn("pred", F.col("baseline") + F.col("r"))
+    return _scores(out, "pred", "baseline")
+
+
+@query("ml_05")
+def ml_05(spark, sf_dir):
+    train, valid = _sets(spark, sf_dir)
+    fewer = [c for c in NUMBERS if not c.startswith("hist_")]
+    m = model.fit_trees(train, None, fewer, rounds=3, depth=3)
+    return _scores(model.predict(m, valid, numbers=fewer), "pred", "baseline")
