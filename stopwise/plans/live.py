@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clipped, minutes_between, plus_minutes, plus_seconds, random_lead, seconds_between
 from ..operators.asof import asof_join, bucket_sums, latest_per, running_sums, windowed_sums
 from ..operators.trips import at_lowest
+from ..sources.scratch import stored
 from ..schema import DEVIATION_RANGE, GROWTH_RANGE, Setup
 from .datasets import Histories, sampled
 
@@ -133,14 +134,15 @@ def along_trip(rows: DataFrame) -> DataFrame:
 def live_dataset(visits: DataFrame, rows: DataFrame, plan: DataFrame, histories: Histories, split: str, any_line: bool = False) -> DataFrame:
     """One of the real-time sets: static and history columns, lead, horizon and everything known at T."""
     setup = histories.setup
-    times = trip_times(visits, plan)
-    obs = observations(rows, times, histories.past)
+    times = stored(trip_times(visits, plan))
+    obs = stored(observations(rows, times, histories.past))
     base = rows.drop("stop_name", "origin_name", "dest_name")
-    q = query_rows(base, times, setup, split)
+    q = stored(query_rows(base, times, setup, split))
     static = histories.past.baseline(q, F.col("month"))
     for h, key, prefix in histories.plan(split):
         static = h.features(static, key, prefix)
-    out = static.join(stop_features(q, obs), [*TRIP, "seq"]).join(trip_features(q, obs, times, setup, any_line), TRIP)
+    per_stop, per_trip = stored(stop_features(q, obs)), stored(trip_features(q, obs, times, setup, any_line))
+    out = static.join(per_stop, [*TRIP, "seq"]).join(per_trip, TRIP)
     out = along_trip(out).withColumn("horizon_min", F.col("lead_min") + F.col("sched_min_from_start"))
     drop = ["month", "bucket", "T", "trip_start_ts", "origin_stopname", "prev_stop"] + ([] if split == "test" else ["journey_id"])
     return out.drop(*drop)

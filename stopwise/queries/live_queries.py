@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, trips
 from ..plans import datasets, live
 from ..sources import adapters, io
-from ..sources.scratch import temp_folder
+from ..sources.scratch import stored, temp_folder
 from ..streaming import feed
 from .base import bucket_sql, query, rounded
 from .history_queries import BASELINE, FEATURE_SQL, FOLD_ROWS, lookups, tables_sql
-from .trip_queries import CLEAN, clean_live, visits
+from .trip_queries import CLEAN, visits
 
 SETUP = adapters.LIVE
 _PAST = "m AS (SELECT DATE '2024-01-01' AS hkey)"
@@ -23,11 +25,24 @@ class _World:
     leave-fold-out key 5, known for every row, except where a query asks for the month's past."""
 
     def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
         self.visits = visits(spark, sf_dir)
-        self.plan = trips.trip_plan(self.visits)
-        self.rows = datasets.clean(self.visits, self.plan, io.prepare_weather(adapters.weather(spark, sf_dir)))
-        self.times = live.trip_times(self.visits, self.plan)
-        self.obs = live.observations(self.rows, self.times, _Whole(self.rows))
+
+    @cached_property
+    def plan(self):
+        return stored(trips.trip_plan(self.visits))
+
+    @cached_property
+    def rows(self):
+        return stored(datasets.clean(self.visits, self.plan, io.prepare_weather(adapters.weather(self.spark, self.sf_dir))))
+
+    @cached_property
+    def times(self):
+        return stored(live.trip_times(self.visits, self.plan))
+
+    @cached_property
+    def obs(self):
+        return stored(live.observations(self.rows, self.times, _Whole(self.rows)))
 
 
 class _Whole:

@@ -5,10 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def temp_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; a local one only where the session names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/stopwise-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: computed once, with a short plan, and there still if an executor is lost."""
+    path = temp_folder(df.sparkSession) + "/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
