@@ -1,0 +1,328 @@
+"""Each operator against a brute-force version, on rows with every awkward case, and on an empty table."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import tokenizers
+
+from stopwise.llm import exact, htmltext, langid, minhash, mixing, packing, sharding, substring, tokencount, tokenizer, topk
+from stopwise.llm.components import components
+from stopwise.llm.queries import tokenizer_path
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def test_mixing(spark, docs, rows, empty):
+    got = mixing.mix(docs).select("doc_id", "source", "mix.*").collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        assert r["size"] * 3 >= r["taken"] >= 0
+        by[r["source"]].append(r)
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((r[0] or 0, len(words(r[1]))) for r in rows)
+    names = sorted((s for s in by if s is not None)) + [None]
+    sizes = [sum(r["size"] for r in by[s]) for s in names]
+    want = mixing.targets(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])
+    for s, t in zip(names, want):
+        assert by[s][0]["target"] == pytest.approx(t)
+        assert abs(sum(r["taken"] for r in by[s]) - t) <= 0.02 * t + 2
+    again = mixing.mix(docs.repartition(3)).select("doc_id", "source", "mix.taken")
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixing.mix(docs).select("doc_id", "source", "mix.taken").collect()))
+    mixed = mixing.mixed_documents(docs.select("doc_id", "text", "source"))
+    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_quotas_equal_seat_by_seat():
+    shares, limits, seats = [53.5, 24.0, 23.0, 10.1, 0.0, 2.2], [40, 40, 12, 40, 5, 1], 97
+    got = [0] * 6
+    for _ in range(seats):
+        i = max((i for i in range(6) if got[i] < limits[i] and shares[i] > 0), key=lambda i: shares[i] / (2 * got[i] + 1))
+        got[i] += 1
+    assert mixing.quotas(shares, seats, limits) == got
+
+
+def test_language(spark, docs, empty):
+    import duckdb
+
+    d = duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    df = spark.createDataFrame(d, "doc_id long, text string, lang string")
+    got = langid.identify_held_out(df).collect()
+    lang = {r[0]: r[2] for r in d}
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
+    model = langid.train(docs)
+    odd = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert [odd[i]["lang_pred"] for i in (3, 4, 5, 18)] == ["und"] * 4 and odd[6]["lang_pred"] != "und" and odd[4]["kept"] == "clash"
+    assert langid.identify(empty, langid.train(empty)).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(docs.filter("doc_id in (3, 4)"), model).collect()} == {"und"}
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tokenizers.Tokenizer.from_file(tokenizer_path())
+
+
+def test_token_counts(docs, rows, empty, library):
+    got = tokencount.token_counts(docs, tokenizer_path(), limit=3).collect()
+    want = Counter((r[0], len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 3) for r in got)
+    assert tokencount.token_counts(empty, tokenizer_path()).count() == 0
+
+
+def test_transducers_equal_the_library_on_random_text(library):
+    rnd = np.random.default_rng(2)
+    letters = list("ab '’srtvmdle\n\t 1é!?北<|>   ́") + ["<|endoftext|>", "'re", "    "]
+    texts = ["".join(rnd.choice(letters, size=rnd.integers(0, 300))) for _ in range(400)] + ["y" * 3000, "", " "]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert tokenizer.count_tokens(texts, tokenizer_path()).tolist() == [len(x) for x in want]
+    got = []
+    for _, ids, n in tokenizer.encode(texts, tokenizer_path()):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == want
+
+
+def test_chunk_maps_compose_to_the_sequential_run():
+    rnd = np.random.default_rng(4)
+    classes = rnd.integers(0, 15, size=40 * tokenizer.CHUNK).astype(np.uint8)
+    table, s, want = tokenizer.pretoken_table(), 0, []
+    for i, c in enumerate(classes):
+        s = table[(s & 15) * 16 + c]
+        want.append(s & 15)
+    maps = tokenizer.scan_maps(tokenizer.chunk_maps(np.ascontiguousarray(classes.reshape(-1, tokenizer.CHUNK).T)))
+    assert maps[:, 0].tolist() == want[tokenizer.CHUNK - 1 :: tokenizer.CHUNK]
+
+
+def brute_repeats(rows, w):
+    seen = Counter(tuple(x[i : i + w]) for x in (words(r[1]) for r in rows) for i in range(len(x) - w + 1))
+    out = []
+    for r in rows:
+        x, gone = words(r[1]), set()
+        for i in range(len(x) - w + 1):
+            if seen[tuple(x[i : i + w])] > 1:
+                gone |= set(range(i, i + w))
+        out.append((r[0], len(x), len(gone), hashlib.sha256(" ".join(a for i, a in enumerate(x) if i not in gone).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("window", [35, 22])
+def test_substring(docs, rows, empty, window):
+    got = substring.remove_repeats(docs, window).collect()
+    mine = Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got)
+    assert mine == Counter(brute_repeats(rows, window))
+    assert sum(r["n_removed"] for r in got) > 0 and all(sum(s["end"] - s["start"] for s in r["removed"]) == r["n_removed"] for r in got)
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_difference_cover():
+    diffs = {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}
+    assert diffs == set(range(substring.PERIOD))
+
+
+def test_packing(docs, rows, empty, library):
+    got = packing.pack(docs, tokenizer_path()).collect()
+    want = Counter()
+    for r in rows:
+        want[len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1] += 1
+    assert sum(r["length"] for r in got) == sum(k * n for k, n in want.items())
+    texts = {r[0]: np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4") for r in rows}
+    sequences = defaultdict(list)
+    for r in got:
+        piece = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(piece) == r["length"] and zlib.crc32(piece.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(texts[r["doc_id"]])
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(n for _, n in s) <= 1024
+    assert packing.pack(empty, tokenizer_path()).count() == 0
+
+
+def test_plan_leaves_little_room():
+    rnd = np.random.default_rng(0)
+    for lengths in (rnd.integers(1, 1024, 3000), np.full(3000, 700), np.full(2000, 768), rnd.integers(600, 1023, 3000)):
+        counts = dict(zip(*np.unique(lengths, return_counts=True)))
+        plan = packing.Plan({int(k): int(v) for k, v in counts.items()})
+        used = sum((hi - lo) // k * t for _, lo, hi, k, o, _, t in plan.slots if o == 0)
+        room = sum((hi - lo) // k * (0 if t & (t - 1) == 0 else 1024 - t) for _, lo, hi, k, o, _, t in plan.slots if o == 0)
+        assert used == lengths.sum() and room <= (0.01 if len(counts) > 1 else 0.03) * used
+
+
+def test_html(spark):
+    page = "<title>T</title><style>.x{display:none}</style><h1>Head</h1><p>One<p>Two<br>three &amp; four<div class=x>gone</div><ul><li>a<li>b<ol><li>c</ol></ul><table><tr><th>Name<th>Qty<tr><td>Apple<td>10</table><pre>  a\n   b</pre>1 < 2<script>x='</p>'</script><span hidden>no</span>"
+    want = "Head\n\nOne\n\nTwo\nthree & four\n\n- a\n- b\n  1. c\n\nName   Qty\nApple  10\n\n  a\n   b\n\n1 < 2"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, ""), (None, "<p>x"), (1, "<div" * 3 + ">y</b></table>z"), (5, "<div>" * 3000 + "deep")], "page_id long, html string")
+    got = {(r["page_id"], r["text"]) for r in htmltext.extract_text(pages).collect()}
+    assert {(1, want), (2, ""), (3, ""), (None, "x"), (5, "deep")} <= got and len(got) == 6
+    assert htmltext.extract_text(pages.limit(0)).count() == 0
+
+
+def test_html_words_of_pages():
+    import duckdb
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.skip, self.out = None, []
+
+        def handle_starttag(self, tag, attrs):
+            self.skip = tag if tag in ("script", "style", "title") else self.skip
+
+        def handle_endtag(self, tag):
+            self.skip = None if tag == self.skip else self.skip
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out.append(data)
+
+    for (html,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet' WHERE html IS NOT NULL").fetchall():
+        p = Plain()
+        p.feed(html)
+        p.close()
+        assert "".join(htmltext.visible_text(html).replace("\n- ", "\n").removeprefix("- ").split()) == "".join("".join(p.out).split())
+
+
+def test_exact(docs, rows, empty):
+    norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[norm(r[1])].append(r)
+    keep = {k: min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0))[0] for k, g in groups.items()}
+    got = exact.exact_groups(docs).collect()
+    want = Counter((r[0], keep[norm(r[1])], len(groups[norm(r[1])]), hashlib.sha256(norm(r[1]).encode()).hexdigest()) for r in rows)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in kept)
+    left = exact.dedup_exact(docs)
+    assert left.columns == docs.columns and left.count() == len(groups)
+    assert exact.exact_groups(empty).count() == 0 and exact.dedup_exact(empty).count() == 0
+
+
+def brute_near(rows, size):
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    sets = []
+    for r in rows:
+        x = words(low(r[1]))
+        sets.append(frozenset(tuple(x[i : i + size]) for i in range(max(1, len(x) - size + 1))) if x else frozenset())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(i)] = min(least.get(root(i), r[0]), r[0])
+    return Counter((r[0], len(sets[i]), least.get(root(i)) if sets[i] else r[0]) for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near(docs, rows, empty, size):
+    got = minhash.near_duplicates(docs, size).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(rows, size)
+    left = minhash.dedup_near(docs, size)
+    assert left.columns == docs.columns and left.count() == len({r["component_id"] for r in got})
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_near_in_a_family_around_the_threshold(spark):
+    rnd = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    made = []
+    for i in range(160):
+        x = list(base)
+        for p in rnd.choice(150, size=rnd.integers(1, 9), replace=False):
+            x[p] = f"e{i}_{p}"
+        made.append((1000 - i, " ".join(x)))
+    made += [(2000 + i, " ".join(base[:60] + [f"v{i}_{k}" for k in range(40)])) for i in range(60)]
+    got = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(made, 4)
+
+
+def test_components(spark):
+    rnd = np.random.default_rng(1)
+    links = [(int(a), int(b)) for a, b in rnd.integers(0, 400, size=(260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    parent = {x: x for p in links for x in p}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r["id"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for p in links if p[0] != p[1] for x in p}
+
+
+def test_shards(docs, rows, empty):
+    got = sharding.byte_shards(docs, 4).collect()
+    size = lambda r: len((r[1] or "").encode()) + 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], size(r), zlib.crc32((r[1] or "").encode())) for r in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(4))
+    assert sharding.byte_shards(empty).count() == 0
+
+
+def test_shards_are_even_and_keep_equal_texts_together(spark):
+    many = spark.range(4000).selectExpr("id as doc_id", "repeat('x', cast(id % 90 as int)) || (id div 2) as text").unionByName(spark.range(1500).selectExpr("id + 9000 as doc_id", "'the same text' as text"))
+    got = sharding.byte_shards(many, 16).toPandas()
+    total = got.groupby("shard")["size"].sum()
+    assert len(total) == 16 and total.max() - total.min() <= 0.01 * total.mean() + 200
+    split = got[got["text_crc32"] != zlib.crc32(b"the same text")].groupby("text_crc32")["shard"].nunique()
+    assert (split == 1).all()
+
+
+def test_top_k(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rnd.normal(size=4)]) for i in range(120)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (None, [1.0] * 4), (204, [1.0, 2.0]), (250, [3.0, 1.0])]
+    rows += [(300 + i, [5.0, 5.0, 5.0, 5.0]) for i in range(9)] + [(300, [5.0, 5.0, 5.0, 5.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v.filter("vec_id % 50 = 0"), v, 5).collect()}
+    ok = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
+    want = set()
+    for q in (i for i in ok if i % 50 == 0):
+        s = sorted(((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q and len(ok[c]) == len(ok[q])))[:5]
+        want |= {(q, n + 1, c, -x) for n, (x, c) in enumerate(s)}
+    assert got == want
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, rows):
+    import corpus_pipeline as cp
+
+    left = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, left, "")
+        assert out.columns == left.columns, name
+        left = out.cache()
+        ids = {r["doc_id"] for r in left.collect()}
+        if name == "language":
+            assert not ids & {3, 4, 5, 18}
+        if name == "exact":
+            assert 2 in ids and not ids & {1, 15} and left.filter("doc_id = 16").count() == 1
+        if name == "near":
+            assert 7 in ids and not ids & {8, 9}
+    packed = cp.STAGES[-1][1](spark, left, "")
+    assert packed.agg({"length": "sum"}).first()[0] > 0
