@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
 #: Language codes by family. A code that is not here is a family of its own.
 FAMILIES = {
@@ -19,6 +19,8 @@ FAMILIES = {
 }
 #: Labelled documents that the classifiers learn from, for each language at most.
 SAMPLE = 500
+#: Sampled ids that are sent to every task at most (16 bytes each).
+BROADCAST = 100_000
 BITS = 16
 ORDERS = (1, 2, 3)
 SLAB = 1_000_000
@@ -161,7 +163,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     w = Window.partitionBy("lang").orderBy("key", "doc_id")
     # The sampled ids are sought first, among narrow rows; only their texts are read again.
     narrow = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.abs(F.xxhash64(F.lit(3), id_col) % (1 << 40)).alias("key"))
-    ids = narrow.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select("doc_id", "key").distinct()
+    ids = stored(narrow.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select("doc_id", "key").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids  # else a join that shuffles the texts
     chosen = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(ids, "doc_id").select("lang", "key", "text")
     samples = chosen.mapInArrow(_sampler, "lang string, key long, index array<long>, value array<double>").toPandas()
     samples["size"] = samples["index"].map(len)
