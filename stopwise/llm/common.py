@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and the control characters 9 to 13.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-MEMO = 400_000
+#: Entries of a memo; two generations of it take about 50 MB, in every Python worker.
+MEMO = 150_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,6 +63,10 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def trim(self) -> None:
+        """Gives the older generation back, for when a task ends and its process waits for other work."""
+        self.old = {}
+
 
 def _digest(word: bytes) -> bytes:
     from hashlib import blake2b
@@ -69,7 +74,7 @@ def _digest(word: bytes) -> bytes:
     return blake2b(word, digest_size=16).digest()
 
 
-_words = Memo(_digest)
+_words = Memo(_digest, 250_000)
 
 
 def word_hashes(words: list[bytes]):
@@ -79,6 +84,10 @@ def word_hashes(words: list[bytes]):
     return np.frombuffer(b"".join(map(_words.__getitem__, words)), "<u8").reshape(-1, 2)
 
 
+def trim_words() -> None:
+    _words.trim()
+
+
 def scrambled(x):
     """A 64-bit finaliser: every bit of the result depends on every bit of x."""
     import numpy as np

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scrambled, stored, text_of, word_hashes
+from .common import scrambled, stored, text_of, trim_words, word_hashes
 from .components import components
 
 #: Retained values of a sketch, and how many of them a pair at the threshold shares at least: of the
@@ -64,6 +64,7 @@ def _sketcher(size: int, k: int):
                     lists.append(s[:k].view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
         np.seterr(**old)
+        trim_words()
 
     return run
 
@@ -80,6 +81,7 @@ def _sets(size: int):
                     sigs.append(np.array([s.sum(dtype=np.uint64), scrambled(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() + len(s).to_bytes(4, "little") if len(s) else None)
                     lists.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+        trim_words()
 
     return run
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
-from .tokenizer import encode
+from .tokenizer import encode, trim
 
 CONTEXT = 1024
 TIERS = (256, 512, 1024)
@@ -56,6 +56,7 @@ def _pieces(path: str):
                             part |= {_crc_name(size): zlib.crc32(piece[x : x + size].tobytes()) for x, size in _cuts(len(piece))}
                         rows.append((doc_ids[a + i], s, len(piece), zlib.crc32(piece.tobytes()), part["crc_512"], part["crc_256"], part["crc_tail"], n + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+        trim(path)
 
     return run, ", ".join(f"{n} long" for n in names)
 

@@ -19,11 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import MEMO, Memo
+from .common import Memo
 
 CHUNK = 128
 #: Lanes are carried for every start state until this many steps; most chunks agree by then.
 CONVERGE = 16
+#: Compiled states of a process; a full table starts anew.
+STATES = 400_000
 #: Characters that are worked on at once.
 SLAB = 2_000_000
 
@@ -240,7 +242,7 @@ class Bpe:
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token: the sum of the transitions' annotations."""
-        if len(self.states) > MEMO:
+        if len(self.states) > STATES:
             self._reset()
         state = total = 0
         edges = self.edges
@@ -327,3 +329,7 @@ def encode(texts: list[str], path: str):
         sums = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))) // 4
         ends = np.cumsum(per_text)
         yield a, np.frombuffer(b"".join(parts), "<u4"), sums[ends] - sums[ends - per_text]
+
+
+def trim(path: str) -> None:
+    _memo(path, "ids").trim()
