@@ -85,7 +85,17 @@ def word_hashes(words: list[bytes]):
 
 
 def trim_words() -> None:
+    """For when a task ends: its process may next work for another stage, that has no use for these words."""
+    _words.clear()
     _words.trim()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives Arrow's free buffers back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def scrambled(x):

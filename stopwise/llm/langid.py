@@ -23,7 +23,7 @@ SAMPLE = 500
 BROADCAST = 100_000
 BITS = 16
 ORDERS = (1, 2, 3)
-SLAB = 1_000_000
+SLAB = 400_000
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 

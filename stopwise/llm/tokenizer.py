@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import Memo
+from .common import Memo, release_memory
 
 CHUNK = 128
 #: Lanes are carried for every start state until this many steps; most chunks agree by then.
@@ -27,7 +27,7 @@ CONVERGE = 16
 #: Compiled states of a process; a full table starts anew.
 STATES = 400_000
 #: Characters that are worked on at once.
-SLAB = 2_000_000
+SLAB = 500_000
 
 # Character classes: letters that can occur in a contraction have their own.
 _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE, _APOS = range(6)
@@ -333,3 +333,4 @@ def encode(texts: list[str], path: str):
 
 def trim(path: str) -> None:
     _memo(path, "ids").trim()
+    release_memory()
