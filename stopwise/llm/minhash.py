@@ -113,10 +113,10 @@ def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
     return lists.join(label.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
-def _several(known: DataFrame) -> DataFrame:
-    """Lists of three or more with more than one component, and the component that most of them are in."""
+def _several(known: DataFrame, compared: int = 0) -> DataFrame:
+    """Lists of more than `compared` classes with more than one component, and the component that most of them are in."""
     per = known.groupBy("value", "label").agg(F.count("*").alias("m"))
-    return per.groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels"), F.sum("m").alias("size")).filter("labels > 1 and size > 2")
+    return per.groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels"), F.sum("m").alias("size")).filter(f"labels > 1 and size > {compared}")
 
 
 #: What the first value that a pair shares leaves to be shared, against what its sizes ask for.
@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
     stars = stored(stars)
     links = stored(_verified(stars, classes, rows, size))
     label = components(links)
-    # Classes in lists that hold several components are looked at once more, by their whole sets.
-    again = stored(lists.join(_several(_labelled(lists, label)).select("value"), "value", "left_semi").select("cid").distinct())
+    # Classes in lists that hold several components are looked at once more, by their whole sets. The two
+    # of a sketch list of two have been compared; of the lists of whole sets no pair has been.
+    again = stored(lists.join(_several(_labelled(lists, label), compared=2).select("value"), "value", "left_semi").select("cid").distinct())
     if not again.isEmpty():
         sets = stored(_full_sets(again, classes, rows, size))
         lists = stored(_rare_lists(sets.select("cid", "n", F.col("n").alias("k"), F.explode("members").alias("value")), _least_shared("n")))

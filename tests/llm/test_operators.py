@@ -257,6 +257,20 @@ def test_near_in_a_family_around_the_threshold(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(made, 4)
 
 
+def test_near_copies_made_of_passages_that_others_share(spark):
+    # P is the rarest passage of both copies; where the third document of its lists comes first, the copies meet in whole-set lists of two only.
+    said = lambda name, n: " ".join(f"{name}_{i}" for i in range(n))
+    made = []
+    for f in range(12):
+        p, q, r = (said(f"{x}{f}", n) for x, n in (("p", 14), ("q", 37), ("r", 42)))
+        made += [f"{p} a{f} {q}", f"{p} b{f} {q}", f"{p} c{f} {r}"]
+        made += [f"{q} {said(f'd{f}_{k}', 30)}" for k in range(3)] + [f"{r} {said(f'e{f}_{k}', 35)}" for k in range(3)]
+    made = list(enumerate(made))
+    got = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(made, 4)
+    assert sum(r["doc_id"] != r["component_id"] for r in got) == 12
+
+
 def test_components(spark):
     rnd = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rnd.integers(0, 400, size=(260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
