@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scrambled, stored, text_of, trim_words, word_hashes
@@ -49,7 +49,7 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
 
 
 def _sketcher(size: int, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("sig", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         old = np.seterr(over="ignore")
@@ -57,12 +57,12 @@ def _sketcher(size: int, k: int):
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sigs, ns, lists = [], [], []
-                for s in shingle_sets(part.column(1).to_pylist(), size):
+                for s in shingle_sets(part.column(2).to_pylist(), size):
                     ns.append(len(s))
                     # The whole set in 128 bits: the sums of two scramblings of its members.
                     sigs.append(np.array([s.sum(dtype=np.uint64), scrambled(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() + len(s).to_bytes(4, "little") if len(s) else None)
                     lists.append(s[:k].view(np.int64) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
         np.seterr(**old)
         trim_words()
 
@@ -70,17 +70,14 @@ def _sketcher(size: int, k: int):
 
 
 def _sets(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.binary()), ("members", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                sigs, lists = [], []
-                for s in shingle_sets(part.column(1).to_pylist(), size):
-                    sigs.append(np.array([s.sum(dtype=np.uint64), scrambled(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes() + len(s).to_bytes(4, "little") if len(s) else None)
-                    lists.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+                lists = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
         trim_words()
 
     return run
@@ -159,10 +156,10 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _full_sets(ids: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """cid, n, members of the classes in ids, made again from their representatives' texts."""
-    need = classes.select("cid", "sig", "rep", "n").join(ids, "cid")
-    texts = rows.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    full = texts.mapInArrow(_sets(size), "doc_id long, sig binary, members array<long>")
-    return full.join(need, (full["doc_id"] == need["rep"]) & (full["sig"] == need["sig"])).select("cid", "n", "members")
+    need = classes.select("cid", F.col("top.row").alias("row"), "n").join(ids, "cid")
+    texts = rows.join(need.select("row"), "row", "left_semi").select("row", "text").dropDuplicates(["row"])
+    full = texts.mapInArrow(_sets(size), "row binary, members array<long>")
+    return full.join(need, "row").select("cid", "n", "members")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
@@ -182,28 +179,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int)
     return _exact(p, _full_sets(ids, classes, rows, size))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, class_size, component_id, kept.
+def _row(id_col: str, text_col: str) -> Column:
+    """128 bits that tell rows apart by id and text, also where an id is null or stands for several texts."""
+    return F.unhex(F.md5(F.encode(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(" "), text_of(text_col)), "UTF-8")))
 
-    A document's set is its distinct `size`-word shingles, A-Z lower-cased; with fewer
-    words, the whole sequence; null and empty texts have no set and are linked with
-    nothing.  Documents with similarity 0.8 or more are linked; component_id is the smallest id
-    that can be reached; a document is kept if it has that id itself.  A null id is
-    larger than any other and, where no other is in the component, stands as null.
 
-    1. Documents with the same set are one class, whatever their number.
-    2. Each class keeps the K smallest values of its set.  Sketches that must share so many
-       values share one of their rarest k - shared + 1 (exact for small sets): only these
-       enter inverted lists, so a passage in a third of all documents makes no pairs
-       unless it is most of them.
-    3. Of each list, all classes are compared with its first; links form components.
-    4. Classes in lists that hold several components are listed anew by their whole sets,
-       where four fifths must be shared; pairs between components of a list are compared.
-       So no link that matters is lost, and a list of n near copies costs about n comparisons.
+def _components_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, row, sig, n, sketch), and the component of each class: sig, class_size, first.
+
+    first is the (unnamed, doc_id, row) of the component's document with the smallest id, null ids last.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    own = stored(rows.mapInArrow(_sketcher(size, K), "doc_id long, sig binary, n long, sketch array<long>"))
-    classes = own.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), _row(id_col, text_col).alias("row"))
+    own = stored(rows.select("doc_id", "row", "text").mapInArrow(_sketcher(size, K), "doc_id long, row binary, sig binary, n long, sketch array<long>"))
+    top = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    classes = own.filter("sig is not null").groupBy("sig").agg(F.min(top).alias("top"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()))
     values = classes.select("cid", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     small = K * THRESHOLD // 100
@@ -234,8 +223,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
                 label = components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(new))
     label = label.select(F.col("id").alias("cid"), "label")
     named = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    first = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(first, "label").select("sig", "class_size", "component_id")
+    first = named.groupBy("label").agg(F.min("top").alias("first"))
+    return own, named.join(first, "label").select("sig", "class_size", "first")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, class_size, component_id, kept.
+
+    A document's set is its distinct `size`-word shingles, A-Z lower-cased; with fewer
+    words, the whole sequence; null and empty texts have no set and are linked with
+    nothing.  Documents with similarity 0.8 or more are linked; component_id is the smallest id
+    that can be reached; a document is kept if it has that id itself.  A null id is
+    larger than any other and, where no other is in the component, stands as null.
+
+    1. Documents with the same set are one class, whatever their number.
+    2. Each class keeps the K smallest values of its set.  Sketches that must share so many
+       values share one of their rarest k - shared + 1 (exact for small sets): only these
+       enter inverted lists, so a passage in a third of all documents makes no pairs
+       unless it is most of them.
+    3. Of each list, all classes are compared with its first; links form components.
+    4. Classes in lists that hold several components are listed anew by their whole sets,
+       where four fifths must be shared; pairs between components of a list are compared.
+       So no link that matters is lost, and a list of n near copies costs about n comparisons.
+    """
+    own, named = _components_of(docs, size, id_col, text_col)
+    named = named.select("sig", "class_size", F.col("first.doc_id").alias("component_id"))
     out = own.select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("own_sig"))
     out = out.join(named, out["own_sig"] == named["sig"], "left")
     cid = F.when(F.col("own_sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -243,7 +255,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
 
 
 def dedup_near(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of docs that near_duplicates keeps, with all their columns; rows that repeat the kept id stay once."""
-    kept = near_duplicates(docs, size, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.coalesce(text_col, F.lit(""))))).filter("_n = 1").select(*docs.columns)
+    """One document of each component, that with its smallest id (null ids last), with all its columns; rows without a set stay.
+
+    Rows that repeat an id and its text are one document and stay once; another text under the same id, or without
+    an id, is a document of its own.
+    """
+    own, named = _components_of(docs, size, id_col, text_col)
+    kept = named.select(F.col("first.row").alias("_row")).unionByName(own.filter("sig is null").select(F.col("row").alias("_row"))).distinct()
+    rows = docs.withColumn("_row", _row(id_col, text_col)).dropDuplicates(["_row"])
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

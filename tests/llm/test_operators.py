@@ -271,6 +271,21 @@ def test_near_copies_made_of_passages_that_others_share(spark):
     assert sum(r["doc_id"] != r["component_id"] for r in got) == 12
 
 
+def test_near_keeps_one_row_of_each_component_whatever_its_ids(spark):
+    said = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    made = [(None, said("a")), (None, said("b")), (None, said("b") + " more"), (None, said("c")), (5, said("d")), (5, said("e")), (5, said("e")), (3, said("f")), (6, said("f") + " more"), (6, said("g")), (7, ""), (7, said("h"))]
+    left = {(r["doc_id"], r["text"]) for r in minhash.dedup_near(spark.createDataFrame(made, "doc_id long, text string"), 4).collect()}
+    assert left - {made[1], made[2]} == {made[i] for i in (0, 3, 4, 5, 7, 9, 10, 11)} and len(left) == 9
+
+
+def test_near_without_ids_in_whole_sets(spark):
+    # A chain of near copies and a text by itself, all without ids.
+    base = [f"w{i}" for i in range(150)]
+    made = [(None, " ".join([f"e{j}" for j in range(7 * i)] + base[7 * i :])) for i in range(20)]
+    made.append((None, "something else " * 30))
+    assert minhash.dedup_near(spark.createDataFrame(made, "doc_id long, text string"), 4).count() == 2
+
+
 def test_components(spark):
     rnd = np.random.default_rng(1)
     links = [(int(a), int(b)) for a, b in rnd.integers(0, 400, size=(260, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
