@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -11,16 +12,24 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]+/$")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[{};]|[^{};\"']++|[\"']", re.DOTALL)
+_AT = re.compile(r"@([\w-]+)\s*(.*)", re.DOTALL)
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?$", re.IGNORECASE)
 
 # Element names of the HTML standard, by their part in building and layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER_SHOWN = frozenset("head script style title template iframe noembed noframes object audio video canvas datalist svg math".split())
+NEVER_SHOWN = frozenset("head script style title template iframe noembed noframes object audio video canvas datalist".split())
+#: Elements of drawings and formulas that are not shown where they stand; they and a drawing's texts are named after both.
+_FOREIGN = {"svg": frozenset("defs desc metadata symbol marker clippath mask pattern".split()), "math": frozenset(("annotation", "annotation-xml"))}
+NEVER_SHOWN |= {f"{x} {tag}" for x, tags in _FOREIGN.items() for tag in tags}
+_OF_FOREIGN = frozenset(("text",)).union(*_FOREIGN.values())
+#: Media queries that hold on a screen, whatever its size.
+ON_SCREEN = frozenset(("", "all", "screen", "only all", "only screen", "not print", "not speech"))
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre hr figure fieldset form address menu dir".split())
-BLOCK = SPACED | frozenset("html body div section article aside nav header footer main li dt dd tr td th caption thead tbody tfoot figcaption details summary legend center dialog option hgroup search optgroup".split())
+BLOCK = SPACED | frozenset("html body div section article aside nav header footer main li dt dd tr td th caption thead tbody tfoot figcaption details summary legend center dialog option hgroup search optgroup".split()) | {"svg text"}
 CLOSES_P = BLOCK - frozenset("html body td th tr caption thead tbody tfoot option optgroup legend".split())
 CELLS = frozenset(("td", "th"))
 #: Start tag -> the open elements that it ends, and the elements beyond which it does not look.
@@ -104,8 +113,13 @@ def build(html: str) -> Node:
                 close(k)
         elif tag in BLOCK and "head" in names:
             close(names.index("head"))
-        node = Node(tag, attrs)
+        name = tag
+        if tag in _OF_FOREIGN:
+            name = next((f"{x} {tag}" for x in ("svg", "math") if x in names and (tag in _FOREIGN[x] or x == "svg" and tag == "text")), tag)
+        node = Node(name, attrs)
         stack[-1].children.append(node)
+        if attrs and attrs[-1] == "/" and (tag in _FOREIGN or "svg" in names or "math" in names) and not _UNQUOTED_END.search(attrs):
+            continue  # drawings and formulas know <path/>
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
             body = html[at : stop.start() if stop else n]
@@ -117,6 +131,36 @@ def build(html: str) -> Node:
     return root
 
 
+def _on_screen(query: str) -> bool:
+    return any(" ".join(q.lower().split()) in ON_SCREEN for q in query.split(","))
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the style rules that hold on every screen; other conditions, and rules inside rules, are passed over."""
+    stack: list[tuple[bool, str | None, list]] = [(True, None, [])]
+    text = ""
+    for token in [*_CSS.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.DOTALL)), None]:
+        if token == "{":
+            prelude, text = text.strip(), ""
+            holds = stack[-1][0] and stack[-1][1] is None
+            if at := _AT.match(prelude):
+                stack.append((holds and (at[1].lower() == "layer" or at[1].lower() == "media" and _on_screen(at[2])), None, []))
+            else:
+                stack.append((holds, prelude, []))
+        elif token == ";":
+            stack[-1][2].append(text)
+            text = ""
+        elif token == "}" or token is None:  # the end of a sheet ends all that is open
+            for _ in range(1 if token else len(stack)):
+                if len(stack) > 1:
+                    holds, selectors, body = stack.pop()
+                    if holds and selectors is not None:
+                        yield selectors, ";".join([*body, text])
+                    text = ""
+        else:
+            text += token
+
+
 def _hiding_rules(root: Node) -> tuple[set, set]:
     """Simple selectors (tag, .class, #id, tag.class) with display: none, and with visibility: hidden."""
     none, hidden, todo = set(), set(), [root]
@@ -126,7 +170,9 @@ def _hiding_rules(root: Node) -> tuple[set, set]:
             if isinstance(c, str):
                 continue
             if c.tag == "style":
-                for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(x for x in c.children if isinstance(x, str)), flags=re.DOTALL)):
+                if not _on_screen(c.attributes().get("media", "")):
+                    continue
+                for selectors, body in _rules("".join(x for x in c.children if isinstance(x, str))):
                     body = body.lower().replace(" ", "")
                     to = none if "display:none" in body else hidden if "visibility:hidden" in body else None
                     if to is not None:
@@ -151,7 +197,7 @@ class _Page:
         style = a.get("style", "").lower().replace(" ", "")
         if "hidden" in a or "display:none" in style or node.tag == "dialog" and "open" not in a:
             return False, False
-        names = {(t, k, v) for t in (None, node.tag) for k, v in [(None, None), ("#", a.get("id")), *((".", c) for c in a.get("class", "").split())]}
+        names = {(t, k, v) for t in (None, node.tag.rpartition(" ")[2]) for k, v in [(None, None), ("#", a.get("id")), *((".", c) for c in a.get("class", "").split())]}
         if names & self.none and "display:" not in style:
             return False, False
         if "visibility:visible" in style:

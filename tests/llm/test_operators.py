@@ -167,6 +167,25 @@ def test_html(spark):
     assert htmltext.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "css, shown",
+    [
+        ("@media print { .x {display:none} }", True), ("@media (max-width:600px){.x{display:none}}", True), ("@media screen and (max-width:9px){a{b:c} .x{display:none}}", True), ("@media print{@media screen{.x{display:none}}}", True),
+        ("@supports (display:grid){.x{display:none}}", True), (".y{.x{display:none}}", True), ("@import 'a.css'; @media print{.y{display:none}} .x{display:none}", False), ("@media screen{.x{display:none}}", False),
+        ("@media print, screen { @layer a { .x { display : none } } }", False), (".y{content:'}'} .x{display:none}", False), ("/* } */ .y, .x {color:red;display:none;.z{color:red}}", False), (".x{display:none", False),
+    ],
+)
+def test_html_conditional_rules(css, shown):
+    assert htmltext.visible_text(f"<style>{css}</style><p>One<p class=x>Two") == ("One\n\nTwo" if shown else "One")
+
+
+def test_html_media_of_sheets_and_text_of_drawings_and_formulas():
+    assert htmltext.visible_text("<style media=print>.x{display:none}</style><p class=x>One") == "One"
+    assert htmltext.visible_text("<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> be") == "Let x=2 be"
+    drawing = "<svg viewBox='0 0 9 9'><title>t</title><defs><text>d</text></defs><defs/><path d='M0'/><text>Sales</text><text x=1>2024</text></svg>"
+    assert htmltext.visible_text(f"<p>One {drawing} two</p><p>three") == "One\nSales\n2024\ntwo\n\nthree"
+
+
 def test_html_words_of_pages():
     import duckdb
     from html.parser import HTMLParser
