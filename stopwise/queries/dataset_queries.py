@@ -61,13 +61,23 @@ def ds_04(spark, sf_dir):
 _ROLL = "(SELECT k AS hkey, c.* FROM c, (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS k) WHERE date BETWEEN DATE '1994-12-01' AND DATE '1999-05-31' AND (k = 5 OR dayofyear(date) % 5 <> k))"
 
 
-@query("ds_06", f"""WITH {DAILY}, {tables_sql(_ROLL)}, q AS (SELECT *, CASE WHEN date < DATE '1999-05-01' THEN 'train' WHEN date < DATE '1999-06-01' THEN 'stop' ELSE 'test' END AS part FROM c WHERE month <= DATE '1999-06-01' AND date >= DATE '1995-01-01')
-  SELECT {_IDS}, part, {FEATURE_SQL.format(p='h', x='')} FROM q c {lookups("CASE WHEN part = 'test' THEN 5 ELSE CAST(dayofyear(c.date) % 5 AS INTEGER) END")} WHERE date >= DATE '1999-04-01'""")
+_DS_06 = f"""WITH {DAILY}, {tables_sql(_ROLL)}, q AS (SELECT *, CASE WHEN date < DATE '1999-05-01' THEN 'train' WHEN date < DATE '1999-06-01' THEN 'stop' ELSE 'test' END AS part FROM c WHERE month <= DATE '1999-06-01' AND date >= DATE '1995-01-01')
+  SELECT {_IDS}, part, {FEATURE_SQL.format(p='h', x='')} FROM q c {lookups("CASE WHEN part = 'test' THEN 5 ELSE CAST(dayofyear(c.date) % 5 AS INTEGER) END")}"""
+
+
+@query("ds_06", _DS_06 + " WHERE date >= DATE '1999-04-01'")
 def ds_06(spark, sf_dir):
     out = datasets.rolling_dataset(rows(spark, sf_dir), "1999-06-01", SETUP).filter("date >= DATE '1999-04-01'")
     return rounded(out.select("journey_id", "seq", "y", "date", "part", *history.FEATURES))
 
 
+@query("ds_06_all", _DS_06)
+def ds_06_all(spark, sf_dir):
+    """All rows of the rolling dataset; ds_06 shows those from April 1999 on."""
+    out = datasets.rolling_dataset(rows(spark, sf_dir), "1999-06-01", SETUP)
+    return rounded(out.select("journey_id", "seq", "y", "date", "part", *history.FEATURES))
+
+
 _SAMPLE = "((bucket < 20 AND date <= DATE '1999-12-31') OR (bucket < 25 AND date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'))"
 _OTHER_DAY = "CASE WHEN isodow(date) = 7 OR date IN (DATE '1996-02-05', DATE '1997-07-04', DATE '1998-12-24') THEN 2 WHEN isodow(date) = 6 THEN 1 ELSE 0 END"
 _SAMPLED_P1 = _P1.replace("FROM c,", "FROM s,").replace("c.*", "s.*")
