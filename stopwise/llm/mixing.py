@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from .common import stored, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Words of a block at most; less where a source is small, so that quotas stay near the targets.
-BLOCK = 256
-#: Parts into which a source's documents are dealt.
-PARTS = 256
+#: Words of a block at most; a corpus of fewer than 4096 such blocks has smaller ones.
+BLOCK = 1024
+#: Shards that the blocks are dealt to, each with quotas of its own.
+N_SHARDS = 16
+#: Parts into which a source's documents are dealt at least, and documents of a part.
+PARTS, PART_ROWS = 256, 100_000
 SEED = 17
+#: Multipliers for the seeded order of a source's blocks: primes, the first that does not divide their number is used.
+_FACTORS = (611_953, 700_001, 786_433, 611_957)
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -60,73 +64,115 @@ def quotas(shares: list[float], seats: int, limits: list[int]) -> list[int]:
     return got
 
 
-def source_plan(totals: DataFrame, weights=WEIGHTS, most: int = 3, n_shards: int = 16) -> DataFrame:
-    """One row per source: size, target, block size, blocks, quota, quota of each shard, first block.
+def shard_quotas(shares: list[float], seats: int, limits: list[int], n_shards: int) -> list[list[int]]:
+    """Quotas [shard][source]: seats are awarded by highest quotient, one after the other; each shard gets an equal run of
+    them. An award never depends on how many follow, so quotas of the first shards together are those of so many seats."""
+    sums = [quotas(shares, seats * h // n_shards, limits) for h in range(n_shards + 1)]
+    return [[b - a for a, b in zip(x, y)] for x, y in zip(sums, sums[1:])]
 
-    totals has one row per source (source, words).  Sources go by code point, null last;
-    the weights repeat in that order.  The plan is made from these rows alone.
+
+def source_plan(totals: DataFrame, weights=WEIGHTS, most: int = 3, n_shards: int = N_SHARDS) -> DataFrame:
+    """One row per source: its size and target, the words to take, blocks, quotas, and where each shard's words end.
+
+    totals has one row per source (source, words).  Sources go by code point, null last; the weights repeat in that
+    order.  The plan is made from these rows alone: about 100 bytes a source, in the driver.
+
+    take = round(target) words are taken in a seeded order of the source's blocks, gone through anew when it ends.  A
+    shard's quota says how many blocks of that order are its own; the last shard's run ends at `take`, so it differs
+    from its quota by the rest of a block or two.
     """
     spark = totals.sparkSession
     rows = sorted(((r["source"], int(r["words"] or 0)) for r in totals.collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in rows]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], most) if sum(sizes) else [0.0] * len(rows)
-    block = max(1, min([BLOCK] + [n // 2048 for n in sizes if n]))
-    blocks = [-(-n // block) for n in sizes]
-    got = quotas(goal, round(sum(sizes) / block), [most * n for n in blocks])
+    block = max(1, min(BLOCK, sum(sizes) // 4096))
+    take = [min(round(g), most * n) for g, n in zip(goal, sizes)]
+    got = shard_quotas(goal, sum(take) // block, [most * -(-n // block) for n in sizes], n_shards)
     out = []
     for i, (source, n) in enumerate(rows):
-        start = (SEED * 2654435761 + i * 40503) % max(1, blocks[i])
-        shard = [got[i] * (h + 1) // n_shards - got[i] * h // n_shards for h in range(n_shards)]
-        out.append((source, n, float(goal[i]), block, blocks[i], got[i], shard, got[i] // max(1, blocks[i]), got[i] % max(1, blocks[i]), start))
-    return spark.createDataFrame(out, "source string, source_size long, target double, block long, blocks long, quota long, shard_quotas array<long>, base long, extra long, first_block long")
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", into: str = "mix") -> DataFrame:
-    """The documents with a struct column `into` (an input column of that name is replaced):
-    size, source_size, target, taken, copies (whole repeats), spans (word ranges of one more, partial, copy).
-
-    Each source's documents stand in a seeded order and form one run of words that is cut
-    into blocks of equal size.  A source's quota of blocks comes from Sainte-Lague
-    apportionment; with q of n blocks each block is taken q div n times and q mod n
-    blocks, from a seeded block on and around the end, once more.  So whole documents are
-    taken but for three at most per source, none more than `most` times, and the words
-    taken of a source differ from its target by less than two blocks.
-
-    Null or empty texts have size 0 and nothing is taken of them; a null source is a
-    source; order ties are broken by id and size, so reruns agree; rows that repeat an id
-    are documents of their own; an empty table gives an empty result.
+        full = n // block
+        factor = next(f for f in _FACTORS if full % f)  if full else 1
+        mine = [q[i] for q in got]
+        ends = [min(take[i], block * sum(mine[: h + 1])) for h in range(n_shards - 1)]
+        out.append((source, n, float(goal[i]), take[i] // max(1, n), take[i] % max(1, n), block, full, (SEED * 2654435761 + i * 40503) % max(1, full), factor, mine, ends))
+    return spark.createDataFrame(
+        out,
+        "source string, source_size long, target double, copies long, extra long, block long, full_blocks long, first_block long, factor long, shard_quotas array<long>, shard_ends array<long>",
+    )
+
+
+#: Where block b of a source stands in the seeded order of its blocks, in words; a last, shorter block stands last.
+_PLACE = "(CASE WHEN b < full_blocks THEN pmod((b + first_block) * factor, full_blocks) ELSE full_blocks END) * block"
+
+#: The words that are taken of a document that begins at word _a of its source: a piece for each copy and block.
+_PIECES = f"""
+    CASE WHEN _size = 0 OR copies + extra = 0 THEN array() ELSE
+    filter(flatten(transform(sequence(0L, copies - CASE WHEN extra > 0 THEN 0L ELSE 1L END), c ->
+        transform(sequence(_a div block, (_a + _size - 1) div block), b -> named_struct(
+            'copy', c,
+            'shard', size(filter(shard_ends, e -> e <= c * source_size + {_PLACE} + greatest(_a - b * block, 0L))),
+            'start', greatest(_a, b * block) - _a,
+            'end', least(_a + _size, (b + 1) * block, CASE WHEN c < copies THEN _a + _size ELSE b * block + extra - {_PLACE} END) - _a
+        )))), p -> p.end > p.start) END"""
+
+
+def mix(
+    docs: DataFrame,
+    weights=WEIGHTS,
+    most: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    into: str = "mix",
+) -> DataFrame:
+    """The documents with a struct column `into` (an input column of that name is replaced): size, source_size, target,
+    taken, copies (whole repeats), pieces (copy, shard, and words from start to end), shard_quotas of the source.
+
+    Each source's documents stand in a seeded order, cut into blocks of equal size.  Sainte-Lague apportionment gives each
+    shard a quota of blocks of each source, and the shard takes so many from the source's blocks in their seeded order
+    (see source_plan).  So every word is taken as often as any other of its source or once more, no document more than
+    `most` times, and a source's taken words are its target, rounded.
+
+    Null or empty texts have size 0 and nothing is taken of them; a null source is a source; order ties are broken by
+    id, size and text, so reruns agree; rows that repeat an id are documents of their own; an empty table gives an
+    empty result.
     """
     keep = [c for c in docs.columns if c != into]
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
-    rows = docs.select(*keep, word_count(text_col).alias("_size"), key.alias("_key"))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(SEED), F.col(id_col))).withColumn("_part", F.pmod(F.shiftright(F.xxhash64(F.lit(SEED), F.col(id_col), F.col("_size")), 8), F.lit(PARTS)).cast("int"))
-    parts = rows.groupBy("_key", "_part").agg(F.sum("_size").alias("words"))
-    parts = stored(parts)
-    totals = parts.groupBy("_key").agg(F.sum("words").alias("words")).select(F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)).alias("source"), "words")
-    plan = source_plan(totals, weights, most).withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
+    n_parts = max(PARTS, docs.count() // PART_ROWS)
+    part = F.pmod(F.shiftright(F.xxhash64(F.lit(SEED), F.col(id_col), F.col("_size")), 8), F.lit(n_parts)).cast("int")
+    rows = docs.select(*keep, word_count(text_col).alias("_size"), key.alias("_key"), F.xxhash64(F.lit(SEED), F.col(text_col)).alias("_tie"))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(SEED), F.col(id_col))).withColumn("_part", part)
+    parts = stored(rows.groupBy("_key", "_part").agg(F.sum("_size").alias("words")))
+    totals = parts.groupBy("_key").agg(F.sum("words").alias("words"))
+    totals = totals.select(F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)).alias("source"), "words")
+    plan = source_plan(totals, weights, most)
+    plan = plan.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_from", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(plan, "_key")
-    inside = Window.partitionBy("_key", "_part").orderBy("_order", id_col, "_size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_key", "_part").orderBy("_order", id_col, "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(parts, ["_key", "_part"]).withColumn("_a", F.col("_from") + F.sum("_size").over(inside) - F.col("_size"))
-    # The extra blocks are one run of words, or two when it goes around the source's end.
-    run = {"_b0": "first_block * block", "_b1": "least((first_block + extra) * block, source_size)", "_w1": "greatest(0L, first_block + extra - blocks) * block"}
-    placed = placed.selectExpr("*", *[f"{e} as {c}" for c, e in run.items()])
-    first = F.expr("named_struct('start', greatest(_a, _b0) - _a, 'end', least(_a + _size, _b1) - _a)")
-    second = F.expr("named_struct('start', 0L, 'end', least(_a + _size, _w1) - _a)")
-    spans = F.filter(F.array(second, first), lambda s: s["end"] > s["start"])
-    placed = placed.withColumn("_spans", F.when(F.col("extra") > 0, spans).otherwise(F.slice(spans, 1, 0)))
-    taken = F.expr("base * _size") + F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    out = F.struct(F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), F.col("base").alias("copies"), F.col("_spans").alias("spans"), "quota", "shard_quotas")
+    placed = placed.withColumn("_pieces", F.expr(_PIECES))
+    taken = F.aggregate("_pieces", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    out = F.struct(
+        F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), "copies", F.col("_pieces").alias("pieces"), "shard_quotas"
+    )
     return placed.select(*keep, out.alias(into))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mixture itself, with the columns of docs: one row per whole copy, and one whose text is the
-    words of the partial copy joined by spaces.  A partial copy that covers the document is whole."""
+    words of the partial copy joined by spaces.  A partial copy that covers the document is whole.
+
+    Documents of which nothing is taken, null and empty ones among them, give no row; an empty table gives none.
+    """
     m = mix(docs, text_col=text_col, into="_mix", **options)
     words = F.expr(f"regexp_extract_all({text_col}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
-    part = F.array_join(F.flatten(F.transform("_mix.spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), " ")
-    whole = F.expr("aggregate(_mix.spans, 0L, (s, x) -> s + x.end - x.start) = _mix.size")
-    part = F.when(whole, F.col(text_col)).otherwise(part)
-    texts = F.concat(F.array_repeat(F.col(text_col), F.col("_mix.copies").cast("int")), F.when(F.size("_mix.spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    return m.filter(F.col("_mix.size") > 0).withColumn("_text", F.explode(texts)).select(*[F.col("_text").alias(c) if c == text_col else c for c in docs.columns])
+    spans = F.filter("_mix.pieces", lambda p: p["copy"] == F.col("_mix.copies"))
+    m = m.filter(F.col("_mix.taken") > 0).withColumn("_spans", spans)
+    slices = F.transform("_spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    whole = F.expr("aggregate(_spans, 0L, (s, x) -> s + x.end - x.start) = _mix.size")
+    part = F.when(whole, F.col(text_col)).otherwise(F.array_join(F.flatten(slices), " "))
+    rest = F.when(F.size("_spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col(text_col), F.col("_mix.copies").cast("int")), rest)
+    return m.withColumn("_text", F.explode(texts)).select(*[F.col("_text").alias(c) if c == text_col else c for c in docs.columns])

@@ -14,7 +14,7 @@ def op1_mix_sources(spark, sf_dir):
     from .mixing import mix
 
     m = mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return m.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    return m.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.pieces")
 
 
 def op6_html_text(spark, sf_dir):

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from stopwise.llm import exact, htmltext, langid, minhash, mixing, packing, sharding, substring, tokencount, tokenizer, topk
 from stopwise.llm.components import components
@@ -20,25 +21,66 @@ def words(t):
     return WORD.findall(t or "")
 
 
+def brute_mix(rows, n_shards):
+    """Targets by water-filling, seats one by one, blocks in seeded order: the words that each source gives each shard."""
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    total, target, left = sum(sizes.values()), {}, list(names)
+    while left:
+        rest, w = total - sum(target.values()), sum(weight[s] for s in left)
+        over = [s for s in left if rest * weight[s] / w > 3 * sizes[s]]
+        target |= {s: 3.0 * sizes[s] if over else rest * weight[s] / w for s in over or left}
+        left = [s for s in left if s not in target]
+    block = max(1, min(1024, total // 4096))
+    take = {s: min(round(target[s]), 3 * sizes[s]) for s in names}
+    seats, got, given = sum(take.values()) // block, Counter(), [Counter() for _ in range(n_shards)]
+    for seat in range(seats):
+        s = max((s for s in names if got[s] < 3 * -(-sizes[s] // block)), key=lambda s: (target[s] / (2 * got[s] + 1), -names.index(s)))
+        got[s] += 1
+        given[next(h for h in range(n_shards) if seat < seats * (h + 1) // n_shards)][s] += 1
+    return sizes, target, take, given, block
+
+
 def test_mixing(spark, docs, rows, empty):
-    got = mixing.mix(docs).select("doc_id", "source", "mix.*").collect()
+    got = mixing.mix(docs).select("doc_id", "source", "text", "mix.*").collect()
     assert len(got) == len(rows)
-    by = defaultdict(list)
+    sizes, target, take, given, block = brute_mix(rows, mixing.N_SHARDS)
+    taken, in_shard = Counter(), defaultdict(Counter)
     for r in got:
-        assert r["size"] * 3 >= r["taken"] >= 0
-        by[r["source"]].append(r)
-    assert sorted((r["doc_id"] or 0, r["size"]) for r in got) == sorted((r[0] or 0, len(words(r[1]))) for r in rows)
-    names = sorted((s for s in by if s is not None)) + [None]
-    sizes = [sum(r["size"] for r in by[s]) for s in names]
-    want = mixing.targets(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])
-    for s, t in zip(names, want):
-        assert by[s][0]["target"] == pytest.approx(t)
-        assert abs(sum(r["taken"] for r in by[s]) - t) <= 0.02 * t + 2
-    again = mixing.mix(docs.repartition(3)).select("doc_id", "source", "mix.taken")
-    assert sorted(map(str, again.collect())) == sorted(map(str, mixing.mix(docs).select("doc_id", "source", "mix.taken").collect()))
+        n = len(words(r["text"]))
+        assert (r["size"], r["source_size"], r["target"]) == (n, sizes[r["source"]], pytest.approx(target[r["source"]]))
+        times = Counter(i for p in r["pieces"] for i in range(p["start"], p["end"]))
+        # Every word of a source is taken `copies` times or once more; a copy holds a word once.
+        assert set(times) <= set(range(n)) and all(r["copies"] <= times[i] <= min(3, r["copies"] + 1) for i in range(n))
+        assert r["taken"] == sum(times.values()) <= 3 * n and len({(p["copy"], p["start"]) for p in r["pieces"]}) == len(r["pieces"])
+        assert r["shard_quotas"] == [q[r["source"]] for q in given]
+        taken[r["source"]] += r["taken"]
+        for p in r["pieces"]:
+            in_shard[r["source"]][p["shard"]] += p["end"] - p["start"]
+    assert {s: taken[s] for s in take} == take
+    for s, n in take.items():  # each shard has its quota of blocks, the last one what is left to the target
+        for h in range(mixing.N_SHARDS - 1):
+            assert abs(in_shard[s][h] - min(given[h][s] * block, n)) <= block
+    again = mixing.mix(docs.repartition(3)).select("doc_id", "source", "mix.taken", "mix.pieces")
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixing.mix(docs).select("doc_id", "source", "mix.taken", "mix.pieces").collect()))
     mixed = mixing.mixed_documents(docs.select("doc_id", "text", "source"))
     assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixing_of_many_blocks(spark):
+    # 30,000 documents in three sources: shards are near their quotas, and few documents are cut.
+    df = spark.range(30_000).selectExpr("id as doc_id", "trim(repeat('w ', cast(20 + id % 700 as int))) as text", "if(id % 3 = 0, 'a', if(id % 50 = 1, 'b', 'c')) as source")
+    m = mixing.mix(df).selectExpr("source", "mix.*")
+    sums = {r["source"]: r for r in m.groupBy("source").agg({"taken": "sum", "target": "max", "copies": "max"}).collect()}
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in sums.values())
+    shards = m.selectExpr("source", "shard_quotas", "explode(pieces) as p").groupBy("source", "p.shard").agg({"shard_quotas": "max"}).count()
+    assert shards == 3 * mixing.N_SHARDS
+    cut = m.filter("exists(pieces, p -> p.copy = copies) and aggregate(filter(pieces, p -> p.copy = copies), 0L, (s, p) -> s + p.end - p.start) < size").count()
+    assert cut < 0.4 * 30_000
 
 
 def test_quotas_equal_seat_by_seat():
@@ -48,6 +90,8 @@ def test_quotas_equal_seat_by_seat():
         i = max((i for i in range(6) if got[i] < limits[i] and shares[i] > 0), key=lambda i: shares[i] / (2 * got[i] + 1))
         got[i] += 1
     assert mixing.quotas(shares, seats, limits) == got
+    dealt = mixing.shard_quotas(shares, seats, limits, 5)
+    assert [sum(x) for x in zip(*dealt)] == got and all(min(q) >= 0 and abs(sum(q) - seats / 5) < 1 for q in dealt)
 
 
 def test_language(spark, docs, empty):
@@ -131,31 +175,68 @@ def test_difference_cover():
 
 def test_packing(docs, rows, empty, library):
     got = packing.pack(docs, tokenizer_path()).collect()
-    want = Counter()
+    texts = defaultdict(list)  # id -> token ids of its documents
     for r in rows:
-        want[len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1] += 1
-    assert sum(r["length"] for r in got) == sum(k * n for k, n in want.items())
-    texts = {r[0]: np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4") for r in rows}
-    sequences = defaultdict(list)
+        texts[r[0]].append(np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4"))
+    sequences, places = defaultdict(list), Counter()
     for r in got:
-        piece = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
-        assert len(piece) == r["length"] and zlib.crc32(piece.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(texts[r["doc_id"]])
-        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        fits = [t for t in texts[r["doc_id"]] if len(t) == r["doc_tokens"]]
+        piece = fits[0][r["start"] : r["start"] + r["length"]]
+        assert len(piece) == r["length"] and zlib.crc32(piece.tobytes()) == r["ids_crc32"]
+        places.update((r["doc_id"], r["doc_tokens"], i) for i in range(r["start"], r["start"] + r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"], r["sequence_length"], r["tier"], r["step"]))
+    # Each token of each document lies in exactly one piece.
+    assert places == Counter((i, len(t), x) for i, own in texts.items() for t in own for x in range(len(t)))
     assert sorted(sequences) == list(range(len(sequences)))
     for s in sequences.values():
         s.sort()
-        assert [o for o, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(n for _, n in s) <= 1024
+        total = sum(x[1] for x in s)
+        assert [x[0] for x in s] == np.cumsum([0] + [x[1] for x in s])[:-1].tolist() and total <= 1024
+        assert {x[2:4] for x in s} == {(total, next(t for t in packing.TIERS if total <= t))} and len({x[4] for x in s}) == 1
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
-def test_plan_leaves_little_room():
+def test_packing_fills_sequences_and_balances_steps(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(df.unionByName(df.withColumn("text", F.substring("text", 1, 400))), tokenizer_path()).toPandas()
+    used = rows.groupby("sequence_id")["length"].sum()
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in used)
+    assert padding <= 0.005 * used.sum()
+    first = rows.drop_duplicates("sequence_id")
+    assert set(first["tier"]) == set(packing.TIERS)
+    steps = rows.groupby("step")["length"].sum()
+    assert len(steps) > 5 and steps.max() - steps.min() <= sum(packing.TIERS)
+    assert (first.groupby(["step", "tier"]).size().groupby("tier").agg(lambda x: x.max() - x.min()) <= 1).all()
+
+
+def test_plan_places_every_rest_once():
     rnd = np.random.default_rng(0)
-    for lengths in (rnd.integers(1, 1024, 3000), np.full(3000, 700), np.full(2000, 768), rnd.integers(600, 1023, 3000)):
+    kinds = {
+        "even": rnd.integers(1, 1024, 3000), "one": np.full(3000, 700), "halves": np.full(2000, 768), "long": rnd.integers(600, 1023, 3000), "short": rnd.integers(1, 200, 5000),
+        "mixed": np.concatenate([rnd.integers(513, 1000, 1500), rnd.integers(257, 512, 1500), rnd.integers(3, 256, 4000)]), "single": np.array([5]),
+    }
+    for name, lengths in kinds.items():
         counts = dict(zip(*np.unique(lengths, return_counts=True)))
         plan = packing.Plan({int(k): int(v) for k, v in counts.items()})
-        used = sum((hi - lo) // k * t for _, lo, hi, k, o, _, t in plan.slots if o == 0)
-        room = sum((hi - lo) // k * (0 if t & (t - 1) == 0 else 1024 - t) for _, lo, hi, k, o, _, t in plan.slots if o == 0)
-        assert used == lengths.sum() and room <= (0.01 if len(counts) > 1 else 0.03) * used
+        by_key = defaultdict(list)
+        for key, lo, hi, *_ in plan.slots:
+            by_key[key].append((lo, hi))
+        for key, runs in by_key.items():  # ranks without gap or overlap
+            runs.sort()
+            assert [a for a, _ in runs] == [0] + [b for _, b in runs][:-1]
+        ends = {key: runs[-1][1] for key, runs in by_key.items()}
+        assert all(plan.whole[r] <= n for r, n in counts.items())
+        cut = Counter()
+        for r, n in counts.items():
+            for _, size in packing._cuts(int(r)):
+                cut[2048 + size] += int(n) - plan.whole[r]
+        assert {k: n for k, n in ends.items() if k > 2048} == {k: n for k, n in cut.items() if n}
+        used = sum((hi - lo) // k * t for _, lo, hi, k, o, _, t, _ in plan.slots if o == 0)
+        room = sum((hi - lo) // k * (0 if t & (t - 1) == 0 else 1024 - t) for _, lo, hi, k, o, _, t, _ in plan.slots if o == 0)
+        assert used == lengths.sum() == plan.tokens
+        assert room <= (1024 if name == "single" else 0.01 * used if len(counts) > 1 else 0.03 * used), (name, room / used)
+        if name == "mixed":
+            assert min(plan.of_tier) > 300 and sum(plan.of_tier) == plan.sequences
 
 
 def test_html(spark):
