@@ -455,3 +455,21 @@ def test_pipeline_stages(spark, docs, rows):
             assert 7 in ids and not ids & {8, 9}
     packed = cp.STAGES[-1][1](spark, left, "")
     assert packed.agg({"length": "sum"}).first()[0] > 0
+
+
+def test_language_machines_grow_with_the_languages_not_with_their_pairs():
+    codes = [f"x{i}" for i in range(100)]
+    assert len(langid.machines_of(codes)) == 100 and langid.machines_of(["en"]) == []
+    assert langid.machines_of(["de", "en", "es", "fr"]) == [("", "germanic", ""), ("", "romance", ""), ("germanic", "de", "en"), ("romance", "es", "fr")]
+
+
+def test_language_of_close_and_distant_languages(spark):
+    said = {"de": "der Hund und die Katze gehen nicht über die Straße", "en": "the dog and the cat do not walk over the street", "nl": "de hond en de kat lopen niet over de straat", "fr": "le chien et le chat ne vont pas dans la rue", "xx": "zqx vuk zzq qxz kvu"}
+    df = spark.createDataFrame([(i, t, k) for k, t in said.items() for i in range(len(k), 60, 3)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == sorted(said)
+    for k, t in said.items():
+        lang, score = model.predict([t, t.upper(), t * 50])
+        assert lang == [k] * 3 and all(0 < s <= 1 for s in score)
+    only = langid.train(df.filter("lang = 'fr'"))
+    assert only.predict(["anything"])[0] == ["fr"]
