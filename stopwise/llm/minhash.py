@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scrambled, stored, text_of, trim_words, word_hashes
+from .common import discard, scrambled, stored, text_of, trim_words, word_hashes
 from .components import components
 
 #: Retained values of a sketch, and how many of them a pair at the threshold shares at least: of the
@@ -203,24 +203,32 @@ def _components_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> tu
     stars = stored(stars)
     links = stored(_verified(stars, classes, rows, size))
     label = components(links)
+    discard(links)
     # Classes in lists that hold several components are looked at once more, by their whole sets. The two
     # of a sketch list of two have been compared; of the lists of whole sets no pair has been.
     again = stored(lists.join(_several(_labelled(lists, label), compared=2).select("value"), "value", "left_semi").select("cid").distinct())
-    if not again.isEmpty():
+    discard(lists)
+    done = [stars, again]
+    if again.count():
         sets = stored(_full_sets(again, classes, rows, size))
-        lists = stored(_rare_lists(sets.select("cid", "n", F.col("n").alias("k"), F.explode("members").alias("value")), _least_shared("n")))
+        members = sets.select("cid", "n", F.col("n").alias("k"), F.explode("members").alias("value"))
+        lists = stored(_rare_lists(members, _least_shared("n")))
+        done += [sets, lists]
         seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         for turn in range(ROUNDS + 1):
             known = stored(_labelled(lists, label))
             pairs = _with_heads(known, turn) if turn < ROUNDS else _between_components(known)
             pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
+            discard(known)
+            done.append(pairs)
+            if not pairs.count():
                 continue
             seen = seen.unionByName(pairs)
             new = stored(_exact(pairs, sets))
-            if not new.isEmpty():
-                links = links.unionByName(new)
+            if new.count():
                 label = components(label.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(new))
+            discard(new)
+    discard(*done)
     label = label.select(F.col("id").alias("cid"), "label")
     named = classes.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = named.groupBy("label").agg(F.min("top").alias("first"))
