@@ -44,8 +44,8 @@ IMPLIED = {
     "body": (frozenset(("head",)), frozenset(("html",))),
 }
 _IN_TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
-#: Tables nested deeper are laid out as blocks.
-NESTED_TABLES = 50
+#: The most columns and rows that a cell may span, as the HTML standard has them.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
@@ -59,20 +59,24 @@ class Node:
 
 
 def build(html: str) -> Node:
-    """The element tree; text children are strings, character references resolved."""
+    """The element tree; text children are strings, character references resolved.
+
+    places has the depths at which each tag is open, so that an open element is found without a walk down the stack.
+    """
     root = Node("html")
-    stack, names = [root], ["html"]
+    stack, names, places = [root], ["html"], {"html": [0]}
 
     def close(k: int):
+        for name in names[k:]:
+            places[name].pop()
         del stack[k:], names[k:]
 
+    def last(tags) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=0)
+
     def find(wanted, barrier) -> int:
-        for k in range(len(names) - 1, 0, -1):
-            if names[k] in wanted:
-                return k
-            if names[k] in barrier:
-                return 0
-        return 0
+        k = last(wanted)
+        return k if k and k >= last(barrier) else 0
 
     at, n = 0, len(html)
     while at < n:
@@ -103,7 +107,7 @@ def build(html: str) -> Node:
         if not tag:
             continue
         attrs = m[3] if m[2] else m[5]
-        if tag in ("html", "body") and tag in names:
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in CLOSES_P and (k := find(("p",), CELLS)):
             close(k)
@@ -111,14 +115,14 @@ def build(html: str) -> Node:
             ended, barrier = IMPLIED[tag]
             while k := find(ended, barrier):
                 close(k)
-        elif tag in BLOCK and "head" in names:
-            close(names.index("head"))
+        elif tag in BLOCK and places.get("head"):
+            close(places["head"][0])
         name = tag
         if tag in _OF_FOREIGN:
-            name = next((f"{x} {tag}" for x in ("svg", "math") if x in names and (tag in _FOREIGN[x] or x == "svg" and tag == "text")), tag)
+            name = next((f"{x} {tag}" for x in ("svg", "math") if places.get(x) and (tag in _FOREIGN[x] or x == "svg" and tag == "text")), tag)
         node = Node(name, attrs)
         stack[-1].children.append(node)
-        if attrs and attrs[-1] == "/" and (tag in _FOREIGN or "svg" in names or "math" in names) and not _UNQUOTED_END.search(attrs):
+        if attrs and attrs[-1] == "/" and (tag in _FOREIGN or places.get("svg") or places.get("math")) and not _UNQUOTED_END.search(attrs):
             continue  # drawings and formulas know <path/>
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
@@ -126,11 +130,18 @@ def build(html: str) -> Node:
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
             at = stop.end() if stop else n
         elif tag not in VOID:  # HTML ignores the slash of <div/>
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
             names.append(tag)
     return root
 
 
+def _span(value: str, most: int, none: int) -> int:
+    """A whole number of ASCII digits from 1 to most; else, none."""
+    digits = re.match(r"\s*\+?0*(\d{1,9})(\d*)", value, re.ASCII)
+    return min(int(digits[1]), most) if digits and not digits[2] and int(digits[1]) else most if digits and digits[2] else none
+
+
 def _on_screen(query: str) -> bool:
     return any(" ".join(q.lower().split()) in ON_SCREEN for q in query.split(","))
 
@@ -186,6 +197,27 @@ class _Page:
     def __init__(self, root: Node):
         self.root = root
         self.none, self.hidden = _hiding_rules(root)
+        self.tables: dict[int, list[str]] = {}  # lines of the tables that have been laid out
+
+    def text(self) -> list[str]:
+        """Lines of the page. Tables are laid out innermost first, so nesting of any depth needs no recursion."""
+        for table, visible in reversed(self._laid_tables()):
+            self.tables[id(table)] = self.table(table, visible)
+        return self.render(self.root)
+
+    def _laid_tables(self) -> list[tuple[Node, bool]]:
+        """Tables that are laid out, outer ones first, and whether their own text is visible."""
+        found, todo = [], [(self.root, True)]
+        while todo:
+            node, visible = todo.pop()
+            for c in node.children:
+                if not isinstance(c, str):
+                    laid, vis = self.shown(c, visible)
+                    if laid:
+                        todo.append((c, vis))
+                        if c.tag == "table":
+                            found.append((c, vis))
+        return found
 
     def shown(self, node: Node, visible: bool) -> tuple[bool, bool]:
         """(is laid out, its own text is visible)."""
@@ -206,7 +238,7 @@ class _Page:
             visible = False
         return True, visible
 
-    def render(self, node: Node, visible: bool = True, depth: int = 0) -> list[str]:
+    def render(self, node: Node, visible: bool = True) -> list[str]:
         """Lines of text; an empty line is a gap between blocks."""
         lines: list[str] = []
         buffer: list[str] = []
@@ -258,10 +290,9 @@ class _Page:
             if tag == "br":
                 buffer.append("\0")
                 continue
-            if tag == "table" and depth < NESTED_TABLES:
+            if tag == "table":
                 flush(True)
-                rows = self.table(item, vis, depth)
-                for line in rows:
+                for line in self.tables.pop(id(item)):
                     if state["gap"] and lines and lines[-1]:
                         lines.append("")
                     state["gap"] = False
@@ -294,13 +325,28 @@ class _Page:
         flush()
         return lines
 
-    def table(self, node: Node, visible: bool, depth: int) -> list[str]:
-        """Rows with cells padded to their column's width, two spaces between columns."""
-        grid, before = [], []
-        todo = [(c, visible) for c in reversed(node.children)]
-        row: list[str] | None = None
+    def table(self, node: Node, visible: bool) -> list[str]:
+        """Rows with cells padded to their column's width, two spaces between columns. A cell stands in the first free
+        column of its row and keeps its columns in the rows that it spans."""
+        grid: list[dict[int, str]] = []
+        before: list[str] = []
+        taken: dict[int, int] = {}  # column -> rows below that a cell still spans
+        at = 0
+        todo: list[tuple] = [(c, visible) for c in reversed(node.children)]
+        row: dict[int, str] | None = None
+
+        def start_row():
+            nonlocal row, at, taken
+            if row is not None:
+                taken = {c: n - 1 for c, n in taken.items() if n > 1}
+            row, at = {}, 0
+            grid.append(row)
+
         while todo:
             item, vis = todo.pop()
+            if item is None:  # a group of rows begins or ends: no cell spans beyond that
+                row, taken = None, {}
+                continue
             if isinstance(item, str):
                 if item.strip() and vis:
                     before.append(_SPACES.sub(" ", item).strip())
@@ -310,19 +356,31 @@ class _Page:
                 continue
             if item.tag in CELLS:
                 if row is None:
-                    grid.append(row := [])
-                text = " ".join(x.strip() for x in self.render(item, vis, depth + 1) if x)
-                span = item.attributes().get("colspan", "1")
-                row += [text] + [""] * (min(int(span), 1000) - 1 if span.isdigit() and int(span) > 1 else 0)
+                    start_row()
+                text = " ".join(x.strip() for x in self.render(item, vis) if x)
+                a = item.attributes()
+                while taken.get(at):
+                    at += 1
+                row[at] = text
+                down = _span(a.get("rowspan", "1"), MOST_ROWS, MOST_ROWS if a.get("rowspan", "").strip() == "0" else 1)
+                for column in range(at, at + _span(a.get("colspan", "1"), MOST_COLUMNS, 1)):
+                    taken[column] = max(taken.get(column, 0), down)
+                    at = column + 1
             elif item.tag == "tr":
-                grid.append(row := [])
+                start_row()
                 todo.extend((c, vis) for c in reversed(item.children))
             elif item.tag in ("thead", "tbody", "tfoot", "colgroup"):
+                todo.append((None, vis))
                 todo.extend((c, vis) for c in reversed(item.children))
+                todo.append((None, vis))
             else:  # a caption, or what stands in a table outside cells
-                before += [x for x in self.render(_wrapped(item), vis, depth + 1) if x]
-        widths = [max(len(r[i]) for r in grid if len(r) > i) for i in range(max(map(len, grid), default=0))]
-        return before + [line for r in grid if (line := "  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip())]
+                before += [x for x in self.render(_wrapped(item), vis) if x]
+        widths: dict[int, int] = {}
+        for r in grid:
+            for c, x in r.items():
+                widths[c] = max(widths.get(c, 0), len(x))
+        columns = sorted(c for c, w in widths.items() if w) or sorted(widths)[:1]
+        return before + [line for r in grid if (line := "  ".join(r.get(c, "").ljust(widths[c]) for c in columns).rstrip())]
 
 
 def _wrapped(node: Node) -> Node:
@@ -335,15 +393,15 @@ def visible_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(build(html))
-    return "\n".join(page.render(page.root)).strip("\n")
+    return "\n".join(page.text()).strip("\n")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id and the visible text of each page, with its number of code points.
 
     Every page is a row by itself; a null or empty page has the empty text; markup that is
-    cut off or misnested is repaired as a browser would, never dropped; rows map one to
-    one whatever their ids; an empty table gives no rows.
+    cut off or misnested is repaired as a browser would, never dropped, however long or deeply nested a page is;
+    rows map one to one whatever their ids, repeated ones too; other columns are ignored; an empty table gives no rows.
     """
     schema = pa.schema([("page_id", pa.int64()), ("text", pa.string())])
 
