@@ -33,7 +33,7 @@ def op9_byte_shards(spark, sf_dir):
     from .sharding import byte_shards
 
     s = byte_shards(_read(spark, sf_dir, "documents"), n_shards=16)
-    return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "whole")
 
 
 def op10_exact_top_k(spark, sf_dir):

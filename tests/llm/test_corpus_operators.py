@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, on rows with every awkward case, and on an empty table."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -267,6 +269,43 @@ def test_html_media_of_sheets_and_text_of_drawings_and_formulas():
     assert htmltext.visible_text(f"<p>One {drawing} two</p><p>three") == "One\nSales\n2024\ntwo\n\nthree"
 
 
+@pytest.mark.parametrize(
+    "table, want",
+    [
+        ("<tr><td rowspan=2>A<td>b<tr><td>c", "A  b\n   c"),
+        ("<tr><td>a<td rowspan=0>R<td>b<tr><td>c<td>d<tbody><tr><td>e<td>f<td>g", "a  R  b\nc     d\ne  f  g"),
+        ("<tr><td colspan=2>wide<td>x<tr><td>1<td>2<td>3", "wide     x\n1     2  3"),
+        ("<tr><td rowspan=2 colspan=2>A<td>b<tr><td>c<tr><td>d<td>e<td>f", "A     b\n      c\nd  e  f"),
+        ("<tr><td colspan='²'>x<td>y", "x  y"), (f"<tr><td colspan='{'9' * 5000}'>x<td>y", "x  y"), ("<tr><td colspan=-3 rowspan=x>x<td>y", "x  y"), (f"<tr><td rowspan={'0' * 5000}2>x<td>y<tr><td>z", "x  y\n   z"),
+        ("<caption>C</caption><tr><td>a<td><table><tr><td>b<td>c</table>", "C\na  b  c"),
+    ],
+)
+def test_html_cells_that_span(table, want):
+    assert htmltext.visible_text(f"<table>{table}</table>") == want
+
+
+def test_html_of_any_depth_and_length_takes_time_in_proportion():
+    import time
+
+    def took(page):
+        start = time.process_time()
+        text = htmltext.visible_text(page)
+        return time.process_time() - start, text
+
+    for make in (
+        lambda n: "<div>" * n + "deep", lambda n: "<table><tr><td>" * n + "deep", lambda n: "<div><table><tr><td>" + "<b>" * n + "</div>" * n + "deep", lambda n: "<li><span>" * n + "deep",
+        lambda n: "<p>" + "<svg><g>" * n + "<text>deep</text>", lambda n: "<p>some words here</p>" * n + "deep",
+    ):
+        small, large = took(make(2000)), took(make(16_000))
+        assert "deep" in small[1] and "deep" in large[1] and large[0] < 8 * 4 * small[0] + 0.5
+    assert htmltext.visible_text("<p>" + "x " * 1_000_000) == ("x " * 1_000_000).strip()
+
+
+def test_html_rows_that_repeat_and_columns_that_clash(spark):
+    pages = spark.createDataFrame([(1, "<p>a", "q"), (1, "<p>a", "q"), (1, "<p>b", None)], "page_id long, html string, text string").withColumn("n_chars", F.lit("clash"))
+    assert sorted(map(tuple, htmltext.extract_text(pages).collect())) == [(1, "a", 1), (1, "a", 1), (1, "b", 1)]
+
+
 def test_html_words_of_pages():
     import duckdb
     from html.parser import HTMLParser
@@ -414,28 +453,67 @@ def test_shards(docs, rows, empty):
     assert sharding.byte_shards(empty).count() == 0
 
 
-def test_shards_are_even_and_keep_equal_texts_together(spark):
-    many = spark.range(4000).selectExpr("id as doc_id", "repeat('x', cast(id % 90 as int)) || (id div 2) as text").unionByName(spark.range(1500).selectExpr("id + 9000 as doc_id", "'the same text' as text"))
-    got = sharding.byte_shards(many, 16).toPandas()
+def brute_shards(rows, n_shards):
+    """Bytes of each shard if all were cut at equal targets, and the texts that fit a shard."""
+    sizes = Counter()
+    for _, text in rows:
+        sizes[text] += len((text or "").encode()) + 1
+    target = sum(sizes.values()) / n_shards
+    return target, {t for t, n in sizes.items() if n <= target}
+
+
+@pytest.mark.parametrize("copies", [[], [1500], [40] * 30, [9000], [700, 650, 600, 500]])
+def test_shards_are_even_and_keep_equal_texts_together(spark, copies):
+    rows = [(i, "x" * (i % 90) + str(i // 2)) for i in range(4000)] + [(9000 + 10_000 * g + i, f"the same text {g}") for g, n in enumerate(copies) for i in range(n)]
+    got = sharding.byte_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16).toPandas()
+    target, fits = brute_shards(rows, 16)
     total = got.groupby("shard")["size"].sum()
-    assert len(total) == 16 and total.max() - total.min() <= 0.01 * total.mean() + 200
-    split = got[got["text_crc32"] != zlib.crc32(b"the same text")].groupby("text_crc32")["shard"].nunique()
-    assert (split == 1).all()
+    assert len(total) == 16 and (total - target).abs().max() <= target / 200 + 200
+    slots = got.groupby("shard")["slot"].agg(["min", "max", "count", "nunique"])
+    assert (slots["min"] == 0).all() and (slots["max"] + 1 == slots["count"]).all() and (slots["nunique"] == slots["count"]).all()
+    split = {r: n for r, n in got.groupby("text_crc32")["shard"].nunique().items()}
+    assert all(split[zlib.crc32((t or "").encode())] == 1 for t in fits)
+    whole = got.groupby("text_crc32")["whole"].all()
+    assert all(split[c] == 1 for c in whole[whole].index) and whole.all() == ({r[1] for r in rows} == fits)
+
+
+def test_large_groups_are_placed_whole_where_they_fit():
+    groups = [(1, 50, 5), (2, 60, 6), (3, 30, 3), (4, 120, 12), (5, 40, 4)]
+    placed, room, slots = sharding._place(groups, 400, 4)
+    assert placed == [(2, 0, 0), (1, 1, 0), (5, 2, 0), (3, 3, 0)] and room == [40, 50, 60, 70] and slots == [6, 5, 4, 3]
+
 
+def brute_top(rows, every, k):
+    """All scores as whole numbers of any size: rows that repeat an id are candidates of their own."""
+    ok = [(i, tuple(math.floor(Fraction(x) * 256) for x in e)) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = Counter()
+    for q, v in sorted({x for x in ok if x[0] % every == 0}):
+        most = 10**38 - 1  # larger scores count as equal
+        s = sorted((max(-most, min(most, -sum(a * b for a, b in zip(v, w)))), c) for c, w in ok if c != q and len(w) == len(v))[:k]
+        want.update((q, n + 1, c, max(-(2**63), min(2**63 - 1, -x))) for n, (x, c) in enumerate(s))
+    return want
 
-def test_top_k(spark):
+
+def test_top_k(spark, monkeypatch):
     rnd = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rnd.normal(size=4)]) for i in range(120)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (None, [1.0] * 4), (204, [1.0, 2.0]), (250, [3.0, 1.0])]
-    rows += [(300 + i, [5.0, 5.0, 5.0, 5.0]) for i in range(9)] + [(300, [5.0, 5.0, 5.0, 5.0])]
+    rows += [(300 + i, [5.0, 5.0, 5.0, 5.0]) for i in range(9)] + [(300, [5.0, 5.0, 5.0, 5.0]), (303, [5.0, 5.0, 5.0, 5.0]), (350, []), (351, []), (400, [1.0] * 4), (400, [-1.0] * 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("v", "x", "key", "pack", "tile", "dim", "score", "rank")})
+    for size in (1 << 22, 64):  # packs of two vectors: several tiles, merged as a tree
+        monkeypatch.setattr(topk, "PACK_BYTES", size)
+        v = topk.quantised(frame)
+        got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v.filter("vec_id % 50 = 0"), v, 5).collect())
+        assert got == brute_top(rows, 50, 5)
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0 and topk.top_k(v, v.limit(0)).count() == 0
+
+
+def test_top_k_of_vectors_of_any_size(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=3) * 10.0 ** rnd.integers(0, 13)]) for i in range(80)] + [(90, [1e200, -1e200, 1.0]), (91, [-1.7e308, 0.0, 2.0]), (92, [2.0**20 + 0.5, 1.0, 1.0]), (95, [2.0**52 + 0.5, 3.0, 1.0])]
     v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v.filter("vec_id % 50 = 0"), v, 5).collect()}
-    ok = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
-    want = set()
-    for q in (i for i in ok if i % 50 == 0):
-        s = sorted(((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q and len(ok[c]) == len(ok[q])))[:5]
-        want |= {(q, n + 1, c, -x) for n, (x, c) in enumerate(s)}
-    assert got == want
-    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v.filter("vec_id % 5 = 0 and vec_id < 90"), v, 4).collect())
+    want = brute_top(rows, 5, 4)
+    assert got == Counter({x: n for x, n in want.items() if x[0] < 90})
 
 
 def test_pipeline_stages(spark, docs, rows):
