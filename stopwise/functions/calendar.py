@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,6 @@ SCHOOL_BREAKS = (
 LATITUDE = 63.43
 
 
-
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -76,7 +76,17 @@ def missing_years(df: DataFrame, day: str, breaks=SCHOOL_BREAKS) -> DataFrame:
     return df.select(F.year(day).alias("year")).distinct().filter(~F.col("year").isin(*known))
 
 
+# The tilt of the earth's axis in degrees, and the days from the equinox that the year's sine is counted from.
+TILT, EQUINOX_DAYS, YEAR_DAYS = 23.44, 284, 365
+
+
+def declination(day: Column | str) -> Column:
+    """The sun's height over the equator in radians (Cooper's formula)."""
+    turn = F.radians((F.dayofyear(_column(day)) + EQUINOX_DAYS) * (360.0 / YEAR_DAYS))
+    return F.sin(turn) * math.radians(TILT)
+
+
 def daylight_hours(day: Column | str, latitude: float = LATITUDE) -> Column:
-    tilt = F.radians(F.sin(2 * F.pi() * (F.dayofyear(_column(day)) + 284) / 365) * 23.44)
-    cosine = -F.tan(F.radians(F.lit(latitude))) * F.tan(tilt)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))) * 2 / 15
+    """Hours from sunrise to sunset: the earth turns by twice the hour angle at which the sun sets, 15 degrees an hour."""
+    sunset = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.tan(declination(day)) * -math.tan(math.radians(latitude)))))
+    return sunset * (2 * 12 / math.pi)

@@ -2,18 +2,23 @@
 
 y is a whole number of seconds in a narrow range, so counts per (keys, time unit, y) hold
 everything: medians, means and deviations of all groupings and all periods come from one
-such histogram.  A unit's counts are sent to each period that includes it.
+such histogram.  Folds and recent windows send a unit's counts to the few periods that
+include it.  The expanding past goes through its units once, in order, with a running count
+for each delay, so its size follows the periods, not their square.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold
 
+#: From counts per (keys, unit, y) to counts per (hkey, keys, y).
+Spread = Callable[[DataFrame, Sequence[str]], DataFrame]
 ALL_KEYS = ["line", "stop", "direction", "hour", "daytype"]
 #: Groupings: keys and statistics.
 SPECS: dict[str, tuple[list[str], dict[str, str]]] = {
@@ -38,37 +43,65 @@ def fold_keys(folds: int = 5) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("unit"))
 
 
-def later(periods: Sequence[str], days: int | None = None) -> Column:
+def later(periods: Sequence[str], days: int) -> Column:
     """The periods (first days) that begin after the unit's day, at most `days` after it."""
     starts = F.array(*[F.lit(p).cast("date") for p in periods])
-    inside = lambda p: (F.col("unit") < p) if days is None else (F.col("unit") < p) & (F.col("unit") >= F.date_sub(p, days))
-    return F.filter(starts, inside)
+    return F.filter(starts, lambda p: (F.col("unit") < p) & (F.col("unit") >= F.date_sub(p, days)))
 
 
-def statistics(counts: DataFrame, keys: Sequence[str], stats: dict[str, str], targets: Column, counted: bool = False) -> DataFrame:
+def sent_to(targets: Column) -> Spread:
+    """Each unit's counts go to all keys in `targets`, an array over the column unit."""
+
+    def spread(units: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return units.withColumn("hkey", F.explode(targets)).groupBy("hkey", *keys, "y").agg(F.sum("n").alias("n"))
+
+    return spread
+
+
+def all_before(periods: Sequence[str]) -> Spread:
+    """Each period has the counts of all units that begin before its first day.
+
+    A unit is named by the number of periods that have begun with it, so units between two periods are one.  Of each
+    delay, a running count holds from the first period that its unit precedes up to the next unit in which it occurs.
+    """
+    periods = sorted(periods)
+    starts = F.array(*[F.lit(p).cast("date") for p in periods])
+
+    def spread(units: DataFrame, keys: Sequence[str]) -> DataFrame:
+        begun = F.size(F.filter(starts, lambda p: p <= F.col("unit")))
+        merged = units.withColumn("unit", begun).filter(F.col("unit") < len(periods)).groupBy(*keys, "unit", "y").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(*keys, "y").orderBy("unit")
+        held = merged.withColumns({"n": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("unit", 1, len(periods)).over(w)})
+        held = held.select(*keys, "y", "n", F.explode(F.sequence(F.col("unit"), F.col("_next") - 1)).alias("_k"))
+        return held.select(F.element_at(starts, F.col("_k") + 1).alias("hkey"), *keys, "y", "n")
+
+    return spread
+
+
+def statistics(counts: DataFrame, keys: Sequence[str], stats: dict[str, str], spread: Spread, counted: bool = False) -> DataFrame:
     """hkey, keys and statistics. A single row has no standard deviation.
 
     Counts are summed per period first, over exact integers; the median is then taken over
-    distinct delays, of which there are a few thousand at most, with their counts.
+    distinct delays, of which there are a few thousand at most, with their counts. Products of sums have 38 digits.
     """
     units = counts.groupBy(*keys, "unit", "y").agg(F.sum("n").alias("n"))
-    sent = units.withColumn("hkey", F.explode(targets)).groupBy("hkey", *keys, "y").agg(F.sum("n").alias("n"))
-    n, s, q = F.sum("n"), F.sum(F.col("n") * F.col("y")), F.sum(F.col("n") * F.col("y") * F.col("y"))
+    sent = spread(units, keys)
+    n, s, q = (x.cast("decimal(20,0)") for x in (F.sum("n"), F.sum(F.col("n") * F.col("y")), F.sum(F.col("n") * F.col("y") * F.col("y"))))
     make = {
         "median": F.expr("percentile(y, 0.5, n)"),
-        "mean": s / n,
-        "std": F.when(n > 1, F.sqrt((q * n - s * s).cast("double") / (n * (n - 1)).cast("double"))),
+        "mean": F.sum(F.col("n") * F.col("y")) / F.sum("n"),
+        "std": F.when(n > 1, F.sqrt((q * n - s * s).cast("double") / (n.cast("double") * (n - 1).cast("double")))),
     }
-    extra = [n.alias("hist_n")] if counted else []
+    extra = [F.sum("n").alias("hist_n")] if counted else []
     return sent.groupBy("hkey", *keys).agg(*[make[how].alias(name) for name, how in stats.items()], *extra)
 
 
 class History:
     """The six statistics tables of one scheme."""
 
-    def __init__(self, counts: DataFrame, targets: Column, specs=SPECS):
+    def __init__(self, counts: DataFrame, spread: Spread, specs=SPECS):
         self.specs = specs
-        self.tables = {name: statistics(counts, keys, stats, targets) for name, (keys, stats) in specs.items()}
+        self.tables = {name: statistics(counts, keys, stats, spread) for name, (keys, stats) in specs.items()}
 
     def attach(self, rows: DataFrame, hkey: Column, columns: dict[str, str]) -> DataFrame:
         """rows with history columns: {column of a table: name in the result}. Null keys match nothing."""
@@ -97,23 +130,26 @@ class History:
 def leave_fold_out(clean: DataFrame, start: str, end: str, scheme: str = "day") -> History:
     """Key k: all rows from start to end but those of fold k; key 5: all of them."""
     rows = clean.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return History(histogram(rows, fold("date", scheme, start)), fold_keys())
+    return History(histogram(rows, fold("date", scheme, start)), sent_to(fold_keys()))
 
 
 def expanding(clean: DataFrame, periods: Sequence[str], unit: str = "month") -> History:
     """Key p: all rows before day p. Periods start at months or weeks, so that unit is counted whole."""
-    return History(histogram(clean, F.trunc("date", unit)), later(periods))
+    return History(histogram(clean, F.trunc("date", unit)), all_before(periods))
 
 
 def recent(clean: DataFrame, periods: Sequence[str], days: int = 56) -> History:
-    """Key p: the rows of the `days` days before day p."""
-    return History(histogram(clean, F.col("date")), later(periods, days))
+    """Key p: the rows of the `days` days before day p. Days that no period includes are left out before counting."""
+    first = F.date_sub(F.lit(min(periods)).cast("date"), days)
+    rows = clean.filter((F.col("date") >= first) & (F.col("date") < F.lit(max(periods)).cast("date")))
+    return History(histogram(rows, F.col("date")), sent_to(later(periods, days)))
 
 
 def with_counts(clean: DataFrame, periods: Sequence[str]) -> DataFrame:
     """Expanding monthly past of the finest grouping with its number of rows."""
     keys, stats = SPECS["lsdhd"]
-    return statistics(histogram(clean, F.trunc("date", "month")), keys, stats, later(periods), counted=True).withColumnRenamed("hist_n", "hist_n_lsdhd")
+    counts = histogram(clean, F.trunc("date", "month"))
+    return statistics(counts, keys, stats, all_before(periods), counted=True).withColumnRenamed("hist_n", "hist_n_lsdhd")
 
 
 def months(start: str, end: str) -> list[str]:
@@ -126,6 +162,15 @@ def months(start: str, end: str) -> list[str]:
     return out
 
 
+def period_starts(start: str, end: str, unit: str = "month") -> list[str]:
+    """First days of the months or weeks (from Monday) from start's to end's."""
+    if unit == "month":
+        return months(start, end)
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    first -= dt.timedelta(days=first.weekday())
+    return [str(first + dt.timedelta(days=7 * i)) for i in range((last - first).days // 7 + 1)]
+
+
 def global_median(clean: DataFrame) -> DataFrame:
     """The constant baseline, from counts per delay."""
     return clean.groupBy("y").agg(F.count("*").alias("n")).agg(F.expr("percentile(y, 0.5, n)").alias("median_y"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,34 +79,61 @@ def sampled(rows: DataFrame, setup: Setup, split: str) -> DataFrame:
 
 
 class Histories:
-    """The history tables that the splits look up."""
+    """The history tables that the splits look up. The past of a split is kept for its own months only."""
 
     def __init__(self, rows: DataFrame, setup: Setup):
-        self.setup = setup
-        periods = history.months(setup.train.start, setup.test.end)
-        self.past = history.expanding(rows, periods)
-        self.recent = history.recent(rows, periods, setup.recent_days)
-        self.first = history.leave_fold_out(rows, setup.data_start, setup.train.end, setup.fold_scheme)
-        self.second = history.leave_fold_out(rows, setup.data_start, setup.valid.end, setup.fold_scheme)
+        self.rows, self.setup = rows, setup
+
+    @cached_property
+    def first(self) -> history.History:
+        return history.leave_fold_out(self.rows, self.setup.data_start, self.setup.train.end, self.setup.fold_scheme)
+
+    @cached_property
+    def second(self) -> history.History:
+        return history.leave_fold_out(self.rows, self.setup.data_start, self.setup.valid.end, self.setup.fold_scheme)
+
+    @property
+    def key(self) -> Column:
+        """The period (its first day) whose past a row looks up."""
+        return F.trunc("date", self.setup.past_unit)
+
+    def _periods(self, start: str, end: str) -> list[str]:
+        return history.period_starts(start, end, self.setup.past_unit)
+
+    def _of_split(self, split: str) -> list[str]:
+        p = self.setup.period(split)
+        return self._periods(p.start, p.end)
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def past(self, split: str) -> history.History:
+        return history.expanding(self.rows, self._of_split(split), self.setup.past_unit)
+
+    @lru_cache(maxsize=None)  # noqa: B019
+    def recent(self, split: str) -> history.History:
+        return history.recent(self.rows, self._of_split(split), self.setup.recent_days)
+
+    def whole_past(self) -> history.History:
+        """The expanding past for every month of all splits."""
+        return history.expanding(self.rows, self._periods(self.setup.train.start, self.setup.test.end), self.setup.past_unit)
 
     def plan(self, split: str):
         """(history, key, column prefix) of a split: own day's fold left out while fitting, all days of the period after it."""
         own = fold("date", self.setup.fold_scheme, self.setup.data_start)
         everything = F.lit(5)
-        month = F.col("month")
-        frozen = self.setup.after == "frozen"
-        return {
-            "train": [(self.first, own, ""), (self.second, own, "refit_")],
-            "valid": [(self.first, everything, "") if frozen else (self.past, month, ""), (self.second, own, "refit_")],
-            "test": [(self.second, everything, "") if frozen else (self.past, month, "")],
-        }[split]
+        if split == "train":
+            return [(self.first, own, ""), (self.second, own, "refit_")]
+        if self.setup.after == "monthly":
+            frozen = (self.past(split), self.key, "")
+        else:
+            frozen = (self.first if split == "valid" else self.second, everything, "")
+        return [frozen, (self.second, own, "refit_")] if split == "valid" else [frozen]
 
 
 def split_dataset(rows: DataFrame, histories: Histories, split: str) -> DataFrame:
     """One of train, valid, test: features, baselines by month, history by the split's plan; ids only in test."""
     out = sampled(rows, histories.setup, split)
-    out = histories.past.baseline(out, F.col("month"))
-    out = histories.recent.baseline(out, F.col("month"), "baseline_recent")
+    out = histories.past(split).baseline(out, histories.key)
+    out = histories.recent(split).baseline(out, histories.key, "baseline_recent")
     for h, key, prefix in histories.plan(split):
         out = h.features(out, key, prefix)
     drop = ["month", "bucket"] + ([] if split == "test" else IDS)
@@ -119,7 +147,7 @@ def rolling_dataset(rows: DataFrame, month: str, setup: Setup) -> DataFrame:
     m = F.lit(month).cast("date")
     before = F.add_months(m, -1)
     past = rows.filter(F.col("date") < m)
-    lfo = history.History(history.histogram(past.filter(F.col("date") >= F.lit(setup.data_start).cast("date")), fold("date", setup.fold_scheme, setup.data_start)), history.fold_keys())
+    lfo = history.History(history.histogram(past.filter(F.col("date") >= F.lit(setup.data_start).cast("date")), fold("date", setup.fold_scheme, setup.data_start)), history.sent_to(history.fold_keys()))
     part = F.when(F.col("date") < before, "train").when(F.col("date") < m, "stop").when(F.col("month") == m, "test")
     out = rows.filter((F.col("date") >= F.lit(setup.train.start).cast("date")) & (F.col("month") <= m)).withColumn("part", part)
     key = F.when(F.col("part") == "test", F.lit(5)).otherwise(fold("date", setup.fold_scheme, setup.data_start))
@@ -160,14 +188,14 @@ def variant(rows: DataFrame, setup: Setup, split: str, holidays: Sequence[str] |
         h = history.leave_fold_out(basis, setup.data_start, end, setup.fold_scheme)
         key = fold("date", setup.fold_scheme, setup.data_start) if split == "train" else F.lit(5)
     else:
-        first = F.trunc(F.lit(setup.train.start).cast("date"), scheme)
-        starts = [str(r[0]) for r in rows.select(F.trunc("date", scheme).alias("p")).filter(F.col("p") >= first).distinct().orderBy("p").collect()]  # one per week or month
+        starts = [str(r[0]) for r in out.select(F.trunc("date", scheme).alias("p")).distinct().orderBy("p").collect()]  # one per week or month
         h, key = history.expanding(basis, starts, scheme), F.trunc("date", scheme)
     out = h.features(out, key)
     if counted:
-        keys, stats = history.SPECS["lsdhd"]
-        counts = history.statistics(history.histogram(basis, F.trunc("date", "month")), keys, stats, history.later(history.months(setup.train.start, setup.test.end)), counted=True)
-        counts = counts.select(F.col("hkey").alias("month"), *keys, F.col("hist_n").alias("hist_n_lsdhd"))
+        keys = history.SPECS["lsdhd"][0]
+        p = setup.period(split)
+        counts = history.with_counts(basis, history.months(p.start, p.end))
+        counts = counts.select(F.col("hkey").alias("month"), *keys, "hist_n_lsdhd")
         out = out.join(counts, ["month", *keys], "left")
     if aged:
         end = F.lit(setup.train.end if split != "test" else setup.valid.end).cast("date")

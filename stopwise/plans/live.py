@@ -23,9 +23,9 @@ def trip_times(visits: DataFrame, plan: DataFrame) -> DataFrame:
     return t.withColumn("trip_end_ts", plus_seconds("trip_start_ts", F.round(F.col("dur_min") * 60))).drop("dur_min")
 
 
-def observations(rows: DataFrame, times: DataFrame, past) -> DataFrame:
+def observations(rows: DataFrame, times: DataFrame, histories: Histories) -> DataFrame:
     """Each visit at its actual time, with its deviation from the baseline of its month and the growth since the previous stop."""
-    c = past.baseline(rows, F.col("month")).join(times.select("journey_id", "trip_start_ts"), "journey_id")
+    c = histories.whole_past().baseline(rows, histories.key).join(times.select("journey_id", "trip_start_ts"), "journey_id")
     c = c.withColumn("anom", clipped(F.col("y") - F.col("baseline"), *DEVIATION_RANGE)).withColumn("obs_ts", plus_seconds("trip_start_ts", F.round(F.col("sched_min_from_start") * 60) + F.col("y")))
     j = Window.partitionBy("journey_id").orderBy("seq")
     c = c.withColumns({"growth": clipped(F.col("anom") - F.lag("anom").over(j), *GROWTH_RANGE), "prev_stop": F.lag("stop").over(j)})
@@ -135,10 +135,10 @@ def live_dataset(visits: DataFrame, rows: DataFrame, plan: DataFrame, histories:
     """One of the real-time sets: static and history columns, lead, horizon and everything known at T."""
     setup = histories.setup
     times = stored(trip_times(visits, plan))
-    obs = stored(observations(rows, times, histories.past))
+    obs = stored(observations(rows, times, histories))
     base = rows.drop("stop_name", "origin_name", "dest_name")
     q = stored(query_rows(base, times, setup, split))
-    static = histories.past.baseline(q, F.col("month"))
+    static = histories.past(split).baseline(q, histories.key)
     for h, key, prefix in histories.plan(split):
         static = h.features(static, key, prefix)
     per_stop, per_trip = stored(stop_features(q, obs)), stored(trip_features(q, obs, times, setup, any_line))

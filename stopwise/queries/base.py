@@ -66,6 +66,15 @@ def daytype_sql(d: str) -> str:
     return f"CASE WHEN isodow({d}) = 7 OR {d} IN ({HOLIDAYS}) THEN 2 WHEN isodow({d}) = 6 THEN 1 ELSE 0 END"
 
 
+_PHI, _DELTA = "radians(63.43)", "radians(23.44) * sin(radians(360.0 * (dayofyear({d}) + 284) / 365))"
+
+
+def daylight_sql(d: str) -> str:
+    """Hours between sunrise and sunset from the sun's declination, by sines and cosines."""
+    delta = _DELTA.format(d=d)
+    return f"24 / pi() * acos(greatest(-1, least(1, -(sin({_PHI}) * sin({delta})) / (cos({_PHI}) * cos({delta})))))"
+
+
 def bucket_sql(key: str, modulo: int = 100) -> str:
     return f"CAST(CAST(concat('0x', left(md5({key}), 15)) AS BIGINT) % {modulo} AS INTEGER)"
 

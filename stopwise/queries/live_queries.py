@@ -13,16 +13,14 @@ from ..sources import adapters, io
 from ..sources.scratch import stored, temp_folder
 from ..streaming import feed
 from .base import bucket_sql, query, rounded
-from .history_queries import BASELINE, FEATURE_SQL, FOLD_ROWS, lookups, tables_sql
+from .history_queries import BASELINE, FEATURE_SQL, FOLD_ROWS, PAST_ROWS, lookups, tables_sql
 from .trip_queries import CLEAN, visits
 
 SETUP = adapters.LIVE
-_PAST = "m AS (SELECT DATE '2024-01-01' AS hkey)"
 
 
 class _World:
-    """The frames that the real-time jobs share. The live tables span one month, so the baseline is that of
-    leave-fold-out key 5, known for every row, except where a query asks for the month's past."""
+    """The frames that the real-time jobs share. The live tables span one month, so their past is kept by weeks."""
 
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir = spark, sf_dir
@@ -41,65 +39,64 @@ class _World:
         return stored(live.trip_times(self.visits, self.plan))
 
     @cached_property
-    def obs(self):
-        return stored(live.observations(self.rows, self.times, _Whole(self.rows)))
-
+    def histories(self):
+        return datasets.Histories(self.rows, SETUP)
 
-class _Whole:
-    """A baseline from the training days, whatever the month."""
-
-    def __init__(self, rows):
-        from ..operators import history
+    @cached_property
+    def obs(self):
+        return stored(live.observations(self.rows, self.times, self.histories))
 
-        self.h = history.leave_fold_out(rows, SETUP.data_start, SETUP.train.end)
 
-    def baseline(self, rows, key, name="baseline"):
-        return self.h.baseline(rows, F.lit(5), name)
+_WEEKS = "m AS (SELECT DATE '2024-01-01' + CAST(7 * i AS INTEGER) AS hkey FROM range(5) AS n(i))"
+_PAST = PAST_ROWS.replace("JOIN c ON", "JOIN clean c ON")
+_WEEK = "c.date - CAST(isodow(c.date) - 1 AS INTEGER)"
 
-    def features(self, rows, key, prefix=""):
-        return self.h.features(rows, F.lit(5), prefix)
+#: tt: planned times of each journey; obs: each credible visit at its actual time, beside the visit before it.
+OBS = f"""{CLEAN}, {_WEEKS}, {tables_sql(_PAST, 'b')},
+ tt AS (SELECT k.journey_id, span.line, span.starts AS trip_start_ts, k.origin AS origin_name, plan.dest_name, plan.n_stops,
+     span.starts + to_seconds(CAST(round(plan.dur_min * 60) AS BIGINT)) AS trip_end_ts FROM k JOIN span USING (journey_id) LEFT JOIN plan USING (journey_id)),
+ seen AS (SELECT c.journey_id, c.seq, c.line, c.direction, c.stop, c.y, v.aimed_arrival_local + to_seconds(c.y) AS obs_ts, c.y - {BASELINE.format(p='b')} AS off,
+     count(*) OVER (PARTITION BY c.journey_id ORDER BY c.seq) AS place FROM clean c JOIN v ON v.journey_id = c.journey_id AND v.seq = c.seq {lookups(_WEEK, 'b')}),
+ dev AS (SELECT * EXCLUDE (off), CASE WHEN off > 900 THEN 900 WHEN off < -600 THEN -600 ELSE off END AS anom FROM seen),
+ obs AS (SELECT now.*, former.stop AS prev_stop, CASE WHEN now.anom - former.anom > 600 THEN 600 WHEN now.anom - former.anom < -300 THEN -300 ELSE now.anom - former.anom END AS growth
+   FROM dev now LEFT JOIN dev former ON former.journey_id = now.journey_id AND former.place = now.place - 1)"""
 
 
-_TRAIN = FOLD_ROWS.format(end="2024-01-20", fold="dayofyear(date) % 5").replace("FROM c,", "FROM clean c,")
-OBS = f"""{CLEAN}, {tables_sql(_TRAIN)},
- tt AS (SELECT r.*, plan.dest_name, plan.n_stops, r.trip_start_ts + to_seconds(CAST(round(plan.dur_min * 60) AS BIGINT)) AS trip_end_ts
-   FROM (SELECT journey_id, min(lineRef) AS line, min(aimed_arrival_local) AS trip_start_ts, arg_min(stopPointRef, seq) AS origin_name FROM v GROUP BY journey_id) r LEFT JOIN plan USING (journey_id)),
- o0 AS (SELECT c.journey_id, c.seq, c.line, c.direction, c.stop, c.y, tt.trip_start_ts + to_seconds(CAST(round(c.sched_min_from_start * 60) AS BIGINT) + c.y) AS obs_ts, {BASELINE.format(p='h')} AS baseline
-   FROM clean c JOIN tt USING (journey_id) {lookups('5')}),
- o1 AS (SELECT *, CASE WHEN baseline IS NOT NULL THEN greatest(-600, least(900, y - baseline)) END AS anom FROM o0),
- o2 AS (SELECT *, anom - lag(anom) OVER j AS g, lag(stop) OVER j AS prev_stop FROM o1 WINDOW j AS (PARTITION BY journey_id ORDER BY seq)),
- obs AS (SELECT *, CASE WHEN g IS NOT NULL THEN greatest(-300, least(600, g)) END AS growth FROM o2)"""
+def closed_at(minutes: int) -> str:
+    """The end of the bucket that an observation falls in: it is not seen before."""
+    return f"epoch_ms((CAST(epoch(obs_ts) AS BIGINT) // {60 * minutes} + 1) * {60_000 * minutes})"
 
 
 def bucket_sql_of(name: str) -> str:
     keys, minutes, value = live.SERIES[name]
     ks = "".join(k + ", " for k in keys)
     where = "WHERE prev_stop IS NOT NULL" if name == "seg" else ""
-    return f"SELECT {ks}time_bucket(INTERVAL {minutes} MINUTE, obs_ts) + INTERVAL {minutes} MINUTE AS t, count(*) AS n, count({value}) AS na, sum({value}) AS sa FROM obs {where} GROUP BY ALL"
+    return f"SELECT {ks}{closed_at(minutes)} AS t, count(*) AS n, count({value}) AS na, sum({value}) AS sa FROM obs {where} GROUP BY ALL"
 
 
-def cum_sql(name: str) -> str:
-    keys = live.SERIES[name][0]
-    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
-    ks = "".join(k + ", " for k in keys)
-    return f"cum_{name} AS (SELECT {ks}t, sum(n) OVER w AS cn, sum(na) OVER w AS cna, sum(sa) OVER w AS csa FROM ({bucket_sql_of(name)}) WINDOW w AS ({part}ORDER BY t ROWS UNBOUNDED PRECEDING))"
+def query_rows_sql(split: str) -> str:
+    """q: rows of a split, their leads and times; tr: one row per trip and lead."""
+    p, pct = SETUP.period(split), dict(SETUP.sample_pct)[split]
+    drawn = bucket_sql("c.journey_id || '#lead'", 86)
+    leads = "CAST(unnest([10, 30, 60]) AS INTEGER)" if split == "test" else f"CAST(5 + {drawn} AS INTEGER)"
+    return f"""chosen AS (SELECT c.*, {leads} AS lead_min FROM clean c WHERE bucket < {pct} AND date >= DATE '{p.start}' AND date <= DATE '{p.end}'),
+ q AS (SELECT h.journey_id, h.lead_min, h.seq, h.line, h.direction, h.stop, tt.trip_start_ts, tt.origin_name AS origin_stopname, tt.trip_start_ts - INTERVAL 1 MINUTE * (h.lead_min + 2) AS T,
+     (SELECT max_by(g.stop, g.seq) FROM chosen g WHERE g.journey_id = h.journey_id AND g.lead_min = h.lead_min AND g.seq < h.seq) AS prev_stop FROM chosen h JOIN tt ON tt.journey_id = h.journey_id),
+ tr AS (SELECT DISTINCT journey_id, lead_min, line, direction, T, trip_start_ts, origin_stopname FROM q)"""
 
 
-QUERY_ROWS = """q AS (SELECT c.journey_id, l.lead_min, c.seq, c.line, c.direction, c.stop, tt.trip_start_ts, tt.origin_name AS origin_stopname, tt.trip_start_ts - to_minutes(l.lead_min + 2) AS T, lag(c.stop) OVER (PARTITION BY c.journey_id, l.lead_min ORDER BY c.seq) AS prev_stop
-   FROM clean c JOIN tt USING (journey_id) CROSS JOIN (SELECT CAST(unnest([10, 30, 60]) AS INTEGER) AS lead_min) l WHERE bucket < 25 AND date BETWEEN DATE '2024-01-26' AND DATE '2024-01-30'),
- tr AS (SELECT DISTINCT journey_id, lead_min, line, direction, T, trip_start_ts, origin_stopname FROM q)"""
+QUERY_ROWS = query_rows_sql("test")
 
 
 def windows_sql(source: str, rows: str, name: str, windows, prefix: str) -> str:
-    keys = live.SERIES[name][0]
-    joins, cols = [], []
-    for w in (0, *windows):
-        on = " AND ".join([f"a{w}.{k} = x.{k}" for k in keys] + [f"a{w}.t <= x.T - INTERVAL {w} MINUTE"])
-        joins.append(f"ASOF LEFT JOIN cum_{name} a{w} ON {on}")
-    for w in windows:
-        d = lambda c: f"(coalesce(a0.{c}, 0) - coalesce(a{w}.{c}, 0))"  # noqa: B023, E731
-        cols += [f"CAST({d('cn')} AS INTEGER) AS rt_{prefix}_n{w}", f"round({d('csa')} / nullif({d('cna')}, 0), 6) AS rt_{prefix}_anom{w}"]
-    return f"SELECT {rows}, {', '.join(cols)} FROM {source} x {' '.join(joins)}"
+    """Straight from the observations whose buckets closed in (T - w, T]."""
+    keys, minutes, value = live.SERIES[name]
+    on = " AND ".join([f"o.{k} = x.{k}" for k in keys] + [f"o.t <= x.T AND o.t > x.T - INTERVAL {max(windows)} MINUTE"])
+    inside = lambda w: f"FILTER (WHERE o.t > x.T - INTERVAL {w} MINUTE)"
+    cols = [f"CAST(count(o.t) {inside(w)} AS INTEGER) AS rt_{prefix}_n{w}, round(avg(o.{value}) {inside(w)}, 6) AS rt_{prefix}_anom{w}" for w in windows]
+    seen = f"(SELECT *, {closed_at(minutes)} AS t FROM obs{' WHERE prev_stop IS NOT NULL' if name == 'seg' else ''})"
+    x = ", ".join("x." + c.strip() for c in rows.split(","))
+    return f"SELECT {x}, {', '.join(cols)} FROM {source} x LEFT JOIN {seen} o ON {on} GROUP BY {x}"
 
 
 def _q(w: _World):
@@ -130,7 +127,7 @@ for _name in live.SERIES:
     _buckets(_name)
 
 
-@query("win_05", f"WITH {OBS} SELECT line, direction, obs_ts, journey_id, seq FROM obs WHERE anom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, direction, obs_ts ORDER BY journey_id DESC, seq DESC) = 1")
+@query("win_05", f"WITH {OBS} SELECT line, direction, obs_ts, max(journey_id) AS journey_id, max_by(seq, (journey_id, seq)) AS seq FROM obs WHERE anom IS NOT NULL GROUP BY line, direction, obs_ts")
 def win_05(spark, sf_dir):
     return live.last_by_line(_World(spark, sf_dir).obs).select("line", "direction", "obs_ts", "journey_id", "seq")
 
@@ -140,82 +137,93 @@ def win_07(spark, sf_dir):
     return _q(_World(spark, sf_dir)).select("journey_id", "lead_min", "seq", "T", "prev_stop")
 
 
-@query("win_08", f"WITH {OBS}, {cum_sql('stop')} SELECT stop, t, CAST(cn AS BIGINT) AS cn, CAST(cna AS BIGINT) AS cna, CAST(csa AS DOUBLE) AS csa FROM cum_stop")
+@query("win_08", f"""WITH {OBS}, bk AS ({bucket_sql_of('stop')}) SELECT a.stop, a.t, CAST(sum(b.n) AS BIGINT) AS cn, CAST(sum(b.na) AS BIGINT) AS cna, CAST(sum(b.sa) AS DOUBLE) AS csa
+  FROM bk a JOIN bk b ON b.stop = a.stop AND b.t <= a.t GROUP BY a.stop, a.t""")
 def win_08(spark, sf_dir):
     return live.series(_World(spark, sf_dir).obs, "stop").withColumn("csa", F.col("csa").cast("double"))
 
 
-@query("jn_08", f"WITH {OBS}, {QUERY_ROWS}, {cum_sql('ld')} {windows_sql('tr', 'journey_id, lead_min', 'ld', [20, 60, 180], 'ld')}")
+@query("jn_08", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('tr', 'journey_id, lead_min', 'ld', [20, 60, 180], 'ld')}")
 def jn_08(spark, sf_dir):
     w = _World(spark, sf_dir)
     return rounded(asof.windowed_sums(_tr(_q(w)), live.series(w.obs, "ld"), live.TRIP, ["line", "direction"], [20, 60, 180], "ld"))
 
 
-@query("jn_08_net", f"WITH {OBS}, {QUERY_ROWS}, {cum_sql('net')} {windows_sql('tr', 'journey_id, lead_min', 'net', [15, 60], 'net')}")
+@query("jn_08_net", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('tr', 'journey_id, lead_min', 'net', [15, 60], 'net')}")
 def jn_08_net(spark, sf_dir):
     w = _World(spark, sf_dir)
     return rounded(asof.windowed_sums(_tr(_q(w)), live.series(w.obs, "net"), live.TRIP, [], [15, 60], "net"))
 
 
-@query("jn_08_stop", f"WITH {OBS}, {QUERY_ROWS}, {cum_sql('stop')} {windows_sql('q', 'journey_id, lead_min, seq', 'stop', [60], 'stop')}")
+@query("jn_08_stop", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('q', 'journey_id, lead_min, seq', 'stop', [60], 'stop')}")
 def jn_08_stop(spark, sf_dir):
     w = _World(spark, sf_dir)
     return rounded(asof.windowed_sums(_q(w), live.series(w.obs, "stop"), [*live.TRIP, "seq"], ["stop"], [60], "stop"))
 
 
-@query("jn_08_seg", f"WITH {OBS}, {QUERY_ROWS}, {cum_sql('seg')} {windows_sql('q', 'journey_id, lead_min, seq', 'seg', [30, 90], 'seg')}")
+@query("jn_08_seg", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('q', 'journey_id, lead_min, seq', 'seg', [30, 90], 'seg')}")
 def jn_08_seg(spark, sf_dir):
     w = _World(spark, sf_dir)
     return rounded(asof.windowed_sums(_q(w), live.series(w.obs, "seg"), [*live.TRIP, "seq"], ["prev_stop", "stop"], [30, 90], "seg"))
 
 
-LAST_LD = "ol AS (SELECT line, direction, obs_ts, anom FROM obs WHERE anom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, direction, obs_ts ORDER BY journey_id DESC, seq DESC) = 1)"
-LAST_STOP = "os AS (SELECT line, direction, stop, obs_ts, anom FROM obs WHERE anom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, direction, stop, obs_ts ORDER BY journey_id DESC, seq DESC) = 1)"
-LAST_J = "oj AS (SELECT journey_id, obs_ts, y, seq FROM obs QUALIFY row_number() OVER (PARTITION BY journey_id, obs_ts ORDER BY seq DESC) = 1)"
-ENDS = "te AS (SELECT * FROM tt WHERE trip_end_ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, dest_name, trip_end_ts ORDER BY journey_id DESC) = 1)"
-ENDS_ANY = "ta AS (SELECT * FROM tt WHERE trip_end_ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dest_name, trip_end_ts ORDER BY journey_id DESC) = 1)"
-IN_SAME = """i0 AS (SELECT tr.*, te.journey_id AS ij, te.trip_end_ts AS ie, te.n_stops AS n1 FROM tr ASOF LEFT JOIN te ON te.line = tr.line AND te.dest_name = tr.origin_stopname AND te.trip_end_ts < tr.trip_start_ts),
- inc AS (SELECT * EXCLUDE (ij, ie, n1), CASE WHEN date_diff('minute', ie, trip_start_ts) <= 90 THEN ij END AS in_journey_id, CASE WHEN date_diff('minute', ie, trip_start_ts) <= 90 THEN ie END AS in_trip_end_ts, n1 AS in_n_stops FROM i0)"""
+_AGE = "round((epoch(x.T) - epoch({o})) / 60.0, 6)"
+_LAST_LD = f"""SELECT x.journey_id, x.lead_min, CAST(max_by(o.anom, (o.obs_ts, o.journey_id, o.seq)) AS DOUBLE) AS {{anom}}, {_AGE.format(o='max(o.obs_ts)')} AS {{age}}
+  FROM tr x LEFT JOIN obs o ON o.anom IS NOT NULL AND o.line = x.line AND o.direction = x.direction AND o.obs_ts <= x.T GROUP BY x.journey_id, x.lead_min, x.T"""
+_LAST_STOP = f"""SELECT x.journey_id, x.lead_min, x.seq, CAST(max_by(o.anom, (o.obs_ts, o.journey_id, o.seq)) AS DOUBLE) AS rt_prev_anom, {_AGE.format(o='max(o.obs_ts)')} AS rt_prev_age_min
+  FROM q x LEFT JOIN obs o ON o.anom IS NOT NULL AND o.line = x.line AND o.direction = x.direction AND o.stop = x.stop AND o.obs_ts <= x.T GROUP BY x.journey_id, x.lead_min, x.seq, x.T"""
+_GAP = "CAST(epoch({b}) AS BIGINT) // 60 - CAST(epoch({a}) AS BIGINT) // 60"
+
+
+def ended_sql(name: str, same_line: bool) -> str:
+    """Of the planned trips that end at a trip's origin before it starts, the last one; ties to the highest id."""
+    line = "e.line = x.line AND " if same_line else ""
+    best = lambda c: f"max_by(e.{c}, (e.trip_end_ts, e.journey_id))"
+    return f"""{name} AS (SELECT x.journey_id, x.lead_min, x.line, x.T, x.trip_start_ts, {best('journey_id')} AS j, max(e.trip_end_ts) AS e, {best('n_stops')} AS stops, {best('line')} AS l
+   FROM tr x LEFT JOIN tt e ON {line}e.dest_name = x.origin_stopname AND e.trip_end_ts < x.trip_start_ts GROUP BY ALL)"""
+
+
+#: inc: the incoming vehicle, where its gap is not too long.
+IN_SAME = f"""{ended_sql('i1', True)}, inc AS (SELECT journey_id, lead_min, T, trip_start_ts, CASE WHEN {_GAP.format(a='e', b='trip_start_ts')} <= 90 THEN j END AS in_journey_id,
+   CASE WHEN {_GAP.format(a='e', b='trip_start_ts')} <= 90 THEN e END AS in_trip_end_ts, stops AS in_n_stops FROM i1)"""
 
 
-@query("jn_09", f"WITH {OBS}, {QUERY_ROWS}, {LAST_LD} SELECT tr.journey_id, lead_min, CAST(ol.anom AS DOUBLE) AS last_anom, round(date_diff('second', ol.obs_ts, tr.T) / 60.0, 6) AS age_min FROM tr ASOF LEFT JOIN ol ON ol.line = tr.line AND ol.direction = tr.direction AND ol.obs_ts <= tr.T")
+@query("jn_09", f"WITH {OBS}, {QUERY_ROWS} {_LAST_LD.format(anom='last_anom', age='age_min')}")
 def jn_09(spark, sf_dir):
     w = _World(spark, sf_dir)
     f = asof.asof_join(_tr(_q(w)), live.last_by_line(w.obs), ["line", "direction"], "T", "obs_ts", ["anom", "obs_ts"], "l_")
     return rounded(f.select(*live.TRIP, F.col("l_anom").cast("double").alias("last_anom"), live.minutes("l_obs_ts", "T").cast("double").alias("age_min")))
 
 
-@query("jn_10", f"WITH {OBS}, {QUERY_ROWS}, {ENDS}, {IN_SAME} SELECT journey_id, lead_min, in_journey_id, in_trip_end_ts FROM inc")
+@query("jn_10", f"WITH {OBS}, {QUERY_ROWS}, {IN_SAME} SELECT journey_id, lead_min, in_journey_id, in_trip_end_ts FROM inc")
 def jn_10(spark, sf_dir):
     w = _World(spark, sf_dir)
     return live.incoming(_tr(_q(w)), w.times, SETUP.incoming_max_gap).select(*live.TRIP, "in_journey_id", "in_trip_end_ts")
 
 
-@query("jn_11", f"""WITH {OBS}, {QUERY_ROWS}, {ENDS}, {ENDS_ANY}, x1 AS (SELECT tr.*, te.journey_id AS j1, te.trip_end_ts AS e1 FROM tr ASOF LEFT JOIN te ON te.line = tr.line AND te.dest_name = tr.origin_stopname AND te.trip_end_ts < tr.trip_start_ts),
-  x2 AS (SELECT x1.*, ta.journey_id AS j2, ta.trip_end_ts AS e2, CAST(ta.line = x1.line AS INTEGER) AS s2 FROM x1 ASOF LEFT JOIN ta ON ta.dest_name = x1.origin_stopname AND ta.trip_end_ts < x1.trip_start_ts)
-  SELECT journey_id, lead_min, CASE WHEN date_diff('minute', e1, trip_start_ts) <= 90 THEN j1 WHEN date_diff('minute', e2, trip_start_ts) <= 90 THEN j2 END AS in_journey_id,
-    CASE WHEN date_diff('minute', e1, trip_start_ts) <= 90 THEN 1 WHEN date_diff('minute', e2, trip_start_ts) <= 90 THEN s2 END AS rt_in_same_line FROM x2""")
+@query("jn_11", f"""WITH {OBS}, {QUERY_ROWS}, {ended_sql('i1', True)}, {ended_sql('i2', False)}, near AS (SELECT journey_id, lead_min, j, 1 AS same_line FROM i1 WHERE {_GAP.format(a='e', b='trip_start_ts')} <= 90),
+  other AS (SELECT journey_id, lead_min, j, CAST(l = line AS INTEGER) AS same_line FROM i2 WHERE {_GAP.format(a='e', b='trip_start_ts')} <= 90),
+  found AS (FROM near UNION ALL SELECT * FROM other WHERE (journey_id, lead_min) NOT IN (SELECT (journey_id, lead_min) FROM near))
+  SELECT tr.journey_id, tr.lead_min, found.j AS in_journey_id, found.same_line AS rt_in_same_line FROM tr LEFT JOIN found ON found.journey_id = tr.journey_id AND found.lead_min = tr.lead_min""")
 def jn_11(spark, sf_dir):
     w = _World(spark, sf_dir)
     return live.incoming(_tr(_q(w)), w.times, SETUP.incoming_max_gap, any_line=True).select(*live.TRIP, "in_journey_id", "rt_in_same_line")
 
 
-_IN_COLS = """round(date_diff('second', in_trip_end_ts, trip_start_ts) / 60.0, 6) AS rt_in_gap_min, CAST(oj.y AS DOUBLE) AS rt_in_delay, round(date_diff('second', oj.obs_ts, inc.T) / 60.0, 6) AS rt_in_age_min,
-  round(oj.seq / CAST(in_n_stops AS DOUBLE), 6) AS rt_in_progress, round(date_diff('second', in_trip_end_ts, trip_start_ts) / 60.0 - oj.y / 60.0, 6) AS rt_in_slack_min"""
-_IN = f"SELECT inc.journey_id, lead_min, {_IN_COLS} FROM inc ASOF LEFT JOIN oj ON oj.journey_id = inc.in_journey_id AND oj.obs_ts <= inc.T"
+_LEFT = "(epoch(in_trip_end_ts) - epoch(trip_start_ts)) / -60.0"
+_IN = f"""SELECT x.journey_id, x.lead_min, round({_LEFT}, 6) AS rt_in_gap_min, CAST(delay AS DOUBLE) AS rt_in_delay, {_AGE.format(o='told_at')} AS rt_in_age_min, round(stop_no / CAST(in_n_stops AS DOUBLE), 6) AS rt_in_progress,
+  round({_LEFT} - delay / 60.0, 6) AS rt_in_slack_min FROM inc x LEFT JOIN (SELECT i.journey_id, i.lead_min, max_by(o.y, (o.obs_ts, o.seq)) AS delay, max(o.obs_ts) AS told_at, max_by(o.seq, (o.obs_ts, o.seq)) AS stop_no
+    FROM inc i JOIN obs o ON o.journey_id = i.in_journey_id AND o.obs_ts <= i.T GROUP BY ALL) s ON s.journey_id = x.journey_id AND s.lead_min = x.lead_min"""
 
 
-@query("jn_12", f"WITH {OBS}, {QUERY_ROWS}, {ENDS}, {IN_SAME}, {LAST_J} {_IN}")
+@query("jn_12", f"WITH {OBS}, {QUERY_ROWS}, {IN_SAME} {_IN}")
 def jn_12(spark, sf_dir):
     w = _World(spark, sf_dir)
     f = live.incoming_delay(live.incoming(_tr(_q(w)), w.times, SETUP.incoming_max_gap), w.obs)
     return rounded(f.select(*live.TRIP, *[F.col(c).cast("double").alias(c) for c in f.columns if c.startswith("rt_in_")]))
 
 
-_PREV = "SELECT q.journey_id, lead_min, q.seq, CAST(os.anom AS DOUBLE) AS rt_prev_anom, round(date_diff('second', os.obs_ts, q.T) / 60.0, 6) AS rt_prev_age_min FROM q ASOF LEFT JOIN os ON os.line = q.line AND os.direction = q.direction AND os.stop = q.stop AND os.obs_ts <= q.T"
-
-
-@query("jn_13", f"WITH {OBS}, {QUERY_ROWS}, {LAST_STOP} {_PREV}")
+@query("jn_13", f"WITH {OBS}, {QUERY_ROWS} {_LAST_STOP}")
 def jn_13(spark, sf_dir):
     w = _World(spark, sf_dir)
     f = asof.asof_join(_q(w).select(*live.TRIP, "seq", "line", "direction", "stop", "T"), live.last_by_stop(w.obs), ["line", "direction", "stop"], "T", "obs_ts", ["anom", "obs_ts"], "p_")
@@ -225,8 +233,12 @@ def jn_13(spark, sf_dir):
 _SEG = f"sg AS ({windows_sql('q', 'journey_id, lead_min, seq', 'seg', [30, 90], 'seg')})"
 
 
-@query("win_09", f"""WITH {OBS}, {QUERY_ROWS}, {cum_sql('seg')}, {_SEG} SELECT journey_id, lead_min, seq, round(sum(coalesce(rt_seg_anom30, 0)) OVER w, 4) AS rt_segcum30, round(avg(CAST(rt_seg_n30 > 0 AS INT)) OVER w, 6) AS rt_segcov30
-  FROM sg WINDOW w AS (PARTITION BY journey_id, lead_min ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def along_sql(w: int, digits: int) -> str:
+    return f"""SELECT a.journey_id, a.lead_min, a.seq, round(sum(coalesce(b.rt_seg_anom{w}, 0)), {digits}) AS rt_segcum{w}, round(count(CASE WHEN b.rt_seg_n{w} > 0 THEN 1 END) / count(*), 6) AS rt_segcov{w}
+  FROM sg a JOIN sg b ON b.journey_id = a.journey_id AND b.lead_min = a.lead_min AND b.seq <= a.seq GROUP BY a.journey_id, a.lead_min, a.seq"""
+
+
+@query("win_09", f"WITH {OBS}, {QUERY_ROWS}, {_SEG} {along_sql(30, 4)}")
 def win_09(spark, sf_dir):
     w = _World(spark, sf_dir)
     s = asof.windowed_sums(_q(w), live.series(w.obs, "seg"), [*live.TRIP, "seq"], ["prev_stop", "stop"], [30, 90], "seg")
@@ -234,7 +246,7 @@ def win_09(spark, sf_dir):
     return a.select(*live.TRIP, "seq", (F.round("rt_segcum30", 4) + 0.0).alias("rt_segcum30"), F.round("rt_segcov30", 6).alias("rt_segcov30"))
 
 
-@query("jn_14", f"""WITH {OBS}, {QUERY_ROWS}, {cum_sql('net')}, n AS ({windows_sql('tr', 'journey_id, lead_min', 'net', [15, 60], 'net')}) SELECT q.journey_id, q.lead_min, q.seq, rt_net_n15, rt_net_anom15 FROM q JOIN n ON n.journey_id = q.journey_id AND n.lead_min = q.lead_min""")
+@query("jn_14", f"""WITH {OBS}, {QUERY_ROWS}, n AS ({windows_sql('tr', 'journey_id, lead_min', 'net', [15, 60], 'net')}) SELECT q.journey_id, q.lead_min, q.seq, rt_net_n15, rt_net_anom15 FROM q JOIN n ON n.journey_id = q.journey_id AND n.lead_min = q.lead_min""")
 def jn_14(spark, sf_dir):
     w = _World(spark, sf_dir)
     q = _q(w)
@@ -247,41 +259,55 @@ def win_10(spark, sf_dir):
     return io.prepare_weather(adapters.weather(spark, sf_dir)).select("time", "precip_3h")
 
 
-_DS5 = f"""WITH {OBS}, {QUERY_ROWS}, {cum_sql('ld')}, {cum_sql('net')}, {cum_sql('stop')}, {cum_sql('seg')}, {LAST_LD}, {LAST_STOP}, {LAST_J}, {ENDS}, {IN_SAME},
- f1 AS ({windows_sql('tr', 'journey_id, lead_min', 'ld', [20, 60, 180], 'ld')}), f2 AS ({windows_sql('tr', 'journey_id, lead_min', 'net', [15, 60], 'net')}), f3 AS ({_IN}),
- f4 AS (SELECT tr.journey_id, lead_min, CAST(ol.anom AS DOUBLE) AS rt_ld_last_anom, round(date_diff('second', ol.obs_ts, tr.T) / 60.0, 6) AS rt_ld_last_age_min FROM tr ASOF LEFT JOIN ol ON ol.line = tr.line AND ol.direction = tr.direction AND ol.obs_ts <= tr.T),
- f5 AS ({windows_sql('q', 'journey_id, lead_min, seq', 'stop', [60], 'stop')}), {_SEG}, f6 AS ({_PREV}),
- f7 AS (SELECT journey_id, lead_min, seq, round(sum(coalesce(rt_seg_anom90, 0)) OVER w, 3) AS rt_segcum90, round(avg(CAST(rt_seg_n90 > 0 AS INT)) OVER w, 6) AS rt_segcov90 FROM sg WINDOW w AS (PARTITION BY journey_id, lead_min ORDER BY seq ROWS UNBOUNDED PRECEDING))
- SELECT q.journey_id, q.lead_min, q.seq, c.y, c.date, c.n_stops, round(q.lead_min + c.sched_min_from_start, 6) AS horizon_min, {BASELINE.format(p='h')} AS baseline, {FEATURE_SQL.format(p='h', x='')},
-  f1.* EXCLUDE (journey_id, lead_min), f2.* EXCLUDE (journey_id, lead_min, rt_net_n60), f3.* EXCLUDE (journey_id, lead_min), f4.* EXCLUDE (journey_id, lead_min), f5.* EXCLUDE (journey_id, lead_min, seq), sg.* EXCLUDE (journey_id, lead_min, seq), f6.* EXCLUDE (journey_id, lead_min, seq), f7.* EXCLUDE (journey_id, lead_min, seq)
- FROM q JOIN clean c ON c.journey_id = q.journey_id AND c.seq = q.seq {lookups('5')} JOIN f1 ON f1.journey_id = q.journey_id AND f1.lead_min = q.lead_min JOIN f2 ON f2.journey_id = q.journey_id AND f2.lead_min = q.lead_min
-  JOIN f3 ON f3.journey_id = q.journey_id AND f3.lead_min = q.lead_min JOIN f4 ON f4.journey_id = q.journey_id AND f4.lead_min = q.lead_min JOIN f5 ON f5.journey_id = q.journey_id AND f5.lead_min = q.lead_min AND f5.seq = q.seq
-  JOIN sg ON sg.journey_id = q.journey_id AND sg.lead_min = q.lead_min AND sg.seq = q.seq JOIN f6 ON f6.journey_id = q.journey_id AND f6.lead_min = q.lead_min AND f6.seq = q.seq JOIN f7 ON f7.journey_id = q.journey_id AND f7.lead_min = q.lead_min AND f7.seq = q.seq"""
+_OWN = "CAST(dayofyear(c.date) % 5 AS INTEGER)"
+_FOLDS = {p: tables_sql(FOLD_ROWS.format(end=end, fold="dayofyear(date) % 5").replace("FROM c,", "FROM clean c,"), p) for p, end in (("h0", SETUP.train.end), ("h1", SETUP.valid.end))}
 
 
-class _LiveHistories:
-    def __init__(self, rows):
-        self.setup = SETUP
-        self.past = _Whole(rows)
+def live_sql(split: str, plan: list[tuple[str, str, str]]) -> str:
+    """A real-time set with history tables, keys and prefixes by plan."""
+    parts = {
+        "f1": windows_sql("tr", "journey_id, lead_min", "ld", [20, 60, 180], "ld"), "f2": windows_sql("tr", "journey_id, lead_min", "net", [15, 60], "net"), "f3": _IN,
+        "f4": _LAST_LD.format(anom="rt_ld_last_anom", age="rt_ld_last_age_min"), "f5": windows_sql("q", "journey_id, lead_min, seq", "stop", [60], "stop"), "f6": _LAST_STOP, "f7": along_sql(90, 3),
+    }
+    ids = {"f5": ", seq", "f6": ", seq", "f7": ", seq", "sg": ", seq"}
+    joins = " ".join(f"JOIN {f} ON {f}.journey_id = q.journey_id AND {f}.lead_min = q.lead_min" + (f" AND {f}.seq = q.seq" if f in ids else "") for f in ("f1", "f2", "f3", "f4", "f5", "sg", "f6", "f7"))
+    cols = ", ".join(f"{f}.* EXCLUDE (journey_id, lead_min{ids.get(f, '')}{', rt_net_n60' if f == 'f2' else ''})" for f in ("f1", "f2", "f3", "f4", "f5", "sg", "f6", "f7"))
+    feats = ", ".join(FEATURE_SQL.format(p=p, x=x) for p, _, x in plan)
+    own = "q.journey_id, " if split == "test" else ""
+    return f"""WITH {OBS}, {', '.join(_FOLDS[p] for p in sorted({p for p, _, _ in plan}))}, {query_rows_sql(split)}, {IN_SAME}, {_SEG}, {', '.join(f'{k} AS ({v})' for k, v in parts.items())}
+ SELECT {own}q.lead_min, q.seq, c.y, c.date, c.n_stops, round(q.lead_min + c.sched_min_from_start, 6) AS horizon_min, {BASELINE.format(p='b')} AS baseline, {feats}, {cols}
+ FROM q JOIN clean c ON c.journey_id = q.journey_id AND c.seq = q.seq {lookups(_WEEK, 'b')} {' '.join(lookups(key, p) for p, key, _ in plan)} {joins}"""
 
-    def plan(self, split):
-        return [(self.past, F.lit(5), "")]
 
-
-@query("ds_05", _DS5)
-def ds_05(spark, sf_dir):
+def _live_set(spark, sf_dir, split):
     w = _World(spark, sf_dir)
-    out = live.live_dataset(w.visits, w.rows, w.plan, _LiveHistories(w.rows), "test")
-    cols = [c for c in out.columns if c.startswith(("rt_", "hist_")) and c not in ("rt_segcum30", "rt_segcov30")]
+    out = live.live_dataset(w.visits, w.rows, w.plan, w.histories, split)
+    cols = [c for c in out.columns if c.startswith(("rt_", "hist_", "refit_")) and c not in ("rt_segcum30", "rt_segcov30")]
     whole = ("rt_ld_n20", "rt_ld_n60", "rt_ld_n180", "rt_net_n15", "rt_stop_n60", "rt_seg_n30", "rt_seg_n90")
-    out = out.select("journey_id", "lead_min", "seq", "y", "date", "n_stops", F.col("horizon_min").cast("double").alias("horizon_min"), "baseline", *[F.col(c) if c in whole else F.col(c).cast("double").alias(c) for c in cols])
+    ids = ["journey_id"] if split == "test" else []
+    out = out.select(*ids, "lead_min", "seq", "y", "date", "n_stops", F.col("horizon_min").cast("double").alias("horizon_min"), "baseline", *[F.col(c) if c in whole else F.col(c).cast("double").alias(c) for c in cols])
     return rounded(out.withColumn("rt_segcum90", F.round("rt_segcum90", 3)))
 
 
+@query("ds_05", live_sql("test", [("h1", "5", "")]))
+def ds_05(spark, sf_dir):
+    return _live_set(spark, sf_dir, "test")
+
+
+@query("ds_05_train_rows", live_sql("train", [("h0", _OWN, ""), ("h1", _OWN, "refit_")]))
+def ds_05_train_rows(spark, sf_dir):
+    return _live_set(spark, sf_dir, "train")
+
+
+@query("ds_05_valid", live_sql("valid", [("h0", "5", ""), ("h1", _OWN, "refit_")]))
+def ds_05_valid(spark, sf_dir):
+    return _live_set(spark, sf_dir, "valid")
+
+
 @query("ds_05_train", f"""WITH {OBS} SELECT lead_min, count(*) AS n_rows FROM (SELECT CAST(5 + {bucket_sql("journey_id || '#lead'", 86)} AS INTEGER) AS lead_min FROM clean WHERE bucket < 20 AND date BETWEEN DATE '2024-01-01' AND DATE '2024-01-20') GROUP BY lead_min""")
 def ds_05_train(spark, sf_dir):
     w = _World(spark, sf_dir)
-    return live.live_dataset(w.visits, w.rows, w.plan, _LiveHistories(w.rows), "train", any_line=True).groupBy("lead_min").agg(F.count("*").alias("n_rows"))
+    return live.live_dataset(w.visits, w.rows, w.plan, w.histories, "train", any_line=True).groupBy("lead_min").agg(F.count("*").alias("n_rows"))
 
 
 def _feed(spark, sf_dir):
@@ -292,13 +318,14 @@ def _feed(spark, sf_dir):
     return feed.read_feed(spark, path, obs.schema)
 
 
-@query("st_01")
+@query("st_01", f"WITH {OBS} SELECT line, direction, t, n, na, CAST(sa AS DOUBLE) AS sa FROM ({bucket_sql_of('ld')}) WHERE t <= (SELECT max(obs_ts) FROM obs) - INTERVAL 2 MINUTE")
 def st_01(spark, sf_dir):
-    got = feed.replay(feed.bucket_stream(_feed(spark, sf_dir)), "stopwise_buckets", "append", temp_folder(spark))
+    """Buckets that the watermark has closed when the feed ends."""
+    got = feed.replay(feed.bucket_stream(_feed(spark, sf_dir)), "append", temp_folder(spark))
     return got.withColumn("sa", F.col("sa").cast("double"))
 
 
-@query("st_02", f"WITH {OBS} SELECT line, direction, CAST(anom AS DOUBLE) AS anom, obs_ts FROM obs WHERE anom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, direction ORDER BY obs_ts DESC, journey_id DESC, seq DESC) = 1")
+@query("st_02", f"WITH {OBS} SELECT line, direction, CAST(max_by(anom, (obs_ts, journey_id, seq)) AS DOUBLE) AS anom, max(obs_ts) AS obs_ts FROM obs WHERE anom IS NOT NULL GROUP BY line, direction")
 def st_02(spark, sf_dir):
-    got = feed.replay(feed.latest_stream(_feed(spark, sf_dir)), "stopwise_latest", "complete", temp_folder(spark))
+    got = feed.replay(feed.latest_stream(_feed(spark, sf_dir)), "complete", temp_folder(spark))
     return got.withColumn("anom", F.col("anom").cast("double"))

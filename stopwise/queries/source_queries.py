@@ -13,7 +13,7 @@ from ..operators import history
 from ..plans import datasets, live as live_plan, model
 from ..schema import DEVIATION_RANGE
 from ..sources import adapters, io
-from .base import DAILY, LIVE, V_DAILY, V_LIVE, bucket_sql, daily, daytype_sql, HOLIDAYS, live, query, rounded
+from .base import DAILY, HOLIDAYS, LIVE, V_DAILY, V_LIVE, bucket_sql, daily, daylight_sql, daytype_sql, live, query, rounded
 
 FEED = """f AS (SELECT concat('J', CAST(user_id AS VARCHAR)) AS journey_id, CAST(ts AS DATE) AS operatingDate, concat('L', CAST(user_id % 5 AS VARCHAR)) AS lineRef, 'Outbound' AS directionRef,
   concat('S', CAST(event_id % 17 AS VARCHAR)) AS stopPointRef, concat('Stop ', CAST(event_id % 17 AS VARCHAR)) AS stopPointName, event_id AS seq, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ts, event_type, value FROM events)"""
@@ -198,10 +198,7 @@ def scl_03(spark, sf_dir):
     return _days(spark, sf_dir).withColumn("is_school_break", cal.is_school_break("d", [("1996-06-20", "1996-08-18"), ("1997-12-20", "1998-01-02")]))
 
 
-_DAYLIGHT = "2 * degrees(acos(greatest(-1, least(1, -tan(radians(63.43)) * tan(radians(23.44 * sin(2 * pi() * (284 + dayofyear(d)) / 365))))))) / 15"
-
-
-@query("scl_04", f"WITH {V_DAILY}, {DAYS} SELECT d, round({_DAYLIGHT}, 6) AS daylight_h FROM d")
+@query("scl_04", f"WITH {V_DAILY}, {DAYS} SELECT d, round({daylight_sql('d')}, 6) AS daylight_h FROM d")
 def scl_04(spark, sf_dir):
     return rounded(_days(spark, sf_dir).withColumn("daylight_h", cal.daylight_hours("d")))
 

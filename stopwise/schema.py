@@ -47,6 +47,8 @@ class Setup:
     lead_max: int = 90
     test_leads: tuple = (10, 30, 60)
     fold_scheme: str = "day"
+    #: Rows look up the past of their month, or of their week where the data are short.
+    past_unit: str = "month"
     after: str = "frozen"
 
     def period(self, split: str) -> Period:

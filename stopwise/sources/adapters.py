@@ -87,4 +87,4 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DAILY = Setup(train=Period("1995-01-01", "1999-12-31"), valid=Period("2000-01-01", "2000-12-31"), test=Period("2001-01-01", "2001-08-01"), data_start="1994-12-01")
-LIVE = Setup(train=Period("2024-01-01", "2024-01-20"), valid=Period("2024-01-21", "2024-01-25"), test=Period("2024-01-26", "2024-01-30"), data_start="2024-01-01")
+LIVE = Setup(train=Period("2024-01-01", "2024-01-20"), valid=Period("2024-01-21", "2024-01-25"), test=Period("2024-01-26", "2024-01-30"), data_start="2024-01-01", past_unit="week")

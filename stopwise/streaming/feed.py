@@ -26,8 +26,20 @@ def latest_stream(obs: DataFrame, time: str = "obs_ts") -> DataFrame:
     return obs.filter("anom is not null").groupBy("line", "direction").agg(F.max_by(F.struct("anom", time), order).alias("x")).select("line", "direction", "x.*")
 
 
-def replay(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there now and returns its result table."""
-    q: StreamingQuery = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def replay(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over all that is there now and returns its result, written as Parquet below folder.
+
+    Appended rows get a folder for each micro-batch, a complete result is written over the former one; so a batch that
+    runs again after a failure writes the same files, and nothing is gathered in the driver.
+    """
+    spark, out = stream.sparkSession, f"{folder}/out"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/none")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else number}")
+
+    run: StreamingQuery = (
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
