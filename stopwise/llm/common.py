@@ -13,6 +13,8 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a memo; two generations of it take about 50 MB, in every Python worker.
 MEMO = 150_000
+#: Characters that the keys of a memo's generation have at most, and those of one key.
+MEMO_SIZE, LONG_KEY = 8_000_000, 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,20 +61,26 @@ def input_units(df: DataFrame, per_partition: int = 4, least: int = 8) -> int:
 
 
 class Memo(dict):
-    """key -> make(key); two generations, so that common keys stay when it is full."""
+    """key -> make(key), of strings or bytes; two generations, so that common keys stay when it is full.
+
+    Full means `most` entries or MEMO_SIZE characters. Very long keys are made each time.
+    """
 
     def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.held = make, most, {}, 0
 
     def __missing__(self, key):
+        if len(key) > LONG_KEY:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if len(self) >= self.most or self.held > MEMO_SIZE:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
+        self.held += len(key)
         return value
 
     def trim(self) -> None:
@@ -99,6 +107,7 @@ def word_hashes(words: list[bytes]):
 def trim_words() -> None:
     """For when a task ends: its process may next work for another stage, that has no use for these words."""
     _words.clear()
+    _words.held = 0
     _words.trim()
     release_memory()
 

@@ -13,6 +13,8 @@ from .common import input_units, scrambled, text_of, word_hashes
 WINDOW = 35
 #: A difference cover: every distance modulo PERIOD is a difference of two of its members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
+#: A bucket of keys holds about as many as so many units do.
+UNITS_PER_BUCKET = 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string"
@@ -95,12 +97,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     equal windows share such an anchor at the same distance from their start, so whole
     windows need a look only around anchors that occur twice; these are compared by 128
     bits over the corpus.  No pairs are made: a passage of any frequency costs each unit
-    of documents one entry.
+    of documents one entry.  A unit sends one row to each bucket that it has keys for, so there are never more rows
+    than distinct keys; a bucket takes the keys of UNITS_PER_BUCKET units on average.
     """
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
     units = input_units(docs)
-    bits = max(1, (units - 1).bit_length())
+    bits = max(1, (-(-units // UNITS_PER_BUCKET) - 1).bit_length())
     rows = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(units)).cast("int").alias("unit"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     groups = rows.groupBy("unit")
 

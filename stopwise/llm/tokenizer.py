@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -185,24 +185,31 @@ class Bpe:
             raise ValueError("the ids of merged tokens do not follow the merges' order")
         self.merge = tiktoken.Encoding("bpe", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={})._core_bpe.encode_single_piece
         self.bytes_of = {i: w for w, i in self.ids.items()}
-        self.next: dict[int, int] = {}  # node * 256 + byte -> node; node 0 is the root
-        self.token = [-1]
+        self.states: list[tuple] = []
+
+    @cached_property
+    def trie(self) -> tuple[dict[int, int], list[int], set[int]]:
+        """node * 256 + byte -> node, with root 0; the token that ends at each node, or -1; nodes that go on. For counting only."""
+        after: dict[int, int] = {}
+        token = [-1]
         for w, i in self.ids.items():
             node = 0
             for b in w:
                 key = node << 8 | b
-                child = self.next.get(key)
+                child = after.get(key)
                 if child is None:
-                    child = self.next[key] = len(self.token)
-                    self.token.append(-1)
+                    child = after[key] = len(token)
+                    token.append(-1)
                 node = child
-            self.token[node] = i
-        self.inner = {k >> 8 for k in self.next}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
+            token[node] = i
+        return after, token, {k >> 8 for k in after}
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], bool]:
+        return {}
 
     def _reset(self):
-        self.states: list[tuple] = []
+        self.states = []
         self.edges: list[dict[int, tuple[int, int]]] = []
         self.index: dict[tuple, int] = {}
         self.pairs.clear()
@@ -227,14 +234,15 @@ class Bpe:
     def _compile(self, state: int, byte: int) -> tuple[int, int]:
         """The transition: (state, emitted tokens)."""
         open_, last, emitted = [], None, 0
+        after, token, inner = self.trie
         for node, before, count in self.states[state]:
-            child = self.next.get(node << 8 | byte)
+            child = after.get(node << 8 | byte)
             if child is None:
                 continue
-            t = self.token[child]
+            t = token[child]
             if last is None and t >= 0 and self._fits(before, t):
                 last, emitted = t, count + 1
-            if child in self.inner:
+            if child in inner:
                 open_.append((child, before, count))
         parts = tuple((n, b, c - emitted) for n, b, c in open_) + ((0, last, 0),)
         edge = self.edges[state][byte] = (self._state(parts), emitted)
@@ -242,7 +250,7 @@ class Bpe:
 
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token: the sum of the transitions' annotations."""
-        if len(self.states) > STATES:
+        if not self.states or len(self.states) > STATES:
             self._reset()
         state = total = 0
         edges = self.edges
