@@ -1,15 +1,15 @@
 """Hierarchical language identification: the family first, then one-versus-one linear SVMs inside it."""
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stored, text_of
+from .common import discard, release_memory, stored, text_of
 
 #: Language codes by family. A code that is not here is a family of its own.
 FAMILIES = {
@@ -105,8 +105,6 @@ def machines_of(langs: list[str]) -> list[tuple[str, str, str]]:
 
 def _fit(pdf):
     """One machine from its samples."""
-    import pandas as pd
-
     pdf = pdf.sort_values(["lang", "key", "size"], kind="stable")
     rows = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(pdf["index"], pdf["value"])]
     w = linear_svm(rows, pdf["sign"].to_numpy(float))
@@ -243,11 +241,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
     shipped = spark.sparkContext.broadcast(model)  # 2**BITS weights for each family and each pair inside a family
 
     @F.pandas_udf("lang string, score double")
-    def predict(texts):
-        import pandas as pd
-
-        lang, score = shipped.value.predict(texts.tolist()) if shipped.value.langs else (["und"] * len(texts), np.zeros(len(texts)))
-        return pd.DataFrame({"lang": lang, "score": score})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            n = len(texts)
+            lang, score = shipped.value.predict(texts.tolist()) if shipped.value.langs else (["und"] * n, np.zeros(n))
+            yield pd.DataFrame({"lang": lang, "score": score})
+        release_memory()
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(*keep, letters.alias("_letters"), predict(text_of(text_col)).alias("_p"))

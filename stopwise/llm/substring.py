@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import input_units, scrambled, text_of, word_hashes
+from .common import input_units, release_memory, scrambled, text_of, word_hashes
 
 WINDOW = 35
 #: A difference cover: every distance modulo PERIOD is a difference of two of its members.
@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def ask_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
         u = _Unit(pdf, window)
-        return repeats.ask(u.unit, u.anchors()[1], bits)
+        return _released(repeats.ask(u.unit, u.anchors()[1], bits))
 
     def found(u: _Unit, answer: pd.DataFrame):
         at, keys = u.anchors()
@@ -117,13 +117,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def ask_windows(pdf: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         u = _Unit(pdf, window)
-        return repeats.ask(u.unit, found(u, answer)[1], bits)
+        return _released(repeats.ask(u.unit, found(u, answer)[1], bits))
 
     def finish(pdf: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         u = _Unit(pdf, window)
         starts, keys = found(u, answer[answer["step"] == 1] if len(answer) else _NONE)
         hits = repeats.read_answer(keys, bits, answer[answer["step"] == 2] if len(answer) else _NONE)
-        return u.removed(starts[hits])
+        return _released(u.removed(starts[hits]))
 
     first = repeats.answers(groups.applyInPandas(ask_anchors, repeats.REQUEST))
     second = repeats.answers(groups.cogroup(first.groupBy("unit")).applyInPandas(ask_windows, repeats.REQUEST))
@@ -131,4 +131,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     return groups.cogroup(both.groupBy("unit")).applyInPandas(finish, RESULT)
 
 
+def _released(result: pd.DataFrame) -> pd.DataFrame:
+    release_memory()
+    return result
+
+
 _NONE = pd.DataFrame({"bucket": [], "flags": [], "step": []})
