@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,48 +33,59 @@ def pivoted_mae(df: DataFrame, methods: Sequence[str], by: str, values: Sequence
     return long.groupBy("method").pivot(by, list(values) if values else None).agg(F.avg("e"))
 
 
-def block_sums(df: DataFrame, model: str, base: str, block: str = "day", date: str = "date") -> DataFrame:
-    """Absolute errors of both methods summed per block: a day, or a week from Monday."""
-    key = {"day": F.col(date), "week": F.trunc(date, "week")}
-    if block not in key:
-        raise ValueError(f"block must be day or week, not {block!r}")
-    return df.groupBy(key[block].alias("block")).agg(
-        F.sum(F.abs(F.col(model) - F.col("y"))).alias("em"), F.sum(F.abs(F.col(base) - F.col("y"))).alias("eb"), F.count("*").alias("n"), F.countDistinct(date).alias("days")
+def block_totals(df: DataFrame, model: str, base: str, block: str = "day", date: str = "date") -> DataFrame:
+    """Absolute errors of two methods added up over each day, or over each week from Monday."""
+    if block not in ("day", "week"):
+        raise ValueError(f"errors are blocked by day or by week: {block!r}")
+    key = F.trunc(date, "week") if block == "week" else F.col(date)
+    off = lambda c: F.sum(F.abs(F.col(c) - F.col("y")))
+    return df.groupBy(key.alias("block")).agg(
+        off(model).alias("model_error"), off(base).alias("base_error"), F.count("*").alias("n_rows"), F.countDistinct(date).alias("n_days")
     )
 
 
-def _resample(draws: int, seed: int, absolute: bool):
+#: Draws of a bootstrap that are held at once.
+_DRAWS = 250
+
+
+def _drawn(draws: int, seed: int, absolute: bool):
+    """Blocks drawn with replacement: how often each one is drawn is multinomial, and a draw's totals are weighted sums."""
+
+    def value_of(totals):
+        model, base, n = totals.T
+        return (model - base) / n if absolute else (base - model) / base * 100
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         pdf = pdf.sort_values("block")
-        m, b, n = (pdf[c].to_numpy(float) for c in ("em", "eb", "n"))
-        pick = np.random.default_rng(seed).integers(0, len(m), size=(draws, len(m)))
-        if absolute:
-            value, got = (m.sum() - b.sum()) / n.sum(), (m[pick].sum(1) - b[pick].sum(1)) / n[pick].sum(1)
-        else:
-            value, got = (1 - m.sum() / b.sum()) * 100, (1 - m[pick].sum(1) / b[pick].sum(1)) * 100
-        low, high = np.percentile(got, [2.5, 97.5])
-        return pd.DataFrame({"comparison": [pdf["comparison"].iloc[0]], "value": [value], "low": [low], "high": [high], "days": [int(pdf["days"].sum())], "blocks": [len(m)]})
+        blocks = pdf[["model_error", "base_error", "n_rows"]].to_numpy(float)
+        n, rng, values = len(blocks), np.random.default_rng(seed), []
+        for a in range(0, draws, _DRAWS):
+            times = rng.multinomial(n, np.full(n, 1 / n), size=min(_DRAWS, draws - a))
+            values.append(value_of(times @ blocks))
+        low, high = np.quantile(np.concatenate(values), [0.025, 0.975])
+        value = value_of(blocks.sum(axis=0, keepdims=True))[0]
+        return pd.DataFrame({"comparison": [pdf["comparison"].iloc[0]], "value": [value], "low": [low], "high": [high], "days": [int(pdf["n_days"].sum())], "blocks": [n]})
 
     return run
 
 
-def block_bootstrap(sums: DataFrame, draws: int = 2000, seed: int = 0, absolute: bool = False) -> DataFrame:
-    """95 % interval per comparison from block sums (one row per comparison and block).
+def block_bootstrap(totals: DataFrame, draws: int = 2000, seed: int = 0, absolute: bool = False) -> DataFrame:
+    """95 % interval per comparison from block totals (one row per comparison and block).
 
     Whole blocks are drawn, as rows of a day are not independent.  value is the relative
     gain in per cent or, with absolute, the difference of the mean errors in seconds.
-    Only the block sums, at most a row per day, reach the resampling task.
+    Only the block totals, at most a row per day, reach the resampling task.
     """
-    return sums.groupBy("comparison").applyInPandas(_resample(draws, seed, absolute), "comparison string, value double, low double, high double, days long, blocks long")
+    return totals.groupBy("comparison").applyInPandas(_drawn(draws, seed, absolute), "comparison string, value double, low double, high double, days long, blocks long")
 
 
 def mae_gain(df: DataFrame, pairs: Sequence[tuple[str, str]], block: str = "day", **options) -> DataFrame:
     """Bootstrap intervals of the gain of each (model, base)."""
     out = None
     for model, base in pairs:
-        one = block_sums(df, model, base, block).withColumn("comparison", F.lit(f"{model} over {base}"))
+        one = block_totals(df, model, base, block).withColumn("comparison", F.lit(f"{model} over {base}"))
         out = one if out is None else out.unionByName(one)
     return block_bootstrap(out, **options)
 
@@ -137,23 +148,58 @@ def oracle_bounds(df: DataFrame, pred: str = "pred") -> DataFrame:
     return out
 
 
-def auc(df: DataFrame, score: str, label: Column, *by: str) -> DataFrame:
-    """Area under the ROC curve by average ranks; ties share their mean rank.
+#: Ranges of equal numbers of distinct values, in which running counts are made.
+RANGES = 64
+
+
+def with_ranks(counts: DataFrame, value: str, *by: str) -> DataFrame:
+    """counts (rows with a number n per `by` and value) with _below, the rows of smaller values, and _total, all rows.
 
-    Ranks come from counts per distinct score.  Scores are cut into ranges by their
-    rounded value, so the running count has no single window over all scores.
+    Values are cut into RANGES at approximate quantiles, so no window holds more than about a 64th of the distinct
+    values, whatever their scale; where the cuts lie does not change the result.
     """
-    per = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("n"), F.sum(label.cast("long")).alias("pos")).withColumn("_range", F.floor("_s"))
-    ranges = per.groupBy(*by, "_range").agg(F.sum("n").alias("rn"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*[F.col(c).alias("_b_" + c) for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("below"))
-    on = per["_range"].eqNullSafe(ranges["_r"])
-    for c in by:
-        on = on & per[c].eqNullSafe(ranges["_b_" + c])
-    inside = Window.partitionBy(*by, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.join(ranges, on).withColumn("rank", F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + (F.col("n") + 1) / 2)
-    p, n = F.sum("pos"), F.sum("n")
-    return ranked.groupBy(*by).agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / F.nullif((p * (n - p)).cast("double"), F.lit(0.0))).alias("auc"))
+    cuts = ", ".join(str(i / RANGES) for i in range(1, RANGES))
+    keys = [F.col(c).alias("_b_" + c) for c in by]
+    edges = counts.groupBy(*keys).agg(F.expr(f"percentile_approx({value}, array({cuts}), 1000)").alias("_edges"), F.sum("n").alias("_total"))
+
+    def joined(left: DataFrame, right: DataFrame, on=None) -> DataFrame:
+        for c in by:
+            same = left[c].eqNullSafe(right["_b_" + c])
+            on = same if on is None else on & same
+        return (left.crossJoin(F.broadcast(right)) if on is None else left.join(right, on)).drop(*["_b_" + c for c in by])  # edges: one row
+
+    placed = joined(counts, edges).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    sums = placed.groupBy(*keys, F.col("_range").alias("_r")).agg(F.sum("n").alias("_n"))
+    before = Window.partitionBy(*["_b_" + c for c in by]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = joined(placed, sums, placed["_range"] == sums["_r"])
+    return ranked.withColumn("_below", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("_before", "_range", "_r")
+
+
+def quantiles(df: DataFrame, value: Column, probabilities: Sequence[float], *by: str) -> DataFrame:
+    """by, q: the exact quantiles of a value by group, with linear interpolation between neighbours; nulls are left out.
+
+    From counts per distinct value and their ranks; nothing but the few neighbours of each quantile is brought together.
+    """
+    counts = df.filter(value.isNotNull()).groupBy(*by, value.cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    ranked = with_ranks(counts, "_v", *by)
+    at = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("n")), F.col("_v")))
+    found, parts = [], []
+    for i, p in enumerate(probabilities):
+        place = (F.col("_total") - 1) * F.lit(float(p))
+        found += [at(F.floor(place)).alias(f"_l{i}"), at(F.ceil(place)).alias(f"_h{i}"), F.max(place - F.floor(place)).alias(f"_f{i}")]
+        parts.append(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}"))
+    return ranked.groupBy(*by).agg(*found).select(*by, F.array(*parts).alias("q"))
+
+
+def auc(df: DataFrame, score: str, label: Column, *by: str) -> DataFrame:
+    """Area under the ROC curve by average ranks; ties share their mean rank. Ranks come from counts per distinct score."""
+    per = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("n"), F.sum(label.cast("long")).alias("pos"))
+    rank = F.col("_below") + (F.col("n") + 1) / 2
+    p, n = F.sum("pos").cast("double"), F.sum("n").cast("double")
+    ranked = with_ranks(per, "_s", *by).withColumn("rank", rank)
+    return ranked.groupBy(*by).agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0.0))).alias("auc"))
 
 
 def fit_logistic(df: DataFrame, x: Column, label: Column, steps: int = 25) -> tuple[float, float]:
@@ -189,10 +235,8 @@ def brier(df: DataFrame, p: str, label: Column, *by: str) -> DataFrame:
 
 
 def decile_edges(df: DataFrame, pred: str) -> DataFrame:
-    """One row: the distinct inner edges of the prediction's tenths, from counts per distinct value."""
-    q = ", ".join(str(i / 10) for i in range(11))
-    counts = df.groupBy(F.col(pred).alias("_p")).agg(F.count("*").alias("_n"))
-    e = counts.agg(F.array_distinct(F.expr(f"percentile(_p, array({q}), _n)")).alias("edges"))
+    """One row: the distinct inner edges of the prediction's tenths."""
+    e = quantiles(df, F.col(pred), [i / 10 for i in range(11)]).select(F.array_distinct("q").alias("edges"))
     return e.select(F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2)).otherwise(F.array().cast("array<double>")).alias("edges"))
 
 
@@ -206,8 +250,7 @@ def interval_table(valid: DataFrame, pred: str, low: float = 0.1, high: float =
     """Per tenth of the prediction the quantiles of the error on valid."""
     e = decile_edges(valid, pred)
     rows = valid.crossJoin(F.broadcast(e)).select(decile_of(pred).alias("bin"), (F.col("y") - F.col(pred)).alias("e"))  # edges: one row
-    counts = rows.groupBy("bin", "e").agg(F.count("*").alias("n"))
-    return counts.groupBy("bin").agg(F.expr(f"percentile(e, {low}, n)").alias("lo"), F.expr(f"percentile(e, {high}, n)").alias("hi"))
+    return quantiles(rows, F.col("e"), [low, high], "bin").select("bin", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def with_interval(test: DataFrame, valid: DataFrame, pred: str) -> DataFrame:
@@ -223,9 +266,40 @@ def coverage(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg((F.avg(inside) * 100).alias("coverage_pct"), F.median(F.col("high") - F.col("low")).alias("median_width_s"))
 
 
-def per_day(df: DataFrame, methods: Sequence[str]) -> DataFrame:
-    """Per day: MAE of each method, mean delay, rows."""
-    return df.groupBy("date").agg(F.count("*").alias("n"), F.avg("y").alias("mean_delay_s"), *[F.avg(F.abs(F.col(m) - F.col("y"))).alias("mae_" + m) for m in methods])
+def per_day(df: DataFrame, methods: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
+    """Per day: MAE of each method, mean delay, rows, and the means of other columns (the weather)."""
+    errors = [F.avg(F.abs(F.col(m) - F.col("y"))).alias("mae_" + m) for m in methods]
+    return df.groupBy("date").agg(F.count("*").alias("n"), F.avg("y").alias("mean_delay_s"), *errors, *[F.avg(c).alias("mean_" + c) for c in means])
+
+
+def days_better(days: DataFrame, model: str, base: str) -> DataFrame:
+    """On how many days the model errs less than the base, of all days."""
+    return days.agg(F.count("*").alias("days"), F.sum((F.col(model) < F.col(base)).cast("long")).alias("days_better"), F.avg(F.col(base) - F.col(model)).alias("mean_gain_s"))
+
+
+def variant_summary(df: DataFrame, reference: str) -> DataFrame:
+    """Of predictions by variant and seed: mean over months and seeds of the MAE, its difference from the reference
+    variant, and the months in which the mean over seeds is smaller than the reference's."""
+    month = df.groupBy("variant", "month", "seed").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))
+    month = month.groupBy("variant", "month").agg(F.avg("mae").alias("mae"), F.count("*").alias("seeds"))
+    base = month.filter(F.col("variant") == reference).select("month", F.col("mae").alias("base"))
+    return month.join(base, "month").groupBy("variant").agg(
+        F.max("seeds").alias("seeds"), F.count("*").alias("months"), F.avg("mae").alias("mean_mae_s"), F.avg(F.col("mae") - F.col("base")).alias("difference_s"),
+        F.sum((F.col("mae") < F.col("base")).cast("long")).alias("months_better"),
+    )
+
+
+def variant_intervals(df: DataFrame, reference: str, keys: Sequence[str], **options) -> DataFrame:
+    """Bootstrap intervals by day of each variant's difference in MAE from the reference, in seconds; predictions are
+    averaged over seeds first."""
+    mean = df.groupBy("variant", *keys, "date", "y").agg(F.avg("pred").alias("pred"))
+    base = mean.filter(F.col("variant") == reference).select(*keys, F.col("pred").alias("base"))
+    both = mean.filter(F.col("variant") != reference).join(base, list(keys))
+    totals = both.groupBy("variant", F.col("date").alias("block")).agg(
+        F.sum(F.abs(F.col("pred") - F.col("y"))).alias("model_error"), F.sum(F.abs(F.col("base") - F.col("y"))).alias("base_error"), F.count("*").alias("n_rows")
+    )
+    named = totals.withColumn("n_days", F.lit(1)).withColumn("comparison", F.concat("variant", F.lit(f" over {reference}"))).drop("variant")
+    return block_bootstrap(named, absolute=True, **options)
 
 
 def worst_days(days: DataFrame, model: str, base: str, n: int = 10) -> DataFrame:
@@ -256,18 +330,45 @@ def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tupl
 
 
 def row_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A checksum that does not depend on the order of rows and changes with any value."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
-    return df.agg(F.count("*").alias("n_rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("checksum"))
+    """A checksum that any engine can make again; it does not depend on the order of rows and changes with any value:
+    the sum of the first 15 hex digits of the MD5 of each row's values as text."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    part = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.sum(part).cast("string").alias("checksum"))
 
 
-def shuffled_column(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataFrame:
-    """df with `column` dealt anew among its rows.
+#: Rows that are numbered in one task, about.
+_NUMBERED = 100_000
 
-    Rows are numbered inside ranges of one hash and matched with the same numbers in the
-    order of another hash, so both numberings are spread over tasks.
-    """
-    salt = F.pmod(F.xxhash64(*key), F.lit(64))
-    a = df.withColumn("_g", salt).withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64(F.lit(1), *key), *key)))
-    b = a.select(F.col("_g").alias("_g2"), F.col(column).alias("_v"), *key).withColumn("_n2", F.row_number().over(Window.partitionBy("_g2").orderBy(F.xxhash64(F.lit(seed), *key), *key))).drop(*key)
-    return a.join(b, (a["_g"] == b["_g2"]) & (a["_n"] == b["_n2"])).withColumn(column, F.col("_v")).drop("_g", "_n", "_g2", "_n2", "_v")
+
+def numbered(df: DataFrame, order: Column, key: Sequence[str], groups: int, name: str) -> DataFrame:
+    """df with the place of each row in the order of a 64-bit hash, from 0: a running number inside each of `groups` ranges
+    of the hash, plus the rows of the ranges before."""
+    h = df.withColumn("_h", order).withColumn("_g", F.floor((F.shiftright("_h", 32) + 2**31) * groups / 2.0**32).cast("int"))
+    sums = h.groupBy(F.col("_g").alias("_s")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    sums = sums.select("_s", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_g").orderBy("_h", *key)) - 1
+    return h.withColumn("_i", inside).join(F.broadcast(sums), F.col("_g") == F.col("_s")).withColumn(name, F.col("_before") + F.col("_i")).drop("_h", "_g", "_s", "_i", "_before")
+
+
+def shuffled_column(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataFrame:
+    """df with `column` dealt anew among all its rows: the values in the order of one hash go to the rows in the order of
+    another. key tells rows apart."""
+    groups = max(8, df.count() // _NUMBERED)
+    rows = numbered(df.drop(column), F.xxhash64(F.lit(1), *key), key, groups, "_to")
+    values = numbered(df.select(*key, column), F.xxhash64(F.lit(seed), *key), key, groups, "_from").select("_from", column)
+    return rows.join(values, F.col("_to") == F.col("_from")).select(*df.columns)
+
+
+def permutation_importance(df: DataFrame, score: Callable[[DataFrame], DataFrame], columns: Sequence[str], key: Sequence[str], repeats: int = 3, seed: int = 10, pred: str = "pred") -> DataFrame:
+    """feature, mean_increase_s, sd_s: how much the MAE of a model grows when one of its columns is shuffled among the
+    rows before scoring. score adds the prediction to a frame."""
+    mae = lambda rows: score(rows).agg(F.avg(F.abs(F.col(pred) - F.col("y"))).alias("mae"))
+    plain, out = mae(df).withColumnRenamed("mae", "plain"), None
+    for c in columns:
+        for r in range(repeats):
+            one = mae(shuffled_column(df, c, key, seed + r)).select(F.lit(c).alias("feature"), "mae")
+            out = one if out is None else out.unionByName(one)
+    grown = out.crossJoin(F.broadcast(plain)).withColumn("increase", F.col("mae") - F.col("plain"))  # plain is one row
+    return grown.groupBy("feature").agg(F.avg("increase").alias("mean_increase_s"), F.stddev_pop("increase").alias("sd_s"))

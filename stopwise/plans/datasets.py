@@ -155,6 +155,26 @@ def rolling_dataset(rows: DataFrame, month: str, setup: Setup) -> DataFrame:
     return history.expanding(rows, history.months(setup.train.start, month)).baseline(out, F.col("month"))
 
 
+def cv_datasets(rows: DataFrame, months: Sequence[str], setup: Setup) -> DataFrame:
+    """rolling_dataset for several months at once: every row stands once for each cv_month that uses it. A history's key
+    is the month and the fold that is left out (5: none), so one histogram serves all months."""
+    own = fold("date", setup.fold_scheme, setup.data_start)
+    tested = F.array(*[F.lit(m).cast("date") for m in sorted(months)])
+    key = lambda m, k: F.concat_ws("/", m.cast("string"), k.cast("string"))
+    past = rows.filter(F.col("date") >= F.lit(setup.data_start).cast("date"))
+    unit = F.struct(F.trunc("date", "month").alias("month"), own.alias("fold"))
+    after = F.filter(tested, lambda m: m > F.col("unit.month"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda k: k != F.col("unit.fold"))
+    keys = F.flatten(F.transform(after, lambda m: F.transform(others, lambda k: key(m, k))))
+    lfo = history.History(history.histogram(past, unit), history.sent_to(keys))
+    used = rows.filter(F.col("date") >= F.lit(setup.train.start).cast("date"))
+    used = history.expanding(rows, history.months(setup.train.start, max(months))).baseline(used, F.col("month"))
+    used = used.withColumn("cv_month", F.explode(F.filter(tested, lambda m: m >= F.col("month"))))
+    part = F.when(F.col("month") == F.col("cv_month"), "test").when(F.col("month") == F.add_months("cv_month", -1), "stop").otherwise("train")
+    used = used.withColumn("part", part)
+    return lfo.features(used, key(F.col("cv_month"), F.when(F.col("part") == "test", F.lit(5)).otherwise(own)))
+
+
 def fixed_sample(rows: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
     """n rows, the same at every run: those with the smallest hash of key and seed."""
     h = F.md5(F.concat_ws("|", *key, F.lit(str(seed))))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from ..operators import history
 from ..plans import datasets
 from ..sources import adapters
+from ..sources.scratch import stored
 from .base import DAILY, daily, query, rounded
 from .history_queries import _PERIODS, BASELINE, FEATURE_SQL, FOLD_ROWS, PAST_ROWS, RECENT_ROWS, lookups, tables_sql
+from .live_queries import _FOLDS, _PAST, _WEEK, _WEEKS
+from .trip_queries import CLEAN, clean_live
 
-SETUP = adapters.DAILY
+SETUP, LIVE = adapters.DAILY, adapters.LIVE
 _P1 = FOLD_ROWS.format(end="1999-12-31", fold="dayofyear(date) % 5")
 _P2 = FOLD_ROWS.format(end="2000-12-31", fold="dayofyear(date) % 5")
 _OWN = "CAST(dayofyear(c.date) % 5 AS INTEGER)"
@@ -100,3 +103,59 @@ def ds_08(spark, sf_dir):
     return rounded(out.select("journey_id", "seq", "y", "date", *history.FEATURES, "hist_n_lsdhd"))
 
 
+
+
+def _live_split_sql(split: str, plan: list[tuple[str, str, str]]) -> str:
+    """A split of the cleaned live visits: all their columns, both baselines, history by plan."""
+    p, pct = LIVE.period(split), dict(LIVE.sample_pct)[split]
+    ids = "" if split == "test" else ", journey_id, stop_name, origin_name, dest_name"
+    recent = RECENT_ROWS.replace("JOIN c ON", "JOIN clean c ON")
+    tables = ", ".join([tables_sql(_PAST, "b"), tables_sql(recent, "r"), *(_FOLDS[x] for x in sorted({x for x, _, _ in plan}))])
+    feats = ", ".join(FEATURE_SQL.format(p=a, x=x) for a, _, x in plan)
+    joins = " ".join([lookups(_WEEK, "b"), lookups(_WEEK, "r"), *(lookups(key, a) for a, key, _ in plan)])
+    exact = ", ".join(f"round(c.{c}, 6) AS {c}" for c in ("route_frac", "sched_min_from_start", "daylight_h", "temp", "wind"))
+    return f"""WITH {CLEAN}, {_WEEKS}, {tables} SELECT c.* EXCLUDE (month, bucket{ids}) REPLACE ({exact}), {BASELINE.format(p='b')} AS baseline, {BASELINE.format(p='r')} AS baseline_recent, {feats}
+ FROM clean c {joins} WHERE bucket < {pct} AND date >= DATE '{p.start}' AND date <= DATE '{p.end}'"""
+
+
+def _live_split(spark, sf_dir, split):
+    rows = stored(clean_live(spark, sf_dir))
+    out = datasets.split_dataset(rows, datasets.Histories(rows, LIVE), split)
+    return rounded(out.withColumn("sched_min_from_start", F.col("sched_min_from_start").cast("double")))
+
+
+@query("ds_03_clean_train", _live_split_sql("train", [("h0", _OWN, ""), ("h1", _OWN, "refit_")]))
+def ds_03_clean_train(spark, sf_dir):
+    """Train rows from the cleaned visits, with plan, calendar, daylight and weather columns."""
+    return _live_split(spark, sf_dir, "train")
+
+
+@query("ds_03_clean_valid", _live_split_sql("valid", [("h0", "5", ""), ("h1", _OWN, "refit_")]))
+def ds_03_clean_valid(spark, sf_dir):
+    return _live_split(spark, sf_dir, "valid")
+
+
+@query("ds_03_clean", _live_split_sql("test", [("h1", "5", "")]))
+def ds_03_clean(spark, sf_dir):
+    return _live_split(spark, sf_dir, "test")
+
+
+@query("ds_06_baseline", f"""WITH {DAILY}, {_PERIODS}, {tables_sql(PAST_ROWS, 'b')} SELECT {_IDS}, {BASELINE.format(p='b')} AS baseline FROM c {lookups('c.month', 'b')} WHERE date >= DATE '1995-01-01' AND month <= DATE '1999-06-01'""")
+def ds_06_baseline(spark, sf_dir):
+    """The baseline of every row of the rolling dataset, from before the row's own month."""
+    return datasets.rolling_dataset(rows(spark, sf_dir), "1999-06-01", SETUP).select("journey_id", "seq", "y", "date", "baseline")
+
+
+_CV = [f"1995-{m:02d}-01" for m in range(3, 11)]
+_CV_MONTHS = f"cv AS (SELECT CAST(unnest([{', '.join(repr(m) for m in _CV)}]) AS DATE) AS cv_month)"
+_CV_ROWS = "(SELECT cv.cv_month || '/' || k AS hkey, c.* FROM cv JOIN c ON c.date < cv.cv_month AND c.date >= DATE '1994-12-01', (SELECT CAST(unnest(range(6)) AS INTEGER) AS k) WHERE k = 5 OR dayofyear(c.date) % 5 <> k)"
+
+
+@query("ds_08_months", f"""WITH {DAILY}, {_CV_MONTHS}, {_PERIODS}, {tables_sql(_CV_ROWS)}, {tables_sql(PAST_ROWS, 'b')},
+  parts AS (SELECT cv_month, c.*, CASE WHEN c.month = cv_month THEN 'test' WHEN c.month = cv_month - INTERVAL 1 MONTH THEN 'stop' ELSE 'train' END AS part FROM cv JOIN c ON c.month <= cv_month AND c.date >= DATE '1995-01-01')
+  SELECT c.cv_month, {_IDS}, part, {FEATURE_SQL.format(p='h', x='')}, {BASELINE.format(p='b')} AS baseline
+  FROM parts c {lookups("c.cv_month || '/' || CASE WHEN part = 'test' THEN 5 ELSE dayofyear(c.date) % 5 END")} {lookups('c.month', 'b')}""")
+def ds_08_months(spark, sf_dir):
+    """The datasets of the cross-validation months March to October, all in one pass."""
+    out = datasets.cv_datasets(rows(spark, sf_dir), _CV, SETUP)
+    return rounded(out.select("cv_month", "journey_id", "seq", "y", "date", "part", *history.FEATURES, "baseline"))

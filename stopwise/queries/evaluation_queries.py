@@ -9,8 +9,10 @@ from ..functions.scalars import binned
 from ..operators import evaluate as ev
 from ..operators import history
 from ..plans import browse, datasets
+from ..sources.scratch import stored
 from .base import DAILY, daily, query, rounded
-from .history_queries import _PERIODS, BASELINE, MONTHS, PAST_ROWS, lookups, tables_sql
+from .history_queries import _PERIODS, BASELINE, MONTHS, PAST_ROWS, RECENT_ROWS, lookups, tables_sql
+from .trip_queries import CLEAN, clean_live
 
 #: Predictions: median of line, stop and direction; mean of line and hour; both from before 2000.
 P = f"""{DAILY}, bl AS (SELECT line, stop, direction, median(y) AS baseline FROM c WHERE date < DATE '2000-01-01' GROUP BY ALL), gm AS (SELECT line, hour, round(avg(y)) AS pred FROM c WHERE date < DATE '2000-01-01' GROUP BY ALL),
@@ -68,9 +70,9 @@ def ev_03(spark, sf_dir):
     return ev.mae_gain(t, pairs).withColumn("block", F.lit("day")).unionByName(ev.mae_gain(t, pairs, "week").withColumn("block", F.lit("week")))
 
 
-@query("ev_03_blocks", f"WITH {P} SELECT CAST(date_trunc('week', date) AS DATE) AS block, sum(abs(pred - y)) AS em, sum(abs(baseline - y)) AS eb, count(*) AS n, count(DISTINCT date) AS days FROM p GROUP BY 1")
+@query("ev_03_blocks", f"WITH {P} SELECT date - CAST(isodow(date) - 1 AS INTEGER) AS block, sum(abs(pred - y)) AS model_error, sum(abs(baseline - y)) AS base_error, count(*) AS n_rows, count(DISTINCT date) AS n_days FROM p GROUP BY 1")
 def ev_03_blocks(spark, sf_dir):
-    return ev.block_sums(test(spark, sf_dir), "pred", "baseline", "week")
+    return ev.block_totals(test(spark, sf_dir), "pred", "baseline", "week")
 
 
 @query("ev_04")
@@ -134,6 +136,37 @@ def ev_08(spark, sf_dir):
     return rounded(t.groupBy("bin").pivot("line", ["L0", "L1", "L2", "L3"]).agg(ev.gain_pct("pred", "baseline")))
 
 
+LEADS = [10, 30, 60]
+#: A prediction for each lead, and minutes from the trip's start.
+PL = f"""{P}, st AS (SELECT journey_id, min(minute_of_day) AS start FROM c GROUP BY journey_id),
+ pl AS (SELECT p.*, lead_min, minute_of_day - start AS since, baseline + CAST((seq * 37 + minute_of_day + lead_min) % 41 - 20 AS DOUBLE) AS pred_rt
+   FROM p JOIN st USING (journey_id), (SELECT CAST(unnest({LEADS}) AS INTEGER) AS lead_min))"""
+_FIRST = "CASE WHEN since <= 5 THEN '0-5' WHEN since <= 15 THEN '5-15' ELSE '15+' END"
+
+
+def by_lead(spark, sf_dir) -> DataFrame:
+    start = daily(spark, sf_dir).groupBy("journey_id").agg(F.min("minute_of_day").alias("start"))
+    t = test(spark, sf_dir).join(start, "journey_id").withColumn("since", F.col("minute_of_day") - F.col("start")).drop("start")
+    t = t.withColumn("lead_min", F.explode(F.array(*map(F.lit, LEADS))))
+    return t.withColumn("pred_rt", F.col("baseline") + ((F.col("seq") * 37 + F.col("minute_of_day") + F.col("lead_min")) % 41 - 20).cast("double"))
+
+
+_GAIN = "round((1 - sum(abs(pred_rt - y)) {f} / sum(abs(pred - y)) {f}) * 100, 6)"
+
+
+@query("ev_08_leads", f"WITH {PL} SELECT lead_min, {_FIRST} AS bin, count(*) AS n_rows, {_GAIN.format(f='')} AS gain_pct FROM pl GROUP BY ALL")
+def ev_08_leads(spark, sf_dir):
+    """The real-time prediction's gain over the one from the day before, by lead and by minutes from the trip's start."""
+    t = by_lead(spark, sf_dir).withColumn("bin", binned("since", [-1, 5, 15, float("inf")], ["0-5", "5-15", "15+"]))
+    return rounded(t.groupBy("lead_min", "bin").agg(F.count("*").alias("n_rows"), ev.gain_pct("pred_rt", "pred").alias("gain_pct")))
+
+
+@query("ev_08_pivot", f"WITH {PL} SELECT {_FIRST} AS bin, " + ", ".join(_GAIN.format(f=f"FILTER (WHERE lead_min = {x})") + f' AS "{x}"' for x in LEADS) + " FROM pl GROUP BY 1")
+def ev_08_pivot(spark, sf_dir):
+    t = by_lead(spark, sf_dir).withColumn("bin", binned("since", [-1, 5, 15, float("inf")], ["0-5", "5-15", "15+"]))
+    return rounded(t.groupBy("bin").pivot("lead_min", LEADS).agg(ev.gain_pct("pred_rt", "pred")))
+
+
 _AUC = "r AS (SELECT y > 180 AS late, rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2.0 AS rk FROM p)"
 
 
@@ -192,6 +225,26 @@ def ev_14(spark, sf_dir):
     return rounded(ev.per_day(test(spark, sf_dir), METHODS))
 
 
+@query("ev_14_days", f"WITH {P}, {_PER_DAY} SELECT count(*) AS days, count(*) FILTER (WHERE mae_rt < mae_pred) AS days_better, round(avg(mae_pred - mae_rt), 6) AS mean_gain_s FROM pd")
+def ev_14_days(spark, sf_dir):
+    """On how many days the real-time prediction is better than the one from the day before."""
+    return rounded(ev.days_better(ev.per_day(test(spark, sf_dir), METHODS), "mae_rt", "mae_pred"))
+
+
+_WEATHERED = f"""{CLEAN}, lb AS (SELECT line, median(y) AS baseline FROM clean WHERE date < DATE '2024-01-26' GROUP BY line), lp AS (SELECT line, hour, round(avg(y)) AS pred FROM clean WHERE date < DATE '2024-01-26' GROUP BY ALL)"""
+
+
+@query("ev_14_weather", f"""WITH {_WEATHERED} SELECT date, count(*) AS n, round(avg(y), 6) AS mean_delay_s, round(avg(abs(baseline - y)), 6) AS mae_baseline, round(avg(abs(pred - y)), 6) AS mae_pred, round(avg(temp), 6) AS mean_temp,
+  round(avg(precip), 6) AS mean_precip, round(avg(wind), 6) AS mean_wind, round(avg(abs(baseline - y)) - avg(abs(pred - y)), 6) AS gain_s FROM clean JOIN lb USING (line) JOIN lp USING (line, hour) WHERE date >= DATE '2024-01-26' GROUP BY date""")
+def ev_14_weather(spark, sf_dir):
+    c = clean_live(spark, sf_dir)
+    old = c.filter("date < DATE '2024-01-26'")
+    t = c.filter("date >= DATE '2024-01-26'").join(old.groupBy("line").agg(F.median("y").alias("baseline")), "line")
+    t = t.join(old.groupBy("line", "hour").agg(F.round(F.avg("y")).alias("pred")), ["line", "hour"])
+    days = ev.per_day(t, ["baseline", "pred"], ["temp", "precip", "wind"])
+    return rounded(days.withColumn("gain_s", F.col("mae_baseline") - F.col("mae_pred")))
+
+
 @query("sort_03", f"WITH {P}, {_PER_DAY}, z AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY mae_baseline DESC, date) <= 10 THEN 'worst' ELSE 'other' END AS part FROM pd) SELECT part, count(*) AS days, round(avg(mae_baseline - mae_rt), 6) AS mean_gain_s, count(*) FILTER (WHERE mae_baseline > mae_rt) AS days_better FROM z GROUP BY part")
 def sort_03(spark, sf_dir):
     return rounded(ev.worst_days(ev.per_day(test(spark, sf_dir), METHODS), "mae_rt", "mae_baseline"))
@@ -219,6 +272,28 @@ def ev_17(spark, sf_dir):
     return rounded(g)
 
 
+#: Predictions of each method with two seeds.
+_SEEDED = f"""{LONG}, sd AS (SELECT method AS variant, seed, month, y, e_pred + (seq * 31 + minute_of_day * seed) % 7 - 3 AS pred FROM lg, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS seed)),
+ sm AS (SELECT variant, month, avg(abs(pred - y)) AS mae, count(DISTINCT seed) AS seeds FROM sd GROUP BY ALL), sb AS (SELECT month, mae AS base FROM sm WHERE variant = 'baseline')"""
+
+
+def _seeded(spark, sf_dir) -> DataFrame:
+    t = ev.long_predictions(test(spark, sf_dir), ["journey_id", "seq", "minute_of_day", "date", "month", "y"], METHODS).withColumnRenamed("method", "variant")
+    t = t.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2))))
+    return t.withColumn("pred", F.col("pred") + (F.col("seq") * 31 + F.col("minute_of_day") * F.col("seed")) % 7 - 3)
+
+
+@query("ev_17_seeds", f"WITH {P}, {_SEEDED} SELECT variant, max(seeds) AS seeds, count(*) AS months, round(avg(mae), 6) AS mean_mae_s, round(avg(mae - base), 6) AS difference_s, count(*) FILTER (WHERE mae < base) AS months_better FROM sm JOIN sb USING (month) GROUP BY variant")
+def ev_17_seeds(spark, sf_dir):
+    return rounded(ev.variant_summary(_seeded(spark, sf_dir), "baseline"))
+
+
+@query("ev_17_intervals")
+def ev_17_intervals(spark, sf_dir):
+    """Each variant's difference from the reference with its interval."""
+    return ev.variant_intervals(_seeded(spark, sf_dir), "baseline", ["journey_id", "seq"])
+
+
 @query("ev_18", f"WITH {P}, {LONG} SELECT strftime(date, '%m-%d') AS day, method, {metric_sql('e_pred')} FROM lg WHERE strftime(date, '%m-%d') IN ('05-01', '05-17', '01-01') GROUP BY 1, 2")
 def ev_18(spark, sf_dir):
     t = test(spark, sf_dir).withColumn("day", F.date_format("date", "MM-dd")).filter(F.col("day").isin("05-01", "05-17", "01-01"))
@@ -238,21 +313,34 @@ def ev_19(spark, sf_dir):
     return rounded(lg.groupBy("method").agg(on("hour < 12", "early_s"), on("hour >= 12", "late_s"), on("seq <= 2", "first_stops_s")))
 
 
+_EACH = "round(avg(abs({m} - y)) {f}, 6)"
+
+
+@query("ev_19_leads", f"""WITH {PL}, vr AS (SELECT lead_min, since, y, pred_rt AS e_pred, 'pred_rt' AS variant FROM pl UNION ALL SELECT lead_min, since, y, pred, 'pred' FROM pl)
+  SELECT variant, {', '.join(_EACH.format(m='e_pred', f=f'FILTER (WHERE {c})') + f' AS {n}' for c, n in (('lead_min <= 15', 'short_s'), ('lead_min > 15 AND lead_min <= 45', 'middle_s'), ('lead_min > 45', 'long_s'), ('since <= 5', 'first_minutes_s')))} FROM vr GROUP BY variant""")
+def ev_19_leads(spark, sf_dir):
+    """Each variant's error by group of leads, and in the first five minutes of a trip."""
+    lg = ev.long_predictions(by_lead(spark, sf_dir), ["y", "lead_min", "since"], ["pred", "pred_rt"]).withColumnRenamed("method", "variant")
+    e = F.abs(F.col("pred") - F.col("y"))
+    on = lambda c, n: F.avg(F.when(F.expr(c), e)).alias(n)
+    return rounded(lg.groupBy("variant").agg(on("lead_min <= 15", "short_s"), on("lead_min > 15 and lead_min <= 45", "middle_s"), on("lead_min > 45", "long_s"), on("since <= 5", "first_minutes_s")))
+
+
 @query("ev_20")
 def ev_20(spark, sf_dir):
-    t, out = test(spark, sf_dir), None
-    base = t.agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae")).withColumn("one", F.lit(1))
-    for repeat in range(3):
-        s = ev.shuffled_column(t.select("journey_id", "seq", "y", "pred"), "pred", ["journey_id", "seq"], 10 + repeat).agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("shuffled"))
-        out = s if out is None else out.unionByName(s)
-    joined = out.withColumn("one", F.lit(1)).join(base, "one")
-    return rounded(joined.agg(F.lit("pred").alias("feature"), F.avg(F.col("shuffled") - F.col("mae")).alias("mean_increase_s"), F.stddev_pop(F.col("shuffled") - F.col("mae")).alias("sd_s")))
+    """How much the error of a model grows when one of its columns is shuffled. The model is a rule of two known columns."""
+    t = test(spark, sf_dir).select("journey_id", "seq", "y", "baseline", "pred", "minute_of_day")
+    score = lambda rows: rows.withColumn("p", F.col("baseline") * 0.75 + F.col("pred") * 0.25)
+    return rounded(ev.permutation_importance(t, score, ["baseline", "pred", "minute_of_day"], ["journey_id", "seq"], pred="p"))
+
+
+_SUMMED = ["baseline", "date", "hour", "journey_id", "line", "pred", "rt", "seq", "stop", "y"]
+_AS_TEXT = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in _SUMMED) + ")"
 
 
-@query("ev_22")
+@query("ev_22", f"WITH {P} SELECT count(*) AS n_rows, CAST(sum(CAST(CAST(concat('0x', left(md5({_AS_TEXT}), 15)) AS BIGINT) AS DECIMAL(38, 0))) AS VARCHAR) AS checksum FROM p")
 def ev_22(spark, sf_dir):
-    t = test(spark, sf_dir)
-    return ev.row_checksum(t, sorted(t.columns))
+    return ev.row_checksum(test(spark, sf_dir), _SUMMED)
 
 
 @query("ev_23", f"WITH {P}, {LONG}, z AS (SELECT avg(abs(baseline - y)) AS b FROM p) SELECT method, {metric_sql('e_pred')}, round((1 - avg(abs(e_pred - y)) / any_value(b)) * 100, 6) AS gain_pct FROM lg, z GROUP BY method")
@@ -271,6 +359,48 @@ def ev_23_intervals(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+_FINAL_PAST = ", ".join(tables_sql(x, p) for p, x in (("b", PAST_ROWS), ("r", RECENT_ROWS)))
+#: Test rows with both baselines and the predictions of the day before and of each lead.
+_FINAL = f"""{PL}, {_PERIODS}, {_FINAL_PAST}, fin AS (SELECT c.journey_id, c.seq, c.date, c.y, {BASELINE.format(p='b')} AS past, {BASELINE.format(p='r')} AS recent, c.pred, c.pred_rt, c.lead_min
+   FROM pl c {lookups('c.month', 'b')} {lookups('c.month', 'r')}),
+ fl AS (SELECT 'past' AS method, 0 AS lead_min, y, past AS e_pred, past FROM fin WHERE lead_min = 10 UNION ALL SELECT 'recent', 0, y, recent, past FROM fin WHERE lead_min = 10
+   UNION ALL SELECT 'pred', 0, y, pred, past FROM fin WHERE lead_min = 10 UNION ALL SELECT 'pred_rt', lead_min, y, pred_rt, past FROM fin)"""
+
+
+def _final(spark, sf_dir) -> DataFrame:
+    rows = daily(spark, sf_dir)
+    months = history.months("2001-01-01", "2001-08-01")
+    t = by_lead(spark, sf_dir)
+    t = history.expanding(rows, months).baseline(t, F.col("month"), "past")
+    return history.recent(rows, months).baseline(t, F.col("month"), "recent")
+
+
+@query("ev_23_final", f"WITH {_FINAL} SELECT method, lead_min, {metric_sql('e_pred')}, round((1 - sum(abs(e_pred - y)) / sum(abs(past - y))) * 100, 6) AS gain_pct FROM fl GROUP BY method, lead_min")
+def ev_23_final(spark, sf_dir):
+    """The final table: historical median, median of the last 8 weeks, the day before, and real time by lead."""
+    t = _final(spark, sf_dir)
+    once = t.filter(F.col("lead_min") == LEADS[0]).withColumn("lead_min", F.lit(0))
+    parts = [(once, m) for m in ("past", "recent", "pred")] + [(t, "pred_rt")]
+    out = None
+    for df, m in parts:
+        one = df.groupBy(F.lit(m).alias("method"), "lead_min").agg(*ev.error_metrics("y", m), ev.gain_pct(m, "past").alias("gain_pct"))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+@query("ev_23_final_intervals")
+def ev_23_final_intervals(spark, sf_dir):
+    """Gains of the real-time prediction over both medians and over the day before, for each lead, with day and week blocks."""
+    t = stored(_final(spark, sf_dir).select("date", "y", "past", "recent", "pred", "pred_rt", "lead_min"))
+    out = None
+    for block in ("day", "week"):
+        for lead in LEADS:
+            one = ev.mae_gain(t.filter(F.col("lead_min") == lead), [("pred_rt", m) for m in ("past", "recent", "pred")], block)
+            one = one.withColumns({"lead_min": F.lit(lead), "block": F.lit(block)})
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("jn_15", f"WITH {P} SELECT count(*) AS n_rows, count(*) FILTER (WHERE hour >= 12) AS unmatched FROM p")
 def jn_15(spark, sf_dir):
     t = test(spark, sf_dir)
