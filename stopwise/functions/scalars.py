@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def _column(c: Column | str) -> Column:
@@ -27,6 +28,12 @@ def clipped(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def in_zone(df: DataFrame, t: str, zone: str) -> Column:
+    """A column's time as clock time of a zone, whatever the session's own zone. Times without a zone are UTC."""
+    of = F.lit("UTC") if df.schema[t].dataType == TimestampNTZType() else F.current_timezone()
+    return F.convert_timezone(of, F.lit(zone), F.col(t).cast("timestamp_ntz"))
+
+
 def seconds_between(a: Column | str, b: Column | str) -> Column:
     return F.timestamp_diff("SECOND", _column(a), _column(b))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CATEGORIES = ["line", "stop", "direction"]
@@ -32,16 +32,22 @@ def stages(numbers: Sequence[str], categories: Sequence[str] = CATEGORIES) -> li
     ]
 
 
-def fit_trees(train: DataFrame, valid: DataFrame | None, numbers: Sequence[str], label: str = "y", seed: int = 0, rounds: int = 20, depth: int = 4, max_bins: int = 64, categories: Sequence[str] = CATEGORIES) -> PipelineModel:
-    """Trees on the absolute error. With valid rows, fitting stops when they no longer gain; without, it runs `rounds`."""
+def fit_trees(train: DataFrame, valid: DataFrame | None, numbers: Sequence[str], label: str = "y", seed: int = 0, rounds: int = 20, depth: int = 4, least_bins: int = 64, categories: Sequence[str] = CATEGORIES) -> PipelineModel:
+    """Trees on the absolute error. With valid rows, fitting stops when they no longer gain; without, it runs `rounds`.
+    There are as many bins as the largest category has values, at least `least_bins`."""
     numbers = list(numbers)
     marked = train.withColumn("_valid", F.lit(False))
-    trees = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="_pred", lossType="absolute", maxIter=rounds, maxDepth=depth, maxBins=max_bins, seed=seed)
     if valid is not None:
         marked = marked.unionByName(valid.withColumn("_valid", F.lit(True)), allowMissingColumns=True)
-        trees = trees.setValidationIndicatorCol("_valid")
     marked = marked.withColumns({c: F.col(c).cast("double") for c in [*numbers, label]})
-    return Pipeline(stages=[*stages(numbers, categories), trees]).fit(marked)
+    prepared = Pipeline(stages=stages(numbers, categories)).fit(marked)
+    most = max((len(values) for values in prepared.stages[0].labelsArray), default=0) + 1  # and one for unknown values
+    trees = GBTRegressor(
+        featuresCol="_features", labelCol=label, predictionCol="_pred", lossType="absolute", maxIter=rounds, maxDepth=depth, maxBins=max(least_bins, most), seed=seed
+    )
+    if valid is not None:
+        trees = trees.setValidationIndicatorCol("_valid")
+    return PipelineModel([*prepared.stages, trees.fit(prepared.transform(marked))])
 
 
 def predict(model: PipelineModel, df: DataFrame, name: str = "pred", numbers: Sequence[str] = ()) -> DataFrame:
@@ -60,6 +66,12 @@ def fit_and_refit(train: DataFrame, valid: DataFrame, refit_rows: DataFrame, num
     return fit_trees(refit_rows, None, numbers, **options | {"rounds": size})
 
 
+def importances(model: PipelineModel, spark: SparkSession, numbers: Sequence[str], categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """feature, importance: how much each column gains in the trees; one row per column."""
+    found = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip([*numbers, *categories], found)), "feature string, importance double")
+
+
 def seed_average(models: Sequence[PipelineModel], df: DataFrame, numbers: Sequence[str], name: str = "pred") -> DataFrame:
     """The mean prediction of models that differ by seed."""
     out, cols = df, []
@@ -71,5 +83,5 @@ def seed_average(models: Sequence[PipelineModel], df: DataFrame, numbers: Sequen
 
 
 def residual(df: DataFrame, baseline: str = "baseline") -> DataFrame:
-    """y minus the baseline as label."""
-    return df.withColumn("residual", F.col("y") - F.col(baseline))
+    """y minus the baseline as label; rows without a baseline have none and are left out."""
+    return df.filter(F.col(baseline).isNotNull()).withColumn("residual", F.col("y") - F.col(baseline))

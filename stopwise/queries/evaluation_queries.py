@@ -9,7 +9,8 @@ from ..functions.scalars import binned
 from ..operators import evaluate as ev
 from ..operators import history
 from ..plans import browse, datasets
-from ..sources.scratch import stored
+from ..sources import io
+from ..sources.scratch import stored, temp_folder
 from .base import DAILY, daily, query, rounded
 from .history_queries import _PERIODS, BASELINE, MONTHS, PAST_ROWS, RECENT_ROWS, lookups, tables_sql
 from .trip_queries import CLEAN, clean_live
@@ -414,6 +415,14 @@ def sort_01(spark, sf_dir):
     return test(spark, sf_dir).select("journey_id", "seq", "date", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query("sort_01_written", f"WITH {P} SELECT journey_id, seq, date, row_number() OVER (ORDER BY date, journey_id, seq) AS place FROM p")
+def sort_01_written(spark, sf_dir):
+    """A dataset written in order and read back by file and row."""
+    path = temp_folder(spark) + "/ordered"
+    io.write_split(test(spark, sf_dir).select("journey_id", "seq", "date"), path)
+    return io.read_in_order(spark, path)
+
+
 @query("sort_02", f"WITH {P} SELECT journey_id, seq FROM p ORDER BY md5(concat_ws('|', journey_id, CAST(seq AS VARCHAR), '7')), journey_id, seq LIMIT 500")
 def sort_02(spark, sf_dir):
     return datasets.fixed_sample(test(spark, sf_dir), 500, ["journey_id", "seq"], 7).select("journey_id", "seq")

@@ -1,4 +1,4 @@
-"""ML-01..05: boosted trees on a small train and valid set (no SQL: tree ensembles)."""
+"""ML-01..05, SORT-05: boosted trees on the daily and real-time sets (no SQL: tree ensembles)."""
 
 from __future__ import annotations
 
@@ -6,23 +6,22 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..operators import history
-from ..plans import datasets, model
+from ..plans import datasets, live, model
 from ..sources import adapters
+from ..sources.scratch import stored
 from .base import daily, query, rounded
+from .live_queries import _World
 
 SETUP = adapters.DAILY
 NUMBERS = ["seq", "hour", "daytype", "minute_of_day", *history.FEATURES]
 
 
 def _sets(spark, sf_dir):
-    """Train and valid rows with leave-fold-out history and a baseline; whole trips of the splits' samples."""
-    rows = daily(spark, sf_dir)
-    h = history.leave_fold_out(rows, SETUP.data_start, SETUP.train.end)
-    from ..functions.scalars import fold
-
-    train = h.features(datasets.sampled(rows, SETUP, "train"), fold("date", "day", SETUP.data_start))
-    valid = h.features(datasets.sampled(rows, SETUP, "valid"), F.lit(5))
-    return [h.baseline(x, F.lit(5)).cache() for x in (train, valid)]
+    """train, valid, test, and the rows to refit on: train and valid with the history of both periods."""
+    rows = daily(spark, sf_dir).withColumns({c: F.col("stop") for c in ("stop_name", "origin_name", "dest_name")})
+    h = datasets.Histories(rows, SETUP)
+    train, valid, test = (stored(datasets.split_dataset(rows, h, s)) for s in ("train", "valid", "test"))
+    return train, valid, test, datasets.with_refit(train).unionByName(datasets.with_refit(valid))
 
 
 def _scores(df, *methods):
@@ -31,36 +30,64 @@ def _scores(df, *methods):
 
 @query("ml_01")
 def ml_01(spark, sf_dir):
-    train, valid = _sets(spark, sf_dir)
-    m = model.fit_and_refit(train, valid, train, NUMBERS, rounds=5, depth=3)
-    return _scores(model.predict(m, valid, numbers=NUMBERS), "pred", "baseline")
+    """Early stopping on valid, refit on train and valid, judged on test."""
+    train, valid, test, refit = _sets(spark, sf_dir)
+    m = model.fit_and_refit(train, valid, refit, NUMBERS)
+    return _scores(model.predict(m, test, numbers=NUMBERS), "pred", "baseline")
 
 
 @query("ml_02")
 def ml_02(spark, sf_dir):
-    train, valid = _sets(spark, sf_dir)
+    train, _, test, _ = _sets(spark, sf_dir)
     fitted = model.Pipeline(stages=model.stages(NUMBERS)).fit(train)
-    return fitted.transform(valid).groupBy("line").agg(F.countDistinct("_i_line").alias("indices"), F.count("_features").alias("n_rows"))
+    return fitted.transform(test).groupBy("line").agg(F.countDistinct("_i_line").alias("indices"), F.count("_features").alias("n_rows"))
 
 
 @query("ml_03")
 def ml_03(spark, sf_dir):
-    train, valid = _sets(spark, sf_dir)
-    models = [model.fit_trees(train, None, NUMBERS, seed=s, rounds=3, depth=3) for s in (0, 1)]
-    return _scores(model.seed_average(models, valid, NUMBERS), "pred", "baseline")
+    """The mean of models that differ by seed."""
+    _, _, test, refit = _sets(spark, sf_dir)
+    models = [model.fit_trees(refit, None, NUMBERS, seed=s, rounds=10) for s in (0, 1)]
+    return _scores(model.seed_average(models, test, NUMBERS), "pred", "baseline")
 
 
 @query("ml_04")
 def ml_04(spark, sf_dir):
-    train, valid = _sets(spark, sf_dir)
-    m = model.fit_trees(model.residual(train), None, NUMBERS, label="residual", rounds=3, depth=3)
-    out = model.predict(m, valid, "r", NUMBERS).withColumn("pred", F.col("baseline") + F.col("r"))
+    """Trees on what the baseline leaves, added back to it."""
+    _, _, test, refit = _sets(spark, sf_dir)
+    m = model.fit_trees(model.residual(refit), None, NUMBERS, label="residual", rounds=10)
+    out = model.predict(m, test, "r", NUMBERS).withColumn("pred", F.col("baseline") + F.col("r"))
     return _scores(out, "pred", "baseline")
 
 
 @query("ml_05")
 def ml_05(spark, sf_dir):
-    train, valid = _sets(spark, sf_dir)
+    """A control: the same model without the history columns."""
+    _, _, test, refit = _sets(spark, sf_dir)
     fewer = [c for c in NUMBERS if not c.startswith("hist_")]
-    m = model.fit_trees(train, None, fewer, rounds=3, depth=3)
-    return _scores(model.predict(m, valid, numbers=fewer), "pred", "baseline")
+    m = model.fit_trees(refit, None, fewer, rounds=10)
+    return _scores(model.predict(m, test, numbers=fewer), "pred", "baseline")
+
+
+@query("ml_05_live")
+def ml_05_live(spark, sf_dir):
+    """Controls on the real-time sets: all columns, without real time, and those of the first round only."""
+    w = _World(spark, sf_dir)
+    train, test = (stored(live.live_dataset(w.visits, w.rows, w.plan, w.histories, s)) for s in ("train", "test"))
+    columns = [c for c in datasets.feature_columns(train.columns) if c not in model.CATEGORIES]
+    out = None
+    for name, pick in (("all", list), ("without_realtime", datasets.without_realtime), ("round_one", datasets.round_one)):
+        numbers = pick(columns)
+        filled = [c for c in numbers if train.agg(F.count(c)).first()[0]]  # a column without any value has no median
+        m = model.fit_trees(train, None, filled, rounds=3, depth=3)
+        one = ev.metrics(model.predict(m, test, numbers=filled)).select(F.lit(name).alias("control"), F.lit(len(numbers)).alias("columns"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 3)
+
+
+@query("sort_05_features")
+def sort_05_features(spark, sf_dir):
+    """The columns that the trees gain most from."""
+    train, _, _, _ = _sets(spark, sf_dir)
+    m = model.fit_trees(train, None, NUMBERS, rounds=3, depth=3)
+    return rounded(model.importances(m, spark, NUMBERS).orderBy(F.desc("importance"), "feature").limit(5))

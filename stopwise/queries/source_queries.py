@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -34,6 +32,15 @@ def src_02(spark, sf_dir):
     return new.groupBy("month").agg(F.count("*").alias("n_rows"), F.sum("arrival_delay_s").alias("total_s"))
 
 
+@query("src_02_load", f"""WITH {V_DAILY}, m AS (SELECT *, make_date(year(operatingDate), month(operatingDate), 1) AS month FROM v), e AS (SELECT month FROM m GROUP BY month HAVING last_day(month) - max(operatingDate) <= 1 AND last_day(month) < DATE '2001-06-15')
+  SELECT month, count(*) AS n_rows, CAST(sum(arrival_delay_s) AS BIGINT) AS total_s FROM m JOIN e USING (month) GROUP BY month""")
+def src_02_load(spark, sf_dir):
+    """Two loads, years apart: the second adds the months that the first did not have; none stands twice."""
+    path, v = temp_folder(spark) + "/months", adapters.visits_daily(spark, sf_dir)
+    io.load_months(v, path, "1998-03-20")
+    return io.load_months(v, path, "2001-06-15").groupBy("month").agg(F.count("*").alias("n_rows"), F.sum("arrival_delay_s").alias("total_s"))
+
+
 @query("src_03", f"""WITH {V_DAILY}, w AS (SELECT CAST(unnest(generate_series(DATE '1994-11-01', DATE '2001-10-01', INTERVAL 1 MONTH)) AS DATE) AS month),
   g AS (SELECT CAST(date_trunc('month', operatingDate) AS DATE) AS month, count(*) AS n_rows, max(operatingDate) AS newest FROM v GROUP BY 1)
   SELECT month, coalesce(n_rows, 0) AS n_rows, newest, n_rows IS NULL AS empty, coalesce(newest >= last_day(month) - 1, FALSE) AS complete FROM w LEFT JOIN g USING (month)""")
@@ -53,6 +60,15 @@ def src_05(spark, sf_dir):
     return rounded(io.prepare_weather(adapters.weather(spark, sf_dir)), 9)
 
 
+@query("src_05_missing", f"""WITH w AS ({adapters.duck(adapters.WEATHER)}), g AS (SELECT temperature_2m, precipitation, CASE WHEN hour(time) % 3 = 0 THEN snowfall END AS snowfall, CASE WHEN hour(time) % 3 > 0 THEN snow_depth END AS snow_depth, wind_speed_10m FROM w)
+  """ + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(1 - count({c}) / count(*), 6) AS missing, count({c}) < count(*) / 2.0 AS mostly_missing FROM g" for c in io.WEATHER))
+def src_05_missing(spark, sf_dir):
+    """Which weather columns lack more than half of their hours."""
+    w = io.prepare_weather(adapters.weather(spark, sf_dir))
+    third = F.hour("time") % 3 == 0
+    return rounded(io.missing_share(w.withColumns({"snowfall": F.when(third, F.col("snowfall")), "snow_depth": F.when(~third, F.col("snow_depth"))})))
+
+
 @query("src_06", f"WITH {DAILY} SELECT count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS total_s, min(date) AS first_day, max(date) AS last_day FROM c")
 def src_06(spark, sf_dir):
     path = temp_folder(spark) + "/split"
@@ -136,17 +152,37 @@ def flt_07(spark, sf_dir):
     return rows.withColumns({"y": F.col("y") * 2, "hist_hour": F.col("hour")}).drop("hour")
 
 
-_COLUMNS = ["y", "date", "line", "baseline", "baseline_recent", "journey_id", "refit_hist_mean_sh", "hist_mean_sh", "rt_ld_n20", "rt_prev_anom", "rt_in_delay", "lead_min", "horizon_min", "stop_name"]
+#: A dataset with columns of every kind, made from columns at hand: name -> expression.
+_COLUMNS = {
+    "y": "y", "date": "date", "line": "line", "baseline": "hour", "baseline_recent": "daytype", "journey_id": "journey_id", "refit_hist_mean_sh": "hour * 2", "hist_mean_sh": "minute_of_day", "rt_ld_n20": "seq * 3",
+    "rt_prev_anom": "y * 2", "rt_in_delay": "y + 1", "lead_min": "bucket", "horizon_min": "bucket + seq", "stop_name": "stop",
+}
 
 
-def _column_frame(spark, sf_dir, names):
-    rows = live(spark, sf_dir).select(*[F.lit(1).alias(c) if c not in ("journey_id",) else F.col("journey_id") for c in _COLUMNS])
-    return rows.select(F.lit(json.dumps(names(_COLUMNS))).alias("names")).distinct()
+def _selected_sql(*names: str) -> str:
+    return f"WITH {LIVE} SELECT " + ", ".join(f"{_COLUMNS[n]} AS {n}" for n in names) + " FROM c"
 
 
-@query("flt_08", """SELECT '["line", "hist_mean_sh", "rt_ld_n20", "lead_min", "horizon_min"]' AS names""")
+def _selected(spark, sf_dir, names):
+    rows = live(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in _COLUMNS.items()])
+    return rows.select(*names(datasets.feature_columns(rows.columns)))
+
+
+@query("flt_08", _selected_sql("line", "hist_mean_sh", "rt_ld_n20", "lead_min", "horizon_min"))
 def flt_08(spark, sf_dir):
-    return _column_frame(spark, sf_dir, lambda c: datasets.round_one(datasets.feature_columns(c)))
+    """The features of the first round."""
+    return _selected(spark, sf_dir, datasets.round_one)
+
+
+@query("flt_08_all", _selected_sql("line", "hist_mean_sh", "rt_ld_n20", "rt_prev_anom", "rt_in_delay", "lead_min", "horizon_min"))
+def flt_08_all(spark, sf_dir):
+    return _selected(spark, sf_dir, list)
+
+
+@query("flt_08_static", _selected_sql("line", "hist_mean_sh"))
+def flt_08_static(spark, sf_dir):
+    """The features without real time."""
+    return _selected(spark, sf_dir, datasets.without_realtime)
 
 
 @query("flt_09", f"WITH {LIVE} SELECT journey_id, seq, hour + 1 AS hist_hour FROM c")

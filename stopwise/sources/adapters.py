@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import Setup, Period
+from ..functions.scalars import in_zone
+from ..schema import Period, Setup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +46,9 @@ def duck(sql: str) -> str:
 
 
 def _frame(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     parts = {t: table(spark, sf_dir, t) for t in tables}
+    if "events" in parts:
+        parts["events"] = parts["events"].withColumn("ts", in_zone(parts["events"], "ts", "UTC"))
     text = sql.format(**_SPARK)
     for t in tables:  # {events} is given as a frame, not as a global view
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
@@ -74,15 +76,15 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a feed of recorded arrivals."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = table(spark, sf_dir, "events")
+    e = e.withColumn("ts", in_zone(e, "ts", "UTC"))
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select(
         F.concat(F.lit("J"), F.col("user_id")).alias("datedServiceJourneyId"), F.to_date("ts").alias("operatingDate"), F.concat(F.lit("L"), F.col("user_id") % 5).alias("lineRef"),
         F.lit("Outbound").alias("directionRef"), F.concat(F.lit("S"), F.col("event_id") % 17).alias("stopPointRef"), F.concat(F.lit("Stop "), F.col("event_id") % 17).alias("stopPointName"),
         F.col("event_id").cast("string").alias("sequenceNr"), F.when(F.col("event_type") != "signup", "ATB").otherwise("OTHER").alias("dataSource"), F.lit("bus").alias("vehicleMode"),
         (k % 10 == 0).alias("journeyCancellation"), (k % 10 == 1).alias("stopCancellation"), F.lit(False).alias("extraJourney"), (k % 10 == 2).alias("estimated"),
-        F.when(k % 10 != 3, F.timestamp_seconds(F.unix_timestamp("ts") + F.round("value").cast("long"))).alias("arrivalTime"), F.col("ts").alias("aimedArrivalTime"),
+        F.when(k % 10 != 3, F.timestamp_add("SECOND", F.round("value").cast("int"), F.date_trunc("second", "ts").cast("timestamp_ntz"))).alias("arrivalTime"), F.col("ts").alias("aimedArrivalTime"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import in_zone
+
 WEATHER = ("temperature_2m", "precipitation", "snowfall", "snow_depth", "wind_speed_10m")
 
 
@@ -20,7 +22,7 @@ def ingest(feed: DataFrame, start: str | None = None, end: str | None = None, ag
         f = f.filter(F.col("operatingDate").between(F.lit(start).cast("date"), F.lit(end or start).cast("date")))
     return f.select(
         F.col("datedServiceJourneyId").alias("journey_id"), "operatingDate", "lineRef", "directionRef", "stopPointRef", "stopPointName", F.col("sequenceNr").cast("long").alias("seq"),
-        F.from_utc_timestamp("aimedArrivalTime", zone).cast("timestamp_ntz").alias("aimed_arrival_local"), (F.unix_timestamp("arrivalTime") - F.unix_timestamp("aimedArrivalTime")).alias("arrival_delay_s"),
+        in_zone(f, "aimedArrivalTime", zone).alias("aimed_arrival_local"), F.timestamp_diff("SECOND", F.date_trunc("second", in_zone(f, "aimedArrivalTime", "UTC")), F.date_trunc("second", in_zone(f, "arrivalTime", "UTC"))).alias("arrival_delay_s"),
     )
 
 
@@ -94,7 +96,9 @@ def prepare_weather(df: DataFrame, source: str = "measured") -> DataFrame:
     The window runs over one row per hour of the series, a few thousand a year.
     """
     df = df.select("time", *[F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double").alias(c) for c in WEATHER])
-    df = df.groupBy("time").agg(*[F.first(c).alias(c) for c in WEATHER])
+    missing = sum((F.col(c).isNull().cast("int") for c in WEATHER[1:]), F.col(WEATHER[0]).isNull().cast("int"))
+    best = F.min(F.struct(missing.alias("missing"), *WEATHER)).alias("best")  # of an hour's rows the fullest, then the smallest
+    df = df.groupBy("time").agg(best).select("time", *[F.col("best")[c].alias(c) for c in WEATHER])
     last3 = Window.orderBy("time").rowsBetween(-2, 0)
     return df.withColumns({"precip_3h": F.sum("precipitation").over(last3), "source": F.lit(source)})
 
@@ -110,6 +114,15 @@ def write_split(df: DataFrame, path: str, keys: Sequence[str] = ("date", "journe
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def read_in_order(spark: SparkSession, path: str, name: str = "place") -> DataFrame:
+    """A written dataset with the place of each row, from 1, in the order of its files and of the rows inside them."""
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))  # one row per file
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("_file", before.alias("_before"))
+    return rows.join(files, "_file").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
+
+
 def compact(df: DataFrame, shorts: Sequence[str] = (), rounded: Sequence[str] = ()) -> DataFrame:
     """Narrow types for export: predictions rounded, whole numbers as 16-bit."""
     return df.withColumns({**{c: F.col(c).cast("short") for c in shorts}, **{c: F.rint(c).cast("short") for c in rounded}})

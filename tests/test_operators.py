@@ -11,6 +11,7 @@ from stopwise.functions import scalars as sc
 from stopwise.operators import evaluate as ev
 from stopwise.operators import history, trips
 from stopwise.operators.asof import asof_join
+from stopwise.plans import model
 from stopwise.sources import io
 
 T0 = dt.datetime(2025, 3, 1)
@@ -75,44 +76,183 @@ def test_plan_ignores_the_own_day(spark):
 
 
 def test_upper_median(spark):
-    df = spark.createDataFrame([([1, 2, 3, 4],), ([],), ([5],)], "a array<int>")
-    assert [r[0] for r in df.select(trips.upper_median(F.col("a"))).collect()] == [3, None, 5]
+    df = spark.createDataFrame([([9, 2, 7, 4, 1, 8],), ([],), ([6, 5, 5],)], "a array<int>")
+    assert [r[0] for r in df.select(trips.upper_median(F.col("a"))).collect()] == [7, None, 5]
 
 
 def test_minutes_are_boundaries_and_easter(spark):
-    r = spark.sql("SELECT TIMESTAMP_NTZ '2025-01-01 10:00:59' AS a, TIMESTAMP_NTZ '2025-01-01 11:31:00' AS b, DATE '2025-06-01' AS d")
-    got = r.select(sc.minutes_between("a", "b").alias("m"), cal.easter("d").alias("e"), sc.delay_text(F.lit(67)).alias("t"), sc.date_text(F.lit("2025-12-01").cast("date")).alias("u")).first()
-    assert (got["m"], got["e"], got["t"], got["u"]) == (91, dt.date(2025, 4, 20), "1 min 07 s", "mandag 1. desember 2025")
-
-
-def predictions(spark, weekly=0.0):
-    rnd, rows = random.Random(1), []
-    for n in range(56):
-        day = dt.date(2025, 1, 6) + dt.timedelta(days=n)
-        effect = random.Random(n // 7).gauss(0, weekly) if weekly else 0
-        for _ in range(60):
-            y = rnd.gauss(100, 60)
-            rows.append((day, y, y + rnd.gauss(0, 40), y + rnd.gauss(effect, 60)))
+    r = spark.sql("SELECT TIMESTAMP_NTZ '2024-02-29 23:58:30' AS a, TIMESTAMP_NTZ '2024-03-01 00:03:00' AS b, DATE '2038-09-01' AS d")
+    got = r.select(sc.minutes_between("a", "b").alias("m"), cal.easter("d").alias("e"), sc.delay_text(F.lit(-754)).alias("t"), sc.date_text(F.lit("2027-08-15").cast("date")).alias("u")).first()
+    assert (got["m"], got["e"], got["t"], got["u"]) == (5, dt.date(2038, 4, 25), "-12 min 34 s", "søndag 15. august 2027")
+
+
+def test_daylight_at_the_equator_the_pole_and_the_equinox(spark):
+    day = F.lit("2023-06-21").cast("date")
+    got = spark.range(1).select(cal.daylight_hours(day, 0.0).alias("a"), cal.daylight_hours(day, 80.0).alias("b"), cal.daylight_hours(day, -80.0).alias("c"), cal.daylight_hours(F.lit("2023-03-22").cast("date"), 60.0).alias("d")).first()
+    assert got["a"] == pytest.approx(12.0) and got["b"] == 24.0 and got["c"] == 0.0 and got["d"] == pytest.approx(12.0, abs=0.2)
+
+
+def errors(spark, n_days, per_day, effect):
+    """Errors of two methods; effect(day) is added to the base's error on all rows of a day."""
+    rnd, rows = random.Random(11), []
+    for n in range(n_days):
+        for _ in range(per_day):
+            y = rnd.uniform(-50, 250)
+            rows.append((dt.date(2024, 4, 1) + dt.timedelta(days=n), y, y + rnd.choice((-1, 1)) * rnd.uniform(10, 20), y + 30 + effect(n)))
     return spark.createDataFrame(rows, "date date, y double, pred double, base double")
 
 
-def test_metrics_and_bootstrap(spark):
-    hand = spark.createDataFrame([(0.0, 30.0), (0.0, 60.0), (0.0, 90.0), (0.0, 150.0)], "y double, pred double")
+def test_metrics_by_hand(spark):
+    hand = spark.createDataFrame([(10.0, 10.0), (10.0, -50.0), (10.0, 129.0), (10.0, 131.0), (10.0, -400.0)], "y double, pred double")
     m = hand.agg(*ev.error_metrics()).first()
-    assert (m["mae_s"], m["within_1min_pct"], m["within_2min_pct"]) == (82.5, 50.0, 75.0)
-    p = predictions(spark)
-    gain = ev.mae_gain(p, [("pred", "base")]).first()
-    assert gain["low"] > 0 and gain == ev.mae_gain(p, [("pred", "base")]).first()
-    same = ev.mae_gain(p, [("base", "base")]).first()
-    assert (same["value"], same["low"], same["high"]) == (0.0, 0.0, 0.0)
-    w = predictions(spark, 60.0)
-    width = lambda b: (lambda r: r["high"] - r["low"])(ev.mae_gain(w, [("pred", "base")], b).first())
-    assert width("week") > 1.3 * width("day")
+    assert (m["mae_s"], m["within_1min_pct"], m["within_2min_pct"]) == (142.0, 40.0, 60.0) and m["rmse_s"] == pytest.approx(40100.4**0.5)
+
+
+def test_bootstrap_intervals(spark):
+    plain = errors(spark, 40, 25, lambda n: 0)
+    gain = ev.mae_gain(plain, [("pred", "base")]).first()
+    assert gain["value"] == pytest.approx(50, abs=2) and gain["low"] < gain["value"] < gain["high"] and gain["high"] - gain["low"] < 3
+    assert gain == ev.mae_gain(plain, [("pred", "base")]).first() and (gain["days"], gain["blocks"]) == (40, 40)
+    none = ev.mae_gain(plain, [("pred", "pred")], absolute=True).first()
+    assert (none["value"], none["low"], none["high"]) == (0.0, 0.0, 0.0)
+    weekly = errors(spark, 70, 10, lambda n: 60.0 * (n // 7 % 3))  # days of a week err alike
+    by = {b: ev.mae_gain(weekly, [("pred", "base")], b).first() for b in ("day", "week")}
+    assert by["week"]["high"] - by["week"]["low"] > by["day"]["high"] - by["day"]["low"] and by["week"]["blocks"] == 10
+    assert by["week"]["value"] == pytest.approx(by["day"]["value"])
+    with pytest.raises(ValueError):
+        ev.block_totals(plain, "pred", "base", "year")
+
+
+def test_bootstrap_equals_drawing_blocks_one_by_one(spark):
+    totals = [(10.0 + i, 20.0 + (i * i) % 7, 5 + i % 3) for i in range(12)]
+    df = spark.createDataFrame([("a", i, m, b, n, 1) for i, (m, b, n) in enumerate(totals)], "comparison string, block int, model_error double, base_error double, n_rows long, n_days long")
+    got = ev.block_bootstrap(df, draws=4000, absolute=True).first()
+    rnd, values = random.Random(5), []
+    for _ in range(4000):
+        drawn = [rnd.choice(totals) for _ in totals]
+        values.append((sum(x[0] for x in drawn) - sum(x[1] for x in drawn)) / sum(x[2] for x in drawn))
+    values.sort()
+    assert got["low"] == pytest.approx(values[100], abs=0.05) and got["high"] == pytest.approx(values[3900], abs=0.05)
+
+
+def test_statistics_of_millions_of_rows_do_not_overflow(spark):
+    n = 4_000_000_000
+    counts = spark.createDataFrame([("a", 0, -1800, n), ("a", 0, 3600, n), ("b", 0, 5, 1)], "line string, unit int, y int, n long")
+    got = {r["line"]: r for r in history.statistics(counts, ["line"], {"m": "mean", "s": "std", "d": "median"}, history.sent_to(F.array(F.lit(0)))).collect()}
+    assert got["a"]["m"] == 900.0 and got["a"]["s"] == pytest.approx(2700.0) and got["b"]["s"] is None and got["b"]["d"] == 5.0
+
+
+def test_running_past_equals_counting_anew(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("ab"), dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(200)), rnd.choice((0, 10, 20, 500))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "line string, date date, y int")
+    periods = ["2024-05-01", "2024-02-01", "2024-07-01", "2024-04-01", "2023-01-01"]
+    units = df.groupBy("line", F.trunc("date", "month").alias("unit"), "y").agg(F.count("*").alias("n"))
+    got = {(str(r["hkey"]), r["line"], r["y"]): r["n"] for r in history.all_before(periods)(units, ["line"]).collect()}
+    want = {}
+    for p in periods:
+        for line, day, y in rows:
+            if str(day) < p:
+                want[p, line, y] = want.get((p, line, y), 0) + 1
+    assert got == want
+
+
+def test_quantiles_and_auc_of_real_scores(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice("xy"), rnd.random() if i % 3 else 0.5, rnd.random() < 0.4) for i in range(3000)] + [("z", 7.0, True), (None, 0.25, True), (None, 0.75, False)]
+    df = spark.createDataFrame(rows, "g string, p double, late boolean")
+    import numpy as np
+
+    got = {r["g"]: r["q"] for r in ev.quantiles(df, F.col("p"), [0, 0.1, 0.5, 0.93, 1], "g").collect()}
+    for g in "xyz":
+        assert got[g] == pytest.approx(np.quantile([r[1] for r in rows if r[0] == g], [0, 0.1, 0.5, 0.93, 1]).tolist())
+    assert got[None] == pytest.approx([0.25, 0.3, 0.5, 0.715, 0.75])
+    area = {r["g"]: r["auc"] for r in ev.auc(df, "p", F.col("late"), "g").collect()}
+    for g in "xy":
+        pos, neg = ([r[1] for r in rows if r[0] == g and r[2] is late] for late in (True, False))
+        wins = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
+        assert area[g] == pytest.approx(wins / len(pos) / len(neg))
+    assert area["z"] is None and area[None] == 0.0
+
+
+def test_shuffle_deals_all_values_anew(spark):
+    df = spark.range(2000).selectExpr("id", "id * 3 AS v", "id % 7 AS w")
+    got = ev.shuffled_column(df, "v", ["id"], 5).collect()
+    assert sorted(r["v"] for r in got) == [3 * i for i in range(2000)] and all(r["w"] == r["id"] % 7 for r in got)
+    assert sum(r["v"] == 3 * r["id"] for r in got) < 20 and len({r["id"] for r in got}) == 2000
+    assert ev.shuffled_column(df, "v", ["id"], 5).exceptAll(spark.createDataFrame(got)).isEmpty()
+
+
+def test_importance_is_that_of_the_columns_a_model_uses(spark):
+    df = spark.range(1500).selectExpr("id", "CAST(id % 50 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b", "CAST(id % 50 * 10 AS DOUBLE) AS y")
+    got = {r["feature"]: r for r in ev.permutation_importance(df, lambda x: x.withColumn("pred", F.col("a") * 10), ["a", "b"], ["id"]).collect()}
+    assert got["a"]["mean_increase_s"] > 100 and (got["b"]["mean_increase_s"], got["b"]["sd_s"]) == (0.0, 0.0)
+
+
+def test_logistic_fit_finds_the_curve_it_was_made_from(spark):
+    df = spark.range(40_000).selectExpr("CAST(id % 200 AS DOUBLE) / 50 - 2 AS x", "id").selectExpr("x", "pmod(hash(id, 3), 10000) / 10000.0 < 1 / (1 + exp(-(0.5 + 1.5 * x))) AS late")
+    a, b = ev.fit_logistic(df, F.col("x"), F.col("late"))
+    assert a == pytest.approx(0.5, abs=0.1) and b == pytest.approx(1.5, abs=0.1)
+    assert ev.brier(df.withColumn("p", ev.probability((a, b), F.col("x"))), "p", F.col("late")).first()["skill"] > 0.3
+
+
+def test_checksum_tells_changed_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "i int, s string")
+    same = ev.row_checksum(df.repartition(3), ["i", "s"]).first()
+    assert same == ev.row_checksum(df, ["i", "s"]).first() and same["n_rows"] == 3
+    assert same != ev.row_checksum(df.fillna("b"), ["i", "s"]).first()
+
+
+def test_trees_stop_early_and_learn(spark):
+    df = spark.range(600).selectExpr("concat('l', id % 80) AS line", "'s' AS stop", "'d' AS direction", "CAST(id % 10 AS DOUBLE) AS a", "IF(id % 5 = 0, NULL, 1.0D) AS b", "CAST(id % 10 * 20 AS DOUBLE) AS y", "50.0D AS baseline")
+    m = model.fit_and_refit(df, df, df, ["a", "b"], rounds=4, depth=3)
+    assert 1 <= model.rounds_used(m) <= 4
+    out = model.predict(m, df.withColumn("line", F.lit("unseen")), numbers=["a", "b"])
+    assert out.agg(F.avg(F.abs(F.col("pred") - F.col("y")))).first()[0] < 20 and set(out.columns) == {*df.columns, "pred"}
+    top = model.importances(m, spark, ["a", "b"]).orderBy(F.desc("importance")).first()
+    assert top["feature"] == "a"
+    assert model.residual(df.withColumn("baseline", F.when(F.col("a") > 4, F.col("baseline")))).count() == 300
+
+
+def test_time_zone_of_the_session_does_not_matter(spark):
+    from stopwise.sources import adapters
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = io.ingest(adapters.raw_feed(spark, "/root/testdata/sf0.001")).collect(), adapters.visits_live(spark, "/root/testdata/sf0.001").collect()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = io.ingest(adapters.raw_feed(spark, "/root/testdata/sf0.001")).collect(), adapters.visits_live(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [sorted(map(str, x)) for x in got] == [sorted(map(str, x)) for x in want]
+
+
+def test_weather_of_a_repeated_hour_does_not_depend_on_order(spark):
+    t = dt.datetime(2024, 10, 27, 2)
+    df = spark.createDataFrame([(t, None, 1.0), (t, 3.0, 2.0), (t, 2.5, 4.0)], "time timestamp_ntz, temperature_2m double, precipitation double")
+    got = [io.prepare_weather(x).first() for x in (df, df.orderBy("precipitation"), df.orderBy(F.desc("precipitation")))]
+    assert got[0] == got[1] == got[2] and (got[0]["temperature_2m"], got[0]["precip_3h"]) == (2.5, 4.0)
+
+
+def test_written_dataset_is_in_order(spark, tmp_path):
+    df = spark.range(5000).selectExpr("date_add(DATE '2024-01-01', CAST(id * 7919 % 90 AS INT)) AS date", "concat('j', id * 31 % 400) AS journey_id", "id AS seq")
+    io.write_split(df, f"file://{tmp_path}/out")
+    got = io.read_in_order(spark, f"file://{tmp_path}/out").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 5001)) and [(r["date"], r["journey_id"], r["seq"]) for r in got] == sorted((r["date"], r["journey_id"], r["seq"]) for r in got)
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from stopwise.sources import scratch
+
+    with pytest.raises(RuntimeError):
+        scratch.temp_folder(N(conf=N(get=lambda *a: None), sparkContext=N(master="spark://host:7077")))
 
 
 def test_file_choice():
-    names = [("atb_2024.parquet", 9000), ("atb_2024_03.parquet", 9000), ("atb_2025_01.parquet", 9000), ("atb_2025_02.parquet", 10)]
-    assert io.chosen_files(names) == ["atb_2024.parquet", "atb_2025_01.parquet"]
+    names = [("feed_2019_12.parquet", 5000), ("feed_2020.parquet", 2000), ("feed_2020_07.parquet", 8000), ("feed_2021.parquet", 999), ("feed_2021_01.parquet", 1000)]
+    assert io.chosen_files(names) == ["feed_2019_12.parquet", "feed_2020.parquet", "feed_2021_01.parquet"]
 
 
 def test_incremental_load_adds_only_what_is_missing(spark, tmp_path):
