@@ -116,11 +116,9 @@ def release_memory() -> None:
     """For when a task ends: gives Arrow's and the C library's free memory back to the system. A Python worker waits for
     other work then, which may never come."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
     if trim is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, stored, text_of
@@ -26,7 +26,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).withColumn("h", F.unhex(F.md5(F.encode("norm", "UTF-8"))))
     first = F.struct((-F.col("len")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
     copies = stored(rows.groupBy("h", "doc_id", "len", F.sha2(F.col("norm"), 256).alias("sha")).agg(F.count("*").alias("copies")))
-    groups = copies.groupBy("h").agg(F.sum("copies").alias("group_size"), F.min(first).alias("top"), F.count("*").alias("members"))
+    # Written, so that joins with it are plain joins, which Spark splits where one text has very many members.
+    groups = stored(copies.groupBy("h").agg(F.sum("copies").alias("group_size"), F.min(first).alias("top"), F.count("*").alias("members")))
     # Bytes are compared in groups of two or more documents.
     member = stored(rows.join(groups.filter("members > 1").select("h", "top"), "h").select("h", "doc_id", "len", "norm", "top"))
     top = member.filter(first.eqNullSafe(F.col("top"))).groupBy("h").agg(F.min("norm").alias("top_norm"))
@@ -45,11 +46,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def one_of_each(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """One row of those that agree in keys: the one with the smallest text, then the smallest hash of all columns."""
+    alike = [c for c, kind in rows.dtypes if "map<" not in kind]
+    w = Window.partitionBy(*keys).orderBy(text_col, F.xxhash64(*alike))
+    return rows.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")  # each task sends one row a group
+
+
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns: one row of each group of equal texts."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_k_id"), F.col("content_hash").alias("_k_h"), F.col("n_code_points").alias("_k_n"))
+    """The documents that stay, with all their columns: one row of each group of equal texts (see exact_groups).
+
+    Null texts are empty ones; where rows repeat id and text, the one with the smallest original text stays, then the
+    one with the smallest hash of all columns; an empty table gives an empty result.
+    """
+    kept = exact_groups(docs, id_col, text_col).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("_k_id"), F.col("content_hash").alias("_k_h"), F.col("n_code_points").alias("_k_n"))
     mine = F.unhex(F.md5(F.encode(F.translate(text_of(text_col), WHITE, ""), "UTF-8")))
     rows = docs.withColumns({"_h": mine, "_n": F.char_length(text_of(text_col)).cast("long")})
-    rows = rows.join(kept, (rows["_h"] == kept["_k_h"]) & (rows["_n"] == kept["_k_n"]) & rows[id_col].eqNullSafe(kept["_k_id"]), "left_semi")
+    same = (rows["_h"] == kept["_k_h"]) & (rows["_n"] == kept["_k_n"]) & rows[id_col].eqNullSafe(kept["_k_id"])
     # More than one row is left only where one id and text are repeated.
-    return rows.dropDuplicates(["_h", id_col]).select(*docs.columns)
+    return one_of_each(rows.join(kept, same, "left_semi"), ["_h", id_col], text_col).select(*docs.columns)

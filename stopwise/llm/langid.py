@@ -194,7 +194,7 @@ def train(
 ) -> Model:
     """Learns from at most per_language documents of each language, those with the smallest hash of their id.
 
-    Rows without language or letters are left out; ties of the hash go to the smaller id, and rows that repeat a chosen
+    Rows without language, letters or id are left out; ties of the hash go to the smaller id, and rows that repeat a chosen
     id are learned from together; an empty table gives a model that knows no language.
 
     Each machine is fitted in a task of its own from the samples of its languages.  Only weights reach the driver, 2**BITS

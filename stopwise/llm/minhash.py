@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, scrambled, stored, text_of, trim_words, word_hashes
 from .components import components
+from .exact import one_of_each
 
 #: Retained values of a sketch, and how many of them a pair at the threshold shares at least: of the
 #: K smallest of its union 0.8 K = 77 are shared on average, with deviation 3.9, so 56 are but for 5e-8.
@@ -100,7 +101,8 @@ def _rare_lists(values: DataFrame, shared) -> DataFrame:
     come first, and a set with fewer than `shared` others enters no list.  rest is how many
     values a match can share at most if this is the first that it shares.
     """
-    often = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    # Written, so that the join is a plain one, which Spark splits where very many sets have a value.
+    often = stored(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
     mine = Window.partitionBy("cid")
     found = values.join(often, "value").withColumns({"rank": F.row_number().over(mine.orderBy("df", "value")), "with_others": F.count("*").over(mine)})
     return found.withColumn("rest", F.col("with_others") - F.col("rank") + 1).filter(F.col("rest") >= shared).select("value", "cid", "n", "rest")
@@ -113,7 +115,9 @@ def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
 def _several(known: DataFrame, compared: int = 0) -> DataFrame:
     """Lists of more than `compared` classes with more than one component, and the component that most of them are in."""
     per = known.groupBy("value", "label").agg(F.count("*").alias("m"))
-    return per.groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels"), F.sum("m").alias("size")).filter(f"labels > 1 and size > {compared}")
+    main = F.max_by("label", F.struct("m", "label")).alias("main")
+    several = per.groupBy("value").agg(main, F.count("*").alias("labels"), F.sum("m").alias("size"))
+    return stored(several.filter(f"labels > 1 and size > {compared}"))
 
 
 #: What the first value that a pair shares leaves to be shared, against what its sizes ask for.
@@ -198,7 +202,7 @@ def _components_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> tu
     small = K * THRESHOLD // 100
     shared = F.when(F.col("n") <= small, _least_shared("n")).otherwise(F.lit(SHARED))
     lists = stored(_rare_lists(values, shared).drop("rest"))
-    heads = lists.groupBy("value").agg(F.min(F.struct("cid", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
+    heads = stored(lists.groupBy("value").agg(F.min(F.struct("cid", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1"))
     stars = lists.join(heads, "value").filter("cid <> head.cid").filter(_could_match("n", "head.n")).groupBy(F.col("head.cid").alias("a"), F.col("cid").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
     stars = stored(stars)
     links = stored(_verified(stars, classes, rows, size))
@@ -265,10 +269,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
 def dedup_near(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with its smallest id (null ids last), with all its columns; rows without a set stay.
 
-    Rows that repeat an id and its text are one document and stay once; another text under the same id, or without
-    an id, is a document of its own.
+    Rows that repeat an id and its text are one document and stay once, that with the smallest hash of all columns; another
+    text under the same id, or without an id, is a document of its own; an empty table gives an empty result.
     """
     own, named = _components_of(docs, size, id_col, text_col)
     kept = named.select(F.col("first.row").alias("_row")).unionByName(own.filter("sig is null").select(F.col("row").alias("_row"))).distinct()
-    rows = docs.withColumn("_row", _row(id_col, text_col)).dropDuplicates(["_row"])
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = docs.withColumn("_row", _row(id_col, text_col)).join(kept, "_row", "left_semi")
+    return one_of_each(rows, ["_row"], text_col).select(*docs.columns)

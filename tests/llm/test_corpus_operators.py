@@ -516,23 +516,76 @@ def test_top_k_of_vectors_of_any_size(spark):
     assert got == Counter({x: n for x, n in want.items() if x[0] < 90})
 
 
-def test_pipeline_stages(spark, docs, rows):
+def packed_right(pieces, rows, library):
+    """Each token of each document lies in exactly one piece, and pieces fill sequences without gaps."""
+    sequences, places, want = defaultdict(list), Counter(), Counter()
+    for i, text in rows:
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        want.update((i, len(ids), int(x), n) for n, x in enumerate(zlib.crc32(ids[k : k + 1].tobytes()) for k in range(len(ids))))
+    by_doc = defaultdict(list)
+    for i, text in rows:
+        by_doc[i].append(np.array(library.encode(text or "", add_special_tokens=False).ids + [0], "<u4"))
+    for r in pieces:
+        fits = [d for d in by_doc[r["doc_id"]] if len(d) == r["doc_tokens"] and zlib.crc32(d[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]]
+        piece = fits[0][r["start"] : r["start"] + r["length"]]
+        places.update((r["doc_id"], r["doc_tokens"], zlib.crc32(piece[k : k + 1].tobytes()), r["start"] + k) for k in range(len(piece)))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert places == want
+    for s in sequences.values():
+        s.sort()
+        assert [x for x, _ in s] == np.cumsum([0] + [n for _, n in s])[:-1].tolist() and sum(n for _, n in s) <= 1024
+
+
+def test_pipeline_stages(spark, docs, rows, library):
+    """Each stage's rows against a brute-force version, on its own input."""
     import corpus_pipeline as cp
 
+    stages, key = dict(cp.STAGES), lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
     left = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    letters = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+    out = stages["language"](spark, left, "").cache()
+    assert Counter(map(tuple, out.collect())) == Counter(letters)
+
+    groups = defaultdict(list)
+    for r in letters:
+        groups[norm(r[1])].append(r)
+    best = [min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for g in groups.values()]
+    out = stages["exact"](spark, out, "").cache()
+    assert Counter(map(tuple, out.collect())) == Counter(best)
+
+    component = {(i, n): c for i, n, c in brute_near(best, 5)}
+    assert len(component) == len({(i, n) for i, n, _ in brute_near(best, 5)})
+    kept = {c for (i, _), c in component.items()}
+    out = stages["near"](spark, out, "").cache()
+    left_ids = [r["doc_id"] for r in out.collect()]
+    assert Counter(left_ids) == Counter(kept) and set(map(tuple, out.collect())) <= set(best)
+
+    mixed_from = [tuple(r) for r in out.collect()]
+    out = stages["mixture"](spark, out, "").cache()
+    got = out.collect()
+    _, _, take, _, _ = brute_mix(mixed_from, mixing.N_SHARDS)
+    words_of = Counter()
+    for r in got:
+        words_of[r["source"]] += len(words(r["text"]))
+        of = next(x for x in mixed_from if x[0] == r["doc_id"])
+        assert r["n_chars"] == len(r["text"]) and not Counter(words(r["text"])) - Counter(words(of[1])) and (r["lang"], r["source"]) == of[2:4]
+    assert all(words_of[s] == n for s, n in take.items())
+
+    packed_right(stages["packed"](spark, out, "").collect(), [(r["doc_id"], r["text"]) for r in got], library)
+
+
+def test_pipeline_of_an_empty_table_and_of_rows_without_ids(spark, docs, library):
+    import corpus_pipeline as cp
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.select(columns).limit(0), "").count() == 0
+    odd = spark.createDataFrame([(None, f"some text number {i} of {'many ' * (i % 3)}words", None, None, None) for i in range(6)] + [(None, None, None, None, None), (None, "", None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in cp.STAGES[:-1]:
-        out = stage(spark, left, "")
-        assert out.columns == left.columns, name
-        left = out.cache()
-        ids = {r["doc_id"] for r in left.collect()}
-        if name == "language":
-            assert not ids & {3, 4, 5, 18}
-        if name == "exact":
-            assert 2 in ids and not ids & {1, 15} and left.filter("doc_id = 16").count() == 1
-        if name == "near":
-            assert 7 in ids and not ids & {8, 9}
-    packed = cp.STAGES[-1][1](spark, left, "")
-    assert packed.agg({"length": "sum"}).first()[0] > 0
+        odd = stage(spark, odd, "").cache()
+        assert odd.columns == columns and odd.count() == 6, name
+    packed_right(cp.STAGES[-1][1](spark, odd, "").collect(), [(r["doc_id"], r["text"]) for r in odd.collect()], library)
 
 
 def test_language_machines_grow_with_the_languages_not_with_their_pairs():
