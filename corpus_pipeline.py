@@ -19,9 +19,12 @@ from stopwise.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; `und` (a null text, or one without a letter) goes. Repeated rows stay."""
+    """Documents with a language; `und` (a null text, or one without a letter) goes. Repeated rows stay. Where no document
+    has a known language to learn from, all with a letter stay."""
     model = train(docs.filter(~held_out()))
-    return identify(docs, model, into=("_lang_pred", "_lang_score")).filter("_lang_pred <> 'und'").select(*docs.columns)
+    found = identify(docs, model, into=("_lang_pred", "_lang_score"))
+    rejected = F.col("_lang_pred") == "und" if model.langs else ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.filter(~rejected).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
