@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, scrambled, stored, text_of, trim_words, word_hashes
+from .common import discard, release_memory, scrambled, stored, text_of, word_keys
 from .components import components
 from .exact import one_of_each
 
@@ -25,8 +25,8 @@ _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
-    words = [t.encode().lower().split() for t in texts]  # bytes: A-Z only, white space as in the contract
-    hashes = word_hashes([w for d in words for w in d])[:, 0]
+    keys, counts = word_keys(texts, lower=True)
+    hashes = keys[:, 0]
     factors = [np.uint64(_FACTORS[i % 5] + 2 * (i // 5)) for i in range(size)]
     n = len(hashes) - size + 1
     rolled = np.zeros(max(n, 0), np.uint64)
@@ -35,12 +35,12 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
             rolled += hashes[i : i + n] * f
     rolled = scrambled(rolled)
     a = 0
-    for d in words:
-        b = a + len(d)
+    for d in counts.tolist():
+        b = a + d
         if not d:
             yield np.zeros(0, np.uint64)
-        elif len(d) < size:
-            short = np.uint64(len(d))
+        elif d < size:
+            short = np.uint64(d)
             for h in hashes[a:b]:
                 short = (short * np.uint64(_FACTORS[0]) + h) & np.uint64(0xFFFFFFFFFFFFFFFF)
             yield scrambled(np.array([short]))
@@ -65,7 +65,7 @@ def _sketcher(size: int, k: int):
                     lists.append(s[:k].view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sigs, pa.binary()), pa.array(ns, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
         np.seterr(**old)
-        trim_words()
+        release_memory()
 
     return run
 
@@ -79,7 +79,7 @@ def _sets(size: int):
                 part = batch.slice(start, 64)
                 lists = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist(), size)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
-        trim_words()
+        release_memory()
 
     return run
 

@@ -18,8 +18,11 @@ ANSWER = "unit int, bucket int, flags binary"
 
 def _distinct(keys: np.ndarray):
     """Distinct rows of an (n, width) array in order, the index of each row among them, and their counts."""
-    order = np.lexsort(keys.T[::-1])
+    order = np.argsort(keys[:, 0])
     ranked = keys[order]
+    if keys.shape[1] > 1 and ((ranked[1:, 0] == ranked[:-1, 0]) & (ranked[1:, 1:] != ranked[:-1, 1:]).any(axis=1)).any():
+        order = np.lexsort(keys.T[::-1])  # different keys agree in their first number
+        ranked = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
     at = np.flatnonzero(new)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import input_units, scrambled, text_of, word_hashes
+from .common import input_units, scrambled, text_of, word_keys
 
 WINDOW = 35
 #: A difference cover: every distance modulo PERIOD is a difference of two of its members.
@@ -40,10 +40,8 @@ class _Unit:
 
     def __init__(self, docs: pd.DataFrame, window: int):
         self.docs = docs
-        self.words = [t.encode().split() for t in docs["text"]]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.hashes, self.sizes = word_keys(docs["text"].tolist())
         self.ends = np.cumsum(self.sizes)
-        self.hashes = word_hashes([w for d in self.words for w in d])
         self.place = np.arange(len(self.hashes)) - np.repeat(self.ends - self.sizes, self.sizes)
         self.left = np.repeat(self.ends, self.sizes) - np.arange(len(self.hashes))  # words from here to the document's end
         self.window = window
@@ -72,7 +70,8 @@ class _Unit:
         np.add.at(step, starts + self.window, -1)
         gone = np.cumsum(step)[:n] > 0
         rows = []
-        for i, (doc_id, words, b) in enumerate(zip(self.docs["doc_id"], self.words, self.ends)):
+        for doc_id, text, b in zip(self.docs["doc_id"], self.docs["text"], self.ends):
+            words = text.encode().split()
             mine = gone[b - len(words) : b]
             if mine.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))

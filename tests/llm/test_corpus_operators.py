@@ -604,3 +604,31 @@ def test_language_of_close_and_distant_languages(spark):
         assert lang == [k] * 3 and all(0 < s <= 1 for s in score)
     only = langid.train(df.filter("lang = 'fr'"))
     assert only.predict(["anything"])[0] == ["fr"]
+
+
+def test_word_keys_are_equal_just_for_equal_words():
+    from stopwise.llm.common import word_keys
+
+    rnd = np.random.default_rng(9)
+    letters = list("ab\x00\x7fAZéß漢😀 \t\n\x0b\x0c\r\x1c\x85  ")
+    texts = ["".join(rnd.choice(letters, size=rnd.integers(0, 60))) for _ in range(500)]
+    texts += ["", " ", "x" * 14, "x" * 15, "x" * 16, "x" * 16 + "y", "x" * 8, "x" * 8 + "\x00", "y" * 300_000, "y" * 300_001, "\x00", "\x00\x00", "a" * 7 + "é", " lead", "trail "]
+    for lower in (False, True):
+        low = (lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) if lower else (lambda t: t)
+        keys, counts = word_keys(texts, lower)
+        want = [words(low(t)) for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        flat = [w for x in want for w in x]
+        pairs = set(zip(flat, map(tuple, keys.tolist())))
+        assert len(pairs) == len(set(flat)) == len({k for _, k in pairs}) > 300
+    assert word_keys([])[0].shape == (0, 2) and word_keys([""])[1].tolist() == [0]
+    assert (word_keys(["one two three"])[0][1] == word_keys(["two"])[0][0]).all()
+
+
+def test_repeats_tell_keys_apart_that_agree_in_part():
+    from stopwise.llm import repeats
+
+    keys = np.array([[5, 1], [5, 2], [5, 1], [7, 1], [5, 3], [7, 1]], np.uint64)
+    distinct, inverse, counts = repeats._distinct(keys)
+    assert distinct.tolist() == [[5, 1], [5, 2], [5, 3], [7, 1]] and counts.tolist() == [2, 1, 1, 2]
+    assert (distinct[inverse] == keys).all()
