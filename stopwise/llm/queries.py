@@ -17,6 +17,13 @@ def op1_mix_sources(spark, sf_dir):
     return m.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.pieces")
 
 
+def mix_targets(spark, sf_dir):
+    """What op1 takes of each source, beside its target."""
+    m = op1_mix_sources(spark, sf_dir).join(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    sums = m.groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
+    return sums.withColumn("target", F.round("target", 6))
+
+
 def op6_html_text(spark, sf_dir):
     from .htmltext import extract_text
 
@@ -86,9 +93,19 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, mix_targets, pipeline)}
 
 ORACLE_SQL = {
+    # With sources in order of the level at which they reach their limit, the level of all others follows from sums.
+    "mix_targets": r"""
+        WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS size FROM documents GROUP BY source),
+        w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM s),
+        k AS (SELECT *, 3 * size / weight AS reached, row_number() OVER (ORDER BY 3 * size / weight) AS i FROM w),
+        l AS (SELECT k.i, ((SELECT sum(size) FROM k) - coalesce(sum(3 * b.size), 0)) / nullif((SELECT sum(weight) FROM k) - coalesce(sum(b.weight), 0), 0) AS level, any_value(k.reached) AS reached
+              FROM k LEFT JOIN k b ON b.i < k.i GROUP BY k.i),
+        f AS (SELECT min_by(level, i) AS level FROM l WHERE reached >= level),
+        t AS (SELECT source, size, CAST(least(3 * size, weight * level) AS DOUBLE) AS target FROM k, f)
+        SELECT source, size AS source_size, round(target, 6) AS target, CAST(least(round_even(target, 0), 3 * size) AS BIGINT) AS taken FROM t""",
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS rn,
