@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold
+from ..sources.scratch import stored
 
 #: From counts per (keys, unit, y) to counts per (hkey, keys, y).
 Spread = Callable[[DataFrame, Sequence[str]], DataFrame]
@@ -101,6 +102,7 @@ class History:
 
     def __init__(self, counts: DataFrame, spread: Spread, specs=SPECS):
         self.specs = specs
+        counts = stored(counts)  # all six tables start from it
         self.tables = {name: statistics(counts, keys, stats, spread) for name, (keys, stats) in specs.items()}
 
     def attach(self, rows: DataFrame, hkey: Column, columns: dict[str, str]) -> DataFrame:

@@ -122,7 +122,8 @@ def jn_04(spark, sf_dir):
     from ..plans.datasets import sampled
 
     rows = daily(spark, sf_dir)
-    return history.expanding(rows, MONTHS).baseline(sampled(rows, SETUP, "valid"), F.col("month")).select("journey_id", "seq", "baseline")
+    past = history.expanding(rows, history.months(SETUP.valid.start, SETUP.valid.end))
+    return past.baseline(sampled(rows, SETUP, "valid"), F.col("month")).select("journey_id", "seq", "baseline")
 
 
 @query("ev_21", f"WITH {DAILY} SELECT median(y) AS median_y FROM c WHERE date <= DATE '1999-12-31'")
