@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .tokenizer import count_tokens, trim
+from .common import release_memory, text_of
+from .tokenizer import count_tokens
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,7 +23,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         for batch in batches:
             n = count_tokens(batch.column(1).to_pylist(), tokenizer)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], schema=schema)
-        trim(tokenizer, "count")
+        release_memory()  # the counts of words are kept for the next task: they are small
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

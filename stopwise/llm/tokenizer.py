@@ -339,9 +339,9 @@ def encode(texts: list[str], path: str):
         yield a, np.frombuffer(b"".join(parts), "<u4"), sums[ends] - sums[ends - per_text]
 
 
-def trim(path: str, kind: str = "ids") -> None:
-    """For when a task ends: the words that it met need not be kept."""
-    memo = _memo(path, kind)
+def trim(path: str) -> None:
+    """For when a task ends: the ids of the words that it met need not be kept."""
+    memo = _memo(path, "ids")
     memo.clear()
     memo.held = 0
     memo.trim()
