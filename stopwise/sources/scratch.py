@@ -12,7 +12,8 @@ def temp_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. Where the session names none, a local one will do on a single machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/stopwise-{uuid.uuid4().hex}"
