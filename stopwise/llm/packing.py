@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
-from .tokenizer import encode, trim
+from .tokenizer import ROWS, encode, trim
 
 CONTEXT = 1024
 TIERS = (256, 512, 1024)
@@ -42,7 +42,7 @@ def _pieces(path: str):
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             doc_ids = batch.column(0).to_pylist()
             for a, ids, counts in encode(batch.column(1).to_pylist(), path):
                 rows, at = [], 0

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release_memory, text_of
-from .tokenizer import count_tokens
+from .tokenizer import ROWS, count_tokens
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,7 +20,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             n = count_tokens(batch.column(1).to_pylist(), tokenizer)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], schema=schema)
         release_memory()  # the counts of words are kept for the next task: they are small
