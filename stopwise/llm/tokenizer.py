@@ -27,7 +27,7 @@ CONVERGE = 16
 #: Compiled states of a process; a full table starts anew.
 STATES = 400_000
 #: Characters that are worked on at once, and rows whose texts are made Python strings at once.
-SLAB, ROWS = 500_000, 500
+SLAB, ROWS = 500_000, 2000
 
 # Character classes: letters that can occur in a contraction have their own.
 _LETTER, _NUMBER, _OTHER, _SPACE, _WHITE, _APOS = range(6)
