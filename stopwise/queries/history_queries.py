@@ -33,7 +33,7 @@ RECENT_ROWS = "(SELECT m.hkey, c.* FROM m JOIN c ON c.date < m.hkey AND c.date >
 def agg_04(spark, sf_dir):
     keys, stats = history.SPECS["lsd"]
     h = history.histogram(daily(spark, sf_dir), F.lit(0), keys)
-    return rounded(history.statistics(h, keys, stats, F.array(F.lit(0))))
+    return rounded(history.statistics(h, keys, stats, history.sent_to(F.array(F.lit(0)))))
 
 
 def _all_specs(h: history.History, spark_cols=("median", "mean", "std")):

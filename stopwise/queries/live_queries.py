@@ -210,7 +210,7 @@ def jn_11(spark, sf_dir):
     return live.incoming(_tr(_q(w)), w.times, SETUP.incoming_max_gap, any_line=True).select(*live.TRIP, "in_journey_id", "rt_in_same_line")
 
 
-_LEFT = "(epoch(in_trip_end_ts) - epoch(trip_start_ts)) / -60.0"
+_LEFT = "(epoch(trip_start_ts) - epoch(in_trip_end_ts)) / 60.0"
 _IN = f"""SELECT x.journey_id, x.lead_min, round({_LEFT}, 6) AS rt_in_gap_min, CAST(delay AS DOUBLE) AS rt_in_delay, {_AGE.format(o='told_at')} AS rt_in_age_min, round(stop_no / CAST(in_n_stops AS DOUBLE), 6) AS rt_in_progress,
   round({_LEFT} - delay / 60.0, 6) AS rt_in_slack_min FROM inc x LEFT JOIN (SELECT i.journey_id, i.lead_min, max_by(o.y, (o.obs_ts, o.seq)) AS delay, max(o.obs_ts) AS told_at, max_by(o.seq, (o.obs_ts, o.seq)) AS stop_no
     FROM inc i JOIN obs o ON o.journey_id = i.in_journey_id AND o.obs_ts <= i.T GROUP BY ALL) s ON s.journey_id = x.journey_id AND s.lead_min = x.lead_min"""
