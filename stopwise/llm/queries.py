@@ -87,13 +87,19 @@ def op5_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_whitening(spark, sf_dir):
+    from .whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, mix_targets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, op13_whitening, mix_targets, pipeline)}
 
 ORACLE_SQL = {
     # With sources in order of the level at which they reach their limit, the level of all others follows from sums.
