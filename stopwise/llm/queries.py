@@ -87,6 +87,32 @@ def op5_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """op12's input: doc_id and text. In the documents whose checksum ends in 0 the words from place a on repeat p of them."""
+    words = F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")
+    d = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    d = d.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumns({"n": F.size("words").cast("long"), "g": F.expr("h div 10")})
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.expr("(n - a) div (3 + g % 8)"))
+    rest = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.get("words", (F.col("a") + i % F.col("p")).cast("int")))
+    planted = F.concat_ws(" ", F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), rest))
+    return d.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    from .periodic import collapse_runs
+
+    r = collapse_runs(with_planted_runs(_read(spark, sf_dir, "documents")))
+    # By exponent, an exact fraction; then by start and period: the order in which runs come.
+    higher = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)), lambda b, x: F.when(higher(x, b), x).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), F.concat(x["period"].cast("string"), F.lit("\n")))), "")
+    r = r.withColumns({"best": best, "listed": listed})
+    return r.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_whitening(spark, sf_dir):
     from .whitening import whiten
 
@@ -99,7 +125,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, op13_whitening, mix_targets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, op12_periodic_runs, op13_whitening, mix_targets, pipeline)}
 
 ORACLE_SQL = {
     # With sources in order of the level at which they reach their limit, the level of all others follows from sums.
