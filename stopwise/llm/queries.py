@@ -87,6 +87,13 @@ def op5_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    from .suffixdedup import remove_earlier
+
+    r = remove_earlier(_read(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """op12's input: doc_id and text. In the documents whose checksum ends in 0 the words from place a on repeat p of them."""
     words = F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")
@@ -125,7 +132,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, op12_periodic_runs, op13_whitening, mix_targets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_token_counts, op4_substring_dedup, op5_packing, op6_html_text, op7_exact_dedup, op8_minhash_dedup, op9_byte_shards, op10_exact_top_k, op11_suffix_dedup, op12_periodic_runs, op13_whitening, mix_targets, pipeline)}
 
 ORACLE_SQL = {
     # With sources in order of the level at which they reach their limit, the level of all others follows from sums.
@@ -157,6 +164,19 @@ ORACLE_SQL = {
         p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
         k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM p ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    # Strings are cut from parts of 500 bytes, in hexadecimal digits; then islands of the places where repeated ones start.
+    "op11_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        b AS (SELECT r, doc_id, n, k, substr(h, 2 * k + 1, 1098) AS part FROM (SELECT *, unnest(range(0, n - 49, 500)) AS k FROM d WHERE n >= 50)),
+        s AS (SELECT r, doc_id, k + i AS at, substr(part, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(range(0, least(500, n - k - 49))) AS i FROM b)),
+        m AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w),
+        g AS (SELECT r, at, coalesce(at > lag(at) OVER (PARTITION BY r ORDER BY at) + 50, true) AS new FROM s JOIN m USING (w) WHERE first < doc_id),
+        i AS (SELECT r, at, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY at) AS island FROM g),
+        p AS (SELECT r, min(at) AS a, max(at) + 50 AS b FROM i GROUP BY r, island),
+        k AS (SELECT p.r, p.a, p.b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0))) AS before FROM p JOIN d USING (r)),
+        t AS (SELECT r, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS last, string_agg(before, '' ORDER BY a) AS kept FROM k GROUP BY r)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)""",
     "op8_minhash_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
