@@ -8,6 +8,26 @@ from __future__ import annotations
 
 import numpy as np
 
+#: The first i of the eight symbols of a number.
+_MASKS = np.array([(1 << 64) - (1 << 8 * (8 - i)) for i in range(9)], np.uint64)
+#: Bits of a row's number in a key that is sorted whole.
+_INDEX = 21
+
+
+def _sorted(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of numbers, and where in that order a new pair begins."""
+    n = len(high)
+    fresh = np.ones(n, bool)
+    if n <= 1 << _INDEX and (not n or max(int(high.max()) >> 64 - 2 * _INDEX - 1, int(low.max()) >> _INDEX) == 0):
+        # Pair and index fit into one number, so that values are sorted, which is much faster than an order.
+        key = np.sort((high << _INDEX | low) << _INDEX | np.arange(n))
+        order, key = key & (1 << _INDEX) - 1, key >> _INDEX
+        fresh[1:] = key[1:] != key[:-1]
+        return order, fresh
+    order = np.lexsort((low, high))
+    fresh[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    return order, fresh
+
 
 def transforms(text: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The transforms of several collections that lie one after the other in text (symbols, each piece ended by 0).
@@ -15,20 +35,17 @@ def transforms(text: np.ndarray, edges: np.ndarray) -> np.ndarray:
     edges: where collections begin, and the end.  The transform of a collection has its place and length.
     """
     n = len(text)
-    padded = np.append(text, np.zeros(8, np.uint8))
-    key = np.zeros(n, np.uint64)
-    open_ = np.ones(n, bool)
-    for i in range(8):
-        symbol = padded[i : n + i]
-        open_ &= symbol > 0
-        key = key << np.uint64(8) | np.where(open_, symbol, 0).astype(np.uint64)
+    ends = np.flatnonzero(text == 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the piece's end
+    eight = np.ndarray((n,), ">u8", text.tobytes() + bytes(7), strides=(1,)).astype(np.uint64)
+    key = eight & _MASKS[np.minimum(left, 8)]
     order = np.empty(n, np.int64)
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         order[a:b] = a + np.argsort(key[a:b], kind="stable")
     fresh = np.ones(n, bool)
     fresh[1:] = key[order][1:] != key[order][:-1]
     fresh[edges[:-1][edges[:-1] < n]] = True
-    going = open_  # its first symbols do not end the piece
+    going = left >= 8  # the first symbols do not end the piece
     step = 8
     while True:
         tied = ~fresh
@@ -85,31 +102,32 @@ class Merge:
         """Rows whose first `size` symbols begin more than one row, interval by interval, and where each interval begins.
 
         The interleave of the shards is refined until it is right for the first `size` symbols.  A step takes the rows in
-        their present order and puts the rows of the suffixes that are longer by up to 8 symbols into order by those
+        their present order and puts the rows of the suffixes that are longer by up to 16 symbols into order by those
         symbols, which are known from the transforms; blocks are intervals with a common prefix of the present length.
         A block of one row stays one, however long its prefix gets, and is left out.
         """
-        symbol, row, valid = self.symbols.astype(np.uint64), self.before, self.symbols > 0
+        symbol, row, valid = self.symbols.astype(np.int64), self.before, self.symbols > 0
         wider = [(1, symbol, row, valid)]
-        for width in (2, 4, 8):
-            symbol, valid = symbol | symbol[row] << np.uint64(4 * width), valid & valid[row]
+        for width in (2, 4, 8, 16):
+            valid = valid & valid[row]
+            mine = np.flatnonzero(valid)
+            if width == 2:
+                symbol = symbol[row] << 8 | symbol
+            else:  # only the order of symbols counts, so their ranks stand for them
+                order, fresh = _sorted(symbol[row[mine]], symbol[mine])
+                ranks = np.zeros(len(symbol), np.int64)
+                ranks[mine[order]] = np.cumsum(fresh) - 1
+                symbol = ranks
             row = row[row]
             wider.append((width, symbol, row, valid))
         order, block, done = np.arange(len(self.symbols)), np.zeros(len(self.symbols), np.int64), 0
-        numbers: dict[int, np.ndarray] = {}
         while done < size and len(order):
             width, symbol, row, valid = next(w for w in reversed(wider) if w[0] <= size - done)
-            if width not in numbers:  # the symbols' order, so that they fit into one key with the block
-                numbers[width] = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
             goes = valid[order]
             order, block = order[goes], block[goes]
-            key = numbers[width][order] << 32 | block
-            by = np.argsort(key)
-            key = key[by]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = key[1:] != key[:-1]
+            by, fresh = _sorted(symbol[order], block)
             single = fresh & np.append(fresh[1:], True)
-            order, fresh = row[order[by]][~single], fresh[~single]
+            order, fresh = row[order[by[~single]]], fresh[~single]
             block = np.cumsum(fresh) - 1
             done += width
         return order, np.flatnonzero(np.diff(block, prepend=-1))

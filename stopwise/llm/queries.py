@@ -168,15 +168,15 @@ ORACLE_SQL = {
     "op11_suffix_dedup": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         b AS (SELECT r, doc_id, n, k, substr(h, 2 * k + 1, 1098) AS part FROM (SELECT *, unnest(range(0, n - 49, 500)) AS k FROM d WHERE n >= 50)),
-        s AS (SELECT r, doc_id, k + i AS at, substr(part, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(range(0, least(500, n - k - 49))) AS i FROM b)),
-        m AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w),
-        g AS (SELECT r, at, coalesce(at > lag(at) OVER (PARTITION BY r ORDER BY at) + 50, true) AS new FROM s JOIN m USING (w) WHERE first < doc_id),
-        i AS (SELECT r, at, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY at) AS island FROM g),
-        p AS (SELECT r, min(at) AS a, max(at) + 50 AS b FROM i GROUP BY r, island),
-        k AS (SELECT p.r, p.a, p.b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0))) AS before FROM p JOIN d USING (r)),
-        t AS (SELECT r, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS last, string_agg(before, '' ORDER BY a) AS kept FROM k GROUP BY r)
+        s AS (SELECT r, doc_id, k + i AS pos, substr(part, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(range(0, least(500, n - k - 49))) AS i FROM b)),
+        m AS (SELECT w, min(doc_id) AS least_id FROM s GROUP BY w),
+        g AS (SELECT r, pos, coalesce(pos > lag(pos) OVER (PARTITION BY r ORDER BY pos) + 50, true) AS opens FROM s JOIN m USING (w) WHERE least_id < doc_id),
+        i AS (SELECT r, pos, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY pos) AS island FROM g),
+        p AS (SELECT r, min(pos) AS a, max(pos) + 50 AS b FROM i GROUP BY r, island),
+        k AS (SELECT p.r, p.a, p.b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0))) AS ahead FROM p JOIN d USING (r)),
+        t AS (SELECT r, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS upto, string_agg(ahead, '' ORDER BY a) AS kept FROM k GROUP BY r)
         SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)""",
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)""",
     "op8_minhash_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),

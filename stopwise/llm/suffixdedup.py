@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bwt import Merge, transforms
@@ -66,27 +67,46 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
 
 
+def _routes(raw: bytes, width: int) -> np.ndarray:
+    """The least hash of `width` anchors, from each place. In blocks that fit a core's cache."""
+    n, block = len(raw) - ANCHOR + 1, 1 << 15
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = np.empty(n - width + 1, np.uint64)
+    for a in range(0, len(out), block):
+        b = min(a + block, len(out)) + width - 1
+        h = eight[a:b] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h += eight[a + 8 : b + 8]
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(29)
+        out[a : b - width + 1] = _least(h, width)
+    return out
+
+
 class _Shard:
     """The documents of one shard, and the pieces of their text: runs of strings of `size` bytes with one routing key."""
 
-    def __init__(self, row, size: int):
+    def __init__(self, row, size: int, copies: pd.DataFrame):
         self.shard, self.size = int(row["shard"]), size
         self.ids, self.null = np.frombuffer(row["ids"], np.int64).reshape(2, -1)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.raw = pa.decompress(row["text"], decompressed_size=int(self.sizes.sum()), codec="zstd", asbytes=True)
         self.ends = np.cumsum(self.sizes)
         n, width = len(self.raw), size - ANCHOR + 1
+        #: Documents whose whole text an earlier one has: nothing else need be known of them.
+        self.copied = np.zeros(len(self.ids), bool)
+        if len(copies):
+            first = dict(zip(copies["digest"].iloc[0], copies["first"].iloc[0]))
+            self.copied[:] = [first.get(d, i) < i for d, i in zip(self.digests(), self.ids.tolist())]
         #: Where strings start that lie in one document, and their documents.
-        count = np.maximum(self.sizes - size + 1, 0)
+        count = np.where(self.copied, 0, np.maximum(self.sizes - size + 1, 0))
         self.starts = np.arange(count.sum()) + np.repeat(self.ends - self.sizes - (np.cumsum(count) - count), count)
         doc = np.repeat(np.arange(len(count)), count)
         if not len(self.starts):
             self.first = self.count = np.zeros(0, np.int64)
             self.doc, self.key = np.zeros(0, np.int64), np.zeros(0, np.uint64)
             return
-        eight = np.ndarray((n - 7,), "<u8", self.raw, strides=(1,))
-        low, high = eight[: n - ANCHOR + 1], eight[8 : n - ANCHOR + 9]
-        least = _least(scrambled(low * np.uint64(0x9E3779B97F4A7C15) + scrambled(high)), width)[self.starts]
+        least = _routes(self.raw, width)[self.starts]
         turn = np.ones(len(least), bool)
         turn[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
         run = np.maximum.accumulate(np.where(turn, np.arange(len(least)), 0))
@@ -95,6 +115,9 @@ class _Shard:
         self.first, self.count = self.starts[at], np.diff(np.append(at, len(least)))
         self.doc, self.key = doc[at], scrambled(least[at]) & ~_COUNT
 
+    def digests(self) -> list[bytes]:
+        return [blake2b(self.raw[end - size : end], digest_size=16).digest() for size, end in zip(self.sizes.tolist(), self.ends.tolist())]
+
     def ask(self, bits: int) -> pd.DataFrame:
         """Distinct keys, each with the number of contexts that it has here: 2 at least where it occurs twice."""
         eight = np.ndarray((max(len(self.raw) - 7, 0),), "<u8", self.raw, strides=(1,)) if len(self.raw) > 7 else np.zeros(0, np.uint64)
@@ -121,6 +144,8 @@ class _Shard:
     def result(self, gone: np.ndarray) -> pd.DataFrame:
         """gone: flags of bytes to remove."""
         rows = []
+        for i in np.flatnonzero(self.copied & (self.sizes >= self.size)).tolist():
+            gone[self.ends[i] - self.sizes[i] : self.ends[i]] = True
         flags = gone.view(np.int8)
         for i, (doc_id, null, size, end) in enumerate(zip(self.ids.tolist(), self.null.tolist(), self.sizes.tolist(), self.ends.tolist())):
             mine, text = flags[end - size : end], self.raw[end - size : end]
@@ -210,11 +235,34 @@ class _Pieces:
         within = np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
         at = np.repeat(self.first, self.count) + within
         hit = flags[np.repeat(self.begin[self.piece], self.count) + within] | np.repeat(self.later, self.count)
-        np.add.at(step, at[hit], 1)
-        np.add.at(step, at[hit] + self.s.size, -1)
+        step[at[hit]] += 1  # every string is in one piece, so places differ
+        step[at[hit] + self.s.size] -= 1
         return np.cumsum(step)[:n] > 0
 
 
+def _copies(shards: DataFrame, size: int) -> DataFrame:
+    """For each shard the digests (128 bits) of texts that several documents have, with the least id of all of these.
+
+    A shard names each of its texts once, so a text that fills the corpus costs one narrow row per shard.
+    """
+
+    def digests(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for row in pdf.to_dict("records"):
+                s = _Shard(row, size, _NO_COPIES)
+                found = pd.DataFrame({"digest": s.digests(), "id": s.ids})[s.sizes >= size]
+                per = found.groupby("digest")["id"].agg(first="min", n="count").reset_index()
+                yield per.assign(shard=s.shard)[["shard", "digest", "first", "n"]]
+
+    w = Window.partitionBy("digest")
+    rows = shards.mapInPandas(digests, "shard long, digest binary, first long, n long")
+    rows = rows.withColumns({"first": F.min("first").over(w), "n": F.sum("n").over(w)}).filter("n > 1")
+    return rows.groupBy("shard").agg(*[F.collect_list(c).alias(c) for c in ("digest", "first")])
+
+
+_NO_COPIES = pd.DataFrame({"digest": [], "first": []})
+
+
 def _told(rows: pd.DataFrame) -> pd.DataFrame:
     """What is known of a bucket's keys over all shards: see _Shard.codes."""
     packed = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
@@ -258,7 +306,8 @@ def remove_earlier(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     as the largest.  A null text is empty; texts shorter than `size` lose nothing; cuts may fall inside a character, so
     `kept` is binary.  An empty table gives an empty result.
 
-    A shard is some 2 MB of documents as they lie in the input.  Every string belongs to the least hash of its 16-byte
+    A shard is some 2 MB of documents as they lie in the input.  Documents whose whole text a smaller id has go at once
+    (128-bit digests); what follows is about all others.  Every string belongs to the least hash of its 16-byte
     substrings, its key, so equal strings have equal keys, and neighbours mostly share one: runs of strings with one key
     are pieces.  Keys that occur once in the corpus end there.  The others' pieces go to the buckets of their keys as
     Burrows-Wheeler transforms, one for each shard and bucket, and a bucket's task merges the transforms of all shards by
@@ -274,24 +323,29 @@ def remove_earlier(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     # A bucket takes the keys of two shards, and the pieces of half a shard.
     key_bits, piece_bits = max(1, (n // 2).bit_length()), max(1, (2 * n).bit_length())
 
-    def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            for row in pdf.to_dict("records"):
-                yield _Shard(row, size).ask(key_bits)
+    copies = stored(_copies(shards, size))
+
+    def ask(pdf: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
+        return _Shard(pdf.iloc[0], size, copied).ask(key_bits)
+
+    def pieces(row, known: pd.DataFrame) -> _Pieces:
+        shard = _Shard(row, size, known[known["digest"].notna()])
+        return _Pieces(shard, shard.codes(known[known["codes"].notna()]), piece_bits)
 
-    def pieces(row, told: pd.DataFrame) -> _Pieces:
-        shard = _Shard(row, size)
-        return _Pieces(shard, shard.codes(told), piece_bits)
+    def send(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return pieces(pdf.iloc[0], known).transformed()
 
-    def send(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return pieces(pdf.iloc[0], told).transformed()
+    def finish(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        p = pieces(pdf.iloc[0], known)
+        return p.s.result(p.gone(known[known["found"].notna()]))
 
-    def finish(pdf: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
-        p = pieces(pdf.iloc[0], both[both["found"].isna()])
-        return p.s.result(p.gone(both[both["codes"].isna()]))
+    def by_shard(*answers: DataFrame) -> object:
+        all_answers = answers[0]
+        for other in answers[1:]:
+            all_answers = all_answers.unionByName(other, allowMissingColumns=True)
+        return shards.groupBy("shard").cogroup(all_answers.groupBy("shard"))
 
-    told = stored(shards.mapInPandas(ask, _ASK).groupBy("bucket").applyInPandas(_told, _TOLD))
-    sent = shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(send, _PIECES)
+    told = stored(by_shard(copies).applyInPandas(ask, _ASK).groupBy("bucket").applyInPandas(_told, _TOLD))
+    sent = by_shard(copies, told).applyInPandas(send, _PIECES)
     found = sent.groupBy("bucket").applyInPandas(_merged(size), _FOUND)
-    both = told.withColumn("found", F.lit(None).cast("binary")).unionByName(found.withColumn("codes", F.lit(None).cast("binary")))
-    return shards.groupBy("shard").cogroup(both.groupBy("shard")).applyInPandas(finish, RESULT)
+    return by_shard(copies, told, found).applyInPandas(finish, RESULT)
