@@ -45,28 +45,23 @@ def transforms(text: np.ndarray, edges: np.ndarray) -> np.ndarray:
     fresh = np.ones(n, bool)
     fresh[1:] = key[order][1:] != key[order][:-1]
     fresh[edges[:-1][edges[:-1] < n]] = True
-    going = left >= 8  # the first symbols do not end the piece
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    single = fresh & np.append(fresh[1:], True)
+    at = np.flatnonzero(~single & (left[order] >= 8))
     step = 8
-    while True:
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        at = np.flatnonzero(tied & going[order])
-        if not len(at):
-            break
-        group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        rank = np.empty(n, np.int64)
-        rank[order] = group
-        places, mine = order[at], group[at]
-        after = rank[places + step]
-        by = np.lexsort((after, mine))  # keeps the order of pieces among equals
-        places, after = places[by], after[by]
+    while len(at):
+        # Members of a group share their first symbols, so all of them go on or none; equal ones keep the order of pieces.
+        places = order[at]
+        mine, after = rank[places], rank[places + step]
+        by = np.lexsort((after, mine))
+        places, mine, after = places[by], mine[by], after[by]
         order[at] = places
-        # Members of one group follow each other: all that are tied and going share their first symbols.
-        fresh[at[1:]] |= after[1:] != after[:-1]
-        more = np.zeros(n, bool)
-        more[places] = going[places + step]
-        going = more
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (mine[1:] != mine[:-1]) | (after[1:] != after[:-1])
+        rank[places] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
         step *= 2
+        at = at[~(fresh & np.append(fresh[1:], True)) & (left[places] >= step)]
     out = text[order - 1]
     first = np.ones(n, bool)
     first[1:] = text[:-1] == 0
@@ -108,26 +103,31 @@ class Merge:
         """
         symbol, row, valid = self.symbols.astype(np.int64), self.before, self.symbols > 0
         wider = [(1, symbol, row, valid)]
+        order, block, done = np.arange(len(symbol)), np.zeros(len(symbol), np.int64), 0
         for width in (2, 4, 8, 16):
+            if width > size:
+                break
             valid = valid & valid[row]
-            mine = np.flatnonzero(valid)
             if width == 2:
-                symbol = symbol[row] << 8 | symbol
+                symbol, row = symbol[row] << 8 | symbol, row[row]
             else:  # only the order of symbols counts, so their ranks stand for them
-                order, fresh = _sorted(symbol[row[mine]], symbol[mine])
-                ranks = np.zeros(len(symbol), np.int64)
-                ranks[mine[order]] = np.cumsum(fresh) - 1
-                symbol = ranks
-            row = row[row]
+                mine = np.flatnonzero(valid)
+                by, fresh = _sorted(symbol[row[mine]], symbol[mine])
+                mine, row = mine[by], row[row]
+                symbol = np.zeros(len(symbol), np.int64)
+                symbol[mine] = np.cumsum(fresh) - 1
+                order, block, done = _shared(row[mine], fresh, width)
             wider.append((width, symbol, row, valid))
-        order, block, done = np.arange(len(self.symbols)), np.zeros(len(self.symbols), np.int64), 0
         while done < size and len(order):
             width, symbol, row, valid = next(w for w in reversed(wider) if w[0] <= size - done)
             goes = valid[order]
             order, block = order[goes], block[goes]
             by, fresh = _sorted(symbol[order], block)
-            single = fresh & np.append(fresh[1:], True)
-            order, fresh = row[order[by[~single]]], fresh[~single]
-            block = np.cumsum(fresh) - 1
-            done += width
+            order, block, done = _shared(row[order[by]], fresh, done + width)
         return order, np.flatnonzero(np.diff(block, prepend=-1))
+
+
+def _shared(order: np.ndarray, fresh: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The blocks of several rows, numbered anew."""
+    several = ~(fresh & np.append(fresh[1:], True))
+    return order[several], np.cumsum(fresh[several]) - 1, done

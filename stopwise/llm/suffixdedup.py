@@ -101,19 +101,20 @@ class _Shard:
         #: Where strings start that lie in one document, and their documents.
         count = np.where(self.copied, 0, np.maximum(self.sizes - size + 1, 0))
         self.starts = np.arange(count.sum()) + np.repeat(self.ends - self.sizes - (np.cumsum(count) - count), count)
-        doc = np.repeat(np.arange(len(count)), count)
         if not len(self.starts):
             self.first = self.count = np.zeros(0, np.int64)
             self.doc, self.key = np.zeros(0, np.int64), np.zeros(0, np.uint64)
             return
         least = _routes(self.raw, width)[self.starts]
         turn = np.ones(len(least), bool)
-        turn[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        run = np.maximum.accumulate(np.where(turn, np.arange(len(least)), 0))
-        turn |= (np.arange(len(least)) - run) % width == 0  # where one key goes on for long, as in repetitive text
+        turn[1:] = least[1:] != least[:-1]
+        turn[(np.cumsum(count) - count)[count > 0]] = True
         at = np.flatnonzero(turn)
-        self.first, self.count = self.starts[at], np.diff(np.append(at, len(least)))
-        self.doc, self.key = doc[at], scrambled(least[at]) & ~_COUNT
+        if np.diff(at, append=len(least)).max() > width:  # one key goes on for long, as in repetitive text
+            run = np.repeat(at, np.diff(at, append=len(least)))
+            at = np.flatnonzero((np.arange(len(least)) - run) % width == 0)
+        self.first, self.count = self.starts[at], np.diff(at, append=len(least))
+        self.doc, self.key = np.searchsorted(self.ends, self.first, "right"), scrambled(least[at]) & ~_COUNT
 
     def digests(self) -> list[bytes]:
         return [blake2b(self.raw[end - size : end], digest_size=16).digest() for size, end in zip(self.sizes.tolist(), self.ends.tolist())]
