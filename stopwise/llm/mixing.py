@@ -140,9 +140,10 @@ def mix(
     keep = [c for c in docs.columns if c != into]
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     n_parts = max(PARTS, docs.count() // PART_ROWS)
-    part = F.pmod(F.shiftright(F.xxhash64(F.lit(SEED), F.col(id_col), F.col("_size")), 8), F.lit(n_parts)).cast("int")
-    rows = docs.select(*keep, word_count(text_col).alias("_size"), key.alias("_key"), F.xxhash64(F.lit(SEED), F.col(text_col)).alias("_tie"))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(SEED), F.col(id_col))).withColumn("_part", part)
+    part = F.pmod(F.shiftright(F.xxhash64(F.lit(SEED), F.col("_id"), F.col("_size")), 8), F.lit(n_parts)).cast("int")
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep])  # in one column, so that no name of theirs meets one of the plan's
+    rows = docs.select(whole.alias("_doc"), F.col(id_col).alias("_id"), word_count(text_col).alias("_size"), key.alias("_key"), F.xxhash64(F.lit(SEED), F.col(text_col)).alias("_tie"))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(SEED), F.col("_id"))).withColumn("_part", part)
     parts = stored(rows.groupBy("_key", "_part").agg(F.sum("_size").alias("words")))
     totals = parts.groupBy("_key").agg(F.sum("words").alias("words"))
     totals = totals.select(F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)).alias("source"), "words")
@@ -150,14 +151,14 @@ def mix(
     plan = plan.withColumn("_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_from", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(plan, "_key")
-    inside = Window.partitionBy("_key", "_part").orderBy("_order", id_col, "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_key", "_part").orderBy("_order", "_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(parts, ["_key", "_part"]).withColumn("_a", F.col("_from") + F.sum("_size").over(inside) - F.col("_size"))
     placed = placed.withColumn("_pieces", F.expr(_PIECES))
     taken = F.aggregate("_pieces", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     out = F.struct(
         F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), "copies", F.col("_pieces").alias("pieces"), "shard_quotas"
     )
-    return placed.select(*keep, out.alias(into))
+    return placed.select("_doc.*", out.alias(into))
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -31,15 +31,16 @@ def _distinct(keys: np.ndarray):
     return ranked[at], inverse, np.diff(np.append(at, len(keys)))
 
 
-def _edges(distinct: np.ndarray, bits: int) -> np.ndarray:
+def _parts(distinct: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the buckets that have keys; there may be many more buckets than keys."""
     top = distinct[:, 0] >> np.uint64(64 - bits) if bits else np.zeros(len(distinct), np.uint64)
-    return np.searchsorted(top, np.arange((1 << bits) + 1, dtype=np.uint64))
+    filled, at = np.unique(top, return_index=True)
+    return list(zip(filled.tolist(), at.tolist(), [*at[1:].tolist(), len(top)]))
 
 
 def ask(unit: int, keys: np.ndarray, bits: int) -> pd.DataFrame:
     distinct, _, counts = _distinct(keys)
-    edges = _edges(distinct, bits)
-    rows = [(unit, b, keys.shape[1], distinct[x:y].tobytes(), np.packbits(counts[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+    rows = [(unit, b, keys.shape[1], distinct[x:y].tobytes(), np.packbits(counts[x:y] > 1).tobytes()) for b, x, y in _parts(distinct, bits)]
     return pd.DataFrame(rows, columns=["unit", "bucket", "width", "keys", "twice"])
 
 
@@ -48,10 +49,9 @@ def read_answer(keys: np.ndarray, bits: int, answer: pd.DataFrame) -> np.ndarray
     if not len(keys):
         return np.zeros(0, bool)
     distinct, inverse, _ = _distinct(keys)
-    edges, flags = _edges(distinct, bits), np.zeros(len(distinct), bool)
-    for b, f in zip(answer["bucket"], answer["flags"]):
-        x, y = edges[b], edges[b + 1]
-        flags[x:y] = np.unpackbits(np.frombuffer(f, np.uint8))[: y - x]
+    flags, told = np.zeros(len(distinct), bool), dict(zip(answer["bucket"], answer["flags"]))
+    for b, x, y in _parts(distinct, bits):
+        flags[x:y] = np.unpackbits(np.frombuffer(told[b], np.uint8))[: y - x]
     return flags[inverse]
 
 

@@ -321,8 +321,8 @@ def remove_earlier(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     shards = stored(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()))
     n = shards.count()
-    # A bucket takes the keys of two shards, and the pieces of half a shard.
-    key_bits, piece_bits = max(1, (n // 2).bit_length()), max(1, (2 * n).bit_length())
+    # A bucket takes the keys of two shards, and the pieces of an eighth of a shard: the merge's arrays fit a core's cache.
+    key_bits, piece_bits = max(1, (n // 2).bit_length()), max(1, (8 * n).bit_length())
 
     copies = stored(_copies(shards, size))
 

@@ -632,3 +632,14 @@ def test_repeats_tell_keys_apart_that_agree_in_part():
     distinct, inverse, counts = repeats._distinct(keys)
     assert distinct.tolist() == [[5, 1], [5, 2], [5, 3], [7, 1]] and counts.tolist() == [2, 1, 1, 2]
     assert (distinct[inverse] == keys).all()
+
+
+def test_mixture_takes_columns_of_any_name(spark, docs):
+    """Names that the plan uses inside are the caller's to use."""
+    names = ["target", "copies", "extra", "block", "factor", "source_size", "shard_quotas", "_size", "_key", "_part", "words"]
+    plain = docs.select("doc_id", "text", "source")
+    named = plain.withColumns({c: F.lit("mine") for c in names})
+    both = [sorted((r["doc_id"] or -1, r["mix"]["taken"], r["mix"]["target"]) for r in mixing.mix(d).collect()) for d in (plain, named)]
+    assert both[0] == both[1]
+    out = mixing.mixed_documents(named)
+    assert out.columns == named.columns and out.filter(" or ".join(f"`{c}` <> 'mine'" for c in names)).count() == 0
