@@ -21,12 +21,14 @@ ANCHOR = 16
 SHARD = 2 << 20
 #: Contexts of one anchor that a bucket may have to take together; strings around more frequent ones are routed by themselves.
 HOT = 20_000
+#: A bucket's task merges it in parts, by so many more bits of the key: the merge's arrays fit a core's cache then.
+PART_BITS = 4
 #: A routing key's low bits hold a count on the way.
 _COUNT = np.uint64(0xFFFF)
 
 _SHARD = "ids binary, sizes binary, text binary"
 _ASK, _TOLD = "shard long, bucket int, keys binary", "shard long, bucket int, codes binary"
-_PIECES, _FOUND = "shard long, bucket int, symbols binary, docs binary", "shard long, bucket int, found binary"
+_PIECES, _FOUND = "shard long, bucket int, parts binary, symbols binary, docs binary", "shard long, bucket int, found binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"
 #: Null ids come after all others.
 _LAST = np.iinfo(np.int64).max
@@ -207,22 +209,26 @@ class _Pieces:
         self.sizes = np.array([len(t) + 1 for t in self.texts], np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
 
-    def _entries(self) -> Iterator[tuple[int, int, int]]:
-        """(bucket, begin, end) by pieces."""
-        at = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        return zip(self.bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(self.bucket)])
+    def _entries(self, bits: int = PART_BITS) -> Iterator[tuple[int, int, int]]:
+        """(bucket, begin, end) by pieces; without bits, the same for parts of buckets."""
+        bucket = self.bucket >> bits
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)])
 
     def transformed(self) -> pd.DataFrame:
-        """One row per bucket: the transform of the shard's pieces for it, and their documents."""
-        entries = list(self._entries())
+        """One row per bucket: the transforms of the shard's pieces for its parts, and their documents."""
+        parts = np.array(list(self._entries(0)), np.int64).reshape(-1, 3)
         rows = []
-        if entries:
+        if len(parts):
             text = np.frombuffer(b"\xff".join(self.texts) + b"\xff", np.uint8) + np.uint8(1)  # the end becomes 0
-            edges = np.append(self.begin[[a for _, a, _ in entries]], len(text))
+            edges = np.append(self.begin[parts[:, 1]], len(text))
             out = transforms(text, edges)
-            for (b, p, q), x, y in zip(entries, edges[:-1].tolist(), edges[1:].tolist()):
-                rows.append((self.s.shard, b, out[x:y].tobytes(), self.docs[p:q].tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "bucket", "symbols", "docs"])
+            #: Part, symbols and pieces.
+            sizes = np.stack([parts[:, 0], np.diff(edges), parts[:, 2] - parts[:, 1]], axis=1)
+            for b, p, q in self._entries():
+                i, j = np.searchsorted(parts[:, 1], (p, q))
+                rows.append((self.s.shard, b, sizes[i:j].tobytes(), out[edges[i] : edges[j]].tobytes(), self.docs[p:q].tobytes()))
+        return pd.DataFrame(rows, columns=["shard", "bucket", "parts", "symbols", "docs"])
 
     def gone(self, found: pd.DataFrame) -> np.ndarray:
         """Flags of the bytes to remove. found has, for each bucket, a bit for each symbol of the pieces sent there."""
@@ -278,27 +284,43 @@ def _told(rows: pd.DataFrame) -> pd.DataFrame:
 def _merged(size: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """For each shard's pieces a bit for each symbol: does a string start here that a smaller document has?"""
-        shards = [np.frombuffer(s, np.uint8) for s in rows["symbols"]]
-        merge = Merge(shards)
-        docs = np.concatenate([np.frombuffer(d, np.int64) for d in rows["docs"]])
-        piece, left = merge.pieces()
-        order, begins = merge.repeated(size)
-        found = np.zeros(len(merge.symbols), bool)
-        if len(order):
-            mine = docs[piece[order]]
-            least = np.repeat(np.minimum.reduceat(mine, begins), np.diff(np.append(begins, len(order))))
-            hit = order[mine > least]
-            # Pieces lie one after the other with their ends; `left` symbols before its end is the string's place.
-            length = np.zeros(len(docs), np.int64)
-            np.maximum.at(length, piece, left)
-            begin = np.cumsum(length + 1) - (length + 1)
-            found[begin[piece[hit]] + length[piece[hit]] - left[hit]] = True
-        bits = [np.packbits(found[a:b]).tobytes() for a, b in zip(merge.edges[:-1], merge.edges[1:])]
-        return pd.DataFrame({"shard": rows["shard"], "bucket": rows["bucket"], "found": bits})
+        symbols, docs = ([np.frombuffer(x, kind) for x in rows[c]] for c, kind in (("symbols", np.uint8), ("docs", np.int64)))
+        found = [np.zeros(len(s), bool) for s in symbols]
+        waiting: dict[int, list[tuple]] = {}
+        for i, raw in enumerate(rows["parts"]):
+            at = doc = 0
+            for part, n, pieces in np.frombuffer(raw, np.int64).reshape(-1, 3).tolist():
+                waiting.setdefault(part, []).append((symbols[i][at : at + n], docs[i][doc : doc + pieces], found[i][at : at + n]))
+                at, doc = at + n, doc + pieces
+        for shards in waiting.values():
+            flags = _earlier([s for s, _, _ in shards], np.concatenate([d for _, d, _ in shards]), size)
+            at = 0
+            for s, _, out in shards:
+                out[:] = flags[at : at + len(s)]
+                at += len(s)
+        return pd.DataFrame({"shard": rows["shard"], "bucket": rows["bucket"], "found": [np.packbits(f).tobytes() for f in found]})
 
     return run
 
 
+def _earlier(shards: list[np.ndarray], docs: np.ndarray, size: int) -> np.ndarray:
+    """Flags of the places, in the shards' texts one after the other, where a string starts that a smaller document has."""
+    merge = Merge(shards)
+    piece, left = merge.pieces()
+    order, begins = merge.repeated(size)
+    found = np.zeros(len(merge.symbols), bool)
+    if len(order):
+        mine = docs[piece[order]]
+        least = np.repeat(np.minimum.reduceat(mine, begins), np.diff(np.append(begins, len(order))))
+        hit = order[mine > least]
+        # Pieces lie one after the other with their ends; `left` symbols before its end is the string's place.
+        length = np.zeros(len(docs), np.int64)
+        np.maximum.at(length, piece, left)
+        ends = np.cumsum(length + 1) - 1
+        found[ends[piece[hit]] - left[hit]] = True
+    return found
+
+
 def remove_earlier(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, removed byte spans, kept bytes.
 
@@ -311,8 +333,8 @@ def remove_earlier(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     (128-bit digests); what follows is about all others.  Every string belongs to the least hash of its 16-byte
     substrings, its key, so equal strings have equal keys, and neighbours mostly share one: runs of strings with one key
     are pieces.  Keys that occur once in the corpus end there.  The others' pieces go to the buckets of their keys as
-    Burrows-Wheeler transforms, one for each shard and bucket, and a bucket's task merges the transforms of all shards by
-    refining their interleave.  The merge compares symbols, not hashes.  A shard sends each distinct piece once; strings
+    Burrows-Wheeler transforms, and a bucket's task merges the transforms of all shards by refining their interleave, in
+    parts that differ in further bits of the key.  The merge compares symbols, not hashes.  A shard sends each distinct piece once; strings
     around keys with over HOT contexts have buckets of their own, so one bucket never takes a frequent phrase's whole
     surroundings.
     """
@@ -321,8 +343,8 @@ def remove_earlier(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     shards = stored(rows.mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()))
     n = shards.count()
-    # A bucket takes the keys of two shards, and the pieces of an eighth of a shard: the merge's arrays fit a core's cache.
-    key_bits, piece_bits = max(1, (n // 2).bit_length()), max(1, (8 * n).bit_length())
+    # A bucket takes the keys and pieces of two shards.
+    key_bits = max(1, (n // 2).bit_length())
 
     copies = stored(_copies(shards, size))
 
@@ -331,7 +353,7 @@ def remove_earlier(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
 
     def pieces(row, known: pd.DataFrame) -> _Pieces:
         shard = _Shard(row, size, known[known["digest"].notna()])
-        return _Pieces(shard, shard.codes(known[known["codes"].notna()]), piece_bits)
+        return _Pieces(shard, shard.codes(known[known["codes"].notna()]), key_bits + PART_BITS)
 
     def send(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         return pieces(pdf.iloc[0], known).transformed()
