@@ -1,25 +1,25 @@
 """Historical delay statistics that never see the row's own day: folds, expanding past, recent past.
 
-y is a whole number of seconds in a narrow range, so counts per (keys, time unit, y) hold
-everything: medians, means and deviations of all groupings and all periods come from one
-such histogram.  Folds and recent windows send a unit's counts to the few periods that
-include it.  The expanding past goes through its units once, in order, with a running count
-for each delay, so its size follows the periods, not their square.
+y is a whole number of seconds in a narrow range, so counts per (keys, time unit, y) hold everything.  Counts of all
+groupings are made in one pass; a scheme says in which spans of its periods a unit counts, and `running` goes through each
+key's periods once, with values that come and go.  Lookups ask for the (period, keys) that occur among the rows, so
+neither values nor statistics are spread over periods that nobody asks for.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold
 from ..sources.scratch import stored
+from .running import along
 
-#: From counts per (keys, unit, y) to counts per (hkey, keys, y).
-Spread = Callable[[DataFrame, Sequence[str]], DataFrame]
 ALL_KEYS = ["line", "stop", "direction", "hour", "daytype"]
 #: Groupings: keys and statistics.
 SPECS: dict[str, tuple[list[str], dict[str, str]]] = {
@@ -44,95 +44,154 @@ def fold_keys(folds: int = 5) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("unit"))
 
 
-def later(periods: Sequence[str], days: int) -> Column:
-    """The periods (first days) that begin after the unit's day, at most `days` after it."""
-    starts = F.array(*[F.lit(p).cast("date") for p in periods])
-    return F.filter(starts, lambda p: (F.col("unit") < p) & (F.col("unit") >= F.date_sub(p, days)))
+@dataclass(frozen=True)
+class Scheme:
+    """Periods (keys of the history, in order) and the spans of them, [first, end) by number, in which a unit counts.
 
+    spans is an array of numbers over the column unit: the first span's two ends, then the next one's.
+    """
 
-def sent_to(targets: Column) -> Spread:
-    """Each unit's counts go to all keys in `targets`, an array over the column unit."""
+    periods: tuple
+    spans: Column
 
-    def spread(units: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return units.withColumn("hkey", F.explode(targets)).groupBy("hkey", *keys, "y").agg(F.sum("n").alias("n"))
+    @property
+    def array(self) -> Column:
+        return F.array(*[F.lit(p).cast("date") if isinstance(p, dt.date) else F.lit(p) for p in self.periods])
 
-    return spread
+    def step(self, hkey: Column) -> Column:
+        """The number of a period; null where it is none."""
+        return F.nullif(F.array_position(self.array, hkey), F.lit(0)).cast("int") - 1
 
 
-def all_before(periods: Sequence[str]) -> Spread:
-    """Each period has the counts of all units that begin before its first day.
+def _days(periods: Sequence[str]) -> tuple[dt.date, ...]:
+    return tuple(sorted({dt.date.fromisoformat(p) for p in periods}))
 
-    A unit is named by the number of periods that have begun with it, so units between two periods are one.  Of each
-    delay, a running count holds from the first period that its unit precedes up to the next unit in which it occurs.
-    """
-    periods = sorted(periods)
-    starts = F.array(*[F.lit(p).cast("date") for p in periods])
 
-    def spread(units: DataFrame, keys: Sequence[str]) -> DataFrame:
-        begun = F.size(F.filter(starts, lambda p: p <= F.col("unit")))
-        merged = units.withColumn("unit", begun).filter(F.col("unit") < len(periods)).groupBy(*keys, "unit", "y").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys, "y").orderBy("unit")
-        held = merged.withColumns({"n": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("unit", 1, len(periods)).over(w)})
-        held = held.select(*keys, "y", "n", F.explode(F.sequence(F.col("unit"), F.col("_next") - 1)).alias("_k"))
-        return held.select(F.element_at(starts, F.col("_k") + 1).alias("hkey"), *keys, "y", "n")
+def _begun(days: Sequence[dt.date], unit: Column) -> Column:
+    """How many of the days have come with the unit."""
+    starts = F.array(*[F.lit(p) for p in days])
+    return F.size(F.filter(starts, lambda p: p <= unit))
 
-    return spread
 
+def whole() -> Scheme:
+    """One period, 0, that has everything."""
+    return Scheme((0,), F.array(F.lit(0), F.lit(1)))
 
-def statistics(counts: DataFrame, keys: Sequence[str], stats: dict[str, str], spread: Spread, counted: bool = False) -> DataFrame:
-    """hkey, keys and statistics. A single row has no standard deviation.
 
-    Counts are summed per period first, over exact integers; the median is then taken over
-    distinct delays, of which there are a few thousand at most, with their counts. Products of sums have 38 digits.
-    """
-    units = counts.groupBy(*keys, "unit", "y").agg(F.sum("n").alias("n"))
-    sent = spread(units, keys)
-    n, s, q = (x.cast("decimal(20,0)") for x in (F.sum("n"), F.sum(F.col("n") * F.col("y")), F.sum(F.col("n") * F.col("y") * F.col("y"))))
-    make = {
-        "median": F.expr("percentile(y, 0.5, n)"),
-        "mean": F.sum(F.col("n") * F.col("y")) / F.sum("n"),
-        "std": F.when(n > 1, F.sqrt((q * n - s * s).cast("double") / (n.cast("double") * (n - 1).cast("double")))),
-    }
-    extra = [F.sum("n").alias("hist_n")] if counted else []
-    return sent.groupBy("hkey", *keys).agg(*[make[how].alias(name) for name, how in stats.items()], *extra)
+def other_folds(folds: int = 5) -> Scheme:
+    """A fold's rows belong to the history of every other fold, and to key `folds`, which has all."""
+    own = F.col("unit")
+    return Scheme(tuple(range(folds + 1)), F.array(F.lit(0), own, own + 1, F.lit(folds + 1)))
+
+
+def all_before(periods: Sequence[str]) -> Scheme:
+    """Each period has all units that begin before its first day."""
+    days = _days(periods)
+    return Scheme(days, F.array(_begun(days, F.col("unit")), F.lit(len(days))))
+
+
+def days_before(periods: Sequence[str], days: int) -> Scheme:
+    """Each period has the days before its first one, `days` of them: a day comes, and goes when it is too old."""
+    starts = _days(periods)
+    return Scheme(starts, F.array(_begun(starts, F.col("unit")), _begun(starts, F.date_add("unit", days))))
+
+
+def folds_before(periods: Sequence[str], folds: int = 5) -> Scheme:
+    """Period "day/k": the units (month, fold) before the day, but for fold k; k = `folds` has all."""
+    days = _days(periods)
+    n, begun = len(days), _begun(days, F.col("unit.month"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda k: k != F.col("unit.fold"))
+    spans = F.flatten(F.transform(others, lambda k: F.array((k * n + begun).cast("int"), ((k + 1) * n).cast("int"))))
+    return Scheme(tuple(f"{d}/{k}" for k in range(folds + 1) for d in days), spans)
 
 
 class History:
-    """The six statistics tables of one scheme."""
-
-    def __init__(self, counts: DataFrame, spread: Spread, specs=SPECS):
-        self.specs = specs
-        counts = stored(counts)  # all six tables start from it
-        self.tables = {name: statistics(counts, keys, stats, spread) for name, (keys, stats) in specs.items()}
-
-    def attach(self, rows: DataFrame, hkey: Column, columns: dict[str, str]) -> DataFrame:
-        """rows with history columns: {column of a table: name in the result}. Null keys match nothing."""
-        out = rows.withColumn("_hkey", hkey)
-        for name, (keys, stats) in self.specs.items():
-            wanted = [c for c in stats if c in columns]
-            if wanted:
-                t = self.tables[name].select(F.col("hkey").alias("_h"), *[F.col(k).alias("_k_" + k) for k in keys], *[F.col(c).alias("_v_" + c) for c in wanted])
-                on = out["_hkey"] == t["_h"]
-                for k in keys:
-                    on = on & (out[k] == t["_k_" + k])
-                out = out.join(t, on, "left").drop("_h", *["_k_" + k for k in keys])
-        named = [F.col("_v_" + c).alias(n) for c, n in columns.items()]
-        return out.select(*rows.columns, *named)
-
-    def baseline(self, rows: DataFrame, hkey: Column, name: str = "baseline") -> DataFrame:
+    """The statistics of one scheme in several groupings: whole tables, or what rows look up."""
+
+    def __init__(self, counts: DataFrame, scheme: Scheme, specs=SPECS):
+        self.counts, self.scheme, self.specs = counts, scheme, specs
+        self.keys = list(dict.fromkeys(k for keys, _ in specs.values() for k in keys))
+
+    def _id(self, name: str) -> int:
+        """What grouping_id() says of a grouping: a bit for each key that it leaves out."""
+        return sum(1 << i for i, k in enumerate(reversed(self.keys)) if k not in self.specs[name][0])
+
+    def _grouped(self, rows: DataFrame, names: Sequence[str], *more: str) -> DataFrame:
+        """Sums of n in the groupings, in one pass; coarser ones have nulls in the keys that they leave out."""
+        sets = [[F.col(c) for c in (*self.specs[name][0], *more)] for name in names]
+        # The last columns are in all sets, so their bits are 0.
+        spec = (F.grouping_id() / (1 << len(more))).cast("int").alias("spec")
+        return rows.groupingSets(sets, *[F.col(c) for c in (*self.keys, *more)]).agg(spec, F.sum("n").alias("n"))
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        """Counts per grouping, keys, spans and y. Units that count in the same periods are one."""
+        rows = self.counts.filter("y is not null").withColumn("spans", self.scheme.spans)
+        ever = F.exists(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda i: F.get("spans", i) < F.get("spans", i + 1))
+        rows = rows.filter(ever)
+        return stored(self._grouped(rows, list(self.specs), "spans", "y"))
+
+    def _statistics(self, sums: DataFrame, asks: DataFrame | None) -> DataFrame:
+        """spec, keys, step, n, median, mean, std: of the asked steps, or of all."""
+        names = ["spec", *self.keys]
+        rows = sums.select(*names, "spans", "y", "n", F.lit(None).cast("int").alias("step"))
+        if asks is not None:
+            rows = rows.unionByName(asks.select(*names, "step"), allowMissingColumns=True)
+        rows = rows.repartition(*names).sortWithinPartitions(*names)
+        kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*names).dtypes)
+        return rows.mapInArrow(along(names, len(self.scheme.periods), asks is not None), f"{kinds}, step int, n long, median double, mean double, std double")
+
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        """hkey, keys, statistics and the number of rows behind them, of all periods."""
+        return {name: self._table(name) for name in self.specs}
+
+    def _table(self, name: str) -> DataFrame:
+        keys, stats = self.specs[name]
+        t = self._statistics(self.sums.filter(F.col("spec") == self._id(name)), None)
+        return t.select(F.element_at(self.scheme.array, F.col("step") + 1).alias("hkey"), *keys, *[F.col(how).alias(c) for c, how in stats.items()], F.col("n").alias("hist_n"))
+
+    def attach(self, rows: DataFrame, hkey: Column, columns: dict[str, str], among: DataFrame | None = None) -> DataFrame:
+        """rows with history columns: {column of a table: name in the result}. Null keys match nothing.
+
+        The distinct (period, keys) of the rows ask; these cells are joined with the answers of all groupings, and the rows
+        themselves go through one join.  among: a frame with the same cells, where rows has come a long way from it.
+        """
+        wanted = [name for name, (_, stats) in self.specs.items() if any(c in columns for c in stats)]
+        out = rows.withColumn("_step", self.scheme.step(hkey))
+        source = out if among is None else among.withColumn("_step", self.scheme.step(hkey))
+        cells = stored(source.select(F.col("_step").alias("step"), *self.keys).filter("step is not null").distinct())
+        asks = self._grouped(cells.withColumn("n", F.lit(1)), wanted, "step")
+        found = stored(self._statistics(self.sums.filter(F.col("spec").isin([self._id(name) for name in wanted])), asks))
+        for name in wanted:
+            keys, stats = self.specs[name]
+            mine = [F.col(how).alias("_v_" + c) for c, how in stats.items() if c in columns]
+            t = found.filter(F.col("spec") == self._id(name)).select(F.col("step").alias("_s"), *[F.col(k).alias("_k_" + k) for k in keys], *mine)
+            on = cells["step"] == t["_s"]
+            for k in keys:
+                on = on & (cells[k] == t["_k_" + k])
+            cells = cells.join(t, on, "left").drop("_s", *["_k_" + k for k in keys])
+        cells = cells.withColumnsRenamed({"step": "_s"} | {k: "_k_" + k for k in self.keys})
+        on = out["_step"] == cells["_s"]
+        for k in self.keys:
+            on = on & out[k].eqNullSafe(cells["_k_" + k])
+        out = out.join(cells, on, "left")
+        return out.select(*[F.col(c) for c in rows.columns], *[F.col("_v_" + c).alias(n) for c, n in columns.items()])
+
+    def baseline(self, rows: DataFrame, hkey: Column, name: str = "baseline", among: DataFrame | None = None) -> DataFrame:
         """rows with the median of the finest grouping that has one."""
         temp = {c: "_b_" + c for c in BASELINE}
-        out = self.attach(rows, hkey, temp)
+        out = self.attach(rows, hkey, temp, among)
         return out.select(*rows.columns, F.coalesce(*temp.values()).alias(name))
 
-    def features(self, rows: DataFrame, hkey: Column, prefix: str = "") -> DataFrame:
-        return self.attach(rows, hkey, {c: prefix + c for c in FEATURES})
+    def features(self, rows: DataFrame, hkey: Column, prefix: str = "", among: DataFrame | None = None) -> DataFrame:
+        return self.attach(rows, hkey, {c: prefix + c for c in FEATURES}, among)
 
 
 def leave_fold_out(clean: DataFrame, start: str, end: str, scheme: str = "day") -> History:
     """Key k: all rows from start to end but those of fold k; key 5: all of them."""
     rows = clean.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return History(histogram(rows, fold("date", scheme, start)), sent_to(fold_keys()))
+    return History(histogram(rows, fold("date", scheme, start)), other_folds())
 
 
 def expanding(clean: DataFrame, periods: Sequence[str], unit: str = "month") -> History:
@@ -144,14 +203,13 @@ def recent(clean: DataFrame, periods: Sequence[str], days: int = 56) -> History:
     """Key p: the rows of the `days` days before day p. Days that no period includes are left out before counting."""
     first = F.date_sub(F.lit(min(periods)).cast("date"), days)
     rows = clean.filter((F.col("date") >= first) & (F.col("date") < F.lit(max(periods)).cast("date")))
-    return History(histogram(rows, F.col("date")), sent_to(later(periods, days)))
+    return History(histogram(rows, F.col("date")), days_before(periods, days))
 
 
 def with_counts(clean: DataFrame, periods: Sequence[str]) -> DataFrame:
     """Expanding monthly past of the finest grouping with its number of rows."""
-    keys, stats = SPECS["lsdhd"]
-    counts = histogram(clean, F.trunc("date", "month"))
-    return statistics(counts, keys, stats, all_before(periods), counted=True).withColumnRenamed("hist_n", "hist_n_lsdhd")
+    h = History(histogram(clean, F.trunc("date", "month")), all_before(periods), {"lsdhd": SPECS["lsdhd"]})
+    return h.tables["lsdhd"].withColumnRenamed("hist_n", "hist_n_lsdhd")
 
 
 def months(start: str, end: str) -> list[str]:

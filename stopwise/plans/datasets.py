@@ -131,11 +131,11 @@ class Histories:
 
 def split_dataset(rows: DataFrame, histories: Histories, split: str) -> DataFrame:
     """One of train, valid, test: features, baselines by month, history by the split's plan; ids only in test."""
-    out = sampled(rows, histories.setup, split)
-    out = histories.past(split).baseline(out, histories.key)
-    out = histories.recent(split).baseline(out, histories.key, "baseline_recent")
+    plain = sampled(rows, histories.setup, split)
+    out = histories.past(split).baseline(plain, histories.key)
+    out = histories.recent(split).baseline(out, histories.key, "baseline_recent", plain)
     for h, key, prefix in histories.plan(split):
-        out = h.features(out, key, prefix)
+        out = h.features(out, key, prefix, plain)
     drop = ["month", "bucket"] + ([] if split == "test" else IDS)
     out = out.drop(*drop)
     return out.select(*[c for c in out.columns if c not in IDS], *[c for c in IDS if c in out.columns])
@@ -147,7 +147,7 @@ def rolling_dataset(rows: DataFrame, month: str, setup: Setup) -> DataFrame:
     m = F.lit(month).cast("date")
     before = F.add_months(m, -1)
     past = rows.filter(F.col("date") < m)
-    lfo = history.History(history.histogram(past.filter(F.col("date") >= F.lit(setup.data_start).cast("date")), fold("date", setup.fold_scheme, setup.data_start)), history.sent_to(history.fold_keys()))
+    lfo = history.History(history.histogram(past.filter(F.col("date") >= F.lit(setup.data_start).cast("date")), fold("date", setup.fold_scheme, setup.data_start)), history.other_folds())
     part = F.when(F.col("date") < before, "train").when(F.col("date") < m, "stop").when(F.col("month") == m, "test")
     out = rows.filter((F.col("date") >= F.lit(setup.train.start).cast("date")) & (F.col("month") <= m)).withColumn("part", part)
     key = F.when(F.col("part") == "test", F.lit(5)).otherwise(fold("date", setup.fold_scheme, setup.data_start))
@@ -163,10 +163,7 @@ def cv_datasets(rows: DataFrame, months: Sequence[str], setup: Setup) -> DataFra
     key = lambda m, k: F.concat_ws("/", m.cast("string"), k.cast("string"))
     past = rows.filter(F.col("date") >= F.lit(setup.data_start).cast("date"))
     unit = F.struct(F.trunc("date", "month").alias("month"), own.alias("fold"))
-    after = F.filter(tested, lambda m: m > F.col("unit.month"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda k: k != F.col("unit.fold"))
-    keys = F.flatten(F.transform(after, lambda m: F.transform(others, lambda k: key(m, k))))
-    lfo = history.History(history.histogram(past, unit), history.sent_to(keys))
+    lfo = history.History(history.histogram(past, unit), history.folds_before(months))
     used = rows.filter(F.col("date") >= F.lit(setup.train.start).cast("date"))
     used = history.expanding(rows, history.months(setup.train.start, max(months))).baseline(used, F.col("month"))
     used = used.withColumn("cv_month", F.explode(F.filter(tested, lambda m: m >= F.col("month"))))

@@ -31,9 +31,8 @@ RECENT_ROWS = "(SELECT m.hkey, c.* FROM m JOIN c ON c.date < m.hkey AND c.date >
 
 @query("agg_04", f"WITH {DAILY} {spec_sql('(SELECT 0 AS hkey, c.* FROM c)', 'lsd')}")
 def agg_04(spark, sf_dir):
-    keys, stats = history.SPECS["lsd"]
-    h = history.histogram(daily(spark, sf_dir), F.lit(0), keys)
-    return rounded(history.statistics(h, keys, stats, history.sent_to(F.array(F.lit(0)))))
+    h = history.History(history.histogram(daily(spark, sf_dir), F.lit(0)), history.whole())
+    return rounded(h.tables["lsd"].drop("hist_n"))
 
 
 def _all_specs(h: history.History, spark_cols=("median", "mean", "std")):
@@ -56,7 +55,7 @@ def all_specs_sql(rows: str) -> str:
 
 @query("agg_05", f"WITH {DAILY} {spec_sql(DAY_FOLDS, 'lsdhd')}")
 def agg_05(spark, sf_dir):
-    return rounded(history.leave_fold_out(daily(spark, sf_dir), SETUP.data_start, SETUP.train.end).tables["lsdhd"])
+    return rounded(history.leave_fold_out(daily(spark, sf_dir), SETUP.data_start, SETUP.train.end).tables["lsdhd"].drop("hist_n"))
 
 
 @query("agg_05_all", f"WITH {DAILY} {all_specs_sql(DAY_FOLDS)}")
@@ -71,18 +70,18 @@ def agg_06(spark, sf_dir):
 
 @query("agg_07", f"WITH {DAILY}, {_PERIODS} {spec_sql(PAST_ROWS, 'lsd')}")
 def agg_07(spark, sf_dir):
-    return rounded(history.expanding(daily(spark, sf_dir), MONTHS).tables["lsd"])
+    return rounded(history.expanding(daily(spark, sf_dir), MONTHS).tables["lsd"].drop("hist_n"))
 
 
 @query("agg_08", f"WITH {LIVE}, m AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-29', INTERVAL 7 DAY)) AS DATE) AS hkey) {spec_sql(PAST_ROWS, 'lhd')}")
 def agg_08(spark, sf_dir):
     weeks = ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-01-29"]
-    return rounded(history.expanding(live(spark, sf_dir), weeks, "week").tables["lhd"])
+    return rounded(history.expanding(live(spark, sf_dir), weeks, "week").tables["lhd"].drop("hist_n"))
 
 
 @query("agg_09", f"WITH {DAILY}, {_PERIODS} {spec_sql(RECENT_ROWS, 'lsd')}")
 def agg_09(spark, sf_dir):
-    return rounded(history.recent(daily(spark, sf_dir), MONTHS).tables["lsd"])
+    return rounded(history.recent(daily(spark, sf_dir), MONTHS).tables["lsd"].drop("hist_n"))
 
 
 @query("agg_10", f"""WITH {DAILY}, {_PERIODS} SELECT hkey, line, stop, direction, hour, daytype, median(y) AS hist_med_lsdhd, count(*) AS hist_n_lsdhd FROM {PAST_ROWS} GROUP BY ALL""")

@@ -138,23 +138,91 @@ def test_bootstrap_equals_drawing_blocks_one_by_one(spark):
 def test_statistics_of_millions_of_rows_do_not_overflow(spark):
     n = 4_000_000_000
     counts = spark.createDataFrame([("a", 0, -1800, n), ("a", 0, 3600, n), ("b", 0, 5, 1)], "line string, unit int, y int, n long")
-    got = {r["line"]: r for r in history.statistics(counts, ["line"], {"m": "mean", "s": "std", "d": "median"}, history.sent_to(F.array(F.lit(0)))).collect()}
+    h = history.History(counts, history.whole(), {"t": (["line"], {"m": "mean", "s": "std", "d": "median"})})
+    got = {r["line"]: r for r in h.tables["t"].collect()}
     assert got["a"]["m"] == 900.0 and got["a"]["s"] == pytest.approx(2700.0) and got["b"]["s"] is None and got["b"]["d"] == 5.0
+    assert got["a"]["hist_n"] == 2 * n
 
 
-def test_running_past_equals_counting_anew(spark):
+PERIODS = ["2024-05-01", "2024-02-01", "2024-07-01", "2024-04-01", "2023-01-01"]
+DAYS = {
+    "past": (lambda: history.all_before(PERIODS), lambda p, day: str(day) < str(p)),
+    "recent": (lambda: history.days_before(PERIODS, 40), lambda p, day: p - dt.timedelta(days=40) <= day < p),
+    "folds": (lambda: history.other_folds(), lambda p, day: p != day.timetuple().tm_yday % 5),
+    "all": (lambda: history.whole(), lambda p, day: True),
+    "folds before": (lambda: history.folds_before(PERIODS[:4]), lambda p, day: str(day.replace(day=1)) < p[:10] and int(p[11:]) != day.timetuple().tm_yday % 5),
+}
+
+
+def _history(spark, name, chunk=None):
     rnd = random.Random(8)
-    rows = [(rnd.choice("ab"), dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(200)), rnd.choice((0, 10, 20, 500))) for _ in range(400)]
-    df = spark.createDataFrame(rows, "line string, date date, y int")
-    periods = ["2024-05-01", "2024-02-01", "2024-07-01", "2024-04-01", "2023-01-01"]
-    units = df.groupBy("line", F.trunc("date", "month").alias("unit"), "y").agg(F.count("*").alias("n"))
-    got = {(str(r["hkey"]), r["line"], r["y"]): r["n"] for r in history.all_before(periods)(units, ["line"]).collect()}
-    want = {}
-    for p in periods:
-        for line, day, y in rows:
-            if str(day) < p:
-                want[p, line, y] = want.get((p, line, y), 0) + 1
-    assert got == want
+    days = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(200))
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(3), days(), rnd.choice((0, 10, 20, 500, -7))) for _ in range(700)]
+    df = spark.createDataFrame(rows, "line string, hour int, date date, y int")
+    day_fold = F.dayofyear("date") % 5
+    unit = {"folds": day_fold, "folds before": F.struct(F.trunc("date", "month").alias("month"), day_fold.alias("fold"))}.get(name, F.col("date"))
+    stats = {"med": "median", "mean": "mean", "std": "std"}
+    specs = {"lh": (["line", "hour"], stats), "l": (["line"], {k + "_l": v for k, v in stats.items()}), "g": ([], {k + "_g": v for k, v in stats.items()})}
+    return rows, df, history.History(history.histogram(df, unit, ["line", "hour"]), DAYS[name][0](), specs)
+
+
+@pytest.mark.parametrize("name", DAYS)
+def test_running_statistics_equal_counting_anew(spark, name):
+    import statistics as st
+
+    rows, _, h = _history(spark, name)
+    scheme, holds = h.scheme, DAYS[name][1]
+    for spec, keys in (("lh", lambda r: r[:2]), ("l", lambda r: r[:1]), ("g", lambda r: ())):
+        want = {}
+        for p in scheme.periods:
+            for r in rows:
+                if holds(p, r[2]):
+                    want.setdefault((p, *keys(r)), []).append(r[3])
+        got = {tuple(r)[: 1 + len(h.specs[spec][0])]: tuple(r)[1 + len(h.specs[spec][0]) :] for r in h.tables[spec].collect()}
+        assert got.keys() == want.keys()
+        for k, ys in want.items():
+            med, mean, std, n = got[k]
+            assert (med, n) == (st.median(ys), len(ys)) and mean == pytest.approx(st.mean(ys))
+            assert std == pytest.approx(st.stdev(ys)) if len(ys) > 1 else std is None
+
+
+def test_lookups_ask_for_what_rows_have(spark):
+    rows, df, h = _history(spark, "past")
+    asked = df.limit(60).unionByName(spark.createDataFrame([("zz", 1, dt.date(2024, 4, 3), 1), (None, 1, dt.date(2024, 4, 3), 1), ("a", None, dt.date(1999, 4, 3), 1)], df.schema))
+    asked = asked.withColumns({"step": F.lit("mine"), "n": F.lit("mine"), "spec": F.lit("mine"), "month": F.trunc("date", "month")})
+    got = h.attach(asked, F.col("month"), {"med": "x", "std_l": "s", "mean_g": "g"})
+    assert got.columns == [*asked.columns, "x", "s", "g"] and got.count() == 63
+    tables = {spec: {tuple(r)[: 1 + len(h.specs[spec][0])]: r for r in t.collect()} for spec, t in h.tables.items()}
+    for r in got.collect():
+        known = lambda spec, *k: None if None in k else tables[spec].get((r["month"], *k))  # noqa: B023, E731
+        lh, line, g = known("lh", r["line"], r["hour"]), known("l", r["line"]), known("g")
+        assert (r["x"], r["s"], r["g"]) == (lh and lh["med"], line and line["std_l"], g and g["mean_g"])
+
+
+def test_chunks_never_cut_a_key(spark, monkeypatch):
+    from stopwise.operators import running
+
+    monkeypatch.setattr(running, "CHUNK", 1)
+    _, _, h = _history(spark, "recent")
+    with_small = {tuple(r) for r in h.tables["lh"].collect()}
+    monkeypatch.undo()
+    assert with_small == {tuple(r) for r in h.tables["lh"].collect()}
+
+
+def test_rows_are_shuffled_once_for_all_groupings(spark):
+    _, df, h = _history(spark, "past")
+    wide = df.withColumn("payload", F.lit("x"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = h.attach(wide, F.trunc("date", "month"), {"med": "a", "mean_l": "b", "std_g": "c"})
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("payload") and out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 9
+        # The rows' own side: one join above them, whatever the number of groupings.
+        top = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+        assert sum("<=>" in line for line in top) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_quantiles_and_auc_of_real_scores(spark):
