@@ -138,9 +138,9 @@ def live_dataset(visits: DataFrame, rows: DataFrame, plan: DataFrame, histories:
     obs = stored(observations(rows, times, histories))
     base = rows.drop("stop_name", "origin_name", "dest_name")
     q = stored(query_rows(base, times, setup, split))
-    static = histories.past(split).baseline(q, histories.key)
+    static = histories.past(split).baseline(q, histories.key, among=q)
     for h, key, prefix in histories.plan(split):
-        static = h.features(static, key, prefix)
+        static = h.features(static, key, prefix, q)
     per_stop, per_trip = stored(stop_features(q, obs)), stored(trip_features(q, obs, times, setup, any_line))
     out = static.join(per_stop, [*TRIP, "seq"]).join(per_trip, TRIP)
     out = along_trip(out).withColumn("horizon_min", F.col("lead_min") + F.col("sched_min_from_start"))

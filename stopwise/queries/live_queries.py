@@ -11,7 +11,7 @@ from ..operators import asof, trips
 from ..plans import datasets, live
 from ..sources import adapters, io
 from ..sources.scratch import stored, temp_folder
-from ..streaming import feed
+from ..streaming import feed, latest
 from .base import bucket_sql, query, rounded
 from .history_queries import BASELINE, FEATURE_SQL, FOLD_ROWS, PAST_ROWS, lookups, tables_sql
 from .trip_queries import CLEAN, visits
@@ -321,11 +321,12 @@ def _feed(spark, sf_dir):
 @query("st_01", f"WITH {OBS} SELECT line, direction, t, n, na, CAST(sa AS DOUBLE) AS sa FROM ({bucket_sql_of('ld')}) WHERE t <= (SELECT max(obs_ts) FROM obs) - INTERVAL 2 MINUTE")
 def st_01(spark, sf_dir):
     """Buckets that the watermark has closed when the feed ends."""
-    got = feed.replay(feed.bucket_stream(_feed(spark, sf_dir)), "append", temp_folder(spark))
+    got = feed.replay(feed.bucket_stream(_feed(spark, sf_dir)), temp_folder(spark))
     return got.withColumn("sa", F.col("sa").cast("double"))
 
 
 @query("st_02", f"WITH {OBS} SELECT line, direction, CAST(max_by(anom, (obs_ts, journey_id, seq)) AS DOUBLE) AS anom, max(obs_ts) AS obs_ts FROM obs WHERE anom IS NOT NULL GROUP BY line, direction")
 def st_02(spark, sf_dir):
-    got = feed.replay(feed.latest_stream(_feed(spark, sf_dir)), "complete", temp_folder(spark))
-    return got.withColumn("anom", F.col("anom").cast("double"))
+    obs, folder = _feed(spark, sf_dir), temp_folder(spark)
+    latest.upsert_latest(obs, folder)
+    return latest.latest_table(spark, folder, latest.latest_changes(obs).schema)

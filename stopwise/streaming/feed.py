@@ -1,4 +1,4 @@
-"""The live feed: open time buckets and the latest observation per line, as Structured Streaming."""
+"""The live feed: open time buckets, as Structured Streaming."""
 
 from __future__ import annotations
 
@@ -20,26 +20,21 @@ def bucket_stream(obs: DataFrame, minutes: int = 5, late_minutes: int = 2, time:
     return g.select("line", "direction", F.col("window.end").cast("timestamp_ntz").alias("t"), "n", "na", "sa")
 
 
-def latest_stream(obs: DataFrame, time: str = "obs_ts") -> DataFrame:
-    """The latest observation per line and direction; the state is one row per key."""
-    order = F.struct(F.col(time), "journey_id", "seq")
-    return obs.filter("anom is not null").groupBy("line", "direction").agg(F.max_by(F.struct("anom", time), order).alias("x")).select("line", "direction", "x.*")
+def replay(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over all that is there now and returns its appended rows, written as Parquet below folder.
 
-
-def replay(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Runs a stream over all that is there now and returns its result, written as Parquet below folder.
-
-    Appended rows get a folder for each micro-batch, a complete result is written over the former one; so a batch that
-    runs again after a failure writes the same files, and nothing is gathered in the driver.
+    Each micro-batch has a folder of its own, so a batch that
+    runs again after a failure writes the same files, and nothing is gathered in the driver.  Called again for the same
+    folder it goes on from the checkpoint: state and watermark are those of the last batch.
     """
     spark, out = stream.sparkSession, f"{folder}/out"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/none")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/none")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{'all' if mode == 'complete' else number}")
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
 
     run: StreamingQuery = (
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     )
     run.awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
