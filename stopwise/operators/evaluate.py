@@ -277,27 +277,31 @@ def days_better(days: DataFrame, model: str, base: str) -> DataFrame:
     return days.agg(F.count("*").alias("days"), F.sum((F.col(model) < F.col(base)).cast("long")).alias("days_better"), F.avg(F.col(base) - F.col(model)).alias("mean_gain_s"))
 
 
-def variant_summary(df: DataFrame, reference: str) -> DataFrame:
-    """Of predictions by variant and seed: mean over months and seeds of the MAE, its difference from the reference
-    variant, and the months in which the mean over seeds is smaller than the reference's."""
-    month = df.groupBy("variant", "month", "seed").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"))
-    month = month.groupBy("variant", "month").agg(F.avg("mae").alias("mae"), F.count("*").alias("seeds"))
-    base = month.filter(F.col("variant") == reference).select("month", F.col("mae").alias("base"))
-    return month.join(base, "month").groupBy("variant").agg(
-        F.max("seeds").alias("seeds"), F.count("*").alias("months"), F.avg("mae").alias("mean_mae_s"), F.avg(F.col("mae") - F.col("base")).alias("difference_s"),
-        F.sum((F.col("mae") < F.col("base")).cast("long")).alias("months_better"),
+def _row_errors(df: DataFrame, reference: str, keys: Sequence[str]) -> DataFrame:
+    """Each row's absolute error, averaged over the seeds of a variant, beside the reference variant's on the same row.
+    Rows that the reference has no predictions for, as in months of its own, are left out."""
+    errors = df.groupBy("variant", *keys, "date", "month").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("error"), F.count("*").alias("seeds"))
+    base = errors.filter(F.col("variant") == reference).select(*keys, F.col("error").alias("base_error"))
+    return errors.join(base, list(keys))
+
+
+def variant_summary(df: DataFrame, reference: str, keys: Sequence[str]) -> DataFrame:
+    """Of predictions by variant and seed: mean of the rows' errors in all months that the variant shares with the reference,
+    its difference from the reference's, and the months in which it is smaller. All rows weigh alike."""
+    month = _row_errors(df, reference, keys).groupBy("variant", "month").agg(
+        F.max("seeds").alias("seeds"), F.count("*").alias("n"), F.sum("error").alias("error"), F.sum("base_error").alias("base")
+    )
+    return month.groupBy("variant").agg(
+        F.max("seeds").alias("seeds"), F.count("*").alias("months"), (F.sum("error") / F.sum("n")).alias("mean_mae_s"), ((F.sum("error") - F.sum("base")) / F.sum("n")).alias("difference_s"),
+        F.sum((F.col("error") < F.col("base")).cast("long")).alias("months_better"),
     )
 
 
 def variant_intervals(df: DataFrame, reference: str, keys: Sequence[str], **options) -> DataFrame:
-    """Bootstrap intervals by day of each variant's difference in MAE from the reference, in seconds; predictions are
+    """Bootstrap intervals by day of each variant's difference in MAE from the reference, in seconds; rows' errors are
     averaged over seeds first."""
-    mean = df.groupBy("variant", *keys, "date", "y").agg(F.avg("pred").alias("pred"))
-    base = mean.filter(F.col("variant") == reference).select(*keys, F.col("pred").alias("base"))
-    both = mean.filter(F.col("variant") != reference).join(base, list(keys))
-    totals = both.groupBy("variant", F.col("date").alias("block")).agg(
-        F.sum(F.abs(F.col("pred") - F.col("y"))).alias("model_error"), F.sum(F.abs(F.col("base") - F.col("y"))).alias("base_error"), F.count("*").alias("n_rows")
-    )
+    both = _row_errors(df, reference, keys).filter(F.col("variant") != reference)
+    totals = both.groupBy("variant", F.col("date").alias("block")).agg(F.sum("error").alias("model_error"), F.sum("base_error").alias("base_error"), F.count("*").alias("n_rows"))
     named = totals.withColumn("n_days", F.lit(1)).withColumn("comparison", F.concat("variant", F.lit(f" over {reference}"))).drop("variant")
     return block_bootstrap(named, absolute=True, **options)
 

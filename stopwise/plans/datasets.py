@@ -172,10 +172,35 @@ def cv_datasets(rows: DataFrame, months: Sequence[str], setup: Setup) -> DataFra
     return lfo.features(used, key(F.col("cv_month"), F.when(F.col("part") == "test", F.lit(5)).otherwise(own)))
 
 
+#: Rows of a range of hashes that one task may put in order, and the digits of a hash that are looked at.
+SMALL, DIGITS = 50_000, 30
+
+
 def fixed_sample(rows: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
-    """n rows, the same at every run: those with the smallest hash of key and seed."""
-    h = F.md5(F.concat_ws("|", *key, F.lit(str(seed))))
-    return rows.orderBy(h, *key).limit(n)
+    """n rows, the same at every run: those with the smallest hash of key and seed.
+
+    The hash below which n rows lie is found digit by digit: counts by the next three digits tell in which of 4096 ranges
+    the n-th row is.  Only the last range, of SMALL rows at most (unless they share all of DIGITS), is put in order; all
+    rows before it are taken as they lie.
+    """
+    rows = rows.withColumn("_hash", F.md5(F.concat_ws("|", *key, F.lit(str(seed)))))
+    prefix, left = "", n
+    while True:
+        inside = rows.filter(F.col("_hash").startswith(prefix)) if prefix else rows
+        counts = sorted(tuple(r) for r in inside.groupBy(F.substring("_hash", len(prefix) + 1, 3).alias("digits")).count().collect())
+        for digits, count in counts:  # noqa: B007
+            if left <= count:
+                break
+            left -= count
+        else:
+            taken = rows.filter(F.substring("_hash", 1, len(prefix)) <= prefix) if prefix else rows  # there are fewer
+            return taken.drop("_hash")
+        prefix += digits
+        if count <= SMALL or len(prefix) >= DIGITS:
+            break
+    head = F.substring("_hash", 1, len(prefix))
+    last = rows.filter(head == prefix).orderBy("_hash", *key).limit(left)
+    return rows.filter(head < prefix).unionByName(last).drop("_hash")
 
 
 def other_calendar(rows: DataFrame, holidays: Sequence[str]) -> DataFrame:

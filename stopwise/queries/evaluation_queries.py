@@ -274,8 +274,9 @@ def ev_17(spark, sf_dir):
 
 
 #: Predictions of each method with two seeds.
-_SEEDED = f"""{LONG}, sd AS (SELECT method AS variant, seed, month, y, e_pred + (seq * 31 + minute_of_day * seed) % 7 - 3 AS pred FROM lg, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS seed)),
- sm AS (SELECT variant, month, avg(abs(pred - y)) AS mae, count(DISTINCT seed) AS seeds FROM sd GROUP BY ALL), sb AS (SELECT month, mae AS base FROM sm WHERE variant = 'baseline')"""
+_SEEDED = f"""{LONG}, sd AS (SELECT method AS variant, seed, journey_id, seq, month, y, e_pred + (seq * 31 + minute_of_day * seed) % 7 - 3 AS pred FROM lg, (SELECT CAST(unnest([1, 2]) AS INTEGER) AS seed)),
+ er AS (SELECT variant, journey_id, seq, month, avg(abs(pred - y)) AS error, count(*) AS seeds FROM sd GROUP BY ALL),
+ sm AS (SELECT a.variant, a.month, max(a.seeds) AS seeds, count(*) AS n, sum(a.error) AS error, sum(b.error) AS base FROM er a JOIN er b ON a.journey_id = b.journey_id AND a.seq = b.seq AND b.variant = 'baseline' GROUP BY ALL)"""
 
 
 def _seeded(spark, sf_dir) -> DataFrame:
@@ -284,9 +285,9 @@ def _seeded(spark, sf_dir) -> DataFrame:
     return t.withColumn("pred", F.col("pred") + (F.col("seq") * 31 + F.col("minute_of_day") * F.col("seed")) % 7 - 3)
 
 
-@query("ev_17_seeds", f"WITH {P}, {_SEEDED} SELECT variant, max(seeds) AS seeds, count(*) AS months, round(avg(mae), 6) AS mean_mae_s, round(avg(mae - base), 6) AS difference_s, count(*) FILTER (WHERE mae < base) AS months_better FROM sm JOIN sb USING (month) GROUP BY variant")
+@query("ev_17_seeds", f"WITH {P}, {_SEEDED} SELECT variant, max(seeds) AS seeds, count(*) AS months, round(sum(error) / sum(n), 6) AS mean_mae_s, round((sum(error) - sum(base)) / sum(n), 6) AS difference_s, count(*) FILTER (WHERE error < base) AS months_better FROM sm GROUP BY variant")
 def ev_17_seeds(spark, sf_dir):
-    return rounded(ev.variant_summary(_seeded(spark, sf_dir), "baseline"))
+    return rounded(ev.variant_summary(_seeded(spark, sf_dir), "baseline", ["journey_id", "seq"]))
 
 
 @query("ev_17_intervals")

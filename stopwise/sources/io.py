@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,18 +49,58 @@ def months_to_load(source: DataFrame, stored_months: DataFrame, today: str, date
     return rows.join(ready, "month", "left_semi")
 
 
-def load_months(source: DataFrame, path: str, today: str, date_col: str = "operatingDate") -> DataFrame:
-    """Writes the months that are missing at path, each as a partition of its own; a rerun adds nothing."""
-    spark = source.sparkSession
+_PUBLISHED = "month date, load string, n_rows long, newest date"
+
+
+def published_months(spark: SparkSession, path: str) -> DataFrame:
+    """What readers may see at path: month, the load that brought it, its rows and newest date."""
     try:
-        there = spark.read.parquet(path).select(F.col("month").cast("date").alias("month")).distinct()
-    except Exception as e:  # nothing stored yet
+        there = spark.read.schema(_PUBLISHED).parquet(f"{path}/published")
+    except Exception as e:  # nothing published yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        there = spark.createDataFrame([], "month date")
-    new = months_to_load(source, there, today, date_col)
-    new.repartition("month").write.option("partitionOverwriteMode", "dynamic").mode("append").partitionBy("month").parquet(path)
-    return spark.read.parquet(path)
+        return spark.createDataFrame([], _PUBLISHED)
+    # Two loads that ran at the same time may both have a month: the first name counts.
+    return there.groupBy("month").agg(F.min_by(F.struct("load", "n_rows", "newest"), "load").alias("x")).select("month", "x.*")
+
+
+def read_months(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the published months. What a load wrote before it was stopped is not among them."""
+    rows = spark.read.parquet(f"{path}/loads").withColumns({"month": F.col("month").cast("date"), "load": F.col("load").cast("string")})
+    return rows.join(published_months(spark, path).select("month", "load"), ["month", "load"], "left_semi").drop("load")
+
+
+def _by_month(rows: DataFrame, date_col: str) -> DataFrame:
+    return rows.groupBy("month").agg(F.count("*").alias("n_rows"), F.max(date_col).cast("date").alias("newest"))
+
+
+def stage_months(new: DataFrame, path: str, load: str, date_col: str) -> DataFrame:
+    """Writes a load where no reader looks, and compares what is there then with what was to be written."""
+    staged = f"{path}/loads/load={load}"
+    new.repartition("month").write.mode("overwrite").partitionBy("month").parquet(staged)
+    found = new.sparkSession.read.parquet(staged).withColumn("month", F.col("month").cast("date"))
+    want, got = _by_month(new, date_col), _by_month(found, date_col)
+    differs = want.join(got.withColumnsRenamed({"n_rows": "n", "newest": "d"}), "month", "full").filter(~(F.col("n_rows").eqNullSafe(F.col("n")) & F.col("newest").eqNullSafe(F.col("d"))))
+    if not differs.isEmpty():
+        raise RuntimeError(f"months of load {load} are not what was read: {differs.limit(12).collect()}")
+    return got.withColumn("load", F.lit(load)).select("month", "load", "n_rows", "newest")
+
+
+def publish_months(months: DataFrame, path: str) -> None:
+    """One file names all months of the load, so readers see all of them or none."""
+    months.coalesce(1).write.mode("append").parquet(f"{path}/published")
+
+
+def load_months(source: DataFrame, path: str, today: str, date_col: str = "operatingDate") -> DataFrame:
+    """Brings the months that are missing at path; a rerun adds nothing, and completes what a stopped load left undone.
+
+    Rows are staged, verified (rows and newest date of each month) and published by a manifest that readers resolve.
+    """
+    spark = source.sparkSession
+    new = months_to_load(source, published_months(spark, path).select("month"), today, date_col)
+    if not new.isEmpty():
+        publish_months(stage_months(new, path, f"load-{uuid.uuid4().hex}", date_col), path)
+    return read_months(spark, path)
 
 
 def read_raw(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
