@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import discard, stored
+from stopwise.llm.common import discard, small_batches, stored
 from stopwise.llm.exact import dedup_exact
 from stopwise.llm.langid import held_out, identify, train
 from stopwise.llm.minhash import dedup_near
@@ -21,6 +21,7 @@ from stopwise.llm.queries import tokenizer_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; `und` (a null text, or one without a letter) goes. Repeated rows stay. Where no document
     has a known language to learn from, all with a letter stay."""
+    small_batches(spark)
     model = train(docs.filter(~held_out()))
     found = identify(docs, model, into=("_lang_pred", "_lang_score"))
     rejected = F.col("_lang_pred") == "und" if model.langs else ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -47,6 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixture's documents in sequences of 1024 tokens; a null text is the end id alone."""
+    small_batches(spark)
     return pack(docs, tokenizer_path())
 
 
