@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: From here on lie the days of rows that have no key or time to look up.
+_NO_DAY = "9000-01-01"
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str], prefix: str = "", strict: bool = False) -> DataFrame:
     """Every left row with the values of the last right row of its keys at or before its time (a timestamp).
@@ -15,8 +18,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     through one window, in which a row sees the last right row before it; what an earlier
     day ended with comes from a window over one row per key and day.  So no pairs are made,
     and a key with a third of all rows is spread over its days.  right has at most one row
-    per key and time (see latest_per).  Rows with a null key or time find nothing; null
-    values of the found row stay null.
+    per key and time (see latest_per).  Rows with a null key or time find nothing, and are
+    spread over days of their own; null values of the found row stay null.
     """
     found = F.struct(*[F.col(v).alias(prefix + v) for v in values])
     usable = F.col(right_time).isNotNull()
@@ -24,8 +27,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
         usable = usable & F.col(k).isNotNull()
     right = right.filter(usable).select(*on, F.col(right_time).alias("_t"), F.to_date(right_time).alias("_day"), F.lit(1 if strict else 0).alias("_side"), found.alias("_found"))
     rows = F.struct(*[F.col(c) for c in left.columns])
-    probe = left.select(*[F.col(k).alias(k) for k in on], F.col(left_time).alias("_t"), F.to_date(left_time).alias("_day"), F.lit(0 if strict else 1).alias("_side"), rows.alias("_row"))
-    ends = right.groupBy(*on, "_day").agg(F.max_by("_found", "_t").alias("_end")).unionByName(probe.select(*on, "_day").distinct(), allowMissingColumns=True)
+    asks = F.col(left_time).isNotNull()
+    for k in on:
+        asks = asks & F.col(k).isNotNull()
+    hashed = [F.col(c) for c, t in left.dtypes if "map<" not in t and "variant" not in t]
+    nowhere = F.date_add(F.lit(_NO_DAY).cast("date"), F.pmod(F.xxhash64(*hashed), F.lit(1024)).cast("int"))
+    day = F.when(asks, F.to_date(left_time)).otherwise(nowhere).alias("_day")
+    probe = left.select(*[F.col(k).alias(k) for k in on], F.col(left_time).alias("_t"), day, F.lit(0 if strict else 1).alias("_side"), rows.alias("_row"))
+    asking = probe.filter(" and ".join(f"`{c}` is not null" for c in (*on, "_t")))
+    ends = right.groupBy(*on, "_day").agg(F.max_by("_found", "_t").alias("_end")).unionByName(asking.select(*on, "_day").distinct(), allowMissingColumns=True)
     ends = ends.withColumn("_n", F.datediff("_day", F.lit("1970-01-01").cast("date"))).withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_n").rangeBetween(Window.unboundedPreceding, -1)))
     before = ends.groupBy(*[F.col(k).alias("_k_" + k) for k in on], F.col("_day").alias("_k_day")).agg(F.first("_before", ignorenulls=True).alias("_before"))
     w = Window.partitionBy(*on, "_day").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)

@@ -119,7 +119,7 @@ def rule(baseline: str, deviation: str, typical: Column, k: Column | float) -> C
 
 
 def rule_search(df: DataFrame, deviation: str = "rt_ld_anom60", baseline: str = "baseline") -> DataFrame:
-    typical = df.agg(F.median(deviation).alias("typical"))
+    typical = quantiles(df, F.col(deviation), [0.5]).select(F.col("q")[0].alias("typical"))
     return grid_search(df.crossJoin(F.broadcast(typical)), RULE_STRENGTHS, rule(baseline, deviation, F.col("typical"), F.col("k")), "k")  # typical is one row
 
 
@@ -345,15 +345,19 @@ def row_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 _NUMBERED = 100_000
 
 
-def numbered(df: DataFrame, order: Column, key: Sequence[str], groups: int, name: str) -> DataFrame:
-    """df with the place of each row in the order of a 64-bit hash, from 0: a running number inside each of `groups` ranges
-    of the hash, plus the rows of the ranges before."""
+def numbered(df: DataFrame, order: Column, key: Sequence[str], groups: int, name: str, *by: str) -> DataFrame:
+    """df with the place of each row (of each `by`) in the order of a 64-bit hash, from 0: a running number inside each of
+    `groups` ranges of the hash, plus the rows of the ranges before."""
     h = df.withColumn("_h", order).withColumn("_g", F.floor((F.shiftright("_h", 32) + 2**31) * groups / 2.0**32).cast("int"))
-    sums = h.groupBy(F.col("_g").alias("_s")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
-    sums = sums.select("_s", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_g").orderBy("_h", *key)) - 1
-    return h.withColumn("_i", inside).join(F.broadcast(sums), F.col("_g") == F.col("_s")).withColumn(name, F.col("_before") + F.col("_i")).drop("_h", "_g", "_s", "_i", "_before")
+    sums = h.groupBy(*by, F.col("_g").alias("_s")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    sums = sums.select(*[F.col(c).alias("_b_" + c) for c in by], "_s", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_g").orderBy("_h", *key)) - 1
+    on = F.col("_g") == F.col("_s")
+    for c in by:
+        on = on & (F.col(c) == F.col("_b_" + c))
+    out = h.withColumn("_i", inside).join(F.broadcast(sums), on).withColumn(name, F.col("_before") + F.col("_i"))  # a row per range
+    return out.drop("_h", "_g", "_s", "_i", "_before", *["_b_" + c for c in by])
 
 
 def shuffled_column(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataFrame:
@@ -365,14 +369,33 @@ def shuffled_column(df: DataFrame, column: str, key: Sequence[str], seed: int) -
     return rows.join(values, F.col("_to") == F.col("_from")).select(*df.columns)
 
 
+def with_partners(df: DataFrame, columns: Sequence[str], key: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """Each row once for every repeat, with `_partner`, the columns of another row: in a repeat every row is partner once.
+
+    Rows are numbered by one hash, partners by another one for each repeat; one join by (repeat, number) serves all columns.
+    """
+    groups = max(8, df.count() // _NUMBERED)
+    every = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    rows = numbered(df, F.xxhash64(F.lit(1), *key), key, groups, "_to").withColumn("_repeat", every)
+    partners = df.select(*key, F.struct(*columns).alias("_partner")).withColumn("_r", every)
+    partners = numbered(partners, F.xxhash64(F.col("_r") + seed, *key), key, groups, "_from", "_r").select("_r", "_from", "_partner")
+    return rows.join(partners, (F.col("_repeat") == F.col("_r")) & (F.col("_to") == F.col("_from"))).drop("_r", "_from", "_to")
+
+
 def permutation_importance(df: DataFrame, score: Callable[[DataFrame], DataFrame], columns: Sequence[str], key: Sequence[str], repeats: int = 3, seed: int = 10, pred: str = "pred") -> DataFrame:
     """feature, mean_increase_s, sd_s: how much the MAE of a model grows when one of its columns is shuffled among the
-    rows before scoring. score adds the prediction to a frame."""
-    mae = lambda rows: score(rows).agg(F.avg(F.abs(F.col(pred) - F.col("y"))).alias("mae"))
-    plain, out = mae(df).withColumnRenamed("mae", "plain"), None
-    for c in columns:
-        for r in range(repeats):
-            one = mae(shuffled_column(df, c, key, seed + r)).select(F.lit(c).alias("feature"), "mae")
-            out = one if out is None else out.unionByName(one)
-    grown = out.crossJoin(F.broadcast(plain)).withColumn("increase", F.col("mae") - F.col("plain"))  # plain is one row
-    return grown.groupBy("feature").agg(F.avg("increase").alias("mean_increase_s"), F.stddev_pop("increase").alias("sd_s"))
+    rows before scoring. score adds the prediction to a frame.
+
+    A row stands once as it is (in the first repeat) and once for every column and repeat with its partner's value there;
+    all of them are scored in one pass, so the number of jobs does not grow with columns and repeats.  Rows without y or
+    without a prediction count nowhere; without any row there is no feature in the result.
+    """
+    rows = with_partners(df, columns, key, repeats, seed)
+    features = F.array(*[F.lit(c) for c in columns])
+    shown = F.when(F.col("_repeat") == 0, F.concat(features, F.array(F.lit("")))).otherwise(features)
+    rows = rows.withColumn("_feature", F.explode(shown))
+    rows = rows.withColumns({c: F.when(F.col("_feature") == c, F.col("_partner")[c]).otherwise(F.col(c)) for c in columns}).drop("_partner")
+    errors = score(rows).groupBy("_feature", "_repeat").agg(F.avg(F.abs(F.col(pred) - F.col("y"))).alias("mae"))
+    plain = errors.agg(F.max(F.when(F.col("_feature") == "", F.col("mae"))).alias("plain"), F.collect_list(F.struct("_feature", "mae")).alias("all"))  # columns times repeats
+    grown = plain.select("plain", F.inline("all")).filter("_feature <> ''").withColumn("increase", F.col("mae") - F.col("plain"))
+    return grown.groupBy(F.col("_feature").alias("feature")).agg(F.avg("increase").alias("mean_increase_s"), F.stddev_pop("increase").alias("sd_s"))

@@ -31,6 +31,8 @@ SPECS: dict[str, tuple[list[str], dict[str, str]]] = {
     "g": ([], {"med_g": "median"}),
 }
 FEATURES = ["hist_med_lsdhd", "hist_mean_lsd", "hist_std_lsd", "hist_mean_lhd", "hist_mean_sh"]
+#: The same with the number of rows behind the finest median; groups without rows have null.
+COUNTED = SPECS | {"lsdhd": (ALL_KEYS, {"hist_med_lsdhd": "median", "hist_n_lsdhd": "n"})}
 BASELINE = ["hist_med_lsdhd", "med_lsd", "med_lhd", "med_l", "med_g"]
 
 

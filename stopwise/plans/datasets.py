@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +14,7 @@ from ..functions import calendar as cal
 from ..functions.scalars import fold, hash_bucket, minute_of_day, month_start, seconds_between
 from ..operators import history
 from ..schema import DELAY_RANGE, Setup
+from ..sources.scratch import stored
 
 WEATHER_NAMES = {"temperature_2m": "temp", "precipitation": "precip", "snowfall": "snowfall", "snow_depth": "snow_depth", "wind_speed_10m": "wind", "precip_3h": "precip_3h"}
 IDS = ["journey_id", "stop_name", "origin_name", "dest_name"]
@@ -176,6 +179,46 @@ def cv_datasets(rows: DataFrame, months: Sequence[str], setup: Setup) -> DataFra
 SMALL, DIGITS = 50_000, 30
 
 
+def fixed_samples(rows: DataFrame, group: Column, size: Column, key: Sequence[str], seed: Column) -> DataFrame:
+    """`size` rows of each group, the same at every run: those with the smallest hash of key and seed; all rows of a group
+    whose size is null or larger than the group.
+
+    size is the same for all rows of a group; groups are few (months, parts), as each keeps a line in the driver.  The hash
+    below which a group's rows lie is found digit by digit: counts by the next two digits tell in which of 256 ranges the
+    last row is.  Only that range, of SMALL rows at most (unless they share all of DIGITS), is put in order; the rows before
+    it are taken as they lie.
+    """
+    spark, columns = rows.sparkSession, rows.columns
+    hashed = rows.withColumns({"_group": F.coalesce(group.cast("string"), F.lit("")), "_size": size.cast("long"), "_hash": F.md5(F.concat_ws("|", *key, seed.cast("string")))})
+    width, ended = 0, []  # group, the hash's first digits at its end, rows to take from there; without digits all rows
+    left: dict[str, int] = {}
+    while width == 0 or left:
+        inside = hashed.filter(F.col("_size").isNotNull())
+        if width:
+            looked_at = spark.createDataFrame([(g, prefix) for g, (prefix, _) in left.items()], "_g string, _prefix string")
+            inside = inside.join(F.broadcast(looked_at), (F.col("_group") == F.col("_g")) & F.col("_hash").startswith(F.col("_prefix")))
+        digits = F.substring("_hash", width + 1, 2).alias("digits")
+        found: dict[str, list] = {}
+        for g, d, n, most in inside.groupBy("_group", digits).agg(F.count("*"), F.max("_size")).collect():
+            found.setdefault(g, []).append((d, n, most))
+        width, before, left = width + 2, left, {}
+        for g, counts in found.items():
+            prefix, rest = before.get(g, ("", counts[0][2]))
+            for d, n, _ in sorted(counts):
+                if rest <= n:
+                    end = (prefix + d, rest)
+                    if n <= SMALL or width >= DIGITS:
+                        ended.append((g, *end))
+                    else:
+                        left[g] = end
+                    break
+                rest -= n  # a group with fewer rows than its size comes to no end
+    ends = spark.createDataFrame(ended, "_g string, _end string, _left long")
+    marked = hashed.join(F.broadcast(ends), F.col("_group") == F.col("_g"), "left").withColumn("_head", F.expr("substring(_hash, 1, length(_end))"))
+    last = marked.filter("_head = _end").withColumn("_n", F.row_number().over(Window.partitionBy("_group").orderBy("_hash", *key)))
+    return marked.filter("_end is null or _head < _end").select(columns).unionByName(last.filter("_n <= _left").select(columns))
+
+
 def fixed_sample(rows: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
     """n rows, the same at every run: those with the smallest hash of key and seed.
 
@@ -209,11 +252,13 @@ def other_calendar(rows: DataFrame, holidays: Sequence[str]) -> DataFrame:
     return rows.withColumns({"is_holiday": flag.cast("int"), "daytype": cal.daytype("date", flag)})
 
 
-def source_rows(rows: DataFrame, setup: Setup, all_rows: bool, period_end: str) -> DataFrame:
-    """The rows that history is built on: all of them, or only those of the splits' samples."""
+def source_rows(rows: DataFrame, setup: Setup, all_rows: bool, period_end: str, share: int | None = None) -> DataFrame:
+    """The rows that history is built on: all of them, or only those of the splits' samples (share: another percentage
+    of the train rows)."""
     if all_rows:
         return rows
     pct = dict(setup.sample_pct)
+    pct["train"] = pct["train"] if share is None else share
     return rows.filter(
         ((F.col("bucket") < pct["train"]) & (F.col("date") <= F.lit(setup.train.end).cast("date"))) | ((F.col("bucket") < pct["valid"]) & F.col("date").between(F.lit(setup.valid.start).cast("date"), F.lit(period_end).cast("date")))
     )
@@ -244,3 +289,112 @@ def variant(rows: DataFrame, setup: Setup, split: str, holidays: Sequence[str] |
         months = (F.year("date") - F.year(end)) * 12 + F.month("date") - F.month(end)
         out = out.withColumn("hist_age_months", F.greatest(F.lit(0), months))
     return out
+
+
+@dataclass(frozen=True)
+class Variant:
+    """One way to build the datasets: calendar (None: the rows' own), rows behind the history, its scheme (folds, week,
+    month) and kind of folds, share in percent and first day of the train rows (None: the setup's), and the extra columns
+    hist_n_lsdhd (rows behind the finest median) and hist_months (months that the history spans)."""
+
+    holidays: tuple[str, ...] | None = None
+    all_rows: bool = True
+    scheme: str = "folds"
+    folds: str = "day"
+    share: int | None = None
+    start: str | None = None
+    counted: bool = False
+    aged: bool = False
+
+
+#: Share of the train rows in the first setup.
+FIRST_SHARE = 12
+
+
+def variants(setup: Setup, holidays: Sequence[str]) -> dict[str, Variant]:
+    """The variants that are compared, by name: each step changes one thing; V6 is the reference."""
+    old = {"share": FIRST_SHARE, "start": setup.data_start}
+    later = history.months(setup.train.start, setup.train.end)[2]  # training from the third month on
+    return {
+        "V0": Variant(tuple(holidays), all_rows=False, counted=True, **old),
+        "V1": Variant(tuple(holidays), counted=True, **old),
+        "V2": Variant(counted=True, **old),
+        "V3": Variant(**old),
+        "V4": Variant(),
+        "V4u": Variant(folds="week"),
+        "V5": Variant(scheme="week"),
+        "V6": Variant(scheme="month"),
+        "C": Variant(scheme="month", start=later),
+        "C2": Variant(scheme="week", start=later),
+        "D": Variant(scheme="month", aged=True),
+    }
+
+
+#: Rows of each part at most: of a month that is judged, and of one that variants are compared on.
+ROLLING_ROWS = (("train", 4_000_000), ("stop", 500_000), ("test", None))
+VARIANT_ROWS = (("train", 1_000_000), ("stop", 150_000), ("test", 300_000))
+
+
+def month_parts(rows: DataFrame, months: Sequence[str], setup: Setup, most: Sequence[tuple], share: int | None = None, start: str | None = None, seed: int = 0) -> DataFrame:
+    """The rows of several months' datasets, each row once for every cv_month that uses it, with its part: train up to two
+    months before, stop the month before, test the month itself.
+
+    A part has whole trips of its share, and of these `most` rows (None: all), chosen by a hash; only the choice of train
+    rows depends on the seed.  Rows without a date are in no part.
+    """
+    pct = dict(setup.sample_pct)
+    by_part = lambda train, stop, test: F.when(F.col("part") == "train", train).when(F.col("part") == "stop", stop).otherwise(test)
+    tested = F.array(*[F.lit(m).cast("date") for m in sorted(months)])
+    month = F.trunc("date", "month")
+    shares = [F.lit(pct["train"] if share is None else share), F.lit(pct["valid"]), F.lit(pct["test"])]
+    used = rows.filter(F.col("bucket") < F.greatest(*shares)).withColumn("cv_month", F.explode(F.filter(tested, lambda m: m >= month)))
+    used = used.withColumn("part", F.when(month == F.col("cv_month"), "test").when(month == F.add_months("cv_month", -1), "stop").otherwise("train"))
+    first = F.lit(start or setup.train.start).cast("date")
+    used = used.filter((F.col("bucket") < by_part(*shares)) & ((F.col("part") != "train") | (F.col("date") >= first)))
+    sizes = [F.lit(dict(most)[p]).cast("long") for p in ("train", "stop", "test")]
+    return fixed_samples(used, F.concat_ws("/", "cv_month", "part"), by_part(*sizes), ["journey_id", "seq"], by_part(F.lit(seed), F.lit(0), F.lit(0)))
+
+
+def _month_folds(rows: DataFrame, months: Sequence[str], setup: Setup, folds: str, specs: dict) -> tuple[history.History, Column]:
+    """History by folds from before each cv_month, and its key for rows with cv_month and part: test rows have all folds."""
+    own = fold("date", folds, setup.data_start)
+    unit = F.struct(F.trunc("date", "month").alias("month"), own.alias("fold"))
+    past = rows.filter(F.col("date") >= F.lit(setup.data_start).cast("date"))
+    key = F.concat_ws("/", F.col("cv_month").cast("string"), F.when(F.col("part") == "test", F.lit(5)).otherwise(own).cast("string"))
+    return history.History(history.histogram(past, unit), history.folds_before(months), specs), key
+
+
+def rolling_samples(rows: DataFrame, months: Sequence[str], setup: Setup, most: Sequence[tuple] = ROLLING_ROWS, seed: int = 0) -> DataFrame:
+    """rolling_dataset for several months at once with parts of bounded size; the baseline is from before a row's month."""
+    used = stored(month_parts(rows, months, setup, most, seed=seed))
+    lfo, key = _month_folds(rows, months, setup, setup.fold_scheme, history.SPECS)
+    out = lfo.features(used, key)
+    return history.expanding(rows, history.months(setup.train.start, max(months))).baseline(out, F.trunc("date", "month"), among=used)
+
+
+def variant_samples(rows: DataFrame, months: Sequence[str], setup: Setup, v: Variant, most: Sequence[tuple] = VARIANT_ROWS, seed: int = 0) -> DataFrame:
+    """The datasets of one variant for several months at once, with parts of bounded size.
+
+    The baseline is that of the variant's own history.  A history of a sample's rows has those up to the end of valid.
+    """
+    rows = rows if v.holidays is None else other_calendar(rows, v.holidays)
+    basis = source_rows(rows, setup, v.all_rows, setup.valid.end, v.share)
+    used = stored(month_parts(rows, months, setup, most, v.share, v.start, seed))
+    specs = history.COUNTED if v.counted else history.SPECS
+    if v.scheme == "folds":
+        h, key = _month_folds(basis, months, setup, v.folds, specs)
+        ends = F.col("cv_month")
+    else:
+        key = ends = F.trunc("date", v.scheme)
+        stop = str(dt.date.fromisoformat(min(months)) - dt.timedelta(days=31))  # stop rows are older than the first month
+        last = str(dt.date.fromisoformat(max(months)) + dt.timedelta(days=31))
+        starts = history.period_starts(min(v.start or setup.train.start, stop), last, v.scheme)
+        h = history.History(history.histogram(basis, key), history.all_before(starts), specs)
+    counted = ["hist_n_lsdhd"] if v.counted else []
+    extra = {c: "_b_" + c for c in history.BASELINE if c not in history.FEATURES}
+    out = h.attach(used, key, {c: c for c in [*history.FEATURES, *counted]} | extra)
+    out = out.withColumn("baseline", F.coalesce(*[F.col(extra.get(c, c)) for c in history.BASELINE])).drop(*extra.values())
+    if v.aged:
+        start = dt.date.fromisoformat(setup.data_start)
+        out = out.withColumn("hist_months", (F.year(ends) - start.year) * 12 + F.month(ends) - start.month)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,26 +22,41 @@ def vocabulary(*frames: DataFrame, columns: Sequence[str] = CATEGORIES) -> DataF
     return out.filter("value is not null").distinct()
 
 
-def stages(numbers: Sequence[str], categories: Sequence[str] = CATEGORIES) -> list:
-    """Numbers with missing values filled by the median; categories as indices, unknown ones kept."""
-    filled, indices = ["_f_" + c for c in numbers], ["_i_" + c for c in categories]
+def shared_indices(*frames: DataFrame, categories: Sequence[str] = CATEGORIES) -> PipelineModel:
+    """One indexer for each column: indices of the categories of all frames together, in order of their values; those of no frame get one index more.
+
+    The distinct values are found by Spark; a model holds them whole, in the driver too."""
+    labels: dict[str, list[str]] = {c: [] for c in categories}
+    for r in vocabulary(*frames, columns=categories).collect():
+        labels[r["column_name"]].append(r["value"])
+    # One model for all columns would pad the shorter lists with nulls.
+    make = lambda c: StringIndexerModel.from_labels(sorted(labels[c], key=lambda v: v.encode()), c, "_i_" + c, handleInvalid="keep")
+    return PipelineModel([make(c) for c in categories])
+
+
+def stages(numbers: Sequence[str], indices: PipelineModel) -> list:
+    """Categories as the indexers have them; numbers with missing values filled by the median."""
+    filled = ["_f_" + c for c in numbers]
     return [
-        StringIndexer(inputCols=list(categories), outputCols=indices, handleInvalid="keep"),
+        *indices.stages,
         Imputer(inputCols=list(numbers), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=filled + indices, outputCol="_features", handleInvalid="keep"),
+        VectorAssembler(inputCols=filled + [i.getOutputCol() for i in indices.stages], outputCol="_features", handleInvalid="keep"),
     ]
 
 
-def fit_trees(train: DataFrame, valid: DataFrame | None, numbers: Sequence[str], label: str = "y", seed: int = 0, rounds: int = 20, depth: int = 4, least_bins: int = 64, categories: Sequence[str] = CATEGORIES) -> PipelineModel:
+def fit_trees(train: DataFrame, valid: DataFrame | None, numbers: Sequence[str], label: str = "y", seed: int = 0, rounds: int = 20, depth: int = 4, least_bins: int = 64, categories: Sequence[str] = CATEGORIES, others: Sequence[DataFrame] = ()) -> PipelineModel:
     """Trees on the absolute error. With valid rows, fitting stops when they no longer gain; without, it runs `rounds`.
+    Categories are those of train, valid and `others` (frames that are to be predicted).
     There are as many bins as the largest category has values, at least `least_bins`."""
     numbers = list(numbers)
+    known = [train, *([] if valid is None else [valid]), *others]
+    indices = shared_indices(*known, categories=categories)
     marked = train.withColumn("_valid", F.lit(False))
     if valid is not None:
         marked = marked.unionByName(valid.withColumn("_valid", F.lit(True)), allowMissingColumns=True)
     marked = marked.withColumns({c: F.col(c).cast("double") for c in [*numbers, label]})
-    prepared = Pipeline(stages=stages(numbers, categories)).fit(marked)
-    most = max((len(values) for values in prepared.stages[0].labelsArray), default=0) + 1  # and one for unknown values
+    prepared = Pipeline(stages=stages(numbers, indices)).fit(marked)
+    most = max((len(i.labels) for i in indices.stages), default=0) + 1  # and one for unknown values
     trees = GBTRegressor(
         featuresCol="_features", labelCol=label, predictionCol="_pred", lossType="absolute", maxIter=rounds, maxDepth=depth, maxBins=max(least_bins, most), seed=seed
     )

@@ -159,3 +159,88 @@ def ds_08_months(spark, sf_dir):
     """The datasets of the cross-validation months March to October, all in one pass."""
     out = datasets.cv_datasets(rows(spark, sf_dir), _CV, SETUP)
     return rounded(out.select("cv_month", "journey_id", "seq", "y", "date", "part", *history.FEATURES, "baseline"))
+
+
+#: Rows of train and stop parts in the queries: few enough that the test tables have more.
+_FEW = (("train", 400), ("stop", 60), ("test", None))
+
+
+def _parts_sql(rows: str, months: list[str], most, share: int = 20, start: str = "1995-01-01", seed: int = 0) -> str:
+    """CTEs cv and p: the rows of each month's parts, those with the smallest hashes."""
+    size = " ".join(f"WHEN '{part}' THEN {'9223372036854775807' if n is None else n}" for part, n in most)
+    return f"""cv AS (SELECT CAST(unnest([{', '.join(repr(m) for m in months)}]) AS DATE) AS cv_month),
+  q AS (SELECT cv_month, r.*, CASE WHEN r.month = cv_month THEN 'test' WHEN r.month = cv_month - INTERVAL 1 MONTH THEN 'stop' ELSE 'train' END AS part FROM cv JOIN {rows} r ON r.month <= cv_month),
+  p AS (SELECT * FROM q WHERE (part = 'train' AND bucket < {share} AND date >= DATE '{start}') OR (part <> 'train' AND bucket < 25)
+    QUALIFY row_number() OVER (PARTITION BY cv_month, part ORDER BY md5(concat_ws('|', journey_id, CAST(seq AS VARCHAR), CASE WHEN part = 'train' THEN '{seed}' ELSE '0' END)), journey_id, seq) <= CASE part {size} END)"""
+
+
+def _fold_rows_sql(rows: str, fold: str = "dayofyear({d}) % 5") -> str:
+    """(history key, row) pairs: the rows before each month, but for a fold."""
+    return f"""(SELECT cv.cv_month || '/' || k AS hkey, s.* FROM cv JOIN {rows} s ON s.date < cv.cv_month AND s.date >= DATE '1994-12-01', (SELECT CAST(unnest(range(6)) AS INTEGER) AS k) WHERE k = 5 OR {fold.format(d='s.date')} <> k)"""
+
+
+def _fold_key(fold: str = "dayofyear({d}) % 5") -> str:
+    return f"c.cv_month || '/' || CASE WHEN c.part = 'test' THEN 5 ELSE {fold.format(d='c.date')} END"
+
+
+_ROLLED = ["1999-06-01", "1999-07-01", "2000-12-01"]
+
+
+@query("ds_06_samples", f"""WITH {DAILY}, {_parts_sql('c', _ROLLED, _FEW)}, {_PERIODS}, {tables_sql(_fold_rows_sql('c'))}, {tables_sql(PAST_ROWS, 'b')}
+  SELECT c.cv_month, {_IDS}, part, {FEATURE_SQL.format(p='h', x='')}, {BASELINE.format(p='b')} AS baseline FROM p c {lookups(_fold_key())} {lookups('c.month', 'b')}""")
+def ds_06_samples(spark, sf_dir):
+    """Rolling datasets of three months, their train and stop parts whole trips' rows of bounded number."""
+    out = datasets.rolling_samples(stored(rows(spark, sf_dir)), _ROLLED, SETUP, _FEW)
+    return rounded(out.select("cv_month", "journey_id", "seq", "y", "date", "part", *history.FEATURES, "baseline"))
+
+
+_EIGHT = (("train", 300), ("stop", 40), ("test", 80))
+_OLD_DAYS = ["1995-02-06", "1995-07-04", "1995-12-24"]
+_WEEK_OF = "(date_diff('day', DATE '1994-11-28', {d}) // 7) % 5"
+_COUNTED = "SELECT hkey, line, stop, direction, hour, daytype, count(*) AS hist_n_lsdhd FROM {} GROUP BY ALL"
+_OLD_DAYTYPE = f"CASE WHEN isodow(date) = 7 OR date IN ({', '.join(f"DATE '{d}'" for d in _OLD_DAYS)}) THEN 2 WHEN isodow(date) = 6 THEN 1 ELSE 0 END"
+
+
+def _variant_sql(name: str, seed: int) -> str:
+    """One variant's months, with all extra columns (null where the variant has none)."""
+    v = datasets.variants(SETUP, _OLD_DAYS)[name]
+    days = f"SELECT * REPLACE ({_OLD_DAYTYPE} AS daytype) FROM c" if v.holidays else "SELECT * FROM c"
+    basis = "TRUE" if v.all_rows else f"(bucket < {v.share} AND date <= DATE '1999-12-31') OR (bucket < 25 AND date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31')"
+    fold = _WEEK_OF if v.folds == "week" else "dayofyear({d}) % 5"
+    if v.scheme == "folds":
+        pairs, key, ends = _fold_rows_sql("s", fold), _fold_key(fold), "c.cv_month"
+    else:
+        pairs = f"(SELECT u.hkey, s.* FROM (SELECT DISTINCT CAST(date_trunc('{v.scheme}', date) AS DATE) AS hkey FROM p) u JOIN s ON s.date < u.hkey)"
+        key = ends = f"CAST(date_trunc('{v.scheme}', c.date) AS DATE)"
+    n = "n.hist_n_lsdhd" if v.counted else "CAST(NULL AS BIGINT)"
+    months = f"CAST(date_diff('month', DATE '1994-12-01', {ends}) AS INTEGER)" if v.aged else "CAST(NULL AS INTEGER)"
+    same = " AND ".join(f"n.{k} = c.{k}" for k in history.ALL_KEYS)
+    return f"""SELECT * FROM (WITH a AS ({days}), s AS (SELECT * FROM a WHERE {basis}), {_parts_sql('a', _CV, _EIGHT, v.share or 20, v.start or '1995-01-01', seed)}, {tables_sql(pairs)}, n AS ({_COUNTED.format(pairs)})
+  SELECT '{name}' AS variant, c.cv_month, {_IDS}, part, c.daytype, {FEATURE_SQL.format(p='h', x='')}, {BASELINE.format(p='h')} AS baseline, {n} AS hist_n_lsdhd, {months} AS hist_months
+  FROM p c {lookups(key)} LEFT JOIN n ON n.hkey = {key} AND {same})"""
+
+
+def _variants(spark, sf_dir, names, seed):
+    r, out = stored(rows(spark, sf_dir)), None
+    extra = {"hist_n_lsdhd": "long", "hist_months": "int"}
+    for name in names:
+        one = datasets.variant_samples(r, _CV, SETUP, datasets.variants(SETUP, _OLD_DAYS)[name], _EIGHT, seed)
+        one = one.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in one.columns})
+        one = one.select(F.lit(name).alias("variant"), "cv_month", "journey_id", "seq", "y", "date", "part", "daytype", *history.FEATURES, "baseline", *extra)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+_BY_FOLDS, _BY_PAST = ["V0", "V1", "V2", "V3", "V4", "V4u"], ["V5", "V6", "C", "C2", "D"]
+
+
+@query("ds_08_variants", f"WITH {DAILY} " + " UNION ALL ".join(_variant_sql(v, 3) for v in _BY_FOLDS))
+def ds_08_variants(spark, sf_dir):
+    """The months March to October of all variants whose history leaves folds out."""
+    return _variants(spark, sf_dir, _BY_FOLDS, 3)
+
+
+@query("ds_08_variants_past", f"WITH {DAILY} " + " UNION ALL ".join(_variant_sql(v, 0) for v in _BY_PAST))
+def ds_08_variants_past(spark, sf_dir):
+    """The same of all variants whose history is the past by weeks or months."""
+    return _variants(spark, sf_dir, _BY_PAST, 0)

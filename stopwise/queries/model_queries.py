@@ -9,7 +9,7 @@ from ..operators import history
 from ..plans import datasets, live, model
 from ..sources import adapters
 from ..sources.scratch import stored
-from .base import daily, query, rounded
+from .base import DAILY, daily, query, rounded
 from .live_queries import _World
 
 SETUP = adapters.DAILY
@@ -36,11 +36,24 @@ def ml_01(spark, sf_dir):
     return _scores(model.predict(m, test, numbers=NUMBERS), "pred", "baseline")
 
 
-@query("ml_02")
+_SPLIT_ROWS = """s AS (SELECT *, CASE WHEN bucket < 20 AND date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31' THEN 'train'
+  WHEN bucket < 25 AND date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' THEN 'valid' WHEN bucket < 25 AND date BETWEEN DATE '2001-01-01' AND DATE '2001-08-01' THEN 'test' END AS split FROM c),
+  x AS (SELECT split, 'line' AS column_name, line AS value FROM s WHERE split IS NOT NULL UNION ALL SELECT split, 'stop', stop FROM s WHERE split IS NOT NULL UNION ALL SELECT split, 'direction', direction FROM s WHERE split IS NOT NULL)"""
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE split = '{s}') AS {s}_rows" for s in ("train", "valid", "test"))
+
+
+@query("ml_02", f"WITH {DAILY}, {_SPLIT_ROWS} SELECT column_name, value, CAST(row_number() OVER (PARTITION BY column_name ORDER BY value) - 1 AS INTEGER) AS index, {_COUNTS} FROM x GROUP BY column_name, value")
 def ml_02(spark, sf_dir):
-    train, _, test, _ = _sets(spark, sf_dir)
-    fitted = model.Pipeline(stages=model.stages(NUMBERS)).fit(train)
-    return fitted.transform(test).groupBy("line").agg(F.countDistinct("_i_line").alias("indices"), F.count("_features").alias("n_rows"))
+    """The indices that the model has for the categories of all three sets, and the rows of each set with them."""
+    rows, sets = stored(daily(spark, sf_dir)), ("train", "valid", "test")
+    parts = [datasets.sampled(rows, SETUP, s) for s in sets]
+    indexer = model.shared_indices(*parts)
+    out = None
+    for name, part in zip(sets, parts):
+        one = indexer.transform(part)
+        one = one.select(F.lit(name).alias("split"), F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), F.col("_i_" + c).cast("int").alias("index")) for c in model.CATEGORIES])))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("column_name", "value", "index").agg(*[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_rows") for s in sets])
 
 
 @query("ml_03")
@@ -91,3 +104,12 @@ def sort_05_features(spark, sf_dir):
     train, _, _, _ = _sets(spark, sf_dir)
     m = model.fit_trees(train, None, NUMBERS, rounds=3, depth=3)
     return rounded(model.importances(m, spark, NUMBERS).orderBy(F.desc("importance"), "feature").limit(5))
+
+
+@query("ev_20_model")
+def ev_20_model(spark, sf_dir):
+    """How much the error of the fitted trees grows when one of their columns is shuffled among the test rows."""
+    train, valid, test, refit = _sets(spark, sf_dir)
+    m = model.fit_and_refit(train, valid, refit, NUMBERS, rounds=10, others=[test])
+    score = lambda rows: model.predict(m, rows, numbers=NUMBERS)
+    return rounded(ev.permutation_importance(test, score, [*NUMBERS, *model.CATEGORIES], ["journey_id", "seq"]), 3)
