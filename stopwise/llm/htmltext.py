@@ -46,6 +46,10 @@ IMPLIED = {
 _IN_TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 #: The most columns and rows that a cell may span, as the HTML standard has them.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Layout has bounds, so that the text stays in proportion to the page; no text is lost by them.  Lists are indented up to
+#: so many levels; a column is padded to so many characters at most, and a row up to so many in all (beyond, cells stand
+#: two spaces apart); cells that begin beyond MOST_COLUMNS keep no column in the rows below.
+MOST_LEVELS, WIDEST, LINE = 16, 120, 400
 
 
 class Node:
@@ -251,7 +255,7 @@ class _Page:
             for part in text.split("\0"):  # \0 is a line break inside a block
                 part = part.strip(" ")
                 if part:
-                    indent = "  " * max(0, len(lists) - 1)
+                    indent = "  " * min(MOST_LEVELS, max(0, len(lists) - 1))
                     if state["gap"] and lines and lines[-1]:
                         lines.append("")
                     state["gap"] = False
@@ -275,7 +279,7 @@ class _Page:
                             if state["gap"] and lines and lines[-1]:
                                 lines.append("")
                             state["gap"] = False
-                            lines.append("  " * max(0, len(lists) - 1) + line.rstrip())
+                            lines.append("  " * min(MOST_LEVELS, max(0, len(lists) - 1)) + line.rstrip())
                     else:
                         item = _SPACES.sub(" ", item)
                         if not buffer or buffer[-1].endswith((" ", "\0")):
@@ -296,7 +300,7 @@ class _Page:
                     if state["gap"] and lines and lines[-1]:
                         lines.append("")
                     state["gap"] = False
-                    lines.append("  " * max(0, len(lists) - 1) + line)
+                    lines.append("  " * min(MOST_LEVELS, max(0, len(lists) - 1)) + line)
                 state["gap"] = True
                 continue
             children = item.children
@@ -326,26 +330,39 @@ class _Page:
         return lines
 
     def table(self, node: Node, visible: bool) -> list[str]:
-        """Rows with cells padded to their column's width, two spaces between columns. A cell stands in the first free
+        """Rows with cells padded to their column's width (WIDEST and LINE at most), two spaces between columns. A cell stands in the first free
         column of its row and keeps its columns in the rows that it spans."""
         grid: list[dict[int, str]] = []
         before: list[str] = []
-        taken: dict[int, int] = {}  # column -> rows below that a cell still spans
-        at = 0
+        taken: list[tuple[int, int, int]] = []  # columns that cells above span: first, end, row at which they are free
+        spans: list[tuple[int, int, int]] = []  # the same of cells in this row
+        full: list[list[int]] = []  # taken columns as stretches without gaps
+        at = passed = n = ends = 0  # ends: the first row at which one of taken is free
         todo: list[tuple] = [(c, visible) for c in reversed(node.children)]
         row: dict[int, str] | None = None
 
         def start_row():
-            nonlocal row, at, taken
-            if row is not None:
-                taken = {c: n - 1 for c, n in taken.items() if n > 1}
-            row, at = {}, 0
+            nonlocal row, at, taken, passed, n, ends
+            n += 1
+            if spans or (taken and n >= ends):
+                taken = sorted(s for s in taken + spans if s[2] > n)
+                ends = min((s[2] for s in taken), default=0)
+                spans.clear()
+                full.clear()
+                for first, end, _ in taken:
+                    if full and first <= full[-1][1]:
+                        full[-1][1] = max(full[-1][1], end)
+                    else:
+                        full.append([first, end])
+            row, at, passed = {}, 0, 0
             grid.append(row)
 
         while todo:
             item, vis = todo.pop()
             if item is None:  # a group of rows begins or ends: no cell spans beyond that
-                row, taken = None, {}
+                row, taken = None, []
+                spans.clear()
+                full.clear()
                 continue
             if isinstance(item, str):
                 if item.strip() and vis:
@@ -359,13 +376,15 @@ class _Page:
                     start_row()
                 text = " ".join(x.strip() for x in self.render(item, vis) if x)
                 a = item.attributes()
-                while taken.get(at):
-                    at += 1
+                while passed < len(full) and full[passed][0] <= at:
+                    at = max(at, full[passed][1])
+                    passed += 1
                 row[at] = text
                 down = _span(a.get("rowspan", "1"), MOST_ROWS, MOST_ROWS if a.get("rowspan", "").strip() == "0" else 1)
-                for column in range(at, at + _span(a.get("colspan", "1"), MOST_COLUMNS, 1)):
-                    taken[column] = max(taken.get(column, 0), down)
-                    at = column + 1
+                end = at + _span(a.get("colspan", "1"), MOST_COLUMNS, 1)
+                if down > 1 and at < MOST_COLUMNS:
+                    spans.append((at, end, n + down))
+                at = end
             elif item.tag == "tr":
                 start_row()
                 todo.extend((c, vis) for c in reversed(item.children))
@@ -379,8 +398,22 @@ class _Page:
         for r in grid:
             for c, x in r.items():
                 widths[c] = max(widths.get(c, 0), len(x))
-        columns = sorted(c for c, w in widths.items() if w) or sorted(widths)[:1]
-        return before + [line for r in grid if (line := "  ".join(r.get(c, "").ljust(widths[c]) for c in columns).rstrip())]
+        starts, x = {}, 0
+        for c, w in sorted(widths.items()):
+            if w:
+                starts[c] = min(x, LINE)
+                x += min(w, WIDEST) + 2
+        lines = []
+        for r in grid:
+            parts, length = [], 0
+            for c, text in r.items():  # from left to right
+                if text:
+                    gap = max(2 if parts else 0, starts[c] - length)
+                    parts += [" " * gap, text]
+                    length += gap + len(text)
+            if parts:
+                lines.append("".join(parts))
+        return before + lines
 
 
 def _wrapped(node: Node) -> Node:

@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     plan = Plan(histogram)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    mine = Window.partitionBy("length", "part").orderBy("doc_id", "start", "crc")
+    mine = Window.partitionBy("length", "part").orderBy("doc_id", "start", "crc", "doc_tokens", "crc_512", "crc_256", "crc_tail")
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.row_number().over(mine) - 1).drop("part", "before")
     place, schema = _placer(plan, n_full)
     return ranked.mapInPandas(place, schema)

@@ -16,8 +16,6 @@ from .common import discard, stored
 PACK_BYTES, TILE_PACKS = 4 << 20, 16
 #: Lists that one merge step takes together.
 FAN_IN = 16
-#: Scores are told apart up to this size.
-_MOST = 10**38 - 1
 _NONE = np.iinfo(np.int64).min
 
 _PACK = "dim int, ids binary, keys binary, vectors binary, pack long"
@@ -124,7 +122,7 @@ def _exact(q: _Pack, asked: np.ndarray, c: _Pack, among: np.ndarray, k: int) ->
     if not candidates:
         return
     for i, key, x in zip(q.ids[asked].tolist(), q.keys[asked].tolist(), q.whole(asked)):
-        scores = ((max(-_MOST, min(_MOST, sum(a * b for a, b in zip(x, y)))), j) for j, y in candidates if j != i)
+        scores = ((sum(a * b for a, b in zip(x, y)), j) for j, y in candidates if j != i)
         for s, j in sorted(scores, key=lambda found: (-found[0], found[1]))[:k]:
             yield key, i, j, str(s)
 
@@ -183,7 +181,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     products, which keeps k rows per query; lists then merge as a tree of FAN_IN, so no task sees all tiles.  A tile is
     TILE_PACKS packs of PACK_BYTES, so vectors travel once for every 64 MB of the other side.  Where products could
     exceed 64 bits, whole numbers of any size are compared; a score beyond 64 bits is reported as the largest or
-    smallest long, and scores beyond 38 digits count as equal.
+    smallest long, in its right place.
     """
     q = queries.select("vec_id", "v", F.xxhash64("v").alias("key")).dropDuplicates(["vec_id", "key"])
     q, c = _packed(q, F.col("key")), _packed(candidates, F.lit(0).cast("long"))
@@ -198,14 +196,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     lists = left.groupBy("q_tile", "tile").cogroup(right.groupBy("q_tile", "tile")).applyInPandas(_tile(k), _LISTS)
     lists = stored(lists)
     discard(q, c)
-    size = F.coalesce(F.col("large"), F.col("score").cast("string")).cast("decimal(38,0)")
-    lists = lists.withColumn("size", size)
+    # Decimals hold 38 digits; longer numbers go by sign, length and digits.
+    digits = F.ltrim(F.col("large"), F.lit("-"))
+    sign = F.when(F.length(digits) > 38, F.when(F.col("large").startswith("-"), -1).otherwise(1)).otherwise(0)
+    size = F.when(sign == 0, F.coalesce(F.col("large"), F.col("score").cast("string"))).cast("decimal(38,0)")
+    lists = lists.withColumns({"sign": sign, "size": size, "digits": F.when(sign != 0, digits)})
+    upward = F.when(F.col("sign") > 0, F.col("digits"))
+    falling = [F.desc("sign"), F.desc("size"), F.desc(F.length("digits") * F.col("sign")), upward.desc(), F.asc("digits")]
     while True:
         c_tiles = -(-c_tiles // FAN_IN)
         lists = lists.withColumn("tile", F.expr(f"tile div {FAN_IN}").cast("int"))
-        w = Window.partitionBy("query_id", "query_key", "tile").orderBy(F.desc("size"), "vec_id")
+        w = Window.partitionBy("query_id", "query_key", "tile").orderBy(*falling, "vec_id")
         lists = lists.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         if c_tiles <= 1:
             ends = [F.lit(x).cast("decimal(38,0)") for x in (-(2**63), 2**63 - 1)]
-            score = F.coalesce("score", F.greatest(ends[0], F.least(ends[1], "size")).cast("long"))
+            within = F.when(F.col("sign") < 0, ends[0]).when(F.col("sign") > 0, ends[1]).otherwise(F.greatest(ends[0], F.least(ends[1], "size")))
+            score = F.coalesce("score", within.cast("long"))
             return lists.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))

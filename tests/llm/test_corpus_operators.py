@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -488,8 +489,7 @@ def brute_top(rows, every, k):
     ok = [(i, tuple(math.floor(Fraction(x) * 256) for x in e)) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     want = Counter()
     for q, v in sorted({x for x in ok if x[0] % every == 0}):
-        most = 10**38 - 1  # larger scores count as equal
-        s = sorted((max(-most, min(most, -sum(a * b for a, b in zip(v, w)))), c) for c, w in ok if c != q and len(w) == len(v))[:k]
+        s = sorted((-sum(a * b for a, b in zip(v, w)), c) for c, w in ok if c != q and len(w) == len(v))[:k]
         want.update((q, n + 1, c, max(-(2**63), min(2**63 - 1, -x))) for n, (x, c) in enumerate(s))
     return want
 
@@ -516,6 +516,37 @@ def test_top_k_of_vectors_of_any_size(spark):
     assert got == Counter({x: n for x, n in want.items() if x[0] < 90})
 
 
+def test_top_k_of_scores_beyond_38_digits_goes_by_size(spark):
+    sizes = [3.0e37, 1.0e25, 9.0e25, -1.0e25, -9.0e25, 2.0e30, -2.0e30, 1.0, 0.0]
+    rows = [(0, [1.0e20]), *((i + 1, [x]) for i, x in enumerate(sizes))]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(v.filter("vec_id = 0"), v, 9).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 6, 3, 2, 8, 9, 4, 5, 7]
+    assert got[0]["score"] == 2**63 - 1 and got[-1]["score"] == -(2**63)
+
+
+def test_html_layout_stays_in_proportion_and_loses_nothing():
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>z" + "<tr><td>a<td>b" * 2000 + "</table>"
+    text = htmltext.visible_text(wide)
+    assert len(text) < 10 * len(wide) and text.split() == ["w" * 20_000, "z"] + ["a", "b"] * 2000
+    nested = htmltext.visible_text("<ul><li>x" * 3000)
+    assert nested.split() == ["-", "x"] * 3000 and len(nested) < 150_000
+    assert nested.split("\n")[:3] == ["- x", "  - x", "    - x"]
+    before = time.perf_counter()
+    spans = htmltext.visible_text("<table>" + "<tr><td colspan=1000 rowspan=1000>x" * 1000 + "</table>")
+    assert spans.split() == ["x"] * 1000 and time.perf_counter() - before < 1
+    page = "<table>" + "<tr><td rowspan=60000>x" * 3000 + "</table>"
+    tall = htmltext.visible_text(page)
+    assert tall.split() == ["x"] * 3000 and len(tall) < 20 * len(page)
+
+
+def test_html_columns_are_aligned_up_to_the_width():
+    rows = "<tr><td>one<td>" + "m" * 30 + "<td>end<tr><td>" + "n" * 150 + "<td>k<td>end<tr><td><td>b"
+    lines = htmltext.visible_text(f"<table>{rows}</table>").split("\n")
+    at = htmltext.WIDEST + 2
+    assert lines[0] == "one".ljust(at) + "m" * 30 + "  end" and lines[1] == "n" * 150 + "  k" + "  end" and lines[2] == " " * at + "b"
+
+
 def packed_right(pieces, rows, library):
     """Each token of each document lies in exactly one piece, and pieces fill sequences without gaps."""
     sequences, places, want = defaultdict(list), Counter(), Counter()
