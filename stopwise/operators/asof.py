@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,40 +12,75 @@ from pyspark.sql import functions as F
 _NO_DAY = "9000-01-01"
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str], prefix: str = "", strict: bool = False) -> DataFrame:
-    """Every left row with the values of the last right row of its keys at or before its time (a timestamp).
+@dataclass(frozen=True)
+class Series:
+    """Rows of which a lookup finds the last one, with at most one row per key and time (see latest_per).
+
+    The found values are called prefix + value.  strict: rows of the very time asked for are not
+    seen.  lags: how many minutes after its time a row is seen; where there are several, each finds
+    a row of its own, and its values are called prefix + value + "_" + lag.
+    """
 
-    strict: before its time.  A key's rows are cut into days.  Inside a day both sides go
-    through one window, in which a row sees the last right row before it; what an earlier
-    day ended with comes from a window over one row per key and day.  So no pairs are made,
-    and a key with a third of all rows is spread over its days.  right has at most one row
-    per key and time (see latest_per).  Rows with a null key or time find nothing, and are
+    rows: DataFrame
+    time: str
+    values: Sequence[str]
+    prefix: str = ""
+    strict: bool = False
+    lags: Sequence[int] = (0,)
+
+    def found(self, lag: int) -> list[str]:
+        end = f"_{lag}" if len(self.lags) > 1 else ""
+        return [f"{self.prefix}{v}{end}" for v in self.values]
+
+    def seen(self, on: Sequence[str], slots: dict[int, str]) -> DataFrame:
+        """Keys, the time from which a row is seen, and its values in the column of its lag."""
+        rows = self.rows.filter(" and ".join(f"`{c}` is not null" for c in (*on, self.time)))
+        at = F.col(self.time)
+        if tuple(self.lags) != (0,):
+            rows = rows.withColumn("_lag", F.explode(F.array(*[F.lit(x) for x in self.lags])))
+            at = F.timestamp_add("MINUTE", F.col("_lag"), at)
+        one = {lag: F.struct(*[F.col(v).alias(n) for v, n in zip(self.values, self.found(lag))]) for lag in self.lags}
+        cols = [(F.when(F.col("_lag") == lag, one[lag]) if "_lag" in rows.columns else one[lag]).alias(slot) for lag, slot in slots.items()]
+        return rows.select(*on, at.alias("_t"), F.to_date(at).alias("_day"), F.lit(2 if self.strict else 0).alias("_side"), *cols)
+
+
+def asof_lookups(left: DataFrame, on: Sequence[str], left_time: str, series: Sequence[Series]) -> DataFrame:
+    """Every left row with the values of the last row of its keys at or before its time (a timestamp), of each series.
+
+    All series that share the keys go through one exchange: left rows and series are one tagged
+    union, a key's rows are cut into days, and inside a day one window carries what each series was
+    last.  What an earlier day ended with comes from a window over one row per key and day.  So no
+    pairs are made, left rows stay single however many series and lags there are, and a key with a
+    third of all rows is spread over its days.  Rows with a null key or time find nothing, and are
     spread over days of their own; null values of the found row stay null.
     """
-    found = F.struct(*[F.col(v).alias(prefix + v) for v in values])
-    usable = F.col(right_time).isNotNull()
-    for k in on:
-        usable = usable & F.col(k).isNotNull()
-    right = right.filter(usable).select(*on, F.col(right_time).alias("_t"), F.to_date(right_time).alias("_day"), F.lit(1 if strict else 0).alias("_side"), found.alias("_found"))
-    rows = F.struct(*[F.col(c) for c in left.columns])
-    asks = F.col(left_time).isNotNull()
-    for k in on:
-        asks = asks & F.col(k).isNotNull()
+    slots = [{lag: f"_found_{n}_{lag}" for lag in s.lags} for n, s in enumerate(series)]
+    names = {slot: s.found(lag) for s, mine in zip(series, slots) for lag, slot in mine.items()}
+    usable = " and ".join(f"`{c}` is not null" for c in (*on, "_t"))
     hashed = [F.col(c) for c, t in left.dtypes if "map<" not in t and "variant" not in t]
     nowhere = F.date_add(F.lit(_NO_DAY).cast("date"), F.pmod(F.xxhash64(*hashed), F.lit(1024)).cast("int"))
-    day = F.when(asks, F.to_date(left_time)).otherwise(nowhere).alias("_day")
-    probe = left.select(*[F.col(k).alias(k) for k in on], F.col(left_time).alias("_t"), day, F.lit(0 if strict else 1).alias("_side"), rows.alias("_row"))
-    asking = probe.filter(" and ".join(f"`{c}` is not null" for c in (*on, "_t")))
-    ends = right.groupBy(*on, "_day").agg(F.max_by("_found", "_t").alias("_end")).unionByName(asking.select(*on, "_day").distinct(), allowMissingColumns=True)
-    ends = ends.withColumn("_n", F.datediff("_day", F.lit("1970-01-01").cast("date"))).withColumn("_before", F.last("_end", ignorenulls=True).over(Window.partitionBy(*on).orderBy("_n").rangeBetween(Window.unboundedPreceding, -1)))
-    before = ends.groupBy(*[F.col(k).alias("_k_" + k) for k in on], F.col("_day").alias("_k_day")).agg(F.first("_before", ignorenulls=True).alias("_before"))
-    w = Window.partitionBy(*on, "_day").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = probe.unionByName(right, allowMissingColumns=True).withColumn("_last", F.last("_found", ignorenulls=True).over(w)).filter("_row is not null")
-    same = both["_day"] == before["_k_day"]
+    probe = left.select(*[F.col(k).alias(k) for k in on], F.col(left_time).alias("_t"), nowhere.alias("_day"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
+    both = probe.withColumn("_day", F.when(F.expr(usable), F.to_date("_t")).otherwise(F.col("_day")))
+    for s, mine in zip(series, slots):
+        both = both.unionByName(s.seen(on, mine), allowMissingColumns=True)
+    last = [F.max_by(slot, F.when(F.col(slot).isNotNull(), F.col("_t"))).alias(slot) for slot in names]
+    ends = both.filter(usable).groupBy(*on, "_day").agg(*last)
+    former = Window.partitionBy(*on).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(
+        *[F.col(k).alias("_k_" + k) for k in on], F.col("_day").alias("_k_day"), *[F.last(slot, ignorenulls=True).over(former).alias("_before" + slot) for slot in names]
+    )
+    inside = Window.partitionBy(*on, "_day").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    asked = both.withColumns({slot: F.last(slot, ignorenulls=True).over(inside) for slot in names}).filter("_row is not null")
+    same = asked["_day"] == before["_k_day"]
     for k in on:
-        same = same & (both[k] == before["_k_" + k])
-    hit = F.coalesce("_last", "_before")
-    return both.join(before, same, "left").select("_row.*", *[hit[prefix + v].alias(prefix + v) for v in values])
+        same = same & (asked[k] == before["_k_" + k])
+    out = asked.join(before, same, "left")
+    return out.select("_row.*", *[F.coalesce(slot, "_before" + slot)[name].alias(name) for slot, found in names.items() for name in found])
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, values: Sequence[str], prefix: str = "", strict: bool = False) -> DataFrame:
+    """asof_lookups of one series; strict: before the left row's time."""
+    return asof_lookups(left, on, left_time, [Series(right, right_time, values, prefix, strict)])
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -72,31 +108,50 @@ def running_sums(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return buckets.select(*keys, "t", F.sum("n").over(w).alias("cn"), F.sum("na").over(w).alias("cna"), F.sum("sa").over(w).alias("csa"))
 
 
-def on_grid(probes: DataFrame, cum: DataFrame, time: str, minutes: int = 5) -> DataFrame:
-    """The as-of lookup where there is no key: the running sums filled up to every `minutes` of their
-    span (about 105,000 rows a year), then an equality join on the grid time at or before each probe."""
-    span = cum.agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    grid = span.select(F.explode(F.sequence("first", "last", F.expr(f"interval {minutes} minutes"))).alias("t"))
-    fill = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(cum, "t", "left").select(F.col("t").alias("_grid"), *[F.last(c, ignorenulls=True).over(fill).alias(c) for c in ("cn", "cna", "csa")])
+SUMS = ("cn", "cna", "csa")
+
+
+def on_grid(probes: DataFrame, sums: Series, time: str, minutes: int = 5) -> DataFrame:
+    """asof_lookups where there is no key: the running sums filled up to every `minutes` of their span (about
+    105,000 rows a year), beside those of each lag, then one equality join on the grid time at or before each probe."""
+    if any(lag % minutes for lag in sums.lags):
+        raise ValueError(f"lags must be multiples of {minutes} minutes")
+    last = F.timestamp_add("MINUTE", F.lit(max(sums.lags)), F.max(sums.time))
+    span = sums.rows.agg(F.min(sums.time).alias("_first"), last.alias("_last"))
+    grid = span.select(F.explode(F.sequence("_first", "_last", F.expr(f"interval {minutes} minutes"))).alias("_grid"))
+    order = Window.orderBy("_grid")
+    fill = order.rowsBetween(Window.unboundedPreceding, 0)
+    full = grid.join(sums.rows.select(F.col(sums.time).alias("_grid"), *sums.values), "_grid", "left")
+    full = full.select("_grid", *[F.last(c, ignorenulls=True).over(fill).alias(c) for c in sums.values])
+    full = full.select("_grid", *[F.lag(c, lag // minutes).over(order).alias(n) for lag in sums.lags for c, n in zip(sums.values, sums.found(lag))])
     at = F.timestamp_add("MINUTE", F.lit(-minutes), bucket_end(time, minutes))
-    p = probes.crossJoin(F.broadcast(span)).withColumn("_grid", F.least(at, "last")).drop("first", "last")  # span is one row
+    p = probes.crossJoin(F.broadcast(span)).withColumn("_grid", F.least(at, "_last")).drop("_first", "_last")  # span is one row
     return p.join(full, "_grid", "left").drop("_grid")
 
 
-def windowed_sums(probes: DataFrame, cum: DataFrame, row_keys: Sequence[str], keys: Sequence[str], windows: Sequence[int], prefix: str, time: str = "T") -> DataFrame:
-    """row_keys with, for each look-back of `windows` minutes, the count and mean of what lies in (T - w, T].
+def window_series(cum: DataFrame, windows: Sequence[int], prefix: str) -> Series:
+    """The running sums as they are now and as they were each look-back of minutes ago, for with_windows."""
+    return Series(cum, "t", SUMS, f"_{prefix}_", lags=(0, *windows))
 
-    All look-backs of a row are probed in one pass over the running sums, then set side by side.
-    Rows with a null key see nothing: count 0, mean null.
-    """
-    at = F.explode(F.array(*[F.lit(w) for w in (0, *windows)]))
-    p = probes.select(*row_keys, *[k for k in keys if k not in row_keys], F.col(time).alias("_T")).withColumn("_w", at)
-    p = p.withColumn("_probe", F.timestamp_add("MINUTE", -F.col("_w"), F.col("_T")))
-    seen = asof_join(p, cum, list(keys), "_probe", "t", ["cn", "cna", "csa"]) if keys else on_grid(p, cum, "_probe")
-    total = lambda c, w: F.coalesce(F.max(F.when(F.col("_w") == w, F.col(c))), F.lit(0))
-    cols = []
+
+def with_windows(found: DataFrame, sums: Series, windows: Sequence[int], prefix: str) -> DataFrame:
+    """The looked-up sums replaced by the count and mean of what lies in (T - w, T], for each look-back w."""
+    at = {lag: dict(zip(sums.values, sums.found(lag))) for lag in sums.lags}
+    total = lambda c, lag: F.coalesce(F.col(at[lag][c]), F.lit(0))
+    cols = {}
     for w in windows:
-        cols.append((total("cn", 0) - total("cn", w)).cast("int").alias(f"rt_{prefix}_n{w}"))
-        cols.append(((total("csa", 0) - total("csa", w)) / F.nullif(total("cna", 0) - total("cna", w), F.lit(0))).alias(f"rt_{prefix}_anom{w}"))
-    return seen.groupBy(*row_keys).agg(*cols)
+        inside = {c: total(c, 0) - total(c, w) for c in sums.values}
+        cols[f"rt_{prefix}_n{w}"] = inside["cn"].cast("int")
+        cols[f"rt_{prefix}_anom{w}"] = inside["csa"] / F.nullif(inside["cna"], F.lit(0))
+    return found.withColumns(cols).drop(*[n for names in at.values() for n in names.values()])
+
+
+def windowed_sums(probes: DataFrame, cum: DataFrame, keys: Sequence[str], windows: Sequence[int], prefix: str, time: str = "T") -> DataFrame:
+    """The probes with, for each look-back of `windows` minutes, the count and mean of what lies in (T - w, T].
+
+    A look-back is the running sums seen w minutes later, so all of a row's look-backs come from one
+    lookup and rows are neither repeated nor grouped.  Rows with a null key see nothing: count 0, mean null.
+    """
+    sums = window_series(cum, windows, prefix)
+    found = asof_lookups(probes, keys, time, [sums]) if keys else on_grid(probes, sums, time)
+    return with_windows(found, sums, windows, prefix)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clipped, minutes_between, plus_minutes, plus_seconds, random_lead, seconds_between
-from ..operators.asof import asof_join, bucket_sums, latest_per, running_sums, windowed_sums
+from ..operators.asof import Series, asof_join, asof_lookups, bucket_sums, latest_per, running_sums, window_series, windowed_sums, with_windows
 from ..operators.trips import at_lowest
 from ..sources.scratch import stored
 from ..schema import DEVIATION_RANGE, GROWTH_RANGE, Setup
@@ -99,26 +99,33 @@ def incoming_delay(trips: DataFrame, obs: DataFrame) -> DataFrame:
 TRIP = ["journey_id", "lead_min"]
 
 
+def line_features(tr: DataFrame, obs: DataFrame) -> DataFrame:
+    """Windows of the line and its last observation, from one lookup: both have the line's keys."""
+    windows = [20, 60, 180]
+    sums = window_series(series(obs, "ld"), windows, "ld")
+    last = Series(last_by_line(obs), "obs_ts", ["anom", "obs_ts"], "l_")
+    f = with_windows(asof_lookups(tr, ["line", "direction"], "T", [sums, last]), sums, windows, "ld")
+    return f.withColumns({"rt_ld_last_anom": F.col("l_anom"), "rt_ld_last_age_min": minutes("l_obs_ts", "T")}).drop("l_anom", "l_obs_ts")
+
+
 def trip_features(q: DataFrame, obs: DataFrame, times: DataFrame, setup: Setup, any_line: bool = False) -> DataFrame:
-    """Features that all stops of a (journey, lead) share: line and network windows, last observation, incoming vehicle."""
-    tr = q.select(*TRIP, "line", "direction", "T", "trip_start_ts", "origin_stopname").distinct()
-    ld = windowed_sums(tr, series(obs, "ld"), TRIP, ["line", "direction"], [20, 60, 180], "ld")
-    net = windowed_sums(tr, series(obs, "net"), TRIP, [], [15, 60], "net").drop("rt_net_n60")
-    last = asof_join(tr, last_by_line(obs), ["line", "direction"], "T", "obs_ts", ["anom", "obs_ts"], "l_")
-    last = last.select(*TRIP, F.col("l_anom").alias("rt_ld_last_anom"), minutes("l_obs_ts", "T").alias("rt_ld_last_age_min"))
-    came = incoming_delay(incoming(tr, times, setup.incoming_max_gap, any_line), obs)
-    came = came.select(*TRIP, *[c for c in came.columns if c.startswith("rt_in_")])
-    return ld.join(net, TRIP).join(last, TRIP).join(came, TRIP)
+    """Features that all stops of a (journey, lead) share: line and network windows, last observation, incoming vehicle.
+    Each lookup adds its columns to the rows of the one before, which are written as a lookup reads them twice."""
+    tr = stored(q.select(*TRIP, "line", "direction", "T", "trip_start_ts", "origin_stopname").distinct())
+    f = windowed_sums(line_features(tr, obs), series(obs, "net"), [], [15, 60], "net").drop("rt_net_n60")
+    f = stored(incoming(stored(f), times, setup.incoming_max_gap, any_line))
+    f = incoming_delay(f, obs)
+    return f.select(*TRIP, *[c for c in f.columns if c.startswith("rt_")])
 
 
 def stop_features(q: DataFrame, obs: DataFrame) -> DataFrame:
     """Per row: windows of the stop and of the segment from the previous stop, and the previous vehicle at the stop."""
-    key = [*TRIP, "seq"]
-    st = windowed_sums(q, series(obs, "stop"), key, ["stop"], [60], "stop")
-    sg = windowed_sums(q, series(obs, "seg"), key, ["prev_stop", "stop"], [30, 90], "seg")
-    prev = asof_join(q.select(*key, "line", "direction", "stop", "T"), last_by_stop(obs), ["line", "direction", "stop"], "T", "obs_ts", ["anom", "obs_ts"], "p_")
-    prev = prev.select(*key, F.col("p_anom").alias("rt_prev_anom"), minutes("p_obs_ts", "T").alias("rt_prev_age_min"))
-    return st.join(sg, key).join(prev, key)
+    f = q.select(*TRIP, "seq", "line", "direction", "stop", "prev_stop", "T")
+    f = stored(windowed_sums(f, series(obs, "stop"), ["stop"], [60], "stop"))
+    f = stored(windowed_sums(f, series(obs, "seg"), ["prev_stop", "stop"], [30, 90], "seg"))
+    f = asof_join(f, last_by_stop(obs), ["line", "direction", "stop"], "T", "obs_ts", ["anom", "obs_ts"], "p_")
+    f = f.withColumns({"rt_prev_anom": F.col("p_anom"), "rt_prev_age_min": minutes("p_obs_ts", "T")})
+    return f.select(*TRIP, "seq", *[c for c in f.columns if c.startswith("rt_")])
 
 
 def along_trip(rows: DataFrame) -> DataFrame:

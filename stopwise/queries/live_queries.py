@@ -103,6 +103,12 @@ def _q(w: _World):
     return live.query_rows(w.rows, w.times, SETUP, "test")
 
 
+def _windows(rows, obs, name, ids, windows):
+    keys = live.SERIES[name][0]
+    got = asof.windowed_sums(rows.select(*dict.fromkeys([*ids, *keys, "T"])), live.series(obs, name), keys, windows, name)
+    return rounded(got.select(*ids, *[c for c in got.columns if c.startswith("rt_")]))
+
+
 def _tr(q):
     return q.select(*live.TRIP, "line", "direction", "T", "trip_start_ts", "origin_stopname").distinct()
 
@@ -146,25 +152,25 @@ def win_08(spark, sf_dir):
 @query("jn_08", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('tr', 'journey_id, lead_min', 'ld', [20, 60, 180], 'ld')}")
 def jn_08(spark, sf_dir):
     w = _World(spark, sf_dir)
-    return rounded(asof.windowed_sums(_tr(_q(w)), live.series(w.obs, "ld"), live.TRIP, ["line", "direction"], [20, 60, 180], "ld"))
+    return _windows(_tr(_q(w)), w.obs, "ld", live.TRIP, [20, 60, 180])
 
 
 @query("jn_08_net", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('tr', 'journey_id, lead_min', 'net', [15, 60], 'net')}")
 def jn_08_net(spark, sf_dir):
     w = _World(spark, sf_dir)
-    return rounded(asof.windowed_sums(_tr(_q(w)), live.series(w.obs, "net"), live.TRIP, [], [15, 60], "net"))
+    return _windows(_tr(_q(w)), w.obs, "net", live.TRIP, [15, 60])
 
 
 @query("jn_08_stop", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('q', 'journey_id, lead_min, seq', 'stop', [60], 'stop')}")
 def jn_08_stop(spark, sf_dir):
     w = _World(spark, sf_dir)
-    return rounded(asof.windowed_sums(_q(w), live.series(w.obs, "stop"), [*live.TRIP, "seq"], ["stop"], [60], "stop"))
+    return _windows(_q(w), w.obs, "stop", [*live.TRIP, "seq"], [60])
 
 
 @query("jn_08_seg", f"WITH {OBS}, {QUERY_ROWS} {windows_sql('q', 'journey_id, lead_min, seq', 'seg', [30, 90], 'seg')}")
 def jn_08_seg(spark, sf_dir):
     w = _World(spark, sf_dir)
-    return rounded(asof.windowed_sums(_q(w), live.series(w.obs, "seg"), [*live.TRIP, "seq"], ["prev_stop", "stop"], [30, 90], "seg"))
+    return _windows(_q(w), w.obs, "seg", [*live.TRIP, "seq"], [30, 90])
 
 
 _AGE = "round((epoch(x.T) - epoch({o})) / 60.0, 6)"
@@ -191,8 +197,8 @@ IN_SAME = f"""{ended_sql('i1', True)}, inc AS (SELECT journey_id, lead_min, T, t
 @query("jn_09", f"WITH {OBS}, {QUERY_ROWS} {_LAST_LD.format(anom='last_anom', age='age_min')}")
 def jn_09(spark, sf_dir):
     w = _World(spark, sf_dir)
-    f = asof.asof_join(_tr(_q(w)), live.last_by_line(w.obs), ["line", "direction"], "T", "obs_ts", ["anom", "obs_ts"], "l_")
-    return rounded(f.select(*live.TRIP, F.col("l_anom").cast("double").alias("last_anom"), live.minutes("l_obs_ts", "T").cast("double").alias("age_min")))
+    f = live.line_features(_tr(_q(w)), w.obs)
+    return rounded(f.select(*live.TRIP, F.col("rt_ld_last_anom").cast("double").alias("last_anom"), F.col("rt_ld_last_age_min").cast("double").alias("age_min")))
 
 
 @query("jn_10", f"WITH {OBS}, {QUERY_ROWS}, {IN_SAME} SELECT journey_id, lead_min, in_journey_id, in_trip_end_ts FROM inc")
@@ -241,8 +247,7 @@ def along_sql(w: int, digits: int) -> str:
 @query("win_09", f"WITH {OBS}, {QUERY_ROWS}, {_SEG} {along_sql(30, 4)}")
 def win_09(spark, sf_dir):
     w = _World(spark, sf_dir)
-    s = asof.windowed_sums(_q(w), live.series(w.obs, "seg"), [*live.TRIP, "seq"], ["prev_stop", "stop"], [30, 90], "seg")
-    a = live.along_trip(rounded(s))
+    a = live.along_trip(_windows(_q(w), w.obs, "seg", [*live.TRIP, "seq"], [30, 90]))
     return a.select(*live.TRIP, "seq", (F.round("rt_segcum30", 4) + 0.0).alias("rt_segcum30"), F.round("rt_segcov30", 6).alias("rt_segcov30"))
 
 
@@ -250,8 +255,8 @@ def win_09(spark, sf_dir):
 def jn_14(spark, sf_dir):
     w = _World(spark, sf_dir)
     q = _q(w)
-    n = asof.windowed_sums(_tr(q), live.series(w.obs, "net"), live.TRIP, [], [15, 60], "net")
-    return rounded(q.select(*live.TRIP, "seq").join(n, live.TRIP).select(*live.TRIP, "seq", "rt_net_n15", "rt_net_anom15"))
+    n = _windows(_tr(q), w.obs, "net", live.TRIP, [15, 60])
+    return q.select(*live.TRIP, "seq").join(n, live.TRIP).select(*live.TRIP, "seq", "rt_net_n15", "rt_net_anom15")
 
 
 @query("win_10", f"WITH w AS ({adapters.duck(adapters.WEATHER)}) SELECT time, sum(precipitation) OVER (ORDER BY time ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS precip_3h FROM w")

@@ -10,6 +10,7 @@ from stopwise.functions import calendar as cal
 from stopwise.functions import scalars as sc
 from stopwise.operators import evaluate as ev
 from stopwise.operators import history, trips
+from stopwise.operators import asof
 from stopwise.operators.asof import asof_join
 from stopwise.plans import model
 from stopwise.sources import io
@@ -33,6 +34,55 @@ def test_asof_equals_brute_force(spark, strict):
         assert got[i] == ((best[2], best[1]) if best else (None, None))
 
 
+def test_one_lookup_of_several_series_equals_brute_force(spark):
+    rnd = random.Random(8)
+    at = lambda: T0 + dt.timedelta(minutes=rnd.randrange(0, 6000))
+    left = [(i, rnd.choice(["a", "b", None]), rnd.choice([at(), at(), None])) for i in range(150)] + [(0, "a", T0)] * 2
+    one = list({(k, t): (k, t, rnd.choice([None, 1, 2])) for k, t in ((rnd.choice(["a", "b", None]), at()) for _ in range(50))}.values())
+    two = list({(k, t): (k, t, rnd.random()) for k, t in ((rnd.choice(["a", "c"]), rnd.choice([at(), left[0][2] or T0])) for _ in range(50))}.values())
+    lf = spark.createDataFrame(left, "i int, k string, t timestamp_ntz")
+    series = [
+        asof.Series(spark.createDataFrame(one, "k string, u timestamp_ntz, v int"), "u", ["v", "u"], "x_", lags=(0, 60, 2000)),
+        asof.Series(spark.createDataFrame(two, "k string, w timestamp_ntz, v double"), "w", ["v"], "y_", strict=True),
+    ]
+    found = asof.asof_lookups(lf, ["k"], "t", series)
+    assert found.columns == ["i", "k", "t", "x_v_0", "x_u_0", "x_v_60", "x_u_60", "x_v_2000", "x_u_2000", "y_v"]
+
+    def last(rows, k, seen):
+        return max((r for r in rows if r[0] is not None and r[0] == k and seen(r[1])), key=lambda r: r[1], default=(None, None, None))
+
+    want = []
+    for i, k, t in left:
+        row = [i, k, t]
+        for lag in (0, 60, 2000):
+            hit = last(one, k, lambda u: t is not None and u + dt.timedelta(minutes=lag) <= t)
+            row += [hit[2], hit[1]]
+        want.append((*row, last(two, k, lambda u: t is not None and u < t)[2]))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    empty = asof.asof_lookups(lf, ["k"], "t", [asof.Series(series[0].rows.limit(0), "u", ["v"], "x_")])
+    assert empty.filter("x_v is null").count() == len(left) and asof.asof_lookups(lf.limit(0), ["k"], "t", series).isEmpty()
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_windowed_sums_equal_brute_force(spark, keys):
+    rnd = random.Random(9)
+    obs = [(rnd.choice("ab"), T0 + dt.timedelta(seconds=rnd.randrange(0, 200_000)), rnd.choice([None, 1.0, 2.0, 5.0])) for _ in range(300)]
+    obs += [("c", T0 + dt.timedelta(minutes=5 * n), 1.0) for n in range(40)]  # at the very edges of buckets
+    asks = [(i, rnd.choice(["a", "b", "c", None, "zz"]), T0 + dt.timedelta(minutes=rnd.randrange(-300, 4000))) for i in range(200)]
+    cum = asof.running_sums(asof.bucket_sums(spark.createDataFrame(obs, "k string, obs_ts timestamp_ntz, v double"), keys, 5, "v"), keys)
+    found = asof.windowed_sums(spark.createDataFrame(asks, "i int, k string, T timestamp_ntz"), cum, keys, [15, 60, 1500], "s")
+    rows = {r["i"]: r for r in found.collect()}
+    assert len(rows) == len(asks) == found.count()
+    for i, k, at in asks:
+        for w in (15, 60, 1500):
+            ends = [((t - T0).total_seconds() // 300 + 1, v) for o, t, v in obs if not keys or o == k]
+            inside = [v for e, v in ends if at - dt.timedelta(minutes=w) < T0 + dt.timedelta(minutes=5 * e) <= at]
+            known = [v for v in inside if v is not None]
+            mean = rows[i][f"rt_s_anom{w}"]
+            assert rows[i][f"rt_s_n{w}"] == len(inside)
+            assert mean is None if not known else abs(mean - sum(known) / len(known)) < 1e-9
+
+
 def clean_rows(spark, change=None):
     rnd, rows = random.Random(5), []
     for n in range(119):
