@@ -76,13 +76,13 @@ def missing_years(df: DataFrame, day: str, breaks=SCHOOL_BREAKS) -> DataFrame:
     return df.select(F.year(day).alias("year")).distinct().filter(~F.col("year").isin(*known))
 
 
-# The tilt of the earth's axis in degrees, and the days from the equinox that the year's sine is counted from.
-TILT, EQUINOX_DAYS, YEAR_DAYS = 23.44, 284, 365
+# The tilt of the earth's axis in degrees, and the number of days that Cooper's formula adds to the day of the year.
+TILT, COOPER_DAYS, YEAR_DAYS = 23.44, 284, 365
 
 
 def declination(day: Column | str) -> Column:
     """The sun's height over the equator in radians (Cooper's formula)."""
-    turn = F.radians((F.dayofyear(_column(day)) + EQUINOX_DAYS) * (360.0 / YEAR_DAYS))
+    turn = F.radians((F.dayofyear(_column(day)) + COOPER_DAYS) * (360.0 / YEAR_DAYS))
     return F.sin(turn) * math.radians(TILT)
 
 

@@ -108,7 +108,7 @@ def line_number(line: Column | str) -> Column:
 
 
 def delay_text(seconds: Column | str) -> Column:
-    """46 s, -46 s, 1 min 07 s."""
+    """12 s, -30 s, 5 min 00 s."""
     x = _column(seconds)
     s = F.rint(F.abs(x)).cast("long")
     minutes = F.concat(F.floor(s / 60).cast("string"), F.lit(" min "), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(" s"))
@@ -131,7 +131,7 @@ MONTHS = ("januar", "februar", "mars", "april", "mai", "juni", "juli", "august",
 
 
 def date_text(d: Column | str) -> Column:
-    """mandag 1. desember 2025."""
+    """søndag 15. august 2027."""
     d = _column(d)
     names, months = F.array(*map(F.lit, DAYS)), F.array(*map(F.lit, MONTHS))
     return F.concat(names[F.weekday(d)], F.lit(" "), F.dayofmonth(d).cast("string"), F.lit(". "), months[F.month(d) - 1], F.lit(" "), F.year(d).cast("string"))

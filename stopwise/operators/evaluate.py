@@ -333,6 +333,14 @@ def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tupl
     return joined.drop("_there"), check
 
 
+def against_earlier(df: DataFrame, earlier: DataFrame, keys: Sequence[str], pred: str, *by: str) -> DataFrame:
+    """df with the predictions `pred` of an earlier round (at most one row per keys), for those groups `by` alone in which
+    every row has one: a gain over a part of a group's rows is not the group's.  Rows of a null group are left out."""
+    joined = df.join(earlier.select(*keys, pred), list(keys), "left")
+    whole = joined.groupBy(*by).agg(F.bool_and(F.col(pred).isNotNull()).alias("_whole")).filter("_whole")
+    return joined.join(whole.drop("_whole"), list(by), "left_semi")
+
+
 def row_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A checksum that any engine can make again; it does not depend on the order of rows and changes with any value:
     the sum of the first 15 hex digits of the MD5 of each row's values as text."""

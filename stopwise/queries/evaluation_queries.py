@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -403,6 +405,36 @@ def ev_23_final_intervals(spark, sf_dir):
     return out
 
 
+_KEYS = ["journey_id", "seq", "lead_min"]
+
+
+def _against_round1(spark, sf_dir) -> DataFrame:
+    """Real-time predictions beside those of a first round, which lacks the afternoons of the longest lead."""
+    t = by_lead(spark, sf_dir)
+    first = t.withColumn("pred_r1", F.col("baseline") + ((F.col("seq") * 31 + F.col("minute_of_day") * 7 + F.col("lead_min")) % 61 - 30).cast("double"))
+    return ev.against_earlier(t, first.filter(f"lead_min < {LEADS[-1]} or hour < 12"), _KEYS, "pred_r1", "lead_min")
+
+
+_ROUND1 = f"""{PL}, r1 AS (SELECT journey_id, seq, lead_min, baseline + CAST((seq * 31 + minute_of_day * 7 + lead_min) % 61 - 30 AS DOUBLE) AS pred_r1
+   FROM pl WHERE lead_min < {LEADS[-1]} OR hour < 12), n AS (SELECT pl.*, pred_r1 FROM pl LEFT JOIN r1 USING ({', '.join(_KEYS)}))"""
+
+
+@query("ev_23_round1", f"""WITH {_ROUND1} SELECT lead_min, count(*) AS n_rows, {metric_sql('pred_r1')}, round((1 - sum(abs(pred_rt - y)) / sum(abs(pred_r1 - y))) * 100, 6) AS gain_pct
+  FROM n GROUP BY lead_min HAVING count(*) = count(pred_r1)""")
+def ev_23_round1(spark, sf_dir):
+    """The first round's metrics by lead and the gain over it, where it predicted every row of the lead."""
+    t = _against_round1(spark, sf_dir)
+    return rounded(t.groupBy("lead_min").agg(F.count("*").alias("n_rows"), *ev.error_metrics("y", "pred_r1"), ev.gain_pct("pred_rt", "pred_r1").alias("gain_pct")))
+
+
+@query("ev_23_round1_intervals")
+def ev_23_round1_intervals(spark, sf_dir):
+    """The gain over the first round with its interval, days as blocks, for each lead that it predicted as a whole."""
+    t = stored(_against_round1(spark, sf_dir).select("date", "y", "pred_rt", "pred_r1", "lead_min"))
+    parts = [ev.mae_gain(t.filter(F.col("lead_min") == r[0]), [("pred_rt", "pred_r1")]).withColumn("lead_min", F.lit(r[0])) for r in t.select("lead_min").distinct().collect()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("jn_15", f"WITH {P} SELECT count(*) AS n_rows, count(*) FILTER (WHERE hour >= 12) AS unmatched FROM p")
 def jn_15(spark, sf_dir):
     t = test(spark, sf_dir)

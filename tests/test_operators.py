@@ -63,6 +63,14 @@ def test_one_lookup_of_several_series_equals_brute_force(spark):
     assert empty.filter("x_v is null").count() == len(left) and asof.asof_lookups(lf.limit(0), ["k"], "t", series).isEmpty()
 
 
+def test_an_earlier_round_counts_only_where_it_is_whole(spark):
+    rows = spark.createDataFrame([(1, 10, 5.0), (2, 10, 6.0), (1, 30, 7.0), (2, 30, 8.0), (3, None, 1.0)], "id int, lead int, p double")
+    first = spark.createDataFrame([(1, 10, 1.0), (2, 10, 2.0), (1, 30, 3.0), (2, 30, None), (9, 10, 4.0)], "id int, lead int, old double")
+    got = ev.against_earlier(rows, first, ["id", "lead"], "old", "lead")
+    assert sorted(map(tuple, got.select("id", "lead", "p", "old").collect())) == [(1, 10, 5.0, 1.0), (2, 10, 6.0, 2.0)]
+    assert ev.against_earlier(rows, first.limit(0), ["id", "lead"], "old", "lead").isEmpty()
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_windowed_sums_equal_brute_force(spark, keys):
     rnd = random.Random(9)
