@@ -19,6 +19,8 @@ K, SHARED = 96, 56
 THRESHOLD = 80  # per cent
 #: Members of a list that others are compared with in one round, and rounds before all pairs that are left.
 HEADS, ROUNDS = 16, 2
+#: Classes of a list from which on pairs are looked for by what sets differ in from a common core.
+LARGE = 64
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
@@ -93,8 +95,9 @@ def _least_shared(n: str):
     return F.expr(f"({THRESHOLD} * {n} + 99) div 100")
 
 
-def _rare_lists(values: DataFrame, shared) -> DataFrame:
-    """Inverted lists (value, cid, n, rest) of the rarest values of each set, of values (cid, n, k, value).
+def _rare_lists(values: DataFrame, shared, by: tuple[str, ...] = (), keep: tuple[str, ...] = ("n",)) -> DataFrame:
+    """Inverted lists (value, cid, n, rest) of the rarest values of each set, of values (cid, n, k, value); by: columns that
+    tell separate families of sets apart.
 
     Of k values `shared` at least are common to any match.  So the rarest k - shared + 1 of
     the one set and of the other meet, in the order by frequency; values that no other set has
@@ -102,10 +105,10 @@ def _rare_lists(values: DataFrame, shared) -> DataFrame:
     values a match can share at most if this is the first that it shares.
     """
     # Written, so that the join is a plain one, which Spark splits where very many sets have a value.
-    often = stored(values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
-    mine = Window.partitionBy("cid")
-    found = values.join(often, "value").withColumns({"rank": F.row_number().over(mine.orderBy("df", "value")), "with_others": F.count("*").over(mine)})
-    return found.withColumn("rest", F.col("with_others") - F.col("rank") + 1).filter(F.col("rest") >= shared).select("value", "cid", "n", "rest")
+    often = stored(values.groupBy(*by, "value").agg(F.count("*").alias("df")).filter("df > 1"))
+    mine = Window.partitionBy(*by, "cid")
+    found = values.join(often, [*by, "value"]).withColumns({"rank": F.row_number().over(mine.orderBy("df", "value")), "with_others": F.count("*").over(mine)})
+    return found.withColumn("rest", F.col("with_others") - F.col("rank") + 1).filter(F.col("rest") >= shared).select(*by, "value", "cid", *keep, "rest")
 
 
 def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
@@ -144,10 +147,64 @@ def _with_heads(known: DataFrame, turn: int) -> DataFrame:
     return _ordered(mine.join(heads, "value").filter("label_a <> label_b"))
 
 
-def _between_components(known: DataFrame) -> DataFrame:
-    """All pairs of a list that are in different components still and can match if this is the first value that they share."""
-    mine = _side(known.join(_several(known), "value").filter("label <> main"), "a")
-    return _ordered(mine.join(_side(known, "b"), "value").filter(_ENOUGH))
+def _differences(known: DataFrame, large: DataFrame, sets: DataFrame) -> DataFrame:
+    """What the classes of large lists differ in from the core of the list's main component: the members that more than half of
+    its classes in such lists have.
+
+    main, cid, n, differences (members that only the class or only the core has), u, room.  Classes that differ in more than
+    their own size are left out.  With m members missing and e extra ones, u = 100 m + T e, room = (100 - T) |core|: two sets
+    reach the threshold T just if (100 + T) times their common differences is at least the sum of both u less room.
+    """
+    family = stored(known.join(large.select("value", "main"), "value").select("main", "cid", "label").distinct())
+    own = family.filter("label = main").join(sets.select("cid", "members"), "cid")
+    most = family.filter("label = main").groupBy("main").agg(F.count("*").alias("classes"))
+    held = own.select("main", F.explode("members").alias("value")).groupBy("main", "value").agg(F.count("*").alias("m"))
+    core = stored(held.join(most, "main").filter("2 * m > classes").groupBy("main").agg(F.collect_list("value").alias("core")))
+    found = family.select("main", "cid").join(sets, "cid").join(core, "main")
+    found = found.withColumns({"missing": F.array_except("core", "members"), "extra": F.array_except("members", "core")})
+    found = found.filter("size(missing) + size(extra) <= n").withColumn("differences", F.concat("missing", "extra"))
+    out = stored(found.selectExpr("main", "cid", "n", "differences", f"100L * size(missing) + {THRESHOLD}L * size(extra) as u", f"{100 - THRESHOLD}L * size(core) as room"))
+    discard(family, core)
+    return out
+
+
+def _with_middle(near: DataFrame) -> DataFrame:
+    """Pairs of classes that are so close to their core that they match the class closest to it. If two classes differ in so
+    little together that they match whatever the differences are, both are among these."""
+    middle = near.groupBy("main").agg(F.min(F.struct("u", "cid", "label")).alias("middle"))
+    found = near.join(middle, "main").filter("u + middle.u <= room and label <> middle.label")
+    return _ordered(found.select(F.col("cid").alias("a"), F.col("middle.cid").alias("b")))
+
+
+def _by_differences(near: DataFrame) -> DataFrame:
+    """All other pairs of classes near a core that are in different components and can match if this is the first difference
+    from the core that they share. One of the two is open: too far from the core for _with_middle."""
+    least = near.groupBy("main").agg(F.min("u").alias("least"))
+    near = near.join(least, "main").withColumn("open", F.expr("u + least > room"))
+    # What the differences ask for at least, whatever the other class: it has an u of `least` or more, to an open class one of
+    # T % of what this is above room (it shares no more than all its differences), and beside others it is open itself.
+    need = f"case when open then u - room + greatest(least, {THRESHOLD} * (u - room) div 100) else u - least + 1 end"
+    near = near.withColumn("need", F.expr(f"({need} + {99 + THRESHOLD}) div {100 + THRESHOLD}")).filter("size(differences) >= need")
+    values = near.select("main", "cid", "label", "u", "room", "open", "need", F.explode("differences").alias("value"))
+    lists = stored(_rare_lists(values, F.col("need"), by=("main",), keep=("label", "u", "room", "open")))
+    x, y = (lists.select("main", "value", F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("label", "u", "room", "open", "rest")]) for s in ("a", "b"))
+    enough = f"label_a <> label_b and (not open_b or a < b) and {100 + THRESHOLD} * least(rest_a, rest_b) >= u_a + u_b - room_a"
+    pairs = stored(_ordered(x.filter("open_a").join(y, ["main", "value"]).filter(enough)))
+    discard(lists)
+    return pairs
+
+
+def _between_components(known: DataFrame, large: DataFrame, near: DataFrame) -> DataFrame:
+    """All pairs of a list that are in different components still and can match if this is the first value that they share,
+    but those of two classes near the same core."""
+    near = near.select(F.col("main").alias("core"), "cid", F.lit(True).alias("near"))
+    open_ = known.join(_several(known), "value").join(large.select("value", F.col("main").alias("core")), "value", "left")
+    open_ = stored(open_.join(near, ["core", "cid"], "left").withColumns({"near": F.col("near").isNotNull(), "other": F.col("label") != F.col("main")}))
+    far = _side(open_.filter("other and not near"), "a").join(_side(open_, "b"), "value").filter(_ENOUGH)
+    rest = _side(open_.filter("other and near"), "a").join(_side(open_.filter("not other and not near"), "b"), "value").filter(_ENOUGH)
+    pairs = stored(_ordered(far.select("a", "b").unionByName(rest.select("a", "b"))))
+    discard(open_)
+    return pairs
 
 
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,9 +276,20 @@ def _components_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> tu
         lists = stored(_rare_lists(members, _least_shared("n")))
         done += [sets, lists]
         seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        for turn in range(ROUNDS + 1):
+        for turn in range(ROUNDS + 3):
             known = stored(_labelled(lists, label))
-            pairs = _with_heads(known, turn) if turn < ROUNDS else _between_components(known)
+            if turn == ROUNDS:
+                large = _several(known, LARGE)
+                near = _differences(known, large, sets)
+                done += [large, near]
+            if turn < ROUNDS:
+                pairs = _with_heads(known, turn)
+            elif turn == ROUNDS:
+                pairs = _with_middle(_labelled(near, label))
+            elif turn == ROUNDS + 1:
+                pairs = _by_differences(_labelled(near, label))
+            else:
+                pairs = _between_components(known, large, near)
             pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
             discard(known)
             done.append(pairs)
@@ -256,7 +324,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text
     3. Of each list, all classes are compared with its first; links form components.
     4. Classes in lists that hold several components are listed anew by their whole sets,
        where four fifths must be shared; pairs between components of a list are compared.
-       So no link that matters is lost, and a list of n near copies costs about n comparisons.
+       In large lists those near a common core are paired by the differences from it that
+       they share, so copies that changed in places of their own are not. So no link that
+       matters is lost, and a list of n near copies costs about n comparisons.
     """
     own, named = _components_of(docs, size, id_col, text_col)
     named = named.select("sig", "class_size", F.col("first.doc_id").alias("component_id"))

@@ -397,6 +397,48 @@ def test_near_in_a_family_around_the_threshold(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(made, 4)
 
 
+def test_near_copies_far_from_each_other_are_not_all_compared(spark, monkeypatch):
+    # Half of the copies changed too much to match the text that they come from, and in places of their own.
+    compared = []
+    exact_pairs = minhash._exact
+    monkeypatch.setattr(minhash, "_exact", lambda pairs, sets: compared.append(pairs.count()) or exact_pairs(pairs, sets))
+    rnd = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    made = [(5000, " ".join(base))]
+    for i in range(500):
+        x = list(base)
+        for p in rnd.choice(150, size=1 + i % 7, replace=False):
+            x[p] = f"e{rnd.integers(40)}"
+        made.append((1000 + i, " ".join(x)))
+    got = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 5).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(made, 5)
+    assert sum(compared[1 + minhash.ROUNDS :]) < 2 * len(made)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_by_differences_from_a_core(spark, monkeypatch, seed):
+    # Without rounds of heads, and in lists of all sizes: copies of texts that are there or not, with words put in, left out, changed
+    # and changed alike, copies of copies, and texts between two others.
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "LARGE", 2)
+    rnd = np.random.default_rng(seed)
+    made = []
+    for f in range(4):
+        base = [f"w{f}_{i}" for i in range(100)]
+        origins = [base, base[:70] + [f"v{f}_{i}" for i in range(30)], [f"u{f}_{i}" for i in range(12)] + base[12:]]
+        for i in range(60):
+            x = list(origins[i % 3])
+            for _ in range(rnd.integers(1, 6)):
+                p, k = int(rnd.integers(len(x))), rnd.integers(4)
+                x[p : p + int(rnd.integers(1, 4)) * (k == 2)] = [] if k == 2 else [f"e{rnd.integers(3)}"] * (1 + (k == 3))
+            origins.append(x)
+            if i % 5 == 0:
+                origins[rnd.integers(3)] = x
+            made.append((len(made), " ".join(x)))
+    got = minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 4).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(made, 4)
+
+
 def test_near_copies_made_of_passages_that_others_share(spark):
     # P is the rarest passage of both copies; where the third document of its lists comes first, the copies meet in whole-set lists of two only.
     said = lambda name, n: " ".join(f"{name}_{i}" for i in range(n))
