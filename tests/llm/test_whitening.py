@@ -95,3 +95,18 @@ def test_clustered_eigenvalues(gap):
     if gap == 1e-3:
         start = np.linalg.eigh(a.astype(np.float32))[1][:, ::-1]
         assert np.abs(np.abs((start * q[:, np.argsort(-true)]).sum(axis=0)) - 1).max() > 1e-13  # what the correction gains
+
+
+@pytest.mark.parametrize("gap", [1e-12, 1e-13, 3e-14])
+def test_vectors_of_close_eigenvalues_are_orthogonal_for_any_start(gap):
+    d = 24
+    for seed in range(12):
+        q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))[0].astype(np.longdouble)
+        for _ in range(3):
+            q = q @ (1.5 * np.eye(d, dtype=np.longdouble) - 0.5 * (q.T @ q))
+        true = np.array([1.0 - gap * i for i in range(5)] + [0.5, 0.5 - gap] + [0.3 / (i + 1) for i in range(d - 7)], np.longdouble)
+        a = (q * true) @ q.T
+        a = (a + a.T) / 2
+        values, x = refined_eigenvectors(a)
+        assert np.abs(x.T @ x - np.eye(d)).max() < 1e-17
+        assert np.abs(a @ x - x * values).max() < 1e-17
