@@ -221,10 +221,10 @@ def _variant_sql(name: str, seed: int) -> str:
 
 
 def _variants(spark, sf_dir, names, seed):
-    r, out = stored(rows(spark, sf_dir)), None
+    made, out = datasets.Variants(rows(spark, sf_dir), _CV, SETUP, _EIGHT, seed), None
     extra = {"hist_n_lsdhd": "long", "hist_months": "int"}
     for name in names:
-        one = datasets.variant_samples(r, _CV, SETUP, datasets.variants(SETUP, _OLD_DAYS)[name], _EIGHT, seed)
+        one = made.samples(datasets.variants(SETUP, _OLD_DAYS)[name])
         one = one.withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in one.columns})
         one = one.select(F.lit(name).alias("variant"), "cv_month", "journey_id", "seq", "y", "date", "part", "daytype", *history.FEATURES, "baseline", *extra)
         out = one if out is None else out.unionByName(one)
