@@ -4,7 +4,8 @@ import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from stopwise.plans import model
+from stopwise.plans import datasets, model
+from stopwise.queries import QUERIES
 
 
 def _made(spark):
@@ -45,3 +46,14 @@ def test_residuals_are_told_apart_by_their_label(spark, given):
     df = _made(spark).withColumn("baseline", F.col("y") - F.col("id") % 2)
     model.fit_trees(model.residual(df), None, ["a", "b"], label="residual", rounds=1, depth=2)
     assert given[0].agg(F.sum(model.WEIGHT), F.count("*")).first() == (2400.0, 12 * 8)  # 12 rows, cut for 64 bins
+
+
+def test_the_columns_with_most_gain_need_train_rows_only(spark, monkeypatch):
+    made, split_dataset = [], datasets.split_dataset
+
+    def split(rows, histories, name):
+        made.append(name)
+        return split_dataset(rows, histories, name)
+
+    monkeypatch.setattr(datasets, "split_dataset", split)
+    assert QUERIES["sort_05_features"](spark, "/root/testdata/sf0.001").count() == 5 and made == ["train"]
