@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from stopwise.operators import evaluate as ev
 from stopwise.plans import datasets, model
 from stopwise.queries import QUERIES
 
@@ -48,6 +49,30 @@ def test_residuals_are_told_apart_by_their_label(spark, given):
     assert given[0].agg(F.sum(model.WEIGHT), F.count("*")).first() == (2400.0, 12 * 8)  # 12 rows, cut for 64 bins
 
 
+def test_importance_scores_a_pair_of_kinds_once(spark):
+    df, scored = _made(spark).drop("baseline"), []
+
+    def score(rows):
+        scored.append(rows)
+        return rows.withColumn("pred", F.col("a") * 100 + F.col("b") * 40)
+
+    got = {r["feature"]: r for r in ev.permutation_importance(df, score, ["a", "b"], ["id"], inputs=["a", "b"]).collect()}
+    assert sum(rows.count() for rows in scored) <= 6 * 6 * 2 + 6
+    # As defined: every row with its partner's value.
+    rows = ev.with_partners(df, ["a", "b"], ["id"], 3, 10)
+    plain = df.agg(F.avg(F.abs(F.col("a") * 100 + F.col("b") * 40 - F.col("y")))).first()[0]
+    for c, other in (("a", F.col("_partner.a") * 100 + F.col("b") * 40), ("b", F.col("a") * 100 + F.col("_partner.b") * 40)):
+        grown = [r[1] - plain for r in rows.groupBy("_repeat").agg(F.avg(F.abs(other - F.col("y")))).collect()]
+        assert got[c]["mean_increase_s"] == pytest.approx(sum(grown) / 3)
+
+
+def test_rows_without_y_or_prediction_count_nowhere(spark):
+    df = _made(spark).withColumns({"y": F.when(F.col("id") % 5 > 0, F.col("y")), "a": F.when(F.col("id") % 4 > 0, F.col("a"))})
+    score = lambda rows: rows.withColumn("pred", F.col("a") * 100)
+    got = {r["feature"]: r["mean_increase_s"] for r in ev.permutation_importance(df, score, ["a", "b"], ["id"]).collect()}
+    assert got["b"] == pytest.approx(0, abs=1e-9) and got["a"] > 30
+
+
 def test_the_columns_with_most_gain_need_train_rows_only(spark, monkeypatch):
     made, split_dataset = [], datasets.split_dataset
 
