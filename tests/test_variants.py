@@ -43,3 +43,9 @@ def test_variants_share_parts_and_counts(spark, monkeypatch):
     # The shared ones have 2 and 2, those made alone one of each.
     assert calls["parts"] == 2 + 6 and len(calls["counts"]) == 2 + 6
     assert max(calls["counts"]) <= "1995-04-30"  # nothing after the last month is counted
+
+
+def test_spans_are_made_for_units_and_rows_without_a_date_have_none(spark):
+    rows = _rows(spark)
+    get = lambda r: sorted(map(tuple, history.expanding(r, MONTHS).tables["l"].collect()))
+    assert get(rows) == get(rows.filter("date is not null")) == get(history.day_counts(rows)) != []
